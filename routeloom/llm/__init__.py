@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from routeloom.llm import mixing
+from routeloom.llm import mixing, packing, warc_zip
 
 
 def queries() -> dict:
     return {
+        "op2_packing": packing.op2_packing,
+        "op3_warc": warc_zip.op3_warc,
         "op5_mixing": mixing.op5_mixing,
     }
 
