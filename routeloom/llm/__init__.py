@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from routeloom.llm import mixing, packing, warc_zip
+from routeloom.llm import lz_fingerprint, mixing, packing, warc_zip
 
 
 def queries() -> dict:
     return {
         "op2_packing": packing.op2_packing,
         "op3_warc": warc_zip.op3_warc,
+        "op4_fingerprint": lz_fingerprint.op4_fingerprint,
         "op5_mixing": mixing.op5_mixing,
     }
 
