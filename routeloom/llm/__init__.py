@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from routeloom.llm import lz_fingerprint, mixing, packing, warc_zip
+from routeloom.llm import lz_fingerprint, mixing, packing, simhash, warc_zip
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op3_warc": warc_zip.op3_warc,
         "op4_fingerprint": lz_fingerprint.op4_fingerprint,
         "op5_mixing": mixing.op5_mixing,
+        "op9_simhash": simhash.op9_simhash,
     }
 
 
