@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from routeloom.llm import lz_fingerprint, mixing, packing, simhash, warc_zip
+from routeloom.llm import lz_fingerprint, mixing, packing, simhash, substring, warc_zip
 
 
 def queries() -> dict:
     return {
+        "op1_substring": substring.op1_substring,
         "op2_packing": packing.op2_packing,
         "op3_warc": warc_zip.op3_warc,
         "op4_fingerprint": lz_fingerprint.op4_fingerprint,
