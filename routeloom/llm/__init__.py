@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from routeloom.llm import lz_fingerprint, mixing, packing, simhash, substring, warc_zip
+from routeloom.llm import additive_ann, lz_fingerprint, mixing, packing, simhash, substring, warc_zip
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_fingerprint": lz_fingerprint.op4_fingerprint,
         "op5_mixing": mixing.op5_mixing,
         "op9_simhash": simhash.op9_simhash,
+        "op10_ann": additive_ann.op10_ann,
     }
 
 
