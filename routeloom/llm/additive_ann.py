@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from routeloom.llm._common import keep, partitions, table
 
-BOOKS, WORDS, SAMPLE, BEAM = 8, 256, 8192, 4
-BLOCK_ROWS, BLOCK_QUERIES, SHORTLIST = 8192, 512, 96
+BOOKS, WORDS, SAMPLE, BEAM = 16, 128, 8192, 2
+BLOCK_ROWS, BLOCK_QUERIES, SHORTLIST = 8192, 512, 320
 RESULT = "query_id long, vec_id long, score double"
 
 
@@ -106,7 +106,7 @@ def fit(x: np.ndarray, books: int = BOOKS, words: int = WORDS, seed: int = 7) ->
     right = np.zeros_like(flat)
     for a in range(books):
         np.add.at(right, codes[:, a], x.astype(np.float32))
-    ridge = np.float32(4.0)
+    ridge = np.float32(10.0)
     flat = np.linalg.solve(gram + ridge * np.eye(len(gram), dtype=np.float32), right + ridge * flat)
     return Codebooks(flat.reshape(made.shape).astype(np.float32))
 
