@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from routeloom.llm import additive_ann, lz_fingerprint, mixing, packing, quality, simhash, substring, toxicity, warc_zip
+from routeloom.llm import additive_ann, line_dedup, lz_fingerprint, mixing, packing, quality, simhash, substring, toxicity, warc_zip
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_warc": warc_zip.op3_warc,
         "op4_fingerprint": lz_fingerprint.op4_fingerprint,
         "op5_mixing": mixing.op5_mixing,
+        "op6_line_dedup": line_dedup.op6_line_dedup,
         "op7_toxicity": toxicity.op7_toxicity,
         "op8_quality": quality.op8_quality,
         "op9_simhash": simhash.op9_simhash,

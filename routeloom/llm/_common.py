@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -33,9 +34,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 def keep(spark: SparkSession, df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: a cut of the lineage that survives lost executors."""
-    path = shared_dir(spark)
+    path, schema = shared_dir(spark), df.schema
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    # Shuffle files are dropped once the driver's garbage collector has seen that their plan is gone; a long chain of
+    # steps would else hold the files of all of them.
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
 def word_count(text: Column) -> Column:
