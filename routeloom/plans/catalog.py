@@ -5,15 +5,289 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from routeloom.functions import requests as R
+from routeloom.functions import types as T
+from routeloom.operators import documents, inference, lookup, merge, routes
+from routeloom.plans import oracle
+from routeloom.sources import requests as src
+from routeloom.sources.curl import from_curls
 
-def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").groupBy().count()
+Query = Callable[[SparkSession, str], DataFrame]
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def _parsed(spark: SparkSession, sf: str, *names: str) -> DataFrame:
+    """The parsed rows of one or several request tables; seq tells them apart by steps of 10**9."""
+    out = None
+    for i, name in enumerate(names):
+        rows = src.request_table(spark, sf, name).withColumn("seq", F.col("seq") + i * 10**9)
+        out = rows if out is None else out.unionByName(rows)
+    return src.parse(out)
+
+
+def entry(spark: SparkSession, sf: str) -> DataFrame:
+    """Route inventory of the captured pages: route, method, requests."""
+    tree = routes.build(_parsed(spark, sf, "req_pages"))
+    return routes.methods(tree.requests).select("route", "method", "requests")
+
+
+# --- parsing ------------------------------------------------------------------------------------------------------------------
+
+
+def url_path_segments(spark: SparkSession, sf: str) -> DataFrame:
+    rows = src.request_table(spark, sf, "req_pages").unionByName(src.request_table(spark, sf, "req_orders").withColumn("seq", F.col("seq") + 10**9))
+    return rows.select("seq", F.posexplode(R.path_segments(F.col("url"))).alias("pos", "segment")).select("seq", F.col("pos").cast("long").alias("pos"), "segment")
+
+
+def url_query_params(spark: SparkSession, sf: str) -> DataFrame:
+    rows = src.request_table(spark, sf, "req_orders").select("seq", F.explode(R.query_params(R.url_query(F.col("url")))).alias("p"))
+    return rows.select("seq", "p.name", "p.value")
+
+
+def method_normalize(spark: SparkSession, sf: str) -> DataFrame:
+    rows = src.request_table(spark, sf, "req_orders")
+    raw = F.when(F.col("seq") % 3 == 0, "").otherwise(F.lower("method"))
+    return rows.groupBy(R.method(raw).alias("method")).agg(F.count("*").alias("n"))
+
+
+def content_type_normalize(spark: SparkSession, sf: str) -> DataFrame:
+    return src.request_table(spark, sf, "req_events").groupBy(R.media_type(F.concat(F.lit(" "), F.upper("content_type"))).alias("media_type"), R.takes_body(F.col("method")).alias("takes_body")).agg(F.count("*").alias("n"))
+
+
+def percent_decode(spark: SparkSession, sf: str) -> DataFrame:
+    rows = src.request_table(spark, sf, "req_parts")
+    return rows.select("seq", R.decode_segment(F.concat(F.replace(F.element_at(F.split("body", "&"), 1), F.lit(" "), F.lit("%20")), F.lit("+%23"))).alias("decoded"))
+
+
+def url_path_params(spark: SparkSession, sf: str) -> DataFrame:
+    rows = src.request_table(spark, sf, "req_parts").select("seq", F.concat(F.lit("/a/"), F.replace("body", F.lit("&"), F.lit("/"))).alias("url"))
+    return rows.select("seq", F.explode(R.path_params(R.path_segments(F.col("url")))).alias("p")).select("seq", "p.*")
+
+
+def form_body_params(spark: SparkSession, sf: str) -> DataFrame:
+    rows = src.request_table(spark, sf, "req_parts")
+    return rows.select("seq", F.explode(src.body_params(F.col("content_type"), F.col("body"))).alias("p")).select("seq", "p.*")
+
+
+def json_body_flatten(spark: SparkSession, sf: str) -> DataFrame:
+    rows = src.request_table(spark, sf, "req_events")
+    return rows.select("seq", F.explode(src.body_params(F.col("content_type"), F.col("body"))).alias("p")).select("seq", "p.*")
+
+
+def multipart_fields(spark: SparkSession, sf: str) -> DataFrame:
+    line = "\r\n"
+    rows = src.request_table(spark, sf, "req_parts")
+    body = F.concat(F.lit(f'--XX{line}Content-Disposition: form-data; name="Brand"{line}{line}'), "method", F.lit(f'{line}--XX{line}Content-Disposition: form-data; name="file"; filename="'), F.col("seq").cast("string"), F.lit(f'.txt"{line}{line}abc{line}--XX--{line}'))
+    return rows.select("seq", F.explode(R.multipart_params(F.lit("multipart/form-data; boundary=XX"), body)).alias("p")).select("seq", "p.*")
+
+
+def cookie_parse(spark: SparkSession, sf: str) -> DataFrame:
+    return src.request_table(spark, sf, "req_orders").select("seq", F.explode(R.cookies(F.col("cookie"))).alias("c")).select("seq", "c.*")
+
+
+def header_values_normalized(spark: SparkSession, sf: str) -> DataFrame:
+    rows = src.request_table(spark, sf, "req_orders")
+    return rows.select("seq", R.accept_value(F.col("accept")).alias("accept"), R.auth_scheme(F.col("authorization")).alias("scheme"))
+
+
+def static_ext_filter(spark: SparkSession, sf: str) -> DataFrame:
+    rows = src.request_table(spark, sf, "req_pages")
+    return rows.select("seq", R.static_file(R.normal_path(R.url_path(F.col("url")))).alias("is_static"))
+
+
+def param_source_union(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _parsed(spark, sf, "req_events").select(F.explode("params").alias("p"))
+    return rows.groupBy("p.name", "p.source").agg(F.count("*").alias("n"))
+
+
+# --- inference ------------------------------------------------------------------------------------------------------------------
+
+
+def _observed(spark: SparkSession, sf: str) -> DataFrame:
+    """Values of several kinds by owner: query and form parameters, and path ends."""
+    parts = _parsed(spark, sf, "req_parts", "req_orders").select("seq", F.explode("params").alias("p")).select("seq", F.col("p.name").alias("owner"), F.col("p.value").alias("value"))
+    fmt = src.request_table(spark, sf, "req_formats").select("seq", R.path_segments(F.col("url")).alias("s"))
+    return parts.unionByName(fmt.select("seq", F.col("s")[1].alias("owner"), F.col("s")[2].alias("value"))).where("value <> ''")
+
+
+def value_histogram(spark: SparkSession, sf: str) -> DataFrame:
+    return inference.histogram(_observed(spark, sf), ["owner"]).select("owner", "value", "cnt")
+
+
+def unique_values(spark: SparkSession, sf: str) -> DataFrame:
+    hist = inference.histogram(_observed(spark, sf), ["owner"])
+    return hist.groupBy("owner").agg(F.count("*").alias("n_values"), F.sum("cnt").alias("total"))
+
+
+def type_votes(spark: SparkSession, sf: str) -> DataFrame:
+    return inference.votes(inference.histogram(_observed(spark, sf), ["owner"]), ["owner"])
+
+
+def value_types(spark: SparkSession, sf: str) -> DataFrame:
+    hist = inference.histogram(_observed(spark, sf), ["owner"])
+    v = F.col("value")
+    return hist.select("owner", "value", T.physical(v).alias("physical"), T.pattern_type(v).alias("logical"), T.number_format(v).alias("format"))
+
+
+# --- merging --------------------------------------------------------------------------------------------------------------------
+
+
+def _siblings(spark: SparkSession, sf: str) -> DataFrame:
+    """Last segments of paths by what stands before them."""
+    rows = None
+    for name in ("req_pages", "req_suppliers", "req_parts", "req_formats"):
+        one = src.request_table(spark, sf, name).select(R.path_segments(F.col("url")).alias("s"))
+        rows = one if rows is None else rows.unionByName(one)
+    before = F.concat(F.lit("/"), F.array_join(F.slice("s", 1, F.size("s") - 1), "/"))
+    return rows.where(F.size("s") > 1).select(before.alias("parent"), F.element_at("s", -1).alias("segment")).distinct()
+
+
+def pattern_detect(spark: SparkSession, sf: str) -> DataFrame:
+    return merge.detect(_siblings(spark, sf)).select("parent", "n", "pattern", "hits", "prefix", "suffix")
+
+
+def merge_decision(spark: SparkSession, sf: str) -> DataFrame:
+    return merge.decide(_siblings(spark, sf))
+
+
+def merge_members(spark: SparkSession, sf: str) -> DataFrame:
+    return merge.evaluate(_siblings(spark, sf)).select("parent", "segment", "variable")
+
+
+def fixed_kept(spark: SparkSession, sf: str) -> DataFrame:
+    return merge.evaluate(_siblings(spark, sf)).where("variable is null").select("parent", "segment")
+
+
+# --- the tree -------------------------------------------------------------------------------------------------------------------
+
+ALL = ("req_pages", "req_orders", "req_events", "req_suppliers", "req_parts", "req_formats")
+
+
+def _tree(spark: SparkSession, sf: str, *names: str, evaluator: str = "set") -> routes.RouteTree:
+    return routes.build(_parsed(spark, sf, *(names or ALL)), evaluator=evaluator)
+
+
+def route_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return routes.methods(_tree(spark, sf, "req_pages", "req_orders", "req_formats").requests).select("route", "method", "requests")
+
+
+def merge_fold_routes(spark: SparkSession, sf: str) -> DataFrame:
+    return routes.methods(_tree(spark, sf, evaluator="replay").requests).select("route", "method", "requests")
+
+
+def route_tree_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    return routes.nodes(_tree(spark, sf, evaluator="replay"))
+
+
+def tree_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return routes.stats(routes.nodes(_tree(spark, sf, evaluator="replay")))
+
+
+def required_params(spark: SparkSession, sf: str) -> DataFrame:
+    out = routes.params(_tree(spark, sf, "req_orders").requests)
+    return out.select("route", "method", "name", "presence", "requests", "required", "physical_type", "logical_type")
+
+
+def content_type_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    return routes.content_types(_tree(spark, sf, "req_events").requests).select("route", "method", "content_type", "media_type", "cnt")
+
+
+def header_values(spark: SparkSession, sf: str) -> DataFrame:
+    return routes.value_nodes(routes.header_rows(_tree(spark, sf, "req_orders").requests)).select("route", "method", "name", "value", "hits", "seen_again")
+
+
+def cookie_values(spark: SparkSession, sf: str) -> DataFrame:
+    return routes.value_nodes(routes.cookie_rows(_tree(spark, sf, "req_orders").requests)).select("route", "method", "name", "value", "hits", "seen_again")
+
+
+def _split(spark: SparkSession, sf: str) -> tuple[DataFrame, routes.RouteTree]:
+    """A tree of two thirds of the orders' requests, and the other third with some changes as questions."""
+    parsed = _parsed(spark, sf, "req_orders")
+    asked = src.request_table(spark, sf, "req_orders").where("seq % 3 = 2")
+    asked = asked.withColumn("url", F.when(F.col("seq") % 5 == 0, F.concat("url", F.lit("&extra=1"))).when(F.col("seq") % 7 == 0, F.concat(F.lit("/v2"), F.col("url"))).otherwise(F.col("url")))
+    return src.parse(asked), routes.build(parsed.where("seq % 3 < 2"), evaluator="set")
+
+
+def find_route(spark: SparkSession, sf: str) -> DataFrame:
+    return lookup.find_routes(*_split(spark, sf)).select("seq", "route", "method")
+
+
+def is_need_request(spark: SparkSession, sf: str) -> DataFrame:
+    return lookup.needed(*_split(spark, sf))
+
+
+# --- documents ------------------------------------------------------------------------------------------------------------------
+
+
+def endpoints_sorted(spark: SparkSession, sf: str) -> DataFrame:
+    rows = routes.methods(_tree(spark, sf, "req_pages", "req_orders", "req_formats").requests)
+    return rows.select("route", "method", documents.operation_id_column(F.col("method"), F.col("route")).alias("operation_id")).orderBy("route", "method")
+
+
+def openapi_schema_map(spark: SparkSession, sf: str) -> DataFrame:
+    votes = inference.votes(inference.histogram(_observed(spark, sf), ["owner"]), ["owner"])
+    kind, form = documents.schema_columns(F.col("physical_type"), F.col("logical_type"))
+    return votes.select("owner", kind.alias("type"), form.alias("format"))
+
+
+def security_schemes(spark: SparkSession, sf: str) -> DataFrame:
+    rows = src.request_table(spark, sf, "req_orders").select(F.lower(R.auth_scheme(F.col("authorization"))).alias("scheme")).where(F.col("scheme").isin(*documents.SCHEMES))
+    return rows.groupBy(F.concat("scheme", F.lit("Auth")).alias("name"), "scheme").agg(F.count("*").alias("n"))
+
+
+def openapi_json(spark: SparkSession, sf: str) -> DataFrame:
+    import json
+
+    doc = documents.openapi(routes.nodes(_tree(spark, sf, evaluator="replay")))
+    rows = [(p, m, json.dumps(op, sort_keys=True, ensure_ascii=False)) for p, item in doc["paths"].items() for m, op in item.items()]
+    return spark.createDataFrame(rows, "path string, method string, operation string")
+
+
+def ascii_tree(spark: SparkSession, sf: str) -> DataFrame:
+    text = documents.to_text(routes.nodes(_tree(spark, sf, "req_pages", evaluator="replay")))
+    return spark.createDataFrame([(i, x) for i, x in enumerate(text.splitlines())], "line int, text string")
+
+
+def json_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    text = documents.to_json(routes.nodes(_tree(spark, sf, "req_parts", evaluator="replay")))
+    return documents.from_json(spark, text).select("node_id", "node_type", "key", "physical_type", "logical_type", "pattern", "required")
+
+
+# --- batches --------------------------------------------------------------------------------------------------------------------
+
+
+def _with_errors(spark: SparkSession, sf: str) -> DataFrame:
+    rows = src.request_table(spark, sf, "req_pages")
+    bad = F.when(F.col("seq") % 10 == 3, F.concat(F.col("url"), F.lit("&x=%zz"))).when(F.col("seq") % 10 == 7, F.concat(F.lit("://"), "url")).otherwise(F.col("url"))
+    return src.parse(rows.withColumn("url", F.regexp_replace(bad, "#top", "")))
+
+
+def batch_errors(spark: SparkSession, sf: str) -> DataFrame:
+    return src.batch_errors(_with_errors(spark, sf)).select("seq", "error")
+
+
+def router_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return src.batch_counts(_with_errors(spark, sf))
+
+
+def curl_parse(spark: SparkSession, sf: str) -> DataFrame:
+    rows = src.request_table(spark, sf, "req_parts")
+    line = F.concat(F.lit("curl -s --max-time 30 'http://h.example"), "url", F.lit("' -H 'Accept: text/html' -d \""), F.col("body"), F.lit('"'))
+    return from_curls(rows.select("seq", line.alias("line"))).select("seq", "method", "url", "content_type", "body", "accept")
+
+
+QUERIES: tuple[Query, ...] = (
+    url_path_segments, url_query_params, url_path_params, method_normalize, content_type_normalize, percent_decode, form_body_params, json_body_flatten, multipart_fields, cookie_parse,
+    header_values_normalized, static_ext_filter, param_source_union, value_histogram, unique_values, type_votes, value_types, pattern_detect, merge_decision, merge_members, fixed_kept,
+    route_counts, merge_fold_routes, route_tree_nodes, tree_stats, required_params, content_type_nodes, header_values, cookie_values, find_route, is_need_request, endpoints_sorted,
+    openapi_schema_map, security_schemes, openapi_json, ascii_tree, json_round_trip, batch_errors, router_stats, curl_parse,
+)
+
+
+def queries() -> dict[str, Query]:
+    return {q.__name__: q for q in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracle.SQL)
