@@ -161,6 +161,12 @@ def _ranges(values: np.ndarray) -> np.ndarray:
     return np.stack([first, last - first + 1], axis=1)
 
 
+def place_of(ids: np.ndarray, parts: int) -> np.ndarray:
+    """The part in which a document meets its marks; remove_marked() has the same rule as an expression."""
+    u = ids.astype(np.int64).view(np.uint64)
+    return (u ^ (u >> _U(17)) ^ (u >> _U(37))).view(np.int64) % parts
+
+
 def _text_key(text: bytes) -> bytes:
     return hashlib.blake2b(text, digest_size=8).digest()
 
@@ -200,7 +206,7 @@ def build_runs(docs: DataFrame, parts: int, window: int = WINDOW) -> DataFrame:
                 cuts = [0, *(np.flatnonzero(r[1:] != r[:-1]) + 1).tolist(), len(r)]
                 for a, b in zip(cuts, cuts[1:], strict=False):
                     i = int(r[a])
-                    out.append((ids[i] % parts, SPANS, ids[i], keys[i] + _ranges(w[a:b]).astype("<u4").tobytes()))
+                    out.append((int(place_of(names[i : i + 1], parts)[0]), SPANS, ids[i], keys[i] + _ranges(w[a:b]).astype("<u4").tobytes()))
             for at in range(0, len(out), 1000):
                 yield _batch(out[at : at + 1000])
             held.clear()
@@ -234,8 +240,8 @@ def build_runs(docs: DataFrame, parts: int, window: int = WINDOW) -> DataFrame:
 def merge_runs(rows: DataFrame, parts: int, index: bool = False) -> DataFrame:
     """Merge the runs of each range of hashes.
 
-    Gives, for the documents of runs with ids, the hashes that a smaller doc_id or a historical run has too (lower 48 bits,
-    kind RUN) and passes spans on; or, with ``index``, the compacted run of each range (kind INDEX).
+    Gives, for the documents of runs with ids, the hashes that a smaller doc_id or a historical run has too (lower 48 bits;
+    kind RUN, one row for all documents of a place) and passes spans on; or, with ``index``, the compacted run of each range (kind INDEX).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,13 +267,17 @@ def merge_runs(rows: DataFrame, parts: int, index: bool = False) -> DataFrame:
             sorted_doc = doc[order]
             lowest = sorted_doc[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]
             later = order[sorted_doc > lowest]
-            later = later[np.argsort(doc[later], kind="stable")]
-            d = doc[later]
+            place = place_of(doc[later], parts)
+            later = later[np.lexsort((doc[later], place))]
+            out = []
+            place, d = place_of(doc[later], parts), doc[later]
             low = h[later].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-            cuts = [0, *(np.flatnonzero(d[1:] != d[:-1]) + 1).tolist(), len(d)] if len(d) else [0]
-            out = [(part, RUN, int(d[a]), low[a:b].tobytes()) for a, b in zip(cuts, cuts[1:], strict=False)]
-            for at in range(0, len(out), 5000):
-                yield _batch(out[at : at + 5000])
+            cuts = [0, *(np.flatnonzero(place[1:] != place[:-1]) + 1).tolist(), len(d)] if len(d) else [0]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                names, counts = np.unique(d[a:b], return_counts=True)
+                out.append((int(place[a]), RUN, None, np.array([len(names)], "<u8").tobytes() + names.astype("<i8").tobytes() + counts.astype("<u4").tobytes() + low[a:b].tobytes()))
+            for at in range(0, len(out), 1000):
+                yield _batch(out[at : at + 1000])
 
     import pyarrow.compute  # noqa: F401  the workers use pa.compute
 
@@ -278,36 +288,41 @@ KEPT = "doc_id long, n_words long, n_removed long, kept_text string"
 KEPT_DIGEST = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
-def remove_marked(docs: DataFrame, marks: DataFrame, window: int = WINDOW, digest: bool = False) -> DataFrame:
+def remove_marked(docs: DataFrame, marks: DataFrame, parts: int, window: int = WINDOW, digest: bool = False) -> DataFrame:
     """The documents without the words that a marked window covers: KEPT, or KEPT_DIGEST."""
     name = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
-    texts = docs.select(name.alias("doc_id"), F.lit(INDEX).alias("kind"), F.coalesce("text", F.lit("")).cast("binary").alias("data"))
-    both = texts.unionByName(marks.select("doc_id", "kind", "data"))
-    dealt = both.repartition(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "kind")
+    texts = docs.select(name.alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("data"))
+    mixed = F.col("doc_id").bitwiseXOR(F.shiftrightunsigned("doc_id", 17)).bitwiseXOR(F.shiftrightunsigned("doc_id", 37))
+    texts = texts.select(F.pmod(mixed, F.lit(parts)).cast("int").alias("part"), F.lit(INDEX).alias("kind"), "doc_id", "data")
+    dealt = texts.unionByName(marks).repartitionById(parts, F.col("part")).sortWithinPartitions("kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WindowHasher(window)
-        of, flags, spans = None, [], {}
+        flags: dict[int, list[bytes]] = {}
+        spans: dict[tuple[int, bytes], list[bytes]] = {}
         for batch in batches:
             out: list[tuple] = []
             for doc_id, kind, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if doc_id != of:
-                    of, flags, spans = doc_id, [], {}
                 if kind == RUN:
-                    flags.append(data)
+                    n = int(np.frombuffer(data, "<u8", 1)[0])
+                    names = np.frombuffer(data, "<i8", n, 8).tolist()
+                    at = 8 + 12 * n
+                    for name_, count in zip(names, np.frombuffer(data, "<u4", n, 8 + 8 * n).tolist(), strict=True):
+                        flags.setdefault(name_, []).append(data[at : at + 6 * count])
+                        at += 6 * count
                     continue
                 if kind == SPANS:
-                    spans.setdefault(data[:8], []).append(data[8:])
+                    spans.setdefault((doc_id, data[:8]), []).append(data[8:])
                     continue
                 words = data.split()
                 n = len(words)
                 mask = np.zeros(n + 1, np.int64)
-                for x in spans.get(_text_key(data), ()) if spans else ():
+                for x in spans.get((doc_id, _text_key(data)), ()) if spans else ():
                     for first, length in np.frombuffer(x, "<u4").reshape(-1, 2).astype(np.int64).tolist():
                         mask[first] += 1
                         mask[first + length - 1 + window] -= 1
-                if flags and n >= window:
-                    raw = np.frombuffer(b"".join(flags), np.uint8).reshape(-1, 6)
+                if doc_id in flags and n >= window:
+                    raw = np.frombuffer(b"".join(flags[doc_id]), np.uint8).reshape(-1, 6)
                     marked = np.zeros((len(raw), 8), np.uint8)
                     marked[:, :6] = raw
                     h, _, _, word = hasher([data])
@@ -336,7 +351,7 @@ def ranges_for(docs: DataFrame) -> int:
 def dedup(docs: DataFrame, window: int = WINDOW, digest: bool = False) -> DataFrame:
     """One batch without history: of equal windows, those of the smallest doc_id stay."""
     parts = ranges_for(docs)
-    return remove_marked(docs, merge_runs(build_runs(docs, parts, window), parts), window, digest)
+    return remove_marked(docs, merge_runs(build_runs(docs, parts, window), parts), parts, window, digest)
 
 
 class FingerprintIndex:
@@ -374,7 +389,7 @@ class FingerprintIndex:
     def add(self, docs: DataFrame) -> DataFrame:
         """The batch without repeated windows (KEPT).  The result is written before the index grows."""
         runs = keep(self.spark, build_runs(docs, self.parts, self.window))
-        out = keep(self.spark, remove_marked(docs, merge_runs(self.history().unionByName(runs), self.parts), self.window))
+        out = keep(self.spark, remove_marked(docs, merge_runs(self.history().unionByName(runs), self.parts), self.parts, self.window))
         self._append(merge_runs(runs, self.parts, index=True), [])
         if len(self._generations()) > self.levels:
             self.compact()
