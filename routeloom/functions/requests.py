@@ -106,7 +106,7 @@ def cut_params(params: Column) -> Column:
 
 def cookies(header: Column) -> Column:
     """(name, value) of a Cookie header, the last of equal names; one without a sign has an empty value."""
-    parts = F.filter(F.transform(F.split(F.coalesce(header, F.lit("")), ";"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(F.coalesce(header, F.lit("")), ";"), lambda p: F.trim(p)), lambda p: p != "")
 
     def one(part: Column) -> Column:
         name = F.trim(F.substring_index(part, "=", 1))
@@ -114,7 +114,8 @@ def cookies(header: Column) -> Column:
         return F.struct(name.alias("name"), value.alias("value"))
 
     pairs = F.filter(F.transform(parts, one), lambda p: p["name"] != "")
-    return F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.greatest(F.size(pairs) - i - 1, F.lit(0))), lambda q: q["name"] == p["name"]))
+    none = F.array().cast(PARAM)
+    return F.aggregate(pairs, none, lambda kept, p: F.concat(F.filter(kept, lambda x: x["name"] != p["name"]), F.array(p)))
 
 
 def accept_value(value: Column) -> Column:
