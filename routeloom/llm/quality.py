@@ -186,9 +186,10 @@ def score(docs: DataFrame, model: Crf) -> DataFrame:
     return with_score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model).select("doc_id", "score")
 
 
-def with_score(docs: DataFrame, model: Crf) -> DataFrame:
-    """The rows with one more column, score."""
-    schema = StructType([*docs.schema.fields, StructField("score", DoubleType())])
+def with_score(docs: DataFrame, model: Crf, column: str = "score") -> DataFrame:
+    """The rows with one more column; one of that name is replaced."""
+    docs = docs.drop(column)
+    schema = StructType([*docs.schema.fields, StructField(column, DoubleType())])
     columns = docs.columns
     at = columns.index("text")
 
@@ -202,7 +203,7 @@ def with_score(docs: DataFrame, model: Crf) -> DataFrame:
                     size += len(texts_all[b])
                     b += 1
                 part = whole.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(model.score(texts_all[a:b]))], names=[*columns, "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(model.score(texts_all[a:b]))], names=[*columns, column])
                 a = b
 
     return docs.mapInArrow(run, schema)
