@@ -71,14 +71,16 @@ def detect(siblings: DataFrame) -> DataFrame:
         F.count_if(_number_or_code(after)).alias("m_prefix"), F.count_if(_number_or_code(before)).alias("m_suffix"),
         F.count_if(F.abs(F.octet_length("segment") - F.col("mean_bytes")) <= 2).alias("m_similar"),
     )
-    best = F.greatest(*[F.col(f"m_{k}") for k in SIBLING_PATTERNS])
-    name = F.coalesce(*[F.when((F.col(f"m_{k}") == best) & (best > 0), k) for k in SIBLING_PATTERNS], F.lit(""))
-    weak = best * 2 < F.col("n")
-    affix = lambda k: weak & (F.col("n") >= 3) & (F.col(f"m_{k}") * 10 >= F.col("n") * 6)
-    similar = weak & (F.col("m_similar") * 10 >= F.col("n") * 8)
-    pattern = F.when(affix("prefix"), "prefix").when(affix("suffix"), "suffix").when(similar, "similar_length_strings").otherwise(name)
-    hits = F.when(affix("prefix"), F.col("m_prefix")).when(affix("suffix"), F.col("m_suffix")).when(similar, F.col("m_similar")).otherwise(best)
-    return sums.join(more, "parent").select("parent", "n", pattern.alias("pattern"), hits.alias("hits"), "prefix", "suffix")
+    named = sums.join(more, "parent").withColumn("best", F.greatest(*[F.col(f"m_{k}") for k in SIBLING_PATTERNS]))
+    best, n = F.col("best"), F.col("n")
+    weak = best * 2 < n
+    affix = lambda k: weak & (n >= 3) & (F.col(f"m_{k}") * 10 >= n * 6)
+    fallback = F.when(affix("prefix"), "prefix").when(affix("suffix"), "suffix").when(weak & (F.col("m_similar") * 10 >= n * 8), "similar_length_strings")
+    own = F.coalesce(*[F.when((F.col(f"m_{k}") == best) & (best > 0), k) for k in SIBLING_PATTERNS], F.lit(""))
+    chosen = named.withColumn("fallback", fallback).withColumn("pattern", F.coalesce("fallback", own))
+    f = F.col("fallback")
+    hits = F.when(f == "prefix", F.col("m_prefix")).when(f == "suffix", F.col("m_suffix")).when(f.isNotNull(), F.col("m_similar")).otherwise(best)
+    return chosen.select("parent", "n", "pattern", hits.alias("hits"), "prefix", "suffix")
 
 
 def parent_name(parent: Column) -> Column:
