@@ -152,7 +152,16 @@ def train(texts: list[bytes], labels: list[int], share: float, rounds: int = 120
         prior = min(max(share, 1e-4), 1 - 1e-4)
         weights[-1] = np.log(prior / (1 - prior))
         return Crf(weights, pairs)
-    lines, _, per_text = line_features(texts)
+    # A megabyte at a time: the features are small, what they are made from is not.
+    groups, size = [[]], 0
+    for text in texts:
+        if groups[-1] and size + len(text) > 1 << 20:
+            groups.append([])
+            size = 0
+        groups[-1].append(text)
+        size += len(text)
+    made = [line_features(g) for g in groups]
+    lines, per_text = np.concatenate([m[0] for m in made]), np.concatenate([m[2] for m in made])
     x = node_features(lines, per_text)
     y = np.repeat(y_text, per_text).astype(np.float64)
     total = len(x)
@@ -168,7 +177,7 @@ def train(texts: list[bytes], labels: list[int], share: float, rounds: int = 120
         values = values - 0.15 * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.99**t)) + 1e-8)
     model = Crf(values[:width], values[width:].reshape(2, 2))
     # The scores of the training texts, by label, set the scale: logistic regression on one value, both labels weighing the same.
-    mean = model.score(texts)
+    mean = np.concatenate([model.score(g) for g in groups])
     odds, a, b = np.log(mean / (1 - mean)), 1.0, 0.0
     each = np.where(y_text == 1, 0.5 / max(1, (y_text == 1).sum()), 0.5 / max(1, (y_text == 0).sum()))
     for _ in range(50):  # Newton's steps, held back by a small penalty
