@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
 import uuid
@@ -13,6 +12,9 @@ from pyspark.sql import functions as F
 #: A word: a run of anything but the ASCII white space bytes.  ``bytes.split()`` cuts at the same bytes.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Spark's setting to drop a query's shuffle files when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -34,14 +36,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 def keep(spark: SparkSession, df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: a cut of the lineage that survives lost executors."""
-    path, schema = shared_dir(spark), df.schema
-    df.write.option("compression", "zstd").parquet(path)
-    # Shuffle files are dropped once the driver's garbage collector has seen that their plan is gone; a long chain of
-    # steps would else hold the files of all of them.
-    del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
+    path = shared_dir(spark)
+    # The shuffle files of this step are of no use once it is written; a long chain of steps would else hold those of all.
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def word_count(text: Column) -> Column:

@@ -21,119 +21,161 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from routeloom.llm._common import keep, table
+from routeloom.llm._common import keep, partitions, table
 
 #: Likeness of 4/5: 9 * overlap >= 4 * (size + size).
-SLOTS = 1 << 16
+SLOTS = 1 << 14
 SPACE = r"[\x20\x09-\x0D]+"
 FIRST_WORDS = 3
 LAST = (1 << 63) - 1
+ID = ["k", "m"]
 
 
 def words(line: Column) -> Column:
-    return F.array_distinct(F.filter(F.split(line, SPACE), lambda w: w != ""))
+    """The set of a line's words; a split at single blanks needs no regular expression, and few lines have other spaces."""
+    parts = F.when(line.rlike(r"[\x09\x0B-\x0D]"), F.split(line, SPACE)).otherwise(F.split(line, " "))
+    return F.array_remove(F.array_distinct(parts), "")
 
 
 def _slot(h: Column) -> Column:
-    return F.pmod(h, F.lit(SLOTS)).cast("int")
+    return h.bitwiseAND(F.lit(SLOTS - 1).cast("long")).cast("int")
 
 
-def rarity_levels(docs: DataFrame) -> bytes:
-    """For each slot of word hashes the level of its count, four to each doubling: a table of SLOTS bytes."""
-    found = docs.select(F.explode(F.split("text", SPACE)).alias("w")).where("w <> ''").groupBy(_slot(F.xxhash64("w")).alias("slot")).count()
-    level = F.least(F.floor(F.log2(F.col("count").cast("double")) * 4) + 1, F.lit(255)).cast("int")
-    out = bytearray(SLOTS)
+def rarity_levels(docs: DataFrame) -> list[int]:
+    """For each slot of word hashes the level of its count, four to each doubling."""
+    found = docs.select(F.explode(F.split(F.translate("text", "\t\n\x0b\x0c\r", "     "), " ")).alias("w")).where("w <> ''").groupBy(_slot(F.xxhash64("w")).alias("slot")).count()
+    level = F.least(F.floor(F.log2(F.col("count").cast("double")) * 4) + 1, F.lit(127)).cast("int")
+    out = [0] * SLOTS
     for r in found.select("slot", level.alias("level")).collect():  # at most SLOTS rows
         out[r["slot"]] = r["level"]
-    return bytes(out)
+    return out
 
 
 def _key(docs: DataFrame) -> list[Column]:
-    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("k"), F.xxhash64("text").alias("r")]
+    """Place of a document in the order, and 31 bits of its text's hash, above 32 bits for the line number."""
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("k"), F.shiftleft(F.xxhash64("text").bitwiseAND(F.lit((1 << 31) - 1).cast("long")), 32).alias("r")]
 
 
-def _ordered(tokens: Column, levels: bytes) -> Column:
-    """(level, hash) of each word, rare ones first."""
-    return F.sort_array(F.transform(tokens, lambda w: F.struct(F.substring(F.lit(bytearray(levels)), _slot(F.xxhash64(w)) + 1, 1).alias("level"), F.xxhash64(w).alias("h"))))
+def _ordered(tokens: Column, levels: list[int]) -> Column:
+    """The words as longs, rare ones first: a word's level, then 56 bits of its hash."""
+    table_ = F.expr("cast(split('" + ",".join(map(str, levels)) + "', ',') as array<bigint>)")
 
+    def one(w: Column) -> Column:
+        h = F.xxhash64(w)
+        return F.shiftleft(F.get(table_, _slot(h)), 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1).cast("long")))
 
-def first_lines(docs: DataFrame) -> DataFrame:
-    """(id, line): the first line of each class; id is (k, r, n): place of its document, its text's hash, line number."""
+    return F.sort_array(F.transform(tokens, one))
+
+
+def _once(rows: DataFrame, value: Column, make) -> DataFrame:
+    """The rows with a struct column s made from value, which is evaluated a single time."""
+    return rows.select("*", F.explode(F.transform(F.array(value), make)).alias("s"))
+
+
+def _prefix(o: Column) -> Column:
+    """size, parity and the prefix words of an ordered set."""
+    size = F.size(o)
+    parity = F.aggregate(o, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63).cast("long")).cast("int"))))
+    return F.struct(size.cast("int").alias("size"), parity.alias("parity"), F.slice(o, F.lit(1), size - F.ceil(size * 4 / 5).cast("int") + 1).alias("prefix"))
+
+
+def first_lines(docs: DataFrame, levels: list[int]) -> DataFrame:
+    """(k, m, line, size, parity, prefix): the first line of each class; m holds the text's hash and the line number."""
     lines = docs.where("text is not null").select(*_key(docs), F.posexplode(F.split("text", "\n")).alias("n", "line"))
-    sets = lines.select("k", "r", "n", F.array_join(F.sort_array(words(F.col("line"))), " ").alias("s")).where("s <> ''")
-    # 128 bits of MD5 name a set of words.
-    digest = F.unhex(F.md5("s"))
-    firsts = sets.select(digest.alias("d"), F.struct("k", "r", "n").alias("id")).groupBy("d").agg(F.min("id").alias("id"))
-    by_doc = firsts.groupBy(F.col("id.k").alias("k"), F.col("id.r").alias("r")).agg(F.collect_list("id.n").alias("firsts"))
+    hashes = F.sort_array(F.transform(words(F.col("line")), lambda w: F.xxhash64(w)))
+    # 96 bits of two hashes of its sorted word hashes name a set of words.
+    sets = _once(lines, hashes, lambda a: F.struct(F.size(a).alias("z"), F.xxhash64(a).alias("d"), F.hash(a).alias("d2"))).where("s.z > 0")
+    ids = F.struct("k", F.col("r").bitwiseOR(F.col("n").cast("long")).alias("m")).alias("id")
+    firsts = sets.select("s.d", "s.d2", ids).groupBy("d", "d2").agg(F.min("id").alias("id"))
+    high = F.col("id.m").bitwiseAND(F.lit(-(1 << 32)))
+    by_doc = firsts.groupBy(F.col("id.k").alias("k"), high.alias("r")).agg(F.collect_list(F.col("id.m").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")).alias("firsts"))
     texts = docs.where("text is not null").select(*_key(docs), "text")
-    cut = F.transform(F.col("firsts"), lambda i: F.struct(i.alias("n"), F.element_at(F.col("parts"), i + 1).alias("line")))
-    found = texts.join(by_doc, ["k", "r"]).dropDuplicates(["k", "r"]).withColumn("parts", F.split("text", "\n"))
-    return found.select("k", "r", F.explode(cut).alias("x")).select(F.struct("k", "r", F.col("x.n").alias("n")).alias("id"), F.col("x.line").alias("line"))
+    found = _once(texts.join(by_doc, ["k", "r"]).select("k", "r", "firsts", "text"), F.split("text", "\n"), lambda parts: F.transform(F.col("firsts"), lambda i: F.struct(i.alias("n"), F.get(parts, i).alias("line"))))
+    rows = found.select("k", "r", F.explode("s").alias("x"))
+    rows = rows.select("k", F.col("r").bitwiseOR(F.col("x.n").cast("long")).alias("m"), F.col("x.line").alias("line"))
+    return _once(rows, _ordered(words(F.col("line")), levels), _prefix).select(*ID, "line", "s.*")
 
 
-def _postings(lines: DataFrame, levels: bytes, most: int | None = None) -> DataFrame:
-    """One row for each prefix word of each line: word hash h, id, size, place (from 1), parity."""
-    sets = lines.withColumn("o", _ordered(words(F.col("line")), levels)).withColumn("size", F.size("o"))
-    parity = F.expr("aggregate(o, 0L, (acc, x) -> acc ^ shiftleft(1L, cast(x.h & 63 as int)))")
-    prefix = F.col("size") - F.ceil(F.col("size") * 4 / 5).cast("int") + 1
-    if most:
-        prefix = F.least(prefix, F.lit(most))
-    cols = [c for c in lines.columns if c not in ("id", "line")]
-    out = sets.select("id", "size", parity.alias("parity"), *cols, F.posexplode(F.slice(F.transform("o", lambda x: x["h"]), F.lit(1), prefix)).alias("at", "h"))
-    return out.select("h", "id", F.col("size").cast("int").alias("size"), (F.col("at") + 1).cast("int").alias("at"), "parity", *cols)
+def _postings(lines: DataFrame, most: int | None = None) -> DataFrame:
+    """One row for each prefix word of each line: word h, k, m, size, place (from 1), parity."""
+    cols = [c for c in lines.columns if c not in (*ID, "line", "size", "parity", "prefix")]
+    prefix = F.slice("prefix", 1, most) if most else F.col("prefix")
+    out = lines.select(*ID, "size", "parity", *cols, F.posexplode(prefix).alias("at", "h"))
+    return out.select("h", *ID, "size", (F.col("at") + 1).cast("int").alias("at"), "parity", *cols)
 
 
 def _may_match(a: str, b: str) -> Column:
     """Size, positional and parity filters for two postings of one word."""
     col = lambda side, name: F.col(f"{side}.{name}")
     both = col(a, "size") + col(b, "size")
-    need = F.floor((both * 4 + 8) / 9)
+    need = F.expr(f"({a}.size * 4 + {b}.size * 4 + 8) div 9")
     room = F.least(col(a, "size") - col(a, "at"), col(b, "size") - col(b, "at")) + 1
     sizes = (col(a, "size") * 4 <= col(b, "size") * 5) & (col(b, "size") * 4 <= col(a, "size") * 5)
     return sizes & (room >= need) & (F.bit_count(col(a, "parity").bitwiseXOR(col(b, "parity"))) <= both - need * 2)
 
 
+def _earlier(a: str, b: str) -> Column:
+    return F.expr(f"{a}.k < {b}.k or ({a}.k = {b}.k and {a}.m < {b}.m)")
+
+
 def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """The later ids of the pairs (later, earlier) that are similar."""
-    text = lines.select("id", "line")
-    one = pairs.join(text.withColumnRenamed("id", "later").withColumnRenamed("line", "x"), "later")
-    two = one.join(text.withColumnRenamed("id", "earlier").withColumnRenamed("line", "y"), "earlier")
+    """The later ids (k, m) of the pairs (k, m, ek, em) that are similar."""
+    text = lines.select(*ID, "line")
+    one = pairs.join(text.withColumnRenamed("line", "x"), ID)
+    two = one.join(text.select(F.col("k").alias("ek"), F.col("m").alias("em"), F.col("line").alias("y")), ["ek", "em"])
     x, y = words(F.col("x")), words(F.col("y"))
     similar = F.size(F.array_intersect(x, y)) * 9 >= (F.size(x) + F.size(y)) * 4
-    return two.where(similar).select(F.col("later").alias("id")).distinct()
+    return two.where(similar).select(*ID).distinct()
+
+
+def _pairs(joined: DataFrame) -> DataFrame:
+    """Distinct pairs with the difference of their parity words, which tells the likeliest ones."""
+    differ = F.bit_count(F.col("a.parity").bitwiseXOR(F.col("b.parity"))).cast("int").alias("differ")
+    return joined.select("b.k", "b.m", F.col("a.k").alias("ek"), F.col("a.m").alias("em"), differ).distinct()
+
+
+def _settle(met: DataFrame, lines: DataFrame) -> DataFrame:
+    """Later ids that have a similar earlier one among the pairs: each one's likeliest pair is tried first, and the others only where that fails."""
+    spark = met.sparkSession
+    pairs = keep(spark, _pairs(met))
+    best = pairs.groupBy(*ID).agg(F.min(F.struct("differ", "ek", "em")).alias("p")).select(*ID, "p.ek", "p.em")
+    first = keep(spark, _verified(best, lines))
+    rest = pairs.drop("differ").join(first, ID, "left_anti")
+    return first.unionByName(keep(spark, _verified(rest, lines)))
 
 
-def similar_later(lines: DataFrame, levels: bytes) -> DataFrame:
+def similar_later(lines: DataFrame) -> DataFrame:
     """Ids of the classes of ``lines`` to which an earlier one is similar."""
-    spark = lines.sparkSession
-    few = _postings(lines, levels, FIRST_WORDS)
-    earliest = few.groupBy("h").agg(F.min(F.struct("id", "size", "at", "parity")).alias("e"), F.count("*").alias("c")).where("c > 1").select("h", "e.*")
-    pairs = few.alias("b").join(earliest.alias("a"), "h").where(F.col("a.id") < F.col("b.id")).where(_may_match("a", "b"))
-    settled = keep(spark, _verified(pairs.select(F.col("b.id").alias("later"), F.col("a.id").alias("earlier")).distinct(), lines))
-    marked = lines.join(settled.withColumn("done", F.lit(True)), "id", "left").withColumn("done", F.coalesce("done", F.lit(False)))
-    all_ = _postings(marked, levels)
-    pairs = all_.alias("b").join(all_.alias("a"), "h").where(~F.col("b.done") & (F.col("a.id") < F.col("b.id"))).where(_may_match("a", "b"))
-    more = keep(spark, _verified(pairs.select(F.col("b.id").alias("later"), F.col("a.id").alias("earlier")).distinct(), lines))
-    return settled.unionByName(more)
+    few = _postings(lines, FIRST_WORDS)
+    earliest = few.groupBy("h").agg(F.min(F.struct(*ID, "size", "at", "parity")).alias("e"), F.count("*").alias("c")).where("c > 1").select("h", "e.*")
+    met = few.alias("b").join(earliest.alias("a"), F.col("a.h") == F.col("b.h")).where(_earlier("a", "b") & _may_match("a", "b"))
+    settled = _settle(met, lines)
+    marked = lines.drop("line").join(settled.withColumn("done", F.lit(True)), ID, "left").withColumn("done", F.coalesce("done", F.lit(False)))
+    all_ = _postings(marked).repartition(partitions(lines.sparkSession), "h")
+    # The condition on b.done names a's columns too, so both sides of the join stay alike and share one shuffle.
+    open_ = F.expr("not b.done or (a.done and a.size < 0)")
+    met = all_.alias("b").join(all_.alias("a"), (F.col("a.h") == F.col("b.h")) & open_ & _earlier("a", "b") & _may_match("a", "b"))
+    return settled.unionByName(_settle(met, lines))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with text less its repeated and similar later lines, and n_lines, n_removed."""
+    docs = docs.drop("n_lines", "n_removed")  # columns of these names are replaced
     spark = docs.sparkSession
-    lines = keep(spark, first_lines(docs))
-    levels = rarity_levels(docs)
-    gone = similar_later(lines, levels)
-    kept = lines.select("id").join(gone, "id", "left_anti")
-    by_doc = kept.groupBy(F.col("id.k").alias("k_"), F.col("id.r").alias("r_")).agg(F.sort_array(F.collect_list("id.n")).alias("kept_"))
-    keyed = docs.select("*", _key(docs)[0].alias("k_"), _key(docs)[1].alias("r_"))
+    lines = keep(spark, first_lines(docs, rarity_levels(docs)))
+    gone = similar_later(lines)
+    kept = lines.select(*ID).join(gone, ID, "left_anti")
+    number = F.col("m").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+    by_doc = keep(spark, kept.groupBy(F.col("k").alias("__k_"), F.col("m").bitwiseAND(F.lit(-(1 << 32))).alias("__r_")).agg(F.sort_array(F.collect_list(number)).alias("__kept_")))
+    keyed = docs.select("*", _key(docs)[0].alias("__k_"), _key(docs)[1].alias("__r_"))
     parts = F.split("text", "\n")
-    blank = lambda x: F.length(F.regexp_replace(x, SPACE, "")) == 0
-    out = keyed.join(by_doc, ["k_", "r_"], "left").withColumn("kept_", F.coalesce("kept_", F.array().cast("array<int>")))
-    stays = F.filter(parts, lambda x, i: F.array_contains(F.col("kept_"), i) | blank(x))
-    out = out.withColumn("parts_", parts).withColumn("stays_", stays)
+    blank = lambda x: ~x.rlike(r"[^\x20\x09-\x0D]")
+    out = keyed.join(by_doc, ["__k_", "__r_"], "left").withColumn("__kept_", F.coalesce("__kept_", F.array().cast("array<int>")))
+    stays = F.filter(parts, lambda x, i: F.array_contains(F.col("__kept_"), i) | blank(x))
+    out = out.withColumn("__parts_", parts).withColumn("__stays_", stays)
     return out.select(
-        *[F.array_join("stays_", "\n").alias("text") if c == "text" else F.col(c) for c in docs.columns],
-        F.coalesce(F.size("parts_"), F.lit(0)).cast("long").alias("n_lines"), (F.size("parts_") - F.size("stays_")).cast("long").alias("n_removed"),
+        *[F.array_join("__stays_", "\n").alias("text") if c == "text" else F.col(c) for c in docs.columns],
+        F.coalesce(F.size("__parts_"), F.lit(0)).cast("long").alias("n_lines"), (F.size("__parts_") - F.size("__stays_")).cast("long").alias("n_removed"),
     )
 
 
