@@ -1,16 +1,18 @@
-"""Line deduplication by an exact set-similarity join, in DataFrame operations only.
+"""Line deduplication by an exact set-similarity join.
 
-A line is the set of its words.  Lines with equal sets are one class, named by its first line in order of (doc_id, line
-number); a class is compared once, however many lines it has.  The words of a class are ordered by rarity, and two sets with
-a Jaccard likeness of at least 0.8 must share a word among the first few of each (prefix filter); their sizes, the places of that word
-(positional filter) and a parity word over all their words bound the overlap further.  Pairs that pass are verified on the words.
+A line is the set of its words.  The words of a line are ordered by rarity, and two sets with a Jaccard likeness of at least
+0.8 must share a word among the first few of each (prefix filter); their sizes (length filter), the places of that word
+(positional filter) and a parity word over all their words bound the overlap further.  Pairs that pass are verified on the words
+themselves.  A line goes if an earlier line, in order of (doc_id, line number), has its set or one that is similar.
 
-Rarity comes from counts of all words of all documents, hashed into a table of fixed size; words in one slot count
-together, which changes the order but nothing else: any one order for all lines gives exact results.
+Postings (one for each prefix word of each line) are packed by column into one row for each task and range of words; as rows of
+a DataFrame they took three times the disk and most of the time.  To settle groups of very many similar lines without all
+their pairs there are two rounds.  The first takes the three rarest words of each line: lines with equal sets meet under the
+rarest one, and each line is verified against its likeliest partner among the earliest lines that share a word.  The second takes
+all prefix words, and compares lines that this did not settle with all others.
 
-A line goes if an earlier line has its set, or one that is similar.  To find that for groups of very many similar lines
-without all their pairs, each class is first compared with just the earliest class under each of its rarest words; only classes
-that this doesn't settle are joined with all others.
+Rarity comes from counts of all words of all documents, hashed into a table of fixed size; words in one slot count together,
+which changes the order but nothing else: any one order for all lines gives exact results.
 
 Behaviour on unusual input: lines without words stay; a null text stays null; a null doc_id comes after all others; rows
 that repeat doc_id and text are one document and keep the same lines; further columns are kept; an empty table stays empty.
@@ -18,36 +20,98 @@ that repeat doc_id and text are one document and keep the same lines; further co
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from routeloom.llm._common import keep, partitions, table
+from routeloom.llm.substring import _BASE, _BYTES, _WHITE, _mix, _Powers
 
-#: Likeness of 4/5: 9 * overlap >= 4 * (size + size).
-SLOTS = 1 << 14
 SPACE = r"[\x20\x09-\x0D]+"
+#: Slots of the table of word counts (a byte each for the tasks), and slots in a row of the shuffle that sums them.
+SLOTS, BLOCK = 1 << 20, 1 << 13
 FIRST_WORDS = 3
+#: The first round looks for a partner among so many of the earliest lines under a word.
+EARLIEST = 16
+#: Bytes of text that are cut into words at once; postings in a run; and in a range of words, at most about so many.
+CHUNK, RUN_POSTINGS, RANGE_POSTINGS = 1 << 20, 600_000, 1_000_000
 LAST = (1 << 63) - 1
 ID = ["k", "m"]
-
-
-def words(line: Column) -> Column:
-    """The set of a line's words; a split at single blanks needs no regular expression, and few lines have other spaces."""
-    parts = F.when(line.rlike(r"[\x09\x0B-\x0D]"), F.split(line, SPACE)).otherwise(F.split(line, " "))
-    return F.array_remove(F.array_distinct(parts), "")
-
-
-def _slot(h: Column) -> Column:
-    return h.bitwiseAND(F.lit(SLOTS - 1).cast("long")).cast("int")
-
-
-def rarity_levels(docs: DataFrame) -> list[int]:
+HIGH = -(1 << 32)
+ROWS = "part int, kind int, data binary"
+FOUND = "k long, m long, ek long, em long, differ int"
+RUN, GONE = 0, 1
+
+_U = np.uint64
+
+
+class LineWords:
+    """Hashes of the words of a list of texts (UTF-8 bytes), and each one's line, without a loop over words."""
+
+    def __init__(self):
+        self.powers = _Powers(_BASE)
+
+    def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hash and line (counted over all texts) of each word, and each text's first line."""
+        buf = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
+        white = _WHITE[buf]
+        edge = np.flatnonzero(white[1:] != white[:-1]) + 1
+        if not white[0]:
+            edge = np.concatenate([[0], edge])
+        starts, ends = edge[0::2], edge[1::2]
+        self.powers.grow(len(buf) + 1)
+        sums = np.zeros(len(buf) + 1, np.uint64)
+        np.cumsum(_BYTES[buf] * self.powers.up[: len(buf)], out=sums[1:])
+        word = (sums[ends] - sums[starts]) * self.powers.down[starts] + (ends - starts).astype(np.uint64)
+        breaks = np.flatnonzero(buf == 10)
+        at = np.cumsum([0, *(len(t) + 1 for t in texts[:-1])])
+        return _mix(word, 3), np.searchsorted(breaks, starts), np.searchsorted(breaks, at)
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """The batches in pieces of about CHUNK bytes of text, or of one text."""
+    for batch in batches:
+        texts = batch.column(column).cast(pa.binary()).fill_null(b"").to_pylist()
+        at = 0
+        while at < len(texts):
+            end, size = at, 0
+            while end < len(texts) and (end == at or size + len(texts[end]) <= CHUNK):
+                size += len(texts[end])
+                end += 1
+            yield batch.slice(at, end - at), texts[at:end]
+            at = end
+
+
+def rarity_levels(docs: DataFrame) -> np.ndarray:
     """For each slot of word hashes the level of its count, four to each doubling."""
-    found = docs.select(F.explode(F.split(F.translate("text", "\t\n\x0b\x0c\r", "     "), " ")).alias("w")).where("w <> ''").groupBy(_slot(F.xxhash64("w")).alias("slot")).count()
-    level = F.least(F.floor(F.log2(F.col("count").cast("double")) * 4) + 1, F.lit(127)).cast("int")
-    out = [0] * SLOTS
-    for r in found.select("slot", level.alias("level")).collect():  # at most SLOTS rows
-        out[r["slot"]] = r["level"]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, total = LineWords(), np.zeros(SLOTS, np.int64)
+        for _, texts in _chunks(batches, 0):
+            total += np.bincount((words(texts)[0] & _U(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
+        if total.any():
+            blocks = total.astype("<i8").reshape(-1, BLOCK)
+            data = [pa.compress(x.view(np.uint8).reshape(-1, 8).T.tobytes(), codec="zstd", asbytes=True) for x in blocks]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(data)), pa.int32()), pa.array(data, pa.binary())], names=["block", "data"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                raw = np.frombuffer(pa.decompress(data, 8 * BLOCK, codec="zstd", asbytes=True), np.uint8)
+                sums[block] = sums.get(block, 0) + raw.reshape(8, BLOCK).T.copy().view("<i8").ravel()
+        for block, x in sums.items():
+            level = np.where(x > 0, np.minimum(np.floor(np.log2(np.maximum(x, 1)) * 4) + 1, 127), 0).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([level.tobytes()], pa.binary())], names=["block", "data"])
+
+    schema = "block int, data binary"
+    found = docs.select("text").mapInArrow(count, schema).repartition(partitions(docs.sparkSession), "block").mapInArrow(add, schema)
+    out = np.zeros(SLOTS, np.uint8)
+    for r in found.collect():  # SLOTS bytes
+        out[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(r["data"], np.uint8)
     return out
 
 
@@ -56,71 +120,240 @@ def _key(docs: DataFrame) -> list[Column]:
     return [F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("k"), F.shiftleft(F.xxhash64("text").bitwiseAND(F.lit((1 << 31) - 1).cast("long")), 32).alias("r")]
 
 
-def _ordered(tokens: Column, levels: list[int]) -> Column:
-    """The words as longs, rare ones first: a word's level, then 56 bits of its hash."""
-    table_ = F.expr("cast(split('" + ",".join(map(str, levels)) + "', ',') as array<bigint>)")
-
-    def one(w: Column) -> Column:
-        h = F.xxhash64(w)
-        return F.shiftleft(F.get(table_, _slot(h)), 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1).cast("long")))
-
-    return F.sort_array(F.transform(tokens, one))
-
-
-def _once(rows: DataFrame, value: Column, make) -> DataFrame:
-    """The rows with a struct column s made from value, which is evaluated a single time."""
-    return rows.select("*", F.explode(F.transform(F.array(value), make)).alias("s"))
-
+#: Columns of a posting besides its word.
+COLUMNS = {"k": "<i8", "m": "<i8", "size": "<u4", "at": "<u4", "parity": "<u8", "tag": "<u4", "probe": "u1"}
+
+
+def encode_run(word: np.ndarray, columns: dict[str, np.ndarray]) -> bytes:
+    """Postings in order of their words: steps between words, then the other columns; bytes of like weight stand together."""
+    owners, own = np.unique(columns["k"], return_inverse=True)
+    parts = [np.diff(word, prepend=_U(0)).astype("<u8"), owners.astype("<i8"), own.astype("<u4"), *(columns[c].astype(t) for c, t in COLUMNS.items() if c != "k")]
+    raw = b"".join(x.view(np.uint8).reshape(len(x), -1).T.tobytes() for x in parts)
+    return np.array([len(word), len(owners), len(raw)], "<u8").tobytes() + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def decode_run(data: bytes) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    n, m, size = (int(x) for x in np.frombuffer(data, "<u8", 3))
+    raw = np.frombuffer(pa.decompress(data[24:], size, codec="zstd", asbytes=True), np.uint8)
+    at = 0
+
+    def take(count: int, kind: str) -> np.ndarray:
+        nonlocal at
+        width = np.dtype(kind).itemsize
+        out = raw[at : at + count * width].reshape(width, count).T.copy().view(kind).ravel()
+        at += count * width
+        return out
+
+    word, owners, own = np.cumsum(take(n, "<u8")), take(m, "<i8"), take(n, "<u4")
+    return word, {"k": owners[own]} | {c: take(n, t) for c, t in COLUMNS.items() if c != "k"}
+
+
+def _rows(names: list[str], kinds: list, columns: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
+
+
+def _packed(rows: list[tuple]) -> pa.RecordBatch:
+    return _rows(["part", "kind", "data"], [pa.int32(), pa.int32(), pa.binary()], list(zip(*rows, strict=True)))
+
+
+def postings(docs: DataFrame, levels: np.ndarray, parts: int, most: int | None = None) -> DataFrame:
+    """ROWS of documents (k, r, text, gone, done): runs of the postings of their lines, of the ``most`` rarest words or of all prefix words.
+
+    Lines numbered in ``gone`` are left out, those in ``done`` are no probes.  Of lines with equal sets a task gives the first only
+    and tells the others (kind GONE).
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = LineWords()
+        lines: list[tuple] = []  # k, m, size, parity, set's hash, probe
+        posts: list[tuple] = []  # word, line, at
+        n_lines = n_posts = runs = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            k, m, size, parity, name, probe = (np.concatenate(x) for x in zip(*lines, strict=True))
+            word, of, at = (np.concatenate(x) for x in zip(*posts, strict=True))
+            lines.clear()
+            posts.clear()
+            order = np.lexsort((m, k, parity, size, name))
+            first = np.ones(len(order), bool)
+            a, b = order[:-1], order[1:]
+            first[1:] = (name[a] != name[b]) | (size[a] != size[b]) | (parity[a] != parity[b])
+            twice = order[~first]
+            stays = np.zeros(len(order), bool)
+            stays[order[first]] = True
+            out = []
+            if len(twice):
+                out.append((runs % parts, GONE, k[twice].astype("<i8").tobytes() + m[twice].astype("<i8").tobytes()))
+            keep_ = stays[of]
+            word, of, at = word[keep_], of[keep_], at[keep_]
+            order = np.argsort(word)
+            word, of, at = word[order], of[order], at[order]
+            bounds = np.searchsorted(word, np.array([-(-(i << 64) // parts) for i in range(1, parts)], np.uint64))
+            tag = (name >> _U(32)).astype(np.uint32)
+            for p, (a, b) in enumerate(zip([0, *bounds], [*bounds, len(word)], strict=True)):
+                if b > a:
+                    x = of[a:b]
+                    out.append((p, RUN, encode_run(word[a:b], {"k": k[x], "m": m[x], "size": size[x], "at": at[a:b], "parity": parity[x], "tag": tag[x], "probe": probe[x]})))
+            for i in range(0, len(out), 500):
+                yield _packed(out[i : i + 500])
+
+        for batch, texts in _chunks(batches, 2):
+            h, line, first_line = words(texts)
+            if not len(h):
+                continue
+            key = (levels[(h & _U(SLOTS - 1)).astype(np.int64)].astype(np.uint64) << _U(56)) | (h >> _U(8))
+            order = np.lexsort((key, line))
+            key, line = key[order], line[order]
+            new = np.ones(len(key), bool)
+            new[1:] = (key[1:] != key[:-1]) | (line[1:] != line[:-1])
+            key, line = key[new], line[new]
+            start = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
+            size = np.diff(np.concatenate([start, [len(key)]]))
+            number = line[start]
+            doc = np.searchsorted(first_line, number, side="right") - 1
+            n = number - first_line[doc]
+            name = _mix(np.add.reduceat(_mix(key, 5), start), 6)
+            parity = np.bitwise_xor.reduceat(_U(1) << (key & _U(63)), start)
+            stays, probe = np.ones(len(start), bool), np.ones(len(start), np.uint8)
+            for flags, column in ((stays, 3), (probe, 4)):
+                for i, found in enumerate(batch.column(column).to_pylist()):
+                    if found:
+                        a, b = np.searchsorted(doc, [i, i + 1])
+                        flags[a:b][np.isin(n[a:b], found)] = False
+            k, r = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
+            at = np.arange(len(key)) - np.repeat(start, size)
+            limit = size - (4 * size + 4) // 5 + 1
+            limit = np.where(stays, limit if most is None else np.minimum(limit, most), 0)
+            chosen = np.flatnonzero(at < np.repeat(limit, size))
+            index = np.cumsum(stays) - 1 + n_lines
+            posts.append((_mix(key[chosen], 7), np.repeat(index, size)[chosen], at[chosen].astype(np.uint32)))
+            lines.append(tuple(x[stays] for x in (k[doc], r[doc] | n, size.astype(np.uint32), parity, name, probe)))
+            n_lines += int(stays.sum())
+            n_posts += len(chosen)
+            if n_posts >= RUN_POSTINGS:
+                yield from flush()
+                n_lines = n_posts = 0
+                runs += 1
+        if n_posts:
+            yield from flush()
+
+    return docs.select("k", "r", "text", "gone", "done").mapInArrow(run, ROWS)
+
+
+def _joined(word: np.ndarray, x: dict[str, np.ndarray], every: bool) -> Iterator[tuple]:
+    """Of a range's postings: lines whose set an earlier one has (later, None), then candidates (later, earlier) as positions, with the difference of their parities."""
+    rank = np.empty(len(word), np.int64)
+    order = np.lexsort((x["m"], x["k"]))
+    new = np.ones(len(order), bool)
+    a, b = order[:-1], order[1:]
+    new[1:] = (x["k"][a] != x["k"][b]) | (x["m"][a] != x["m"][b])
+    rank[order] = np.cumsum(new)
+    size, at, parity = x["size"].astype(np.int64), x["at"].astype(np.int64), x["parity"]
+    order = np.lexsort((rank, x["tag"], parity, size, word))
+    a, b = order[:-1], order[1:]
+    first = np.ones(len(order), bool)
+    first[1:] = (word[a] != word[b]) | (size[a] != size[b]) | (parity[a] != parity[b]) | (x["tag"][a] != x["tag"][b])
+    lead = order[np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))]
+    again = order[(rank[order] > rank[lead]) & (at[order] == 0)]
+    yield again, None, None
+    here = order[first]  # by word and size
+
+    def may_match(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        need = (4 * (size[i] + size[j]) + 8) // 9
+        room = np.minimum(size[i] - at[i], size[j] - at[j])
+        differ = np.bitwise_count(parity[i] ^ parity[j]).astype(np.int64)
+        fits = (4 * size[i] <= 5 * size[j]) & (4 * size[j] <= 5 * size[i])
+        return fits & (room >= need) & (differ <= size[i] + size[j] - 2 * need), differ
+
+    if not every:
+        here = here[np.lexsort((rank[here], word[here]))]
+        start = np.flatnonzero(np.concatenate([[True], word[here][1:] != word[here][:-1]])) if len(here) else np.zeros(0, np.int64)
+        begin = np.repeat(start, np.diff(np.concatenate([start, [len(here)]])))
+        best, least = np.full(len(here), -1), np.full(len(here), 1 << 30)
+        for w in range(EARLIEST):
+            i = np.flatnonzero(begin + w < np.arange(len(here)))
+            if not len(i):
+                break
+            j = begin[i] + w
+            ok, differ = may_match(here[i], here[j])
+            ok &= (differ < least[i]) & (rank[here[i]] > rank[here[j]])
+            best[i[ok]], least[i[ok]] = j[ok], differ[ok]
+        i = np.flatnonzero(best >= 0)
+        yield here[i], here[best[i]], least[i]
+        return
+    probe = x["probe"][here] > 0
+    w, s = word[here], size[here]
+    for step in (1, -1):
+        i, far = np.flatnonzero(probe), 0
+        while len(i):
+            far += step
+            i = i[(i + far >= 0) & (i + far < len(here))]
+            j = i + far
+            near = (w[i] == w[j]) & (4 * np.maximum(s[i], s[j]) <= 5 * np.minimum(s[i], s[j]))
+            i, j = i[near], j[near]
+            ok, differ = may_match(here[i], here[j])
+            p, q = here[i], here[j]
+            later, other = np.where(rank[p] > rank[q], p, q), np.where(rank[p] > rank[q], q, p)
+            # A later line that is settled needs no partner; two probes meet on the way up only.
+            ok &= (rank[p] != rank[q]) & (x["probe"][later] > 0) & ((step > 0) | ~probe[j])
+            if ok.any():
+                yield later[ok], other[ok], differ[ok]
+
+
+def merge_postings(rows: DataFrame, parts: int, every: bool) -> DataFrame:
+    """FOUND: lines that go as an earlier one has their set (no ek), and pairs that may be similar; with ``every`` all of them for probes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds, names = [pa.int64()] * 4 + [pa.int32()], ["k", "m", "ek", "em", "differ"]
+        by_part: dict[int, list[bytes]] = {}
+        for batch in batches:
+            for part, kind, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if kind == RUN:
+                    by_part.setdefault(part, []).append(data)
+                    continue
+                k, m = np.frombuffer(data, "<i8").reshape(2, -1)
+                yield _rows(names, kinds, [k, m, *[[None] * len(k)] * 3])
+        for part in sorted(by_part):
+            decoded = [decode_run(x) for x in by_part.pop(part)]
+            word = np.concatenate([x[0] for x in decoded])
+            columns = {c: np.concatenate([x[1][c] for x in decoded]) for c in COLUMNS}
+            del decoded
+            k, m = columns["k"], columns["m"]
+            held, count = [], 0
+            for later, other, differ in _joined(word, columns, every):
+                if other is None:
+                    if len(later):
+                        yield _rows(names, kinds, [k[later], m[later], *[[None] * len(later)] * 3])
+                    continue
+                held.append((k[later], m[later], k[other], m[other], differ))
+                count += len(later)
+                if count > 50_000:
+                    yield _rows(names, kinds, [np.concatenate(c) for c in zip(*held, strict=True)])
+                    held, count = [], 0
+            if count:
+                yield _rows(names, kinds, [np.concatenate(c) for c in zip(*held, strict=True)])
+
+    return rows.repartitionById(parts, F.col("part")).mapInArrow(run, FOUND)
 
-def _prefix(o: Column) -> Column:
-    """size, parity and the prefix words of an ordered set."""
-    size = F.size(o)
-    parity = F.aggregate(o, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63).cast("long")).cast("int"))))
-    return F.struct(size.cast("int").alias("size"), parity.alias("parity"), F.slice(o, F.lit(1), size - F.ceil(size * 4 / 5).cast("int") + 1).alias("prefix"))
 
-
-def first_lines(docs: DataFrame, levels: list[int]) -> DataFrame:
-    """(k, m, line, size, parity, prefix): the first line of each class; m holds the text's hash and the line number."""
-    lines = docs.where("text is not null").select(*_key(docs), F.posexplode(F.split("text", "\n")).alias("n", "line"))
-    hashes = F.sort_array(F.transform(words(F.col("line")), lambda w: F.xxhash64(w)))
-    # 96 bits of two hashes of its sorted word hashes name a set of words.
-    sets = _once(lines, hashes, lambda a: F.struct(F.size(a).alias("z"), F.xxhash64(a).alias("d"), F.hash(a).alias("d2"))).where("s.z > 0")
-    ids = F.struct("k", F.col("r").bitwiseOR(F.col("n").cast("long")).alias("m")).alias("id")
-    firsts = sets.select("s.d", "s.d2", ids).groupBy("d", "d2").agg(F.min("id").alias("id"))
-    high = F.col("id.m").bitwiseAND(F.lit(-(1 << 32)))
-    by_doc = firsts.groupBy(F.col("id.k").alias("k"), high.alias("r")).agg(F.collect_list(F.col("id.m").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")).alias("firsts"))
-    texts = docs.where("text is not null").select(*_key(docs), "text")
-    found = _once(texts.join(by_doc, ["k", "r"]).select("k", "r", "firsts", "text"), F.split("text", "\n"), lambda parts: F.transform(F.col("firsts"), lambda i: F.struct(i.alias("n"), F.get(parts, i).alias("line"))))
-    rows = found.select("k", "r", F.explode("s").alias("x"))
-    rows = rows.select("k", F.col("r").bitwiseOR(F.col("x.n").cast("long")).alias("m"), F.col("x.line").alias("line"))
-    return _once(rows, _ordered(words(F.col("line")), levels), _prefix).select(*ID, "line", "s.*")
-
-
-def _postings(lines: DataFrame, most: int | None = None) -> DataFrame:
-    """One row for each prefix word of each line: word h, k, m, size, place (from 1), parity."""
-    cols = [c for c in lines.columns if c not in (*ID, "line", "size", "parity", "prefix")]
-    prefix = F.slice("prefix", 1, most) if most else F.col("prefix")
-    out = lines.select(*ID, "size", "parity", *cols, F.posexplode(prefix).alias("at", "h"))
-    return out.select("h", *ID, "size", (F.col("at") + 1).cast("int").alias("at"), "parity", *cols)
-
-
-def _may_match(a: str, b: str) -> Column:
-    """Size, positional and parity filters for two postings of one word."""
-    col = lambda side, name: F.col(f"{side}.{name}")
-    both = col(a, "size") + col(b, "size")
-    need = F.expr(f"({a}.size * 4 + {b}.size * 4 + 8) div 9")
-    room = F.least(col(a, "size") - col(a, "at"), col(b, "size") - col(b, "at")) + 1
-    sizes = (col(a, "size") * 4 <= col(b, "size") * 5) & (col(b, "size") * 4 <= col(a, "size") * 5)
-    return sizes & (room >= need) & (F.bit_count(col(a, "parity").bitwiseXOR(col(b, "parity"))) <= both - need * 2)
+def words(line: Column) -> Column:
+    """The set of a line's words; a split at single blanks needs no regular expression, and few lines have other spaces."""
+    parts = F.when(line.rlike(r"[\x09\x0B-\x0D]"), F.split(line, SPACE)).otherwise(F.split(line, " "))
+    return F.array_remove(F.array_distinct(parts), "")
 
 
-def _earlier(a: str, b: str) -> Column:
-    return F.expr(f"{a}.k < {b}.k or ({a}.k = {b}.k and {a}.m < {b}.m)")
+def _numbers(ids: DataFrame, name: str) -> DataFrame:
+    """Line numbers by document: (k, r, name)."""
+    number = F.col("m").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+    return ids.groupBy("k", F.col("m").bitwiseAND(F.lit(HIGH)).alias("r")).agg(F.collect_set(number).alias(name))
 
 
-def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """The later ids (k, m) of the pairs (k, m, ek, em) that are similar."""
-    text = lines.select(*ID, "line")
+def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The later ids (k, m) of the pairs (k, m, ek, em) that are similar: 9 * overlap >= 4 * (size + size) is a likeness of 4/5."""
+    asked = _numbers(pairs.select(*ID).unionByName(pairs.select(F.col("ek").alias("k"), F.col("em").alias("m"))), "asked")
+    texts = docs.where("text is not null").select(*_key(docs), "text").join(asked, ["k", "r"])
+    found = texts.select("k", "r", F.explode(F.transform(F.array(F.split("text", "\n")), lambda parts: F.transform("asked", lambda i: F.struct(i.alias("n"), F.get(parts, i).alias("line"))))).alias("s"))
+    text = keep(docs.sparkSession, found.select("k", "r", F.explode("s").alias("x")).select("k", F.col("r").bitwiseOR(F.col("x.n").cast("long")).alias("m"), F.col("x.line").alias("line")))
     one = pairs.join(text.withColumnRenamed("line", "x"), ID)
     two = one.join(text.select(F.col("k").alias("ek"), F.col("m").alias("em"), F.col("line").alias("y")), ["ek", "em"])
     x, y = words(F.col("x")), words(F.col("y"))
@@ -128,54 +361,45 @@ def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     return two.where(similar).select(*ID).distinct()
 
 
-def _pairs(joined: DataFrame) -> DataFrame:
-    """Distinct pairs with the difference of their parity words, which tells the likeliest ones."""
-    differ = F.bit_count(F.col("a.parity").bitwiseXOR(F.col("b.parity"))).cast("int").alias("differ")
-    return joined.select("b.k", "b.m", F.col("a.k").alias("ek"), F.col("a.m").alias("em"), differ).distinct()
+def _best(pairs: DataFrame) -> DataFrame:
+    """Each later line's likeliest pair."""
+    return pairs.groupBy(*ID).agg(F.min(F.struct("differ", "ek", "em")).alias("p")).select(*ID, "p.ek", "p.em")
 
 
-def _settle(met: DataFrame, lines: DataFrame) -> DataFrame:
-    """Later ids that have a similar earlier one among the pairs: each one's likeliest pair is tried first, and the others only where that fails."""
-    spark = met.sparkSession
-    pairs = keep(spark, _pairs(met))
-    best = pairs.groupBy(*ID).agg(F.min(F.struct("differ", "ek", "em")).alias("p")).select(*ID, "p.ek", "p.em")
-    first = keep(spark, _verified(best, lines))
-    rest = pairs.drop("differ").join(first, ID, "left_anti")
-    return first.unionByName(keep(spark, _verified(rest, lines)))
+def lines_to_remove(docs: DataFrame) -> DataFrame:
+    """(k, r, gone): numbers of the lines of a document that an earlier line equals or is similar to."""
+    spark = docs.sparkSession
+    levels = rarity_levels(docs)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(partitions(spark), size // 30 // RANGE_POSTINGS + 1)  # some thirty bytes of text for each posting
+    none = F.lit(None).cast("array<int>")
+    texts = docs.where("text is not null").select(*_key(docs), "text")
 
+    first = keep(spark, merge_postings(postings(texts.select("*", none.alias("gone"), none.alias("done")), levels, parts, FIRST_WORDS), parts, False))
+    same = first.where("ek is null").select(*ID)
+    settled = keep(spark, _verified(keep(spark, _best(first.where("ek is not null"))), docs))
+    marks = same.withColumn("same", F.lit(True)).unionByName(settled.withColumn("same", F.lit(False)))
+    number = F.col("m").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+    marks = keep(spark, marks.groupBy("k", F.col("m").bitwiseAND(F.lit(HIGH)).alias("r")).agg(F.collect_set(F.when(F.col("same"), number)).alias("gone"), F.collect_set(F.when(~F.col("same"), number)).alias("done")))
 
-def similar_later(lines: DataFrame) -> DataFrame:
-    """Ids of the classes of ``lines`` to which an earlier one is similar."""
-    few = _postings(lines, FIRST_WORDS)
-    earliest = few.groupBy("h").agg(F.min(F.struct(*ID, "size", "at", "parity")).alias("e"), F.count("*").alias("c")).where("c > 1").select("h", "e.*")
-    met = few.alias("b").join(earliest.alias("a"), F.col("a.h") == F.col("b.h")).where(_earlier("a", "b") & _may_match("a", "b"))
-    settled = _settle(met, lines)
-    marked = lines.drop("line").join(settled.withColumn("done", F.lit(True)), ID, "left").withColumn("done", F.coalesce("done", F.lit(False)))
-    all_ = _postings(marked).repartition(partitions(lines.sparkSession), "h")
-    # The condition on b.done names a's columns too, so both sides of the join stay alike and share one shuffle.
-    open_ = F.expr("not b.done or (a.done and a.size < 0)")
-    met = all_.alias("b").join(all_.alias("a"), (F.col("a.h") == F.col("b.h")) & open_ & _earlier("a", "b") & _may_match("a", "b"))
-    return settled.unionByName(_settle(met, lines))
+    second = keep(spark, merge_postings(postings(texts.join(marks, ["k", "r"], "left"), levels, parts), parts, True).where("ek is not null").groupBy(*ID, "ek", "em").agg(F.min("differ").alias("differ")))
+    likely = keep(spark, _verified(_best(second), docs))
+    others = keep(spark, _verified(keep(spark, second.join(likely, ID, "left_anti").join(_best(second), [*ID, "ek", "em"], "left_anti")), docs))
+    return _numbers(same.unionByName(settled).unionByName(likely).unionByName(others), "gone")
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with text less its repeated and similar later lines, and n_lines, n_removed."""
     docs = docs.drop("n_lines", "n_removed")  # columns of these names are replaced
-    spark = docs.sparkSession
-    lines = keep(spark, first_lines(docs, rarity_levels(docs)))
-    gone = similar_later(lines)
-    kept = lines.select(*ID).join(gone, ID, "left_anti")
-    number = F.col("m").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
-    by_doc = keep(spark, kept.groupBy(F.col("k").alias("__k_"), F.col("m").bitwiseAND(F.lit(-(1 << 32))).alias("__r_")).agg(F.sort_array(F.collect_list(number)).alias("__kept_")))
+    gone = keep(docs.sparkSession, lines_to_remove(docs)).select(F.col("k").alias("__k_"), F.col("r").alias("__r_"), F.col("gone").alias("__gone_"))
     keyed = docs.select("*", _key(docs)[0].alias("__k_"), _key(docs)[1].alias("__r_"))
+    out = keyed.join(gone, ["__k_", "__r_"], "left")
     parts = F.split("text", "\n")
-    blank = lambda x: ~x.rlike(r"[^\x20\x09-\x0D]")
-    out = keyed.join(by_doc, ["__k_", "__r_"], "left").withColumn("__kept_", F.coalesce("__kept_", F.array().cast("array<int>")))
-    stays = F.filter(parts, lambda x, i: F.array_contains(F.col("__kept_"), i) | blank(x))
-    out = out.withColumn("__parts_", parts).withColumn("__stays_", stays)
+    stays = F.when(F.col("__gone_").isNull(), parts).otherwise(F.filter(parts, lambda x, i: ~F.array_contains(F.coalesce("__gone_", F.array().cast("array<int>")), i)))
+    out = out.withColumn("__parts_", F.size(parts)).withColumn("__stays_", stays)
     return out.select(
         *[F.array_join("__stays_", "\n").alias("text") if c == "text" else F.col(c) for c in docs.columns],
-        F.coalesce(F.size("__parts_"), F.lit(0)).cast("long").alias("n_lines"), (F.size("__parts_") - F.size("__stays_")).cast("long").alias("n_removed"),
+        F.coalesce("__parts_", F.lit(0)).cast("long").alias("n_lines"), (F.col("__parts_") - F.size("__stays_")).cast("long").alias("n_removed"),
     )
 
 
