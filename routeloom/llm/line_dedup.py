@@ -66,9 +66,9 @@ class LineWords:
         sums = np.zeros(len(buf) + 1, np.uint64)
         np.cumsum(_BYTES[buf] * self.powers.up[: len(buf)], out=sums[1:])
         word = (sums[ends] - sums[starts]) * self.powers.down[starts] + (ends - starts).astype(np.uint64)
-        breaks = np.flatnonzero(buf == 10)
-        at = np.cumsum([0, *(len(t) + 1 for t in texts[:-1])])
-        return _mix(word, 3), np.searchsorted(breaks, starts), np.searchsorted(breaks, at)
+        breaks = np.cumsum(buf == 10, dtype=np.int64)
+        at = np.cumsum([len(t) + 1 for t in texts[:-1]], dtype=np.int64)
+        return _mix(word, 3), breaks[starts], np.concatenate([[0], breaks[at - 1]])
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
@@ -120,8 +120,10 @@ def _key(docs: DataFrame) -> list[Column]:
     return [F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("k"), F.shiftleft(F.xxhash64("text").bitwiseAND(F.lit((1 << 31) - 1).cast("long")), 32).alias("r")]
 
 
+#: Lines of more words than LONG have three further parity words, as so many words fill 64 bits with noise.
+LONG, FURTHER = 64, ("parity2", "parity3", "parity4")
 #: Columns of a posting besides its word.
-COLUMNS = {"k": "<i8", "m": "<i8", "size": "<u4", "at": "<u4", "parity": "<u8", "tag": "<u4", "probe": "u1"}
+COLUMNS = {"k": "<i8", "m": "<i8", "size": "<u4", "at": "<u4", "parity": "<u8", **dict.fromkeys(FURTHER, "<u8"), "tag": "<u4", "probe": "u1"}
 
 
 def encode_run(word: np.ndarray, columns: dict[str, np.ndarray]) -> bytes:
@@ -165,12 +167,12 @@ def postings(docs: DataFrame, levels: np.ndarray, parts: int, most: int | None =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = LineWords()
-        lines: list[tuple] = []  # k, m, size, parity, set's hash, probe
+        lines: list[tuple] = []  # k, m, size, parity, set's hash, probe, further parity words
         posts: list[tuple] = []  # word, line, at
         n_lines = n_posts = runs = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            k, m, size, parity, name, probe = (np.concatenate(x) for x in zip(*lines, strict=True))
+            k, m, size, parity, name, probe, *further = (np.concatenate(x) for x in zip(*lines, strict=True))
             word, of, at = (np.concatenate(x) for x in zip(*posts, strict=True))
             lines.clear()
             posts.clear()
@@ -193,7 +195,7 @@ def postings(docs: DataFrame, levels: np.ndarray, parts: int, most: int | None =
             for p, (a, b) in enumerate(zip([0, *bounds], [*bounds, len(word)], strict=True)):
                 if b > a:
                     x = of[a:b]
-                    out.append((p, RUN, encode_run(word[a:b], {"k": k[x], "m": m[x], "size": size[x], "at": at[a:b], "parity": parity[x], "tag": tag[x], "probe": probe[x]})))
+                    out.append((p, RUN, encode_run(word[a:b], {"k": k[x], "m": m[x], "size": size[x], "at": at[a:b], "parity": parity[x], "tag": tag[x], "probe": probe[x], **{c: y[x] for c, y in zip(FURTHER, further, strict=True)}})))
             for i in range(0, len(out), 500):
                 yield _packed(out[i : i + 500])
 
@@ -202,7 +204,9 @@ def postings(docs: DataFrame, levels: np.ndarray, parts: int, most: int | None =
             if not len(h):
                 continue
             key = (levels[(h & _U(SLOTS - 1)).astype(np.int64)].astype(np.uint64) << _U(56)) | (h >> _U(8))
-            order = np.lexsort((key, line))
+            order = np.argsort(key)
+            by_line = line[order]
+            order = order[np.argsort(by_line.astype(np.uint16) if line[-1] < 1 << 16 else by_line, kind="stable")]  # small numbers go by radix
             key, line = key[order], line[order]
             new = np.ones(len(key), bool)
             new[1:] = (key[1:] != key[:-1]) | (line[1:] != line[:-1])
@@ -214,6 +218,12 @@ def postings(docs: DataFrame, levels: np.ndarray, parts: int, most: int | None =
             n = number - first_line[doc]
             name = _mix(np.add.reduceat(_mix(key, 5), start), 6)
             parity = np.bitwise_xor.reduceat(_U(1) << (key & _U(63)), start)
+            further = [np.zeros(len(start), np.uint64) for _ in FURTHER]
+            if len(long_ := np.flatnonzero(size > LONG)):
+                some = np.repeat(size > LONG, size)
+                bit, begin = (key[some] >> _U(6)) & _U(255), np.cumsum(size[long_]) - size[long_]
+                for q, x in enumerate(further):
+                    x[long_] = np.bitwise_xor.reduceat(np.where(bit >> _U(6) == _U(q), _U(1) << (bit & _U(63)), _U(0)), begin)
             stays, probe = np.ones(len(start), bool), np.ones(len(start), np.uint8)
             for flags, column in ((stays, 3), (probe, 4)):
                 for i, found in enumerate(batch.column(column).to_pylist()):
@@ -227,7 +237,7 @@ def postings(docs: DataFrame, levels: np.ndarray, parts: int, most: int | None =
             chosen = np.flatnonzero(at < np.repeat(limit, size))
             index = np.cumsum(stays) - 1 + n_lines
             posts.append((_mix(key[chosen], 7), np.repeat(index, size)[chosen], at[chosen].astype(np.uint32)))
-            lines.append(tuple(x[stays] for x in (k[doc], r[doc] | n, size.astype(np.uint32), parity, name, probe)))
+            lines.append(tuple(x[stays] for x in (k[doc], r[doc] | n, size.astype(np.uint32), parity, name, probe, *further)))
             n_lines += int(stays.sum())
             n_posts += len(chosen)
             if n_posts >= RUN_POSTINGS:
@@ -242,6 +252,14 @@ def postings(docs: DataFrame, levels: np.ndarray, parts: int, most: int | None =
 
 def _joined(word: np.ndarray, x: dict[str, np.ndarray], every: bool) -> Iterator[tuple]:
     """Of a range's postings: lines whose set an earlier one has (later, None), then candidates (later, earlier) as positions, with the difference of their parities."""
+    order = np.argsort(word, kind="stable")  # merges sorted runs
+    alike = word[order][1:] == word[order][:-1]
+    order = order[np.concatenate([alike, [False]]) | np.concatenate([[False], alike])]  # words of one line only pair nothing
+    for later, other, differ in _pairs_of(word[order], {c: v[order] for c, v in x.items()}, every):
+        yield order[later], other if other is None else order[other], differ
+
+
+def _pairs_of(word: np.ndarray, x: dict[str, np.ndarray], every: bool) -> Iterator[tuple]:
     rank = np.empty(len(word), np.int64)
     order = np.lexsort((x["m"], x["k"]))
     new = np.ones(len(order), bool)
@@ -263,7 +281,14 @@ def _joined(word: np.ndarray, x: dict[str, np.ndarray], every: bool) -> Iterator
         room = np.minimum(size[i] - at[i], size[j] - at[j])
         differ = np.bitwise_count(parity[i] ^ parity[j]).astype(np.int64)
         fits = (4 * size[i] <= 5 * size[j]) & (4 * size[j] <= 5 * size[i])
-        return fits & (room >= need) & (differ <= size[i] + size[j] - 2 * need), differ
+        ok = fits & (room >= need) & (differ <= size[i] + size[j] - 2 * need)
+        # Bits of the further words are counted apart: where one of them is over the bound, the sets differ by more.
+        if len(both := np.flatnonzero(ok & (size[i] > LONG) & (size[j] > LONG))):
+            p, q = i[both], j[both]
+            more = sum(np.bitwise_count(x[c][p] ^ x[c][q]).astype(np.int64) for c in FURTHER)
+            differ[both] = np.maximum(differ[both], more)
+            ok[both] &= differ[both] <= size[p] + size[q] - 2 * need[both]
+        return ok, differ
 
     if not every:
         here = here[np.lexsort((rank[here], word[here]))]
@@ -348,12 +373,16 @@ def _numbers(ids: DataFrame, name: str) -> DataFrame:
     return ids.groupBy("k", F.col("m").bitwiseAND(F.lit(HIGH)).alias("r")).agg(F.collect_set(number).alias(name))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The later ids (k, m) of the pairs (k, m, ek, em) that are similar: 9 * overlap >= 4 * (size + size) is a likeness of 4/5."""
+def _texts(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """(k, m, line) of the lines in pairs (k, m, ek, em)."""
     asked = _numbers(pairs.select(*ID).unionByName(pairs.select(F.col("ek").alias("k"), F.col("em").alias("m"))), "asked")
     texts = docs.where("text is not null").select(*_key(docs), "text").join(asked, ["k", "r"])
     found = texts.select("k", "r", F.explode(F.transform(F.array(F.split("text", "\n")), lambda parts: F.transform("asked", lambda i: F.struct(i.alias("n"), F.get(parts, i).alias("line"))))).alias("s"))
-    text = keep(docs.sparkSession, found.select("k", "r", F.explode("s").alias("x")).select("k", F.col("r").bitwiseOR(F.col("x.n").cast("long")).alias("m"), F.col("x.line").alias("line")))
+    return keep(docs.sparkSession, found.select("k", "r", F.explode("s").alias("x")).select("k", F.col("r").bitwiseOR(F.col("x.n").cast("long")).alias("m"), F.col("x.line").alias("line")))
+
+
+def _verified(pairs: DataFrame, text: DataFrame) -> DataFrame:
+    """The later ids (k, m) of the pairs (k, m, ek, em) that are similar: 9 * overlap >= 4 * (size + size) is a likeness of 4/5."""
     one = pairs.join(text.withColumnRenamed("line", "x"), ID)
     two = one.join(text.select(F.col("k").alias("ek"), F.col("m").alias("em"), F.col("line").alias("y")), ["ek", "em"])
     x, y = words(F.col("x")), words(F.col("y"))
@@ -377,14 +406,16 @@ def lines_to_remove(docs: DataFrame) -> DataFrame:
 
     first = keep(spark, merge_postings(postings(texts.select("*", none.alias("gone"), none.alias("done")), levels, parts, FIRST_WORDS), parts, False))
     same = first.where("ek is null").select(*ID)
-    settled = keep(spark, _verified(keep(spark, _best(first.where("ek is not null"))), docs))
+    pairs = keep(spark, _best(first.where("ek is not null")))
+    settled = keep(spark, _verified(pairs, _texts(pairs, docs)))
     marks = same.withColumn("same", F.lit(True)).unionByName(settled.withColumn("same", F.lit(False)))
     number = F.col("m").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
     marks = keep(spark, marks.groupBy("k", F.col("m").bitwiseAND(F.lit(HIGH)).alias("r")).agg(F.collect_set(F.when(F.col("same"), number)).alias("gone"), F.collect_set(F.when(~F.col("same"), number)).alias("done")))
 
     second = keep(spark, merge_postings(postings(texts.join(marks, ["k", "r"], "left"), levels, parts), parts, True).where("ek is not null").groupBy(*ID, "ek", "em").agg(F.min("differ").alias("differ")))
-    likely = keep(spark, _verified(_best(second), docs))
-    others = keep(spark, _verified(keep(spark, second.join(likely, ID, "left_anti").join(_best(second), [*ID, "ek", "em"], "left_anti")), docs))
+    text = _texts(second, docs)
+    likely = keep(spark, _verified(_best(second), text))
+    others = keep(spark, _verified(second.join(likely, ID, "left_anti").join(_best(second), [*ID, "ek", "em"], "left_anti"), text))
     return _numbers(same.unionByName(settled).unionByName(likely).unionByName(others), "gone")
 
 
