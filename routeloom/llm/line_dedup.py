@@ -85,11 +85,11 @@ def _chunks(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa
             at = end
 
 
-def rarity_levels(docs: DataFrame) -> np.ndarray:
-    """For each slot of word hashes the level of its count, four to each doubling."""
+def rarity_levels(docs: DataFrame, hasher: type = LineWords) -> np.ndarray:
+    """For each slot of hashes (of words, or what else ``hasher`` gives first) the level of its count, four to each doubling."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, total = LineWords(), np.zeros(SLOTS, np.int64)
+        words, total = hasher(), np.zeros(SLOTS, np.int64)
         for _, texts in _chunks(batches, 0):
             total += np.bincount((words(texts)[0] & _U(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
         if total.any():

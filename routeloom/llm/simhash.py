@@ -48,7 +48,10 @@ def simhash(text: str | None, width: int = 3) -> int:
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return 0
-    hashes = shingle_hashes(words, width)
+    return simhash_of(shingle_hashes(words, width))
+
+
+def simhash_of(hashes: np.ndarray) -> int:
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 4096):
         block = hashes[at : at + 4096]
