@@ -2,8 +2,8 @@
 
 ``evaluate`` looks once at the whole set of siblings of each parent, with aggregates only.  ``replay`` follows the order of
 arrival, in which an early merge absorbs later segments; it needs one ordered pass for each parent and so runs in
-``applyInPandas``, over distinct segments only, of which just the first ``HEAD`` of a parent, and what its variables don't absorb,
-reach the pass.
+``applyInPandas``, over distinct segments only, of which just the first ``HEAD`` of a parent, and what its first variable doesn't
+absorb, reach the pass.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from routeloom.functions.patterns import SIBLING_PATTERNS, STATIC_EXTENSIONS, VARIABLE_REGEX, VARIABLE_SUFFIX
 from routeloom.functions.requests import variable_matches
+from routeloom.sources.store import materialize
 
 MERGE, SKIP, DEFAULT = "merge", "skip", "default"
 HEAD = 10_000
@@ -256,7 +257,7 @@ def _name(parent: str) -> str:
 
 def replay(siblings: DataFrame, config: MergeConfig = MergeConfig(), rule: Rule | None = None, head: int = HEAD) -> DataFrame:
     """(parent, segment, variable, regex) from distinct (parent, segment, first_seq), decided in order of first_seq."""
-    schema = "parent string, segment string, variable string, regex string"
+    schema = "parent string, segment string, variable string, regex string, made int"
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["first_seq", "segment"])
@@ -264,17 +265,21 @@ def replay(siblings: DataFrame, config: MergeConfig = MergeConfig(), rule: Rule
         state = Siblings(_name(parent), config, rule)
         for s in rows["segment"]:
             state.feed(s)
-        out = [(parent, s, *(v or (None, None))) for s, v in state.role.items()]
-        return pd.DataFrame(out, columns=["parent", "segment", "variable", "regex"])
+        out = [(parent, s, *(v or (None, None)), state.variables.index(v) if v else None) for s, v in state.role.items()]
+        return pd.DataFrame(out, columns=["parent", "segment", "variable", "regex", "made"])
 
     order = Window.partitionBy("parent").orderBy("first_seq", "segment")
     ranked = siblings.withColumn("rank", F.row_number().over(order))
-    first = ranked.where(F.col("rank") <= head).select("parent", "segment", "first_seq").groupBy("parent").applyInPandas(run, schema)
-    # The first variable of a parent takes whatever it matches among the later segments; only the others take part in another pass.
-    lead = first.where("variable is not null").join(siblings, ["parent", "segment"]).groupBy("parent").agg(F.min_by(F.struct("variable", "regex"), "first_seq").alias("v"))
+    first = materialize(ranked.where(F.col("rank") <= head).select("parent", "segment", "first_seq").groupBy("parent").applyInPandas(run, schema))
+    # The variable made first takes whatever it matches among the later segments, which changes nothing else in the state.
+    lead = first.where("made = 0").groupBy("parent").agg(F.first(F.struct("variable", "regex")).alias("v"))
     rest = ranked.where(F.col("rank") > head).join(lead, "parent", "left").select("parent", "segment", "first_seq", "v.variable", "v.regex")
     taken = F.col("variable").isNotNull() & variable_matches(F.col("segment"), F.col("regex"))
     absorbed = rest.where(taken).select("parent", "segment", "variable", "regex")
-    open_ = rest.where(~F.coalesce(taken, F.lit(False))).select("parent", "segment", "first_seq")
-    late = open_.groupBy("parent").applyInPandas(run, schema)
-    return first.unionByName(absorbed).unionByName(late)
+    open_ = materialize(rest.where(~F.coalesce(taken, F.lit(False))).select("parent", "segment", "first_seq"))
+    # The others go on from the state at the head's end, so the head is fed again before them.
+    again = open_.select("parent").distinct()
+    fed = siblings.select("parent", "segment", "first_seq").join(first.select("parent", "segment"), ["parent", "segment"], "left_semi").join(again, "parent", "left_semi")
+    late = open_.unionByName(fed).groupBy("parent").applyInPandas(run, schema)
+    columns = ["parent", "segment", "variable", "regex"]
+    return first.join(again, "parent", "left_anti").select(*columns).unionByName(absorbed).unionByName(late.select(*columns))

@@ -186,3 +186,21 @@ def test_stream_equals_batch(spark, tmp_path):
     st.ingest(spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     got = {tuple(r["keys"]): r["n"] for r in st.facts(spark, str(tmp_path / "out")).collect()}
     assert got == {tuple(r["keys"]): r["n"] for r in st.path_facts(src.parse(rows)).collect()}
+
+
+def test_replay_goes_on_from_the_head(spark):
+    mixed = ["about", "101", "102", "103", "login", "users", "items", "posts", "admin", "a@b.co", "c@d.co", "104", "pages", "e@f.co", "x.json", "105", "other", "g@h.co", "a1b2", "logout-everything"]
+    sets = {"/m": mixed, "/mail": ["welcome-to-all", "a@b.co", "c@d.co", "longer-word-here", "e@f.co"], "/ids": [str(i) for i in range(30)], "/w": ["one", "fourteen", "list", "n", "abcdefghijk"]}
+    rows = [(p, v, i) for p, values in sets.items() for i, v in enumerate(values)]
+    sib = spark.createDataFrame(rows, "parent string, segment string, first_seq long")
+    whole = {(p, v, *(r or (None, None))) for p, values in sets.items() for v, r in _state(p, values).items()}
+    for head in (1, 3, 4, 9, 11, 1000):
+        got = [tuple(r) for r in merge.replay(sib, head=head).select("parent", "segment", "variable", "regex").collect()]
+        assert len(got) == len(rows) and set(got) == whole, head
+
+
+def _state(parent, values):
+    s = Siblings(parent[1:], MergeConfig())
+    for v in values:
+        s.feed(v)
+    return s.role
