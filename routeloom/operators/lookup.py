@@ -8,9 +8,13 @@ from pyspark.sql import functions as F
 from routeloom.functions import requests as R
 from routeloom.operators import routes as rt
 from routeloom.operators.routes import RouteTree
+from routeloom.sources.store import materialize
 
+#: Levels whose joins may stand in one plan.
+CUT = 16
 
-def probe(requests: DataFrame, tree: RouteTree, max_depth: int = 16) -> DataFrame:
+
+def probe(requests: DataFrame, tree: RouteTree) -> DataFrame:
     """The requests with hit: the route of their path, null where a segment is unknown.
 
     A segment is looked up by its exact name first; else the parent's first variable takes it, whatever its pattern.
@@ -18,13 +22,15 @@ def probe(requests: DataFrame, tree: RouteTree, max_depth: int = 16) -> DataFram
     known = tree.paths.select("parent", "key", "route", "node_type", "first_seq")
     exact = known.where("node_type = 'request_path'").select(F.col("parent").alias("p_"), F.col("key").alias("k_"), F.col("route").alias("exact_"))
     first = known.where("node_type = 'request_path_variable'").groupBy("parent").agg(F.min_by("route", "first_seq").alias("var_")).withColumnRenamed("parent", "q_")
-    depth = min(max_depth, tree.paths.agg(F.max("depth")).first()[0] or 0)
+    depth = tree.paths.agg(F.max("depth")).first()[0] or 0
     now = requests.withColumn("hit", F.when((F.size("segments") <= depth) & F.col("error").isNull(), ""))
     for d in range(depth):
         there = F.size("segments") > d
         now = now.withColumn("s_", F.when(there, F.try_element_at("segments", F.lit(d + 1))))
         now = now.join(exact, (F.col("hit") == F.col("p_")) & (F.col("s_") == F.col("k_")), "left").join(first, F.col("hit") == F.col("q_"), "left")
         now = now.withColumn("hit", F.when(there, F.coalesce("exact_", "var_")).otherwise(F.col("hit"))).drop("s_", "p_", "k_", "exact_", "q_", "var_")
+        if d % CUT == CUT - 1:
+            now = materialize(now)
     return now
 
 

@@ -33,10 +33,10 @@ def path_keys(parsed: DataFrame) -> DataFrame:
     return parsed.where("error is null").groupBy("keys").agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"))
 
 
-def build(parsed: DataFrame, config: MergeConfig = MergeConfig(), evaluator: str = "replay", rule: Rule | None = None, max_depth: int = 16) -> RouteTree:
+def build(parsed: DataFrame, config: MergeConfig = MergeConfig(), evaluator: str = "replay", rule: Rule | None = None) -> RouteTree:
     """Routes of parsed requests.  evaluator: replay (in order of seq) or set (whole sibling sets at once)."""
     distinct = materialize(path_keys(parsed))
-    depth = min(max_depth, distinct.agg(F.max(F.size("keys"))).first()[0] or 0)
+    depth = distinct.agg(F.max(F.size("keys"))).first()[0] or 0
     now = distinct.withColumn("route", F.lit(""))
     nodes, values = [], []
     for d in range(depth):

@@ -204,3 +204,12 @@ def _state(parent, values):
     for v in values:
         s.feed(v)
     return s.role
+
+
+def test_deep_paths_stay_whole(spark):
+    deep = "/d" * 17
+    tree = routes.build(src.parse(reqs(spark, ("GET", deep + "/left?a=1"), ("GET", deep + "/right"), ("GET", "/d"))), evaluator="set")
+    assert {r["route"] for r in routes.methods(tree.requests).collect()} == {deep + "/left", deep + "/right", "/d"}
+    assert routes.stats(routes.nodes(tree)).first()["request_path"] == 19
+    asked = src.parse(reqs(spark, ("GET", deep + "/right"), ("GET", deep + "/none")))
+    assert [r["need"] for r in lookup.needed(asked, tree).orderBy("seq").collect()] == [False, True]
