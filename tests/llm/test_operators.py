@@ -105,6 +105,15 @@ def test_op2_chunks_are_exact(text):
     assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == want
 
 
+def test_op2_merges_what_is_left_in_rounds(spark):
+    # In each of 16 partitions 20 pieces that nothing fits with, and a small one: all small ones together fill two sequences.
+    sizes = [1000 if i % 21 else 100 for i in range(16 * 21)]
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
+    pieces = spark.createDataFrame(spark.sparkContext.parallelize([(i, 0, 0, n, 0) for i, n in enumerate(sizes)], 16), schema)
+    rows = packing.pack(pieces, task_items=10).collect()
+    assert len(rows) == len(sizes) and len({r["sequence_id"] for r in rows}) == 320 + 2
+
+
 @pytest.mark.parametrize("zip64", [False, True])
 def test_op3_round_trip(spark, tmp_path, zip64):
     rows = [(3, "http://a/ü", "same"), (1, None, "same"), (2, "u", None), (5, "u", ""), (7, "u", "<html>\r\n\r\nX 你</html>"), (None, "u", "same"), (9, "u", "y" * 200_000), (9, "u", "y" * 200_000)]
