@@ -114,6 +114,19 @@ def test_op2_merges_what_is_left_in_rounds(spark):
     assert len(rows) == len(sizes) and len({r["sequence_id"] for r in rows}) == 320 + 2
 
 
+def test_op2_reads_the_end_mark_as_its_token():
+    import random
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    whole, encoder = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), packing.ChunkEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(3)
+    texts = ["a<|endoftext|> b"] + ["".join(rng.choice(["<|endoftext|>", " ", "\n", "  ", "\t", "a", "it's", "12", "!", "<|", "你"]) for _ in range(9)) for _ in range(2000)]
+    for text, ids in zip(texts, encoder.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, text
+
+
 @pytest.mark.parametrize("zip64", [False, True])
 def test_op3_round_trip(spark, tmp_path, zip64):
     rows = [(3, "http://a/ü", "same"), (1, None, "same"), (2, "u", None), (5, "u", ""), (7, "u", "<html>\r\n\r\nX 你</html>"), (None, "u", "same"), (9, "u", "y" * 200_000), (9, "u", "y" * 200_000)]
