@@ -1,7 +1,7 @@
 """Route facts from streams of requests.
 
 Parsing has no state and runs as it is on a stream.  Each micro-batch is reduced to counts and appended to a table under its batch id,
-so a batch that runs again replaces what it wrote; the tree is evaluated from the sums whenever it is asked for.
+so a batch that runs again replaces what it wrote.  Parameters, values, headers and cookies are not kept, so no tree is built from them.
 """
 
 from __future__ import annotations
