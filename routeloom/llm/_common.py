@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -23,10 +24,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder (URI) under the one that the cluster shares for checkpoints.
 
-    Reads ``spark.checkpoint.dir``; only where it is unset, as in tests, a temporary folder takes its place.
+    Reads ``spark.checkpoint.dir``; only where it is unset and Spark is one process, as in tests, a temporary folder takes its
+    place.  On a cluster each machine would write to its own disk, so there it is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         base = "file://" + tempfile.mkdtemp(prefix="routeloom-")
         spark.sparkContext.setCheckpointDir(base)
     if base.startswith("/"):

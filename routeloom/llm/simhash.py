@@ -245,12 +245,19 @@ def near_links(codes: DataFrame, most: int = 3, hot: int = HOT_GROUP) -> DataFra
     return grouped.mapInArrow(run, "a long, b long").distinct()
 
 
+def same_id(rows: DataFrame, name: str) -> DataFrame:
+    """Links (a, b) between the different values of column ``name`` that one doc_id has: its rows are one document."""
+    several = rows.where("doc_id is not null").groupBy("doc_id").agg(F.min(name).alias("a"), F.max(name).alias("b")).where("a <> b").select("doc_id", "a")
+    return rows.join(several, "doc_id").select("a", F.col(name).alias("b")).where("a <> b").distinct()
+
+
 def near_duplicates(docs: DataFrame, width: int = 3, most: int = 3) -> DataFrame:
     """(doc_id, fp, component_id): the smallest doc_id reachable over links of fingerprints at most ``most`` bits apart."""
     spark = docs.sparkSession
     prints = keep(spark, fingerprints(docs, width))
     classes = keep(spark, prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("first")))
-    linked = components(near_links(classes.select("fp"), most)).select(F.col("node").alias("fp"), "component")
+    links = near_links(classes.select("fp"), most).unionByName(same_id(prints, "fp"))
+    linked = components(links).select(F.col("node").alias("fp"), "component")
     grouped = keep(spark, classes.join(linked, "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component")))
     lowest = grouped.groupBy("component").agg(F.min("first").alias("component_id"))
     # The smallest fingerprint of a component names it, the smallest doc_id of all its fingerprints is its id.

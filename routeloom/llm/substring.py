@@ -7,8 +7,8 @@ documents reaches a merge once for each run only.  Runs of a range meet in one t
 runs) and joined with the historical run of that range, if there is one.  Matches go back to the documents of the new
 batch, and the union of hashes is the compacted run for the next batch.
 
-A match is two windows with equal hash and equal tag, 64 + 8 * TAG_BYTES bits in all; among N windows some pair is
-taken for equal by mistake with a chance of about N * N / 2 ** (65 + 8 * TAG_BYTES).
+A match is two windows with equal hash and equal tag, 64 + 8 * tag_bytes bits in all, in the merge and in the document that
+loses words; among N windows some pair is taken for equal by mistake with a chance of about N * N / 2 ** (65 + 8 * tag_bytes).
 
 Behaviour on unusual input: a null text has no words, and texts with fewer words than a window are left alone; a null
 doc_id comes after all others; rows that repeat a doc_id are not smaller than each other, so none of them makes the
@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 from routeloom.llm._common import keep, partitions, table
 
 WINDOW = 13
-TAG_BYTES = 1
+#: Bytes of the tag, up to 8: a parameter of the index, one byte of shuffle for each window.
+TAG_BYTES = 2
 #: Windows in a run; and in a range of hashes, at most about so many.
 RUN_WINDOWS, RANGE_WINDOWS = 2_000_000, 3_000_000
 NULL_ID = (1 << 63) - 1
@@ -37,7 +38,6 @@ ROWS = "part int, kind int, doc_id long, data binary"
 RUN, SPANS, INDEX = 0, 1, 2
 
 _U = np.uint64
-_MASK48 = _U((1 << 48) - 1)
 _BASE, _BASE1, _BASE2 = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xAF251AF3B0F025B5
 _WHITE = np.zeros(256, bool)
 _WHITE[[32, 9, 10, 11, 12, 13]] = True
@@ -69,8 +69,8 @@ class _Powers:
 class WindowHasher:
     """Hashes and tags of all windows of a list of texts (UTF-8 bytes), without a loop over words."""
 
-    def __init__(self, window: int = WINDOW):
-        self.window = window
+    def __init__(self, window: int = WINDOW, tag_bytes: int = TAG_BYTES):
+        self.window, self.tag_bytes = window, tag_bytes
         self.byte, self.one, self.two = _Powers(_BASE), _Powers(_BASE1), _Powers(_BASE2)
 
     def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -87,7 +87,7 @@ class WindowHasher:
         if len(ends) < len(starts):
             ends = np.concatenate([ends, [len(buf)]])
         if len(starts) < k:
-            return np.zeros(0, np.uint64), np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
+            return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.byte.grow(len(buf) + 1)
         sums = np.zeros(len(buf) + 1, np.uint64)
         np.cumsum(_BYTES[buf] * self.byte.up[: len(buf)], out=sums[1:])
@@ -101,35 +101,43 @@ class WindowHasher:
             np.cumsum(_mix(word, salt) * powers.up[: len(word)], out=sums[1:])
             found.append(_mix((sums[whole + k] - sums[whole]) * powers.down[whole], salt))
         first = np.searchsorted(of, np.arange(len(texts)))  # each text's first word
-        return found[0], (found[1] >> _U(56)).astype(np.uint8), of[whole], whole - first[of[whole]]
+        return found[0], found[1] >> _U(64 - 8 * self.tag_bytes), of[whole], whole - first[of[whole]]
 
 
-def encode_run(h: np.ndarray, tag: np.ndarray, owner: np.ndarray | None, ids: np.ndarray | None) -> bytes:
+def _low_bytes(x: np.ndarray, n: int) -> bytes:
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n].tobytes()
+
+
+def _from_low(data: bytes, count: int, n: int, at: int) -> np.ndarray:
+    out = np.zeros((count, 8), np.uint8)
+    out[:, :n] = np.frombuffer(data, np.uint8, n * count, at).reshape(count, n)
+    return out.view("<u8").ravel()
+
+
+def encode_run(h: np.ndarray, tag: np.ndarray, owner: np.ndarray | None, ids: np.ndarray | None, tag_bytes: int = TAG_BYTES) -> bytes:
     """A run in hash order: its steps between upper 24 bits (compressed), lower 40 bits, tags, owners (positions in ids)."""
     upper = (h >> _U(40)).astype(np.int64)
     steps = np.diff(upper, prepend=0).astype("<u4")
     packed = pa.compress(steps.view(np.uint8).reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True)
-    low = h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+    low = _low_bytes(h, 5)
     tail = b""
     if owner is not None:
         used, own = np.unique(owner, return_inverse=True)
         kind = "<u2" if len(used) <= 1 << 16 else "<u4"
         tail = np.array([len(used)], "<u8").tobytes() + ids[used].astype("<i8").tobytes() + own.astype(kind).tobytes()
-    return np.array([len(h), len(packed)], "<u8").tobytes() + packed + low + tag.tobytes() + tail
+    return np.array([len(h), len(packed), tag_bytes], "<u8").tobytes() + packed + low + _low_bytes(tag, tag_bytes) + tail
 
 
 def decode_run(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
     """hash, tag, doc_id (None in a historical run)."""
-    n, k = (int(x) for x in np.frombuffer(data, "<u8", 2))
-    at = 16
+    n, k, tag_bytes = (int(x) for x in np.frombuffer(data, "<u8", 3))
+    at = 24
     steps = np.frombuffer(pa.decompress(data[at : at + k], 4 * n, codec="zstd", asbytes=True), np.uint8).reshape(4, n).T.copy().view("<u4").ravel()
     at += k
-    h = np.zeros((n, 8), np.uint8)
-    h[:, :5] = np.frombuffer(data, np.uint8, 5 * n, at).reshape(n, 5)
-    h = h.view("<u8").ravel() | (np.cumsum(steps.astype(np.uint64)) << _U(40))
+    h = _from_low(data, n, 5, at) | (np.cumsum(steps.astype(np.uint64)) << _U(40))
     at += 5 * n
-    tag = np.frombuffer(data, np.uint8, n, at)
-    at += n
+    tag = _from_low(data, n, tag_bytes, at)
+    at += tag_bytes * n
     if at == len(data):
         return h, tag, None
     m = int(np.frombuffer(data, "<u8", 1, at)[0])
@@ -176,11 +184,11 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["part", "kind", "doc_id", "data"])
 
 
-def build_runs(docs: DataFrame, parts: int, window: int = WINDOW) -> DataFrame:
+def build_runs(docs: DataFrame, parts: int, window: int = WINDOW, tag_bytes: int = TAG_BYTES) -> DataFrame:
     """ROWS of new documents (doc_id, text): a run for each range of hashes, and the spans that repeat inside a run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WindowHasher(window)
+        hasher = WindowHasher(window, tag_bytes)
         held: list[tuple] = []  # hash, tag, row, word
         ids: list[int] = []
         keys: list[bytes] = []
@@ -200,7 +208,7 @@ def build_runs(docs: DataFrame, parts: int, window: int = WINDOW) -> DataFrame:
             for p, (a, b) in enumerate(zip([0, *bounds], [*bounds, len(hs)], strict=True)):
                 if b > a:
                     some = first[a:b]
-                    out.append((p, RUN, None, encode_run(h[some], tag[some], row[some], names)))
+                    out.append((p, RUN, None, encode_run(h[some], tag[some], row[some], names, tag_bytes)))
             if len(again):
                 r, w = row[again], word[again]
                 cuts = [0, *(np.flatnonzero(r[1:] != r[:-1]) + 1).tolist(), len(r)]
@@ -237,11 +245,11 @@ def build_runs(docs: DataFrame, parts: int, window: int = WINDOW) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ROWS)
 
 
-def merge_runs(rows: DataFrame, parts: int, index: bool = False) -> DataFrame:
+def merge_runs(rows: DataFrame, parts: int, index: bool = False, tag_bytes: int = TAG_BYTES) -> DataFrame:
     """Merge the runs of each range of hashes.
 
-    Gives, for the documents of runs with ids, the hashes that a smaller doc_id or a historical run has too (lower 48 bits;
-    kind RUN, one row for all documents of a place) and passes spans on; or, with ``index``, the compacted run of each range (kind INDEX).
+    Gives, for the documents of runs with ids, the hashes that a smaller doc_id or a historical run has too, with their tags
+    (kind RUN, one row for all documents of a place) and passes spans on; or, with ``index``, the compacted run of each range (kind INDEX).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,7 +270,7 @@ def merge_runs(rows: DataFrame, parts: int, index: bool = False) -> DataFrame:
             order, new = _order(h, tag, doc)
             if index:
                 first = order[new]
-                yield _batch([(part, INDEX, None, encode_run(h[first], tag[first], None, None))])
+                yield _batch([(part, INDEX, None, encode_run(h[first], tag[first], None, None, tag_bytes))])
                 continue
             sorted_doc = doc[order]
             lowest = sorted_doc[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]
@@ -271,11 +279,11 @@ def merge_runs(rows: DataFrame, parts: int, index: bool = False) -> DataFrame:
             later = later[np.lexsort((doc[later], place))]
             out = []
             place, d = place_of(doc[later], parts), doc[later]
-            low = h[later].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+            hs, tags = h[later], tag[later]
             cuts = [0, *(np.flatnonzero(place[1:] != place[:-1]) + 1).tolist(), len(d)] if len(d) else [0]
             for a, b in zip(cuts, cuts[1:], strict=False):
                 names, counts = np.unique(d[a:b], return_counts=True)
-                out.append((int(place[a]), RUN, None, np.array([len(names)], "<u8").tobytes() + names.astype("<i8").tobytes() + counts.astype("<u4").tobytes() + low[a:b].tobytes()))
+                out.append((int(place[a]), RUN, None, np.array([len(names)], "<u8").tobytes() + names.astype("<i8").tobytes() + counts.astype("<u4").tobytes() + hs[a:b].astype("<u8").tobytes() + _low_bytes(tags[a:b], tag_bytes)))
             for at in range(0, len(out), 1000):
                 yield _batch(out[at : at + 1000])
 
@@ -284,11 +292,23 @@ def merge_runs(rows: DataFrame, parts: int, index: bool = False) -> DataFrame:
     return rows.repartitionById(parts, F.col("part")).mapInArrow(run, ROWS)
 
 
+def _in_both(h: np.ndarray, tag: np.ndarray, marked: np.ndarray, tags: np.ndarray) -> np.ndarray:
+    """Whether each (h, tag) is one of the (marked, tags)."""
+    order = np.lexsort((tags, marked))
+    marked, tags = marked[order], tags[order]
+    low, high = np.searchsorted(marked, h, "left"), np.searchsorted(marked, h, "right")
+    found = np.zeros(len(h), bool)
+    for step in range(int((high - low).max(initial=0))):  # equal hashes: rows that repeat a doc_id, or other tags
+        some = np.flatnonzero(low + step < high)
+        found[some] |= tags[low[some] + step] == tag[some]
+    return found
+
+
 KEPT = "doc_id long, n_words long, n_removed long, kept_text string"
 KEPT_DIGEST = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
-def remove_marked(docs: DataFrame, marks: DataFrame, parts: int, window: int = WINDOW, digest: bool = False) -> DataFrame:
+def remove_marked(docs: DataFrame, marks: DataFrame, parts: int, window: int = WINDOW, digest: bool = False, tag_bytes: int = TAG_BYTES) -> DataFrame:
     """The documents without the words that a marked window covers: KEPT, or KEPT_DIGEST."""
     name = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
     texts = docs.select(name.alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("data"))
@@ -297,8 +317,8 @@ def remove_marked(docs: DataFrame, marks: DataFrame, parts: int, window: int = W
     dealt = texts.unionByName(marks).repartitionById(parts, F.col("part")).sortWithinPartitions("kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WindowHasher(window)
-        flags: dict[int, list[bytes]] = {}
+        hasher = WindowHasher(window, tag_bytes)
+        flags: dict[int, list[tuple]] = {}  # of a document: hashes and tags
         spans: dict[tuple[int, bytes], list[bytes]] = {}
         for batch in batches:
             out: list[tuple] = []
@@ -306,10 +326,14 @@ def remove_marked(docs: DataFrame, marks: DataFrame, parts: int, window: int = W
                 if kind == RUN:
                     n = int(np.frombuffer(data, "<u8", 1)[0])
                     names = np.frombuffer(data, "<i8", n, 8).tolist()
-                    at = 8 + 12 * n
-                    for name_, count in zip(names, np.frombuffer(data, "<u4", n, 8 + 8 * n).tolist(), strict=True):
-                        flags.setdefault(name_, []).append(data[at : at + 6 * count])
-                        at += 6 * count
+                    counts = np.frombuffer(data, "<u4", n, 8 + 8 * n)
+                    total = int(counts.sum())
+                    hashes = np.frombuffer(data, "<u8", total, 8 + 12 * n)
+                    tags = _from_low(data, total, tag_bytes, 8 + 12 * n + 8 * total)
+                    at = 0
+                    for name_, count in zip(names, counts.tolist(), strict=True):
+                        flags.setdefault(name_, []).append((hashes[at : at + count], tags[at : at + count]))
+                        at += count
                     continue
                 if kind == SPANS:
                     spans.setdefault((doc_id, data[:8]), []).append(data[8:])
@@ -322,11 +346,8 @@ def remove_marked(docs: DataFrame, marks: DataFrame, parts: int, window: int = W
                         mask[first] += 1
                         mask[first + length - 1 + window] -= 1
                 if doc_id in flags and n >= window:
-                    raw = np.frombuffer(b"".join(flags[doc_id]), np.uint8).reshape(-1, 6)
-                    marked = np.zeros((len(raw), 8), np.uint8)
-                    marked[:, :6] = raw
-                    h, _, _, word = hasher([data])
-                    hit = word[np.isin(h & _MASK48, marked.view("<u8").ravel())]
+                    h, tag, _, word = hasher([data])
+                    hit = word[_in_both(h, tag, *(np.concatenate(x) for x in zip(*flags[doc_id], strict=True)))]
                     mask[hit] += 1
                     mask[hit + window] -= 1
                 gone = np.cumsum(mask[:-1]) > 0
@@ -348,10 +369,12 @@ def ranges_for(docs: DataFrame) -> int:
     return max(partitions(docs.sparkSession), size // 6 // RANGE_WINDOWS + 1)
 
 
-def dedup(docs: DataFrame, window: int = WINDOW, digest: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, window: int = WINDOW, digest: bool = False, tag_bytes: int = TAG_BYTES) -> DataFrame:
     """One batch without history: of equal windows, those of the smallest doc_id stay."""
     parts = ranges_for(docs)
-    return remove_marked(docs, merge_runs(build_runs(docs, parts, window), parts), parts, window, digest)
+    # The marks are written, so that the runs' shuffle files are gone before the texts are dealt.
+    marks = keep(docs.sparkSession, merge_runs(build_runs(docs, parts, window, tag_bytes), parts, tag_bytes=tag_bytes))
+    return remove_marked(docs, marks, parts, window, digest, tag_bytes)
 
 
 class FingerprintIndex:
@@ -359,16 +382,18 @@ class FingerprintIndex:
 
     ``add`` removes from a batch what earlier batches, or smaller doc_ids of its own, hold already, and appends the batch's
     run as a new level; when there are more than ``levels``, all are compacted into one.  ``parts`` stays the same for
-    the life of an index.
+    the life of an index, and so does ``tag_bytes``.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, parts: int, window: int = WINDOW, levels: int = 4):
-        self.spark, self.folder, self.parts, self.window, self.levels = spark, folder, parts, window, levels
+    def __init__(self, spark: SparkSession, folder: str, parts: int, window: int = WINDOW, levels: int = 4, tag_bytes: int = TAG_BYTES):
+        self.spark, self.folder, self.parts, self.window, self.levels, self.tag_bytes = spark, folder, parts, window, levels, tag_bytes
 
     def _generations(self) -> list[str]:
         try:
             rows = self.spark.read.parquet(f"{self.folder}/log").collect()  # one short row for each level ever written
-        except AnalysisException:
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise  # a log that can't be read is no empty one
             return []
         gone = {x for r in rows for x in r["replaces"]}
         return [r["level"] for r in sorted(rows, key=lambda r: r["level"]) if r["level"] not in gone]
@@ -388,16 +413,17 @@ class FingerprintIndex:
 
     def add(self, docs: DataFrame) -> DataFrame:
         """The batch without repeated windows (KEPT).  The result is written before the index grows."""
-        runs = keep(self.spark, build_runs(docs, self.parts, self.window))
-        out = keep(self.spark, remove_marked(docs, merge_runs(self.history().unionByName(runs), self.parts), self.parts, self.window))
-        self._append(merge_runs(runs, self.parts, index=True), [])
+        runs = keep(self.spark, build_runs(docs, self.parts, self.window, self.tag_bytes))
+        marks = merge_runs(self.history().unionByName(runs), self.parts, tag_bytes=self.tag_bytes)
+        out = keep(self.spark, remove_marked(docs, marks, self.parts, self.window, tag_bytes=self.tag_bytes))
+        self._append(merge_runs(runs, self.parts, index=True, tag_bytes=self.tag_bytes), [])
         if len(self._generations()) > self.levels:
             self.compact()
         return out
 
     def compact(self) -> None:
         levels = self._generations()
-        self._append(merge_runs(self.history(), self.parts, index=True), levels)
+        self._append(merge_runs(self.history(), self.parts, index=True, tag_bytes=self.tag_bytes), levels)
 
 
 def op1_substring(spark: SparkSession, sf_dir: str) -> DataFrame:

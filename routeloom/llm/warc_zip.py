@@ -7,8 +7,9 @@ the local headers, and so learns where a stored member lies in the file.  Index
 read and parsed record by record; nothing is extracted.
 
 Behaviour on unusual input: a null payload is an empty one; payloads of at least ``least_bytes`` that are equal are
-written once, by the row with the smallest id (rows that repeat that id are responses too), and the others refer to it;
-smaller ones are all responses; a null id goes into the archive as an empty one and comes back null; a null url is
+written once, by the row with the smallest id (rows that repeat that id are responses too), and the others refer to it, those
+with a null id included; where all ids are null, and for smaller payloads, all are responses; rows that repeat an id with other
+payloads are records of their own; a null id goes into the archive as an empty one and comes back null; a null url is
 empty; an empty table gives no archive and no rows.
 """
 
@@ -26,7 +27,7 @@ from dataclasses import dataclass
 from urllib.parse import quote
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from routeloom.llm._common import keep, shared_dir, table
@@ -272,17 +273,26 @@ def read_ranges(ranges: DataFrame, payloads: bool = True) -> DataFrame:
 
 
 def revisits(rows: DataFrame, id_col: str, payload: str, least_bytes: int = 0) -> DataFrame:
-    """(id, refers_to) of the rows whose payload another row with a smaller id has; only ids and digests are shuffled."""
+    """(id, digest, refers_to) of the rows whose payload a row with a smaller id has; only ids and digests are shuffled.
+
+    A null id comes after all others.  Rows that share the smallest id of a payload, and null ids alone, revisit nothing.
+    """
     data = F.coalesce(F.col(payload), F.lit(""))
-    digests = rows.where(F.col(id_col).isNotNull() & (F.octet_length(data) >= least_bytes)).select(F.col(id_col).alias("id"), F.unhex(F.sha1(data)).alias("digest"))
-    first = digests.groupBy("digest").agg(F.min("id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return digests.join(first, "digest").where("id <> refers_to").select("id", "refers_to").distinct()
+    digests = rows.where(F.octet_length(data) >= least_bytes).select(F.col(id_col).alias("id"), payload_digest(payload))
+    first = digests.groupBy("digest").agg(F.min("id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 and refers_to is not null").drop("n")
+    return digests.join(first, "digest").where("not (id <=> refers_to)").select("id", "digest", "refers_to").distinct()
+
+
+def payload_digest(payload: str) -> Column:
+    return F.unhex(F.sha1(F.coalesce(F.col(payload), F.lit("")))).alias("digest")
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    later = revisits(pages, "page_id", "html").select(F.col("id").alias("page_id"), F.col("refers_to").cast("string"))
-    rows = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload")).join(later, "page_id", "left")
+    later = revisits(pages, "page_id", "html").select("id", F.col("digest").alias("of"), F.col("refers_to").cast("string"))
+    rows = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"), payload_digest("html"))
+    # By id and payload: rows that repeat an id may have different ones.
+    rows = rows.join(later, F.col("page_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("of")), "left").drop("id")
     archives = keep(spark, write_archives(rows.select(F.col("page_id").cast("string").alias("id"), "url", "payload", "refers_to"), shared_dir(spark)))
     records = read_ranges(archive_ranges(archives.repartition(spark.sparkContext.defaultParallelism)), payloads=False)
     return records.select(

@@ -51,12 +51,22 @@ def test_op1_against_brute_force(odd_docs, empty_docs):
 
 def test_op1_run_encoding():
     h = np.sort(np.random.default_rng(1).integers(0, 1 << 63, 5000, dtype=np.uint64) * np.uint64(2))
-    tag, own, ids = (h % 251).astype(np.uint8), np.arange(5000) % 7, np.arange(7) * 10**12
+    tag, own, ids = h % np.uint64(65521), np.arange(5000) % 7, np.arange(7) * 10**12
     a, b, c = substring.decode_run(substring.encode_run(h, tag, own, ids))
     assert (a == h).all() and (b == tag).all() and (c == ids[own]).all()
     assert substring.decode_run(substring.encode_run(h, tag, None, None))[2] is None
 
 
+def test_op1_tags_decide(odd_docs):
+    h = np.array([5, 5, 9, 9, 11], np.uint64)
+    tag = np.array([1, 2, 1, 3, 1], np.uint64)
+    marked, tags = np.array([9, 5, 5, 9], np.uint64), np.array([3, 2, 2, 7], np.uint64)
+    assert substring._in_both(h, tag, marked, tags).tolist() == [False, True, False, True, False]
+    wide = as_rows(substring.dedup(odd_docs, tag_bytes=8), "doc_id", "n_words", "n_removed", "kept_text")
+    assert wide == Counter(without_windows(pairs_of(odd_docs)))
+    assert substring.WindowHasher(tag_bytes=8)([b"w " * 20])[1].max() > 1 << 56
+
+
 def test_op1_index_over_batches(spark, odd_docs, tmp_path):
     docs = odd_docs.where("doc_id is not null").dropDuplicates(["doc_id"])
     rows = sorted(pairs_of(docs))
@@ -114,6 +124,11 @@ def test_op2_merges_what_is_left_in_rounds(spark):
     assert len(rows) == len(sizes) and len({r["sequence_id"] for r in rows}) == 320 + 2
 
 
+def test_op2_partitions_without_rows(spark):
+    pieces = spark.createDataFrame([(i, 0, 0, 500, 7) for i in range(4)], packing.PIECE).repartition(6)
+    assert len({r["sequence_id"] for r in packing.pack(pieces).collect()}) == 2
+
+
 def test_op2_reads_the_end_mark_as_its_token():
     import random
 
@@ -132,7 +147,7 @@ def test_op3_round_trip(spark, tmp_path, zip64):
     rows = [(3, "http://a/ü", "same"), (1, None, "same"), (2, "u", None), (5, "u", ""), (7, "u", "<html>\r\n\r\nX 你</html>"), (None, "u", "same"), (9, "u", "y" * 200_000), (9, "u", "y" * 200_000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     refs = {r["id"]: r["refers_to"] for r in warc_zip.revisits(pages, "page_id", "html").collect()}
-    assert refs == {3: 1, 5: 2}
+    assert refs == {3: 1, 5: 2, None: 1}  # a null id comes after all others
     later = warc_zip.revisits(pages, "page_id", "html").select(F.col("id").alias("page_id"), F.col("refers_to").cast("string"))
     data = pages.join(later, "page_id", "left").select(F.col("page_id").cast("string").alias("id"), "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"), "refers_to")
     archives = spark.createDataFrame(warc_zip.write_archives(data, f"file://{tmp_path}/z", records=3, zip64=zip64).collect())
@@ -144,6 +159,16 @@ def test_op3_round_trip(spark, tmp_path, zip64):
     assert by_id[None]["payload_digest"] == by_id["1"]["payload_digest"] == warc_zip.sha1_base32(b"same")
 
 
+def test_op3_repeated_and_null_ids(spark, tmp_path):
+    """Each row of pages is one record, whatever it shares with others."""
+    rows = [(1, "X"), (2, "Y"), (9, "X"), (9, "Y"), (None, "X"), (None, "Z"), (3, None), (4, "")]
+    folder = str(tmp_path)
+    spark.createDataFrame([(i, "u", h) for i, h in rows], "page_id long, url string, html string").write.parquet(f"{folder}/pages.parquet")
+    got = Counter((r["page_id"], r["record_type"], r["refers_to"]) for r in warc_zip.op3_warc(spark, folder).collect())
+    want = [(1, "response", None), (2, "response", None), (9, "revisit", 1), (9, "revisit", 2), (None, "revisit", 1), (None, "response", None), (3, "response", None), (4, "revisit", 3)]
+    assert got == Counter(want)
+
+
 def test_op3_directory_matches_the_zip_format(tmp_path):
     import zipfile
 
@@ -285,6 +310,13 @@ def test_op9_against_brute_force(odd_docs, empty_docs):
     assert simhash.near_duplicates(empty_docs).count() == 0
 
 
+def test_op9_rows_of_one_id_are_one_document(spark):
+    texts = {5: "a b c d e f", 7: "a b c d e f", 8: "q r s t u v w"}
+    rows = [(5, texts[5]), (7, texts[5]), (7, texts[8]), (8, texts[8]), (9, "entirely other words stand here")]
+    got = {(r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(5, 5), (7, 5), (8, 5), (9, 9)}
+
+
 def test_op9_index_and_hot_groups(spark):
     import xxhash
 
