@@ -1,18 +1,20 @@
-"""Line deduplication by an exact set-similarity join.
+"""Line deduplication by an exact set-similarity join, in DataFrame operations.
 
 A line is the set of its words.  The words of a line are ordered by rarity, and two sets with a Jaccard likeness of at least
-0.8 must share a word among the first few of each (prefix filter); their sizes (length filter), the places of that word
-(positional filter) and a parity word over all their words bound the overlap further.  Pairs that pass are verified on the words
-themselves.  A line goes if an earlier line, in order of (doc_id, line number), has its set or one that is similar.
+0.8 must share a word among the first ``n - ceil(0.8 n) + 1`` of each (prefix filter); their sizes (length filter), the places of
+that word (positional filter) and the parities of 128 hash buckets over all their words bound the overlap further.  Pairs that
+pass are verified on the words of the texts.  A line goes if an earlier line, in order of (doc_id, line number), has its set or
+one that is similar.
 
-Postings (one for each prefix word of each line) are packed by column into one row for each task and range of words; as rows of
-a DataFrame they took three times the disk and most of the time.  To settle groups of very many similar lines without all
-their pairs there are two rounds.  The first takes the three rarest words of each line: lines with equal sets meet under the
-rarest one, and each line is verified against its likeliest partner among the earliest lines that share a word.  The second takes
-all prefix words, and compares lines that this did not settle with all others.
+Lines with equal sets are settled first, by a window that is cut before the shuffle, so only one line of each set goes on.
+Groups of very many similar lines are settled without all their pairs: each line is verified against the likeliest of the first
+and the last line before it under a few of its words.  Lines that this did not settle are compared with all others, in one
+self-join of the postings (one row for each prefix word of each line), of which Spark shuffles one side and reuses it.
 
-Rarity comes from counts of all words of all documents, hashed into a table of fixed size; words in one slot count together,
-which changes the order but nothing else: any one order for all lines gives exact results.
+Rarity comes from counts of all words of all documents, hashed into a table whose size grows with the corpus up to MOST_SLOTS;
+words in one slot count together, which changes the order but nothing else: any one order for all lines gives exact results.
+Inside the join a word is 56 bits of its hash, and equal sets are those with equal 128-bit hashes of these; pairs of similar
+lines are held against each other word by word.
 
 Behaviour on unusual input: lines without words stay; a null text stays null; a null doc_id comes after all others; rows
 that repeat doc_id and text are one document and keep the same lines; further columns are kept; an empty table stays empty.
@@ -20,99 +22,21 @@ that repeat doc_id and text are one document and keep the same lines; further co
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from routeloom.llm._common import keep, partitions, table
-from routeloom.llm.substring import _BASE, _BYTES, _WHITE, _mix, _Powers
-
-SPACE = r"[\x20\x09-\x0D]+"
-#: Slots of the table of word counts (a byte each for the tasks), and slots in a row of the shuffle that sums them.
-SLOTS, BLOCK = 1 << 20, 1 << 13
-FIRST_WORDS = 3
-#: The first round looks for a partner among so many of the earliest lines under a word.
-EARLIEST = 16
-#: Bytes of text that are cut into words at once; postings in a run; and in a range of words, at most about so many.
-CHUNK, RUN_POSTINGS, RANGE_POSTINGS = 1 << 20, 600_000, 1_000_000
+from routeloom.llm._common import keep, table
+
+#: White space in a line besides the blank, which blanks replace before words are cut.
+SPACES = "\t\x0b\x0c\r"
+WORD = r"[^\x20\x09-\x0D]"
+#: Slots of the table of word counts: one for each BYTES_A_SLOT bytes of text, in these bounds (a byte each for the tasks).
+BYTES_A_SLOT, LEAST_SLOTS, MOST_SLOTS = 2048, 1 << 14, 1 << 22
+#: Words of a line's prefix under which it looks for a likely partner: those with the smallest hashes, so that similar lines agree in them.
+FEW_WORDS = 3
 LAST = (1 << 63) - 1
+HASH = (1 << 56) - 1
 ID = ["k", "m"]
-HIGH = -(1 << 32)
-ROWS = "part int, kind int, data binary"
-FOUND = "k long, m long, ek long, em long, differ int"
-RUN, GONE = 0, 1
-
-_U = np.uint64
-
-
-class LineWords:
-    """Hashes of the words of a list of texts (UTF-8 bytes), and each one's line, without a loop over words."""
-
-    def __init__(self):
-        self.powers = _Powers(_BASE)
-
-    def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Hash and line (counted over all texts) of each word, and each text's first line."""
-        buf = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
-        white = _WHITE[buf]
-        edge = np.flatnonzero(white[1:] != white[:-1]) + 1
-        if not white[0]:
-            edge = np.concatenate([[0], edge])
-        starts, ends = edge[0::2], edge[1::2]
-        self.powers.grow(len(buf) + 1)
-        sums = np.zeros(len(buf) + 1, np.uint64)
-        np.cumsum(_BYTES[buf] * self.powers.up[: len(buf)], out=sums[1:])
-        word = (sums[ends] - sums[starts]) * self.powers.down[starts] + (ends - starts).astype(np.uint64)
-        breaks = np.cumsum(buf == 10, dtype=np.int64)
-        at = np.cumsum([len(t) + 1 for t in texts[:-1]], dtype=np.int64)
-        return _mix(word, 3), breaks[starts], np.concatenate([[0], breaks[at - 1]])
-
-
-def _chunks(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """The batches in pieces of about CHUNK bytes of text, or of one text."""
-    for batch in batches:
-        texts = batch.column(column).cast(pa.binary()).fill_null(b"").to_pylist()
-        at = 0
-        while at < len(texts):
-            end, size = at, 0
-            while end < len(texts) and (end == at or size + len(texts[end]) <= CHUNK):
-                size += len(texts[end])
-                end += 1
-            yield batch.slice(at, end - at), texts[at:end]
-            at = end
-
-
-def rarity_levels(docs: DataFrame, hasher: type = LineWords) -> np.ndarray:
-    """For each slot of hashes (of words, or what else ``hasher`` gives first) the level of its count, four to each doubling."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, total = hasher(), np.zeros(SLOTS, np.int64)
-        for _, texts in _chunks(batches, 0):
-            total += np.bincount((words(texts)[0] & _U(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
-        if total.any():
-            blocks = total.astype("<i8").reshape(-1, BLOCK)
-            data = [pa.compress(x.view(np.uint8).reshape(-1, 8).T.tobytes(), codec="zstd", asbytes=True) for x in blocks]
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(data)), pa.int32()), pa.array(data, pa.binary())], names=["block", "data"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for block, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                raw = np.frombuffer(pa.decompress(data, 8 * BLOCK, codec="zstd", asbytes=True), np.uint8)
-                sums[block] = sums.get(block, 0) + raw.reshape(8, BLOCK).T.copy().view("<i8").ravel()
-        for block, x in sums.items():
-            level = np.where(x > 0, np.minimum(np.floor(np.log2(np.maximum(x, 1)) * 4) + 1, 127), 0).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([level.tobytes()], pa.binary())], names=["block", "data"])
-
-    schema = "block int, data binary"
-    found = docs.select("text").mapInArrow(count, schema).repartition(partitions(docs.sparkSession), "block").mapInArrow(add, schema)
-    out = np.zeros(SLOTS, np.uint8)
-    for r in found.collect():  # SLOTS bytes
-        out[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(r["data"], np.uint8)
-    return out
 
 
 def _key(docs: DataFrame) -> list[Column]:
@@ -120,317 +44,125 @@ def _key(docs: DataFrame) -> list[Column]:
     return [F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("k"), F.shiftleft(F.xxhash64("text").bitwiseAND(F.lit((1 << 31) - 1).cast("long")), 32).alias("r")]
 
 
-#: Lines of more words than LONG have three further parity words, as so many words fill 64 bits with noise.
-LONG, FURTHER = 64, ("parity2", "parity3", "parity4")
-#: Columns of a posting besides its word.
-COLUMNS = {"k": "<i8", "m": "<i8", "size": "<u4", "at": "<u4", "parity": "<u8", **dict.fromkeys(FURTHER, "<u8"), "tag": "<u4", "probe": "u1"}
-
+def _lines(text: Column) -> Column:
+    """The lines of a text, with blanks for other white space; numbered like those of the text itself."""
+    return F.split(F.when(text.rlike(f"[{SPACES}]"), F.translate(text, SPACES, " " * len(SPACES))).otherwise(text), "\n")
 
-def encode_run(word: np.ndarray, columns: dict[str, np.ndarray]) -> bytes:
-    """Postings in order of their words: steps between words, then the other columns; bytes of like weight stand together."""
-    owners, own = np.unique(columns["k"], return_inverse=True)
-    parts = [np.diff(word, prepend=_U(0)).astype("<u8"), owners.astype("<i8"), own.astype("<u4"), *(columns[c].astype(t) for c, t in COLUMNS.items() if c != "k")]
-    raw = b"".join(x.view(np.uint8).reshape(len(x), -1).T.tobytes() for x in parts)
-    return np.array([len(word), len(owners), len(raw)], "<u8").tobytes() + pa.compress(raw, codec="zstd", asbytes=True)
 
+def rarity_levels(docs: DataFrame) -> tuple[Column, int]:
+    """The levels of all slots (array of bytes, four levels to each doubling of the count) as a scalar column, and the number of slots."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    slots = min(max(1 << (size // BYTES_A_SLOT).bit_length(), LEAST_SLOTS), MOST_SLOTS)
+    words = docs.select(F.explode(_lines(F.col("text"))).alias("line")).select(F.explode(F.split("line", " ")).alias("w")).where("w <> ''")
+    counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(slots - 1).cast("long")).cast("int").alias("slot")).count()
+    level = F.least(F.floor(F.log2("count") * 4) + 1, F.lit(127)).cast("byte")
+    counts = keep(docs.sparkSession, counts.select("slot", level.alias("level")))
+    # At most MOST_SLOTS bytes; a slot without words is level 0.
+    every = docs.sparkSession.range(slots).select(F.col("id").cast("int").alias("slot")).join(counts, "slot", "left")
+    table_ = every.groupBy().agg(F.sort_array(F.collect_list(F.struct("slot", F.coalesce("level", F.lit(0).cast("byte")).alias("level")))).alias("s"))
+    levels = keep(docs.sparkSession, table_.select(F.col("s.level").alias("levels")))
+    return levels.scalar(), slots
+
+
+def line_sets(texts: DataFrame, levels: Column, slots: int) -> DataFrame:
+    """(k, m, size, one, two, p, q, prefix) of each line with words: its set's size, hashes, parities and rarest words in order.
+
+    A word is its level of rarity above 56 bits of its hash.
+    """
+    lines = texts.select("k", "r", F.posexplode(_lines(F.col("text"))).alias("n", "line")).where(F.trim("line") != "")
+    lines = lines.select("k", F.col("r").bitwiseOR(F.col("n").cast("long")).alias("m"), F.split("line", " ").alias("words"), levels.alias("levels"))
+    code = f"transform(array(levels), t -> transform(words, w -> if(w = '', 0L, shiftleft(cast(get(t, cast(xxhash64(w) & {slots - 1}L as int)) as bigint), 56) | (shiftrightunsigned(xxhash64(w), 8) & {HASH}L))))[0]"
+    lines = lines.select(*ID, F.expr(code).alias("codes"))
+    lines = lines.select(*ID, F.sort_array(F.array_remove(F.array_distinct("codes"), F.lit(0).cast("long"))).alias("set"))
+    lines = lines.select(*ID, "set", F.size("set").alias("size"))
+    parity = "aggregate(set, 0L, (a, x) -> a ^ shiftleft({} & 1L, cast(x & 63L as int)))"
+    rare = F.slice("set", F.lit(1), F.col("size") - F.expr("(4 * size + 4) div 5").cast("int") + 1)
+    return lines.select(*ID, "size", F.xxhash64("set").alias("one"), F.xxhash64(F.lit(1), "set").alias("two"), F.expr(parity.format("(x >> 6)")).alias("p"), F.expr(parity.format("(~(x >> 6))")).alias("q"), rare.alias("prefix"))
 
-def decode_run(data: bytes) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-    n, m, size = (int(x) for x in np.frombuffer(data, "<u8", 3))
-    raw = np.frombuffer(pa.decompress(data[24:], size, codec="zstd", asbytes=True), np.uint8)
-    at = 0
-
-    def take(count: int, kind: str) -> np.ndarray:
-        nonlocal at
-        width = np.dtype(kind).itemsize
-        out = raw[at : at + count * width].reshape(width, count).T.copy().view(kind).ravel()
-        at += count * width
-        return out
 
-    word, owners, own = np.cumsum(take(n, "<u8")), take(m, "<i8"), take(n, "<u4")
-    return word, {"k": owners[own]} | {c: take(n, t) for c, t in COLUMNS.items() if c != "k"}
+def first_of_each_set(lines: DataFrame) -> DataFrame:
+    from pyspark.sql import Window
 
+    # Spark cuts such a window before its shuffle as well, so a line that stands in a third of all documents goes there once a task.
+    place = F.row_number().over(Window.partitionBy("one", "two", "size").orderBy(*ID))
+    return lines.withColumn("place", place).where("place = 1").drop("place", "one", "two")
 
-def _rows(names: list[str], kinds: list, columns: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
+#: Conditions for a later line (size, at, p, q) and an earlier one (those with e): enough shared words are possible.
+NEED = "((4 * (size + esize) + 8) div 9)"
+FITS = f"4 * greatest(size, esize) <= 5 * least(size, esize) and bit_count(p ^ ep) + bit_count(q ^ eq) <= size + esize - 2 * {NEED}"
+PLACES = f"least(size - at, esize - eat) >= {NEED}"
 
-def _packed(rows: list[tuple]) -> pa.RecordBatch:
-    return _rows(["part", "kind", "data"], [pa.int32(), pa.int32(), pa.binary()], list(zip(*rows, strict=True)))
 
+def likely_pairs(sets: DataFrame) -> DataFrame:
+    """(k, m, ek, em): of each line the likeliest of the first and the last earlier line under a few of its words, if any may be similar."""
+    from pyspark.sql import Window
 
-def postings(docs: DataFrame, levels: np.ndarray, parts: int, most: int | None = None) -> DataFrame:
-    """ROWS of documents (k, r, text, gone, done): runs of the postings of their lines, of the ``most`` rarest words or of all prefix words.
+    few = F.slice(F.sort_array(F.expr(f"transform(prefix, x -> x & {HASH}L)")), 1, FEW_WORDS)
+    posts = sets.select(*ID, "size", "p", "q", F.explode(few).alias("w"))
+    before = Window.partitionBy("w").orderBy(*ID)
+    line = F.struct(F.col("k").alias("ek"), F.col("m").alias("em"), F.col("size").alias("esize"), F.col("p").alias("ep"), F.col("q").alias("eq"))
+    posts = posts.select(*ID, "size", "p", "q", F.first(line).over(before.rowsBetween(Window.unboundedPreceding, 0)).alias("first"), F.lag(line).over(before).alias("last"))
+    posts = posts.select(*ID, "size", "p", "q", F.explode(F.array("first", "last")).alias("e")).select(*ID, "size", "p", "q", "e.*")
+    fits = posts.where(f"ek is not null and (ek <> k or em <> m) and {FITS}")
+    return fits.groupBy(*ID).agg(F.min(F.struct(F.expr("bit_count(p ^ ep) + bit_count(q ^ eq)").alias("differ"), "ek", "em")).alias("e")).select(*ID, "e.ek", "e.em")
 
-    Lines numbered in ``gone`` are left out, those in ``done`` are no probes.  Of lines with equal sets a task gives the first only
-    and tells the others (kind GONE).
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = LineWords()
-        lines: list[tuple] = []  # k, m, size, parity, set's hash, probe, further parity words
-        posts: list[tuple] = []  # word, line, at
-        n_lines = n_posts = runs = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            k, m, size, parity, name, probe, *further = (np.concatenate(x) for x in zip(*lines, strict=True))
-            word, of, at = (np.concatenate(x) for x in zip(*posts, strict=True))
-            lines.clear()
-            posts.clear()
-            order = np.lexsort((m, k, parity, size, name))
-            first = np.ones(len(order), bool)
-            a, b = order[:-1], order[1:]
-            first[1:] = (name[a] != name[b]) | (size[a] != size[b]) | (parity[a] != parity[b])
-            twice = order[~first]
-            stays = np.zeros(len(order), bool)
-            stays[order[first]] = True
-            out = []
-            if len(twice):
-                out.append((runs % parts, GONE, k[twice].astype("<i8").tobytes() + m[twice].astype("<i8").tobytes()))
-            keep_ = stays[of]
-            word, of, at = word[keep_], of[keep_], at[keep_]
-            order = np.argsort(word)
-            word, of, at = word[order], of[order], at[order]
-            bounds = np.searchsorted(word, np.array([-(-(i << 64) // parts) for i in range(1, parts)], np.uint64))
-            tag = (name >> _U(32)).astype(np.uint32)
-            for p, (a, b) in enumerate(zip([0, *bounds], [*bounds, len(word)], strict=True)):
-                if b > a:
-                    x = of[a:b]
-                    out.append((p, RUN, encode_run(word[a:b], {"k": k[x], "m": m[x], "size": size[x], "at": at[a:b], "parity": parity[x], "tag": tag[x], "probe": probe[x], **{c: y[x] for c, y in zip(FURTHER, further, strict=True)}})))
-            for i in range(0, len(out), 500):
-                yield _packed(out[i : i + 500])
-
-        for batch, texts in _chunks(batches, 2):
-            h, line, first_line = words(texts)
-            if not len(h):
-                continue
-            key = (levels[(h & _U(SLOTS - 1)).astype(np.int64)].astype(np.uint64) << _U(56)) | (h >> _U(8))
-            order = np.argsort(key)
-            by_line = line[order]
-            order = order[np.argsort(by_line.astype(np.uint16) if line[-1] < 1 << 16 else by_line, kind="stable")]  # small numbers go by radix
-            key, line = key[order], line[order]
-            new = np.ones(len(key), bool)
-            new[1:] = (key[1:] != key[:-1]) | (line[1:] != line[:-1])
-            key, line = key[new], line[new]
-            start = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
-            size = np.diff(np.concatenate([start, [len(key)]]))
-            number = line[start]
-            doc = np.searchsorted(first_line, number, side="right") - 1
-            n = number - first_line[doc]
-            name = _mix(np.add.reduceat(_mix(key, 5), start), 6)
-            parity = np.bitwise_xor.reduceat(_U(1) << (key & _U(63)), start)
-            further = [np.zeros(len(start), np.uint64) for _ in FURTHER]
-            if len(long_ := np.flatnonzero(size > LONG)):
-                some = np.repeat(size > LONG, size)
-                bit, begin = (key[some] >> _U(6)) & _U(255), np.cumsum(size[long_]) - size[long_]
-                for q, x in enumerate(further):
-                    x[long_] = np.bitwise_xor.reduceat(np.where(bit >> _U(6) == _U(q), _U(1) << (bit & _U(63)), _U(0)), begin)
-            stays, probe = np.ones(len(start), bool), np.ones(len(start), np.uint8)
-            for flags, column in ((stays, 3), (probe, 4)):
-                for i, found in enumerate(batch.column(column).to_pylist()):
-                    if found:
-                        a, b = np.searchsorted(doc, [i, i + 1])
-                        flags[a:b][np.isin(n[a:b], found)] = False
-            k, r = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
-            at = np.arange(len(key)) - np.repeat(start, size)
-            limit = size - (4 * size + 4) // 5 + 1
-            limit = np.where(stays, limit if most is None else np.minimum(limit, most), 0)
-            chosen = np.flatnonzero(at < np.repeat(limit, size))
-            index = np.cumsum(stays) - 1 + n_lines
-            posts.append((_mix(key[chosen], 7), np.repeat(index, size)[chosen], at[chosen].astype(np.uint32)))
-            lines.append(tuple(x[stays] for x in (k[doc], r[doc] | n, size.astype(np.uint32), parity, name, probe, *further)))
-            n_lines += int(stays.sum())
-            n_posts += len(chosen)
-            if n_posts >= RUN_POSTINGS:
-                yield from flush()
-                n_lines = n_posts = 0
-                runs += 1
-        if n_posts:
-            yield from flush()
-
-    return docs.select("k", "r", "text", "gone", "done").mapInArrow(run, ROWS)
-
-
-def _joined(word: np.ndarray, x: dict[str, np.ndarray], every: bool) -> Iterator[tuple]:
-    """Of a range's postings: lines whose set an earlier one has (later, None), then candidates (later, earlier) as positions, with the difference of their parities."""
-    order = np.argsort(word, kind="stable")  # merges sorted runs
-    alike = word[order][1:] == word[order][:-1]
-    order = order[np.concatenate([alike, [False]]) | np.concatenate([[False], alike])]  # words of one line only pair nothing
-    for later, other, differ in _pairs_of(word[order], {c: v[order] for c, v in x.items()}, every):
-        yield order[later], other if other is None else order[other], differ
-
-
-def _pairs_of(word: np.ndarray, x: dict[str, np.ndarray], every: bool) -> Iterator[tuple]:
-    rank = np.empty(len(word), np.int64)
-    order = np.lexsort((x["m"], x["k"]))
-    new = np.ones(len(order), bool)
-    a, b = order[:-1], order[1:]
-    new[1:] = (x["k"][a] != x["k"][b]) | (x["m"][a] != x["m"][b])
-    rank[order] = np.cumsum(new)
-    size, at, parity = x["size"].astype(np.int64), x["at"].astype(np.int64), x["parity"]
-    order = np.lexsort((rank, x["tag"], parity, size, word))
-    a, b = order[:-1], order[1:]
-    first = np.ones(len(order), bool)
-    first[1:] = (word[a] != word[b]) | (size[a] != size[b]) | (parity[a] != parity[b]) | (x["tag"][a] != x["tag"][b])
-    lead = order[np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))]
-    again = order[(rank[order] > rank[lead]) & (at[order] == 0)]
-    yield again, None, None
-    here = order[first]  # by word and size
-
-    def may_match(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        need = (4 * (size[i] + size[j]) + 8) // 9
-        room = np.minimum(size[i] - at[i], size[j] - at[j])
-        differ = np.bitwise_count(parity[i] ^ parity[j]).astype(np.int64)
-        fits = (4 * size[i] <= 5 * size[j]) & (4 * size[j] <= 5 * size[i])
-        ok = fits & (room >= need) & (differ <= size[i] + size[j] - 2 * need)
-        # Bits of the further words are counted apart: where one of them is over the bound, the sets differ by more.
-        if len(both := np.flatnonzero(ok & (size[i] > LONG) & (size[j] > LONG))):
-            p, q = i[both], j[both]
-            more = sum(np.bitwise_count(x[c][p] ^ x[c][q]).astype(np.int64) for c in FURTHER)
-            differ[both] = np.maximum(differ[both], more)
-            ok[both] &= differ[both] <= size[p] + size[q] - 2 * need[both]
-        return ok, differ
-
-    if not every:
-        here = here[np.lexsort((rank[here], word[here]))]
-        start = np.flatnonzero(np.concatenate([[True], word[here][1:] != word[here][:-1]])) if len(here) else np.zeros(0, np.int64)
-        begin = np.repeat(start, np.diff(np.concatenate([start, [len(here)]])))
-        best, least = np.full(len(here), -1), np.full(len(here), 1 << 30)
-        for w in range(EARLIEST):
-            i = np.flatnonzero(begin + w < np.arange(len(here)))
-            if not len(i):
-                break
-            j = begin[i] + w
-            ok, differ = may_match(here[i], here[j])
-            ok &= (differ < least[i]) & (rank[here[i]] > rank[here[j]])
-            best[i[ok]], least[i[ok]] = j[ok], differ[ok]
-        i = np.flatnonzero(best >= 0)
-        yield here[i], here[best[i]], least[i]
-        return
-    probe = x["probe"][here] > 0
-    w, s = word[here], size[here]
-    for step in (1, -1):
-        i, far = np.flatnonzero(probe), 0
-        while len(i):
-            far += step
-            i = i[(i + far >= 0) & (i + far < len(here))]
-            j = i + far
-            near = (w[i] == w[j]) & (4 * np.maximum(s[i], s[j]) <= 5 * np.minimum(s[i], s[j]))
-            i, j = i[near], j[near]
-            ok, differ = may_match(here[i], here[j])
-            p, q = here[i], here[j]
-            later, other = np.where(rank[p] > rank[q], p, q), np.where(rank[p] > rank[q], q, p)
-            # A later line that is settled needs no partner; two probes meet on the way up only.
-            ok &= (rank[p] != rank[q]) & (x["probe"][later] > 0) & ((step > 0) | ~probe[j])
-            if ok.any():
-                yield later[ok], other[ok], differ[ok]
-
-
-def merge_postings(rows: DataFrame, parts: int, every: bool) -> DataFrame:
-    """FOUND: lines that go as an earlier one has their set (no ek), and pairs that may be similar; with ``every`` all of them for probes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds, names = [pa.int64()] * 4 + [pa.int32()], ["k", "m", "ek", "em", "differ"]
-        by_part: dict[int, list[bytes]] = {}
-        for batch in batches:
-            for part, kind, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if kind == RUN:
-                    by_part.setdefault(part, []).append(data)
-                    continue
-                k, m = np.frombuffer(data, "<i8").reshape(2, -1)
-                yield _rows(names, kinds, [k, m, *[[None] * len(k)] * 3])
-        for part in sorted(by_part):
-            decoded = [decode_run(x) for x in by_part.pop(part)]
-            word = np.concatenate([x[0] for x in decoded])
-            columns = {c: np.concatenate([x[1][c] for x in decoded]) for c in COLUMNS}
-            del decoded
-            k, m = columns["k"], columns["m"]
-            held, count = [], 0
-            for later, other, differ in _joined(word, columns, every):
-                if other is None:
-                    if len(later):
-                        yield _rows(names, kinds, [k[later], m[later], *[[None] * len(later)] * 3])
-                    continue
-                held.append((k[later], m[later], k[other], m[other], differ))
-                count += len(later)
-                if count > 50_000:
-                    yield _rows(names, kinds, [np.concatenate(c) for c in zip(*held, strict=True)])
-                    held, count = [], 0
-            if count:
-                yield _rows(names, kinds, [np.concatenate(c) for c in zip(*held, strict=True)])
-
-    return rows.repartitionById(parts, F.col("part")).mapInArrow(run, FOUND)
+def all_pairs(sets: DataFrame) -> DataFrame:
+    """(k, m, ek, em): all pairs of lines that may be similar, whose later one has no ``settled``."""
+    # What a line asks for comes before its own place; a settled one asks for nothing.
+    asks = [F.when(F.col("settled").isNull(), F.col(c)).otherwise(F.lit(-LAST)).alias(f"asks_{c}") for c in ID]
+    posts = sets.select(*ID, "size", "p", "q", *asks, F.posexplode("prefix").alias("at", "w"))
+    earlier = posts.select(*[F.col(c).alias(f"e{c}") for c in posts.columns])
+    before = "(ek < asks_k or (ek = asks_k and em < asks_m))"
+    return posts.join(earlier, F.expr(f"w = ew and {before} and {FITS} and {PLACES}")).select(*ID, "ek", "em").distinct()
 
 
 def words(line: Column) -> Column:
-    """The set of a line's words; a split at single blanks needs no regular expression, and few lines have other spaces."""
-    parts = F.when(line.rlike(r"[\x09\x0B-\x0D]"), F.split(line, SPACE)).otherwise(F.split(line, " "))
-    return F.array_remove(F.array_distinct(parts), "")
-
-
-def _numbers(ids: DataFrame, name: str) -> DataFrame:
-    """Line numbers by document: (k, r, name)."""
-    number = F.col("m").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
-    return ids.groupBy("k", F.col("m").bitwiseAND(F.lit(HIGH)).alias("r")).agg(F.collect_set(number).alias(name))
-
-
-def _texts(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """(k, m, line) of the lines in pairs (k, m, ek, em)."""
-    asked = _numbers(pairs.select(*ID).unionByName(pairs.select(F.col("ek").alias("k"), F.col("em").alias("m"))), "asked")
-    texts = docs.where("text is not null").select(*_key(docs), "text").join(asked, ["k", "r"])
-    found = texts.select("k", "r", F.explode(F.transform(F.array(F.split("text", "\n")), lambda parts: F.transform("asked", lambda i: F.struct(i.alias("n"), F.get(parts, i).alias("line"))))).alias("s"))
-    return keep(docs.sparkSession, found.select("k", "r", F.explode("s").alias("x")).select("k", F.col("r").bitwiseOR(F.col("x.n").cast("long")).alias("m"), F.col("x.line").alias("line")))
+    """The set of a line's words."""
+    return F.array_remove(F.array_distinct(F.split(line, " ")), "")
 
 
-def _verified(pairs: DataFrame, text: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The later ids (k, m) of the pairs (k, m, ek, em) that are similar: 9 * overlap >= 4 * (size + size) is a likeness of 4/5."""
-    one = pairs.join(text.withColumnRenamed("line", "x"), ID)
-    two = one.join(text.select(F.col("k").alias("ek"), F.col("m").alias("em"), F.col("line").alias("y")), ["ek", "em"])
-    x, y = words(F.col("x")), words(F.col("y"))
-    similar = F.size(F.array_intersect(x, y)) * 9 >= (F.size(x) + F.size(y)) * 4
-    return two.where(similar).select(*ID).distinct()
-
-
-def _best(pairs: DataFrame) -> DataFrame:
-    """Each later line's likeliest pair."""
-    return pairs.groupBy(*ID).agg(F.min(F.struct("differ", "ek", "em")).alias("p")).select(*ID, "p.ek", "p.em")
+    ids = pairs.select(*ID).unionByName(pairs.select(F.col("ek").alias("k"), F.col("em").alias("m")))
+    number = F.col("m").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+    asked = ids.groupBy("k", F.col("m").bitwiseAND(F.lit(-(1 << 32))).alias("r")).agg(F.collect_set(number).alias("asked"))
+    found = texts.join(asked, ["k", "r"]).select("k", "r", "asked", _lines(F.col("text")).alias("lines"))
+    found = found.select("k", "r", F.explode(F.expr("transform(asked, i -> struct(i, lines[i] as line))")).alias("x"))
+    lines = keep(texts.sparkSession, found.select("k", F.col("r").bitwiseOR(F.col("x.i").cast("long")).alias("m"), F.col("x.line").alias("line")).distinct())
+    both = pairs.join(lines.withColumnRenamed("line", "x"), ID).join(lines.select(F.col("k").alias("ek"), F.col("m").alias("em"), F.col("line").alias("y")), ["ek", "em"])
+    both = both.select(*ID, words(F.col("x")).alias("x"), words(F.col("y")).alias("y"))
+    return both.where(F.size(F.array_intersect("x", "y")) * 9 >= (F.size("x") + F.size("y")) * 4).select(*ID).distinct()
 
 
-def lines_to_remove(docs: DataFrame) -> DataFrame:
-    """(k, r, gone): numbers of the lines of a document that an earlier line equals or is similar to."""
+def lines_to_keep(docs: DataFrame) -> DataFrame:
+    """(k, r, stays): numbers of the lines of a document that no earlier line equals or is similar to; lines without words are left out."""
     spark = docs.sparkSession
-    levels = rarity_levels(docs)
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(partitions(spark), size // 30 // RANGE_POSTINGS + 1)  # some thirty bytes of text for each posting
-    none = F.lit(None).cast("array<int>")
     texts = docs.where("text is not null").select(*_key(docs), "text")
-
-    first = keep(spark, merge_postings(postings(texts.select("*", none.alias("gone"), none.alias("done")), levels, parts, FIRST_WORDS), parts, False))
-    same = first.where("ek is null").select(*ID)
-    pairs = keep(spark, _best(first.where("ek is not null")))
-    settled = keep(spark, _verified(pairs, _texts(pairs, docs)))
-    marks = same.withColumn("same", F.lit(True)).unionByName(settled.withColumn("same", F.lit(False)))
+    sets = keep(spark, first_of_each_set(line_sets(texts, *rarity_levels(docs))))
+    settled = keep(spark, verified(keep(spark, likely_pairs(sets)), texts))
+    open_ = keep(spark, sets.join(settled.withColumn("settled", F.lit(True)), ID, "left"))
+    similar = keep(spark, verified(keep(spark, all_pairs(open_)), texts))
+    left = open_.where("settled is null").select(*ID).join(similar, ID, "left_anti")
     number = F.col("m").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
-    marks = keep(spark, marks.groupBy("k", F.col("m").bitwiseAND(F.lit(HIGH)).alias("r")).agg(F.collect_set(F.when(F.col("same"), number)).alias("gone"), F.collect_set(F.when(~F.col("same"), number)).alias("done")))
-
-    second = keep(spark, merge_postings(postings(texts.join(marks, ["k", "r"], "left"), levels, parts), parts, True).where("ek is not null").groupBy(*ID, "ek", "em").agg(F.min("differ").alias("differ")))
-    text = _texts(second, docs)
-    likely = keep(spark, _verified(_best(second), text))
-    others = keep(spark, _verified(second.join(likely, ID, "left_anti").join(_best(second), [*ID, "ek", "em"], "left_anti"), text))
-    return _numbers(same.unionByName(settled).unionByName(likely).unionByName(others), "gone")
+    return left.groupBy("k", F.col("m").bitwiseAND(F.lit(-(1 << 32))).alias("r")).agg(F.collect_list(number).alias("stays"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with text less its repeated and similar later lines, and n_lines, n_removed."""
     docs = docs.drop("n_lines", "n_removed")  # columns of these names are replaced
-    gone = keep(docs.sparkSession, lines_to_remove(docs)).select(F.col("k").alias("__k_"), F.col("r").alias("__r_"), F.col("gone").alias("__gone_"))
+    stays = keep(docs.sparkSession, lines_to_keep(docs)).select(F.col("k").alias("__k_"), F.col("r").alias("__r_"), F.col("stays").alias("__stays_"))
     keyed = docs.select("*", _key(docs)[0].alias("__k_"), _key(docs)[1].alias("__r_"))
-    out = keyed.join(gone, ["__k_", "__r_"], "left")
-    parts = F.split("text", "\n")
-    stays = F.when(F.col("__gone_").isNull(), parts).otherwise(F.filter(parts, lambda x, i: ~F.array_contains(F.coalesce("__gone_", F.array().cast("array<int>")), i)))
-    out = out.withColumn("__parts_", F.size(parts)).withColumn("__stays_", stays)
+    out = keyed.join(stays, ["__k_", "__r_"], "left").withColumn("__parts_", F.split("text", "\n"))
+    blank = F.expr(f"filter(sequence(0, size(__parts_) - 1), i -> not (__parts_[i] rlike '{WORD}'))".replace("\\", "\\\\"))
+    numbers = F.sort_array(F.array_union(F.coalesce("__stays_", F.array().cast("array<int>")), blank))
+    out = out.withColumn("__stays_", numbers)
+    kept = F.array_join(F.expr("transform(__stays_, i -> __parts_[i])"), "\n")
     return out.select(
-        *[F.array_join("__stays_", "\n").alias("text") if c == "text" else F.col(c) for c in docs.columns],
-        F.coalesce("__parts_", F.lit(0)).cast("long").alias("n_lines"), (F.col("__parts_") - F.size("__stays_")).cast("long").alias("n_removed"),
+        *[kept.alias("text") if c == "text" else F.col(c) for c in docs.columns],
+        F.when(F.col("text").isNull(), 0).otherwise(F.size("__parts_")).cast("long").alias("n_lines"),
+        F.when(F.col("text").isNotNull(), F.size("__parts_") - F.size("__stays_")).cast("long").alias("n_removed"),
     )
 
 
