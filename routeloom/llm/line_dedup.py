@@ -2,14 +2,14 @@
 
 A line is the set of its words.  The words of a line are ordered by rarity, and two sets with a Jaccard likeness of at least
 0.8 must share a word among the first ``n - ceil(0.8 n) + 1`` of each (prefix filter); their sizes (length filter), the places of
-that word (positional filter) and the parities of 128 hash buckets over all their words bound the overlap further.  Pairs that
+that word (positional filter) and the parities of 64 or 128 buckets of hashes over all their words bound the overlap further.  Pairs that
 pass are verified on the words of the texts.  A line goes if an earlier line, in order of (doc_id, line number), has its set or
 one that is similar.
 
 Lines with equal sets are settled first, by a window that is cut before the shuffle, so only one line of each set goes on.
 Groups of very many similar lines are settled without all their pairs: each line is verified against the likeliest of the first
 and the last line before it under a few of its words.  Lines that this did not settle are compared with all others, in one
-self-join of the postings (one row for each prefix word of each line), of which Spark shuffles one side and reuses it.
+join of the postings (one row for each prefix word of each line), in which the smaller set of a pair has the shorter prefix.
 
 Rarity comes from counts of all words of all documents, hashed into a table whose size grows with the corpus up to MOST_SLOTS;
 words in one slot count together, which changes the order but nothing else: any one order for all lines gives exact results.
@@ -33,9 +33,11 @@ WORD = r"[^\x20\x09-\x0D]"
 #: Slots of the table of word counts: one for each BYTES_A_SLOT bytes of text, in these bounds (a byte each for the tasks).
 BYTES_A_SLOT, LEAST_SLOTS, MOST_SLOTS = 2048, 1 << 14, 1 << 22
 #: Words of a line's prefix under which it looks for a likely partner: those with the smallest hashes, so that similar lines agree in them.
-FEW_WORDS = 3
+FEW_WORDS = 2
 LAST = (1 << 63) - 1
 HASH = (1 << 56) - 1
+#: Lines of more words have parities of 128 buckets of hashes, others of 64.
+LONG = 64
 ID = ["k", "m"]
 
 
@@ -44,16 +46,21 @@ def _key(docs: DataFrame) -> list[Column]:
     return [F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("k"), F.shiftleft(F.xxhash64("text").bitwiseAND(F.lit((1 << 31) - 1).cast("long")), 32).alias("r")]
 
 
+def _blanks(text: Column) -> Column:
+    return F.when(text.rlike(f"[{SPACES}]"), F.translate(text, SPACES, " " * len(SPACES))).otherwise(text)
+
+
 def _lines(text: Column) -> Column:
     """The lines of a text, with blanks for other white space; numbered like those of the text itself."""
-    return F.split(F.when(text.rlike(f"[{SPACES}]"), F.translate(text, SPACES, " " * len(SPACES))).otherwise(text), "\n")
+    return F.split(_blanks(text), "\n")
 
 
 def rarity_levels(docs: DataFrame) -> tuple[Column, int]:
     """The levels of all slots (array of bytes, four levels to each doubling of the count) as a scalar column, and the number of slots."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     slots = min(max(1 << (size // BYTES_A_SLOT).bit_length(), LEAST_SLOTS), MOST_SLOTS)
-    words = docs.select(F.explode(_lines(F.col("text"))).alias("line")).select(F.explode(F.split("line", " ")).alias("w")).where("w <> ''")
+    flat = F.replace(_blanks(F.col("text")), F.lit("\n"), F.lit(" "))
+    words = docs.select(F.explode(F.split(flat, " ")).alias("w")).where("w <> ''")
     counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(slots - 1).cast("long")).cast("int").alias("slot")).count()
     level = F.least(F.floor(F.log2("count") * 4) + 1, F.lit(127)).cast("byte")
     counts = keep(docs.sparkSession, counts.select("slot", level.alias("level")))
@@ -71,13 +78,15 @@ def line_sets(texts: DataFrame, levels: Column, slots: int) -> DataFrame:
     """
     lines = texts.select("k", "r", F.posexplode(_lines(F.col("text"))).alias("n", "line")).where(F.trim("line") != "")
     lines = lines.select("k", F.col("r").bitwiseOR(F.col("n").cast("long")).alias("m"), F.split("line", " ").alias("words"), levels.alias("levels"))
-    code = f"transform(array(levels), t -> transform(words, w -> if(w = '', 0L, shiftleft(cast(get(t, cast(xxhash64(w) & {slots - 1}L as int)) as bigint), 56) | (shiftrightunsigned(xxhash64(w), 8) & {HASH}L))))[0]"
-    lines = lines.select(*ID, F.expr(code).alias("codes"))
-    lines = lines.select(*ID, F.sort_array(F.array_remove(F.array_distinct("codes"), F.lit(0).cast("long"))).alias("set"))
+    lines = lines.select(*ID, "levels", F.array_remove(F.array_distinct(F.expr("transform(words, w -> xxhash64(w))")), F.xxhash64(F.lit(""))).alias("hashes"))
+    code = f"transform(array(levels), t -> transform(hashes, h -> shiftleft(cast(t[cast(h & {slots - 1}L as int)] as bigint), 56) | (h & {HASH}L)))[0]"
+    lines = lines.select(*ID, F.sort_array(F.transform(F.expr(code), lambda x: F.coalesce(x, F.lit(0).cast("long")))).alias("set"))
     lines = lines.select(*ID, "set", F.size("set").alias("size"))
-    parity = "aggregate(set, 0L, (a, x) -> a ^ shiftleft({} & 1L, cast(x & 63L as int)))"
+    # Words go to one of 64 buckets by their last bits; of long lines, whose 64 are all noise, a further bit makes it 128.
+    parity = "aggregate(set, 0L, (a, x) -> a ^ shiftleft({}, cast({} & 63L as int)))"
+    more = f"if(size > {LONG}, {parity.format('((x >> 6) & 1L)', 'x')}, 0L)"
     rare = F.slice("set", F.lit(1), F.col("size") - F.expr("(4 * size + 4) div 5").cast("int") + 1)
-    return lines.select(*ID, "size", F.xxhash64("set").alias("one"), F.xxhash64(F.lit(1), "set").alias("two"), F.expr(parity.format("(x >> 6)")).alias("p"), F.expr(parity.format("(~(x >> 6))")).alias("q"), rare.alias("prefix"))
+    return lines.select(*ID, "size", F.xxhash64("set").alias("one"), F.xxhash64(F.lit(1), "set").alias("two"), F.expr(parity.format("1L", "x")).alias("p"), F.expr(more).alias("q"), rare.alias("prefix"))
 
 
 def first_of_each_set(lines: DataFrame) -> DataFrame:
@@ -88,10 +97,10 @@ def first_of_each_set(lines: DataFrame) -> DataFrame:
     return lines.withColumn("place", place).where("place = 1").drop("place", "one", "two")
 
 
-#: Conditions for a later line (size, at, p, q) and an earlier one (those with e): enough shared words are possible.
+#: Conditions for two lines (size, p, q, and those with e): enough shared words are possible.
 NEED = "((4 * (size + esize) + 8) div 9)"
-FITS = f"4 * greatest(size, esize) <= 5 * least(size, esize) and bit_count(p ^ ep) + bit_count(q ^ eq) <= size + esize - 2 * {NEED}"
-PLACES = f"least(size - at, esize - eat) >= {NEED}"
+DIFFER = f"if(size > {LONG} and esize > {LONG}, bit_count(q ^ eq) + bit_count((p ^ q) ^ (ep ^ eq)), bit_count(p ^ ep))"
+FITS = f"4 * greatest(size, esize) <= 5 * least(size, esize) and {DIFFER} <= size + esize - 2 * {NEED}"
 
 
 def likely_pairs(sets: DataFrame) -> DataFrame:
@@ -103,19 +112,32 @@ def likely_pairs(sets: DataFrame) -> DataFrame:
     before = Window.partitionBy("w").orderBy(*ID)
     line = F.struct(F.col("k").alias("ek"), F.col("m").alias("em"), F.col("size").alias("esize"), F.col("p").alias("ep"), F.col("q").alias("eq"))
     posts = posts.select(*ID, "size", "p", "q", F.first(line).over(before.rowsBetween(Window.unboundedPreceding, 0)).alias("first"), F.lag(line).over(before).alias("last"))
-    posts = posts.select(*ID, "size", "p", "q", F.explode(F.array("first", "last")).alias("e")).select(*ID, "size", "p", "q", "e.*")
-    fits = posts.where(f"ek is not null and (ek <> k or em <> m) and {FITS}")
-    return fits.groupBy(*ID).agg(F.min(F.struct(F.expr("bit_count(p ^ ep) + bit_count(q ^ eq)").alias("differ"), "ek", "em")).alias("e")).select(*ID, "e.ek", "e.em")
+    posts = posts.where("last is not null").select(*ID, "size", "p", "q", F.explode(F.array("first", "last")).alias("e")).select(*ID, "size", "p", "q", "e.*")
+    return posts.where(FITS).groupBy(*ID).agg(F.min(F.struct(F.expr(DIFFER).alias("differ"), "ek", "em")).alias("e")).select(*ID, "e.ek", "e.em")
 
 
 def all_pairs(sets: DataFrame) -> DataFrame:
-    """(k, m, ek, em): all pairs of lines that may be similar, whose later one has no ``settled``."""
-    # What a line asks for comes before its own place; a settled one asks for nothing.
-    asks = [F.when(F.col("settled").isNull(), F.col(c)).otherwise(F.lit(-LAST)).alias(f"asks_{c}") for c in ID]
-    posts = sets.select(*ID, "size", "p", "q", *asks, F.posexplode("prefix").alias("at", "w"))
-    earlier = posts.select(*[F.col(c).alias(f"e{c}") for c in posts.columns])
-    before = "(ek < asks_k or (ek = asks_k and em < asks_m))"
-    return posts.join(earlier, F.expr(f"w = ew and {before} and {FITS} and {PLACES}")).select(*ID, "ek", "em").distinct()
+    """(k, m, ek, em): all pairs of lines that may be similar, whose later one has no ``settled``.
+
+    The larger set of a pair has a shared word among its first ``n - ceil(0.8 n) + 1``, the smaller one among ``n - ceil(8 n / 9) + 1``.
+    """
+    # Size, place and whether the line is settled stand in one number, as these rows are most of what is shuffled.
+    packed = F.expr("shiftleft(cast(size as bigint), 32) | shiftleft(cast(at as bigint), 1) | if(settled is null, 0, 1)")
+    posts = lambda words: sets.select("id", "size", "p", "q", "settled", F.posexplode(words).alias("at", "w")).select("w", "id", packed.alias("sat"), "p", "q")
+    small = posts(F.slice("prefix", F.lit(1), F.expr("size - (8 * size + 8) div 9 + 1").cast("int")))
+    small = small.select(*[F.col(c).alias(f"e{c}") for c in small.columns])
+    size, esize = "shiftright(sat, 32)", "shiftright(esat, 32)"
+    place = lambda x: f"(shiftright({x}, 1) & 2147483647L)"
+    order = f"({esize} < {size} or ({esize} = {size} and eid < id)) and (sat & esat & 1L) = 0"
+    fits = FITS.replace("esize", "SMALL").replace("size", size).replace("SMALL", esize)
+    places = f"least({size} - {place('sat')}, {esize} - {place('esat')}) >= " + NEED.replace("esize", "SMALL").replace("size", size).replace("SMALL", esize)
+    pairs = posts("prefix").join(small, F.expr(f"w = ew and {order} and {fits} and {places}")).select("id", "eid").distinct()
+    a = sets.select("id", *ID, "settled")
+    b = a.select(*[F.col(c).alias(f"e{c}") for c in a.columns])
+    both = pairs.join(a, "id").join(b, "eid")
+    swap = "(ek > k or (ek = k and em > m))"
+    turned = both.select(*[F.expr(f"if({swap}, {x}, {y})").alias(c) for c, x, y in (("k", "ek", "k"), ("m", "em", "m"), ("ek", "k", "ek"), ("em", "m", "em"), ("settled", "esettled", "settled"))])
+    return turned.where("settled is null").drop("settled")
 
 
 def words(line: Column) -> Column:
@@ -140,11 +162,11 @@ def lines_to_keep(docs: DataFrame) -> DataFrame:
     """(k, r, stays): numbers of the lines of a document that no earlier line equals or is similar to; lines without words are left out."""
     spark = docs.sparkSession
     texts = docs.where("text is not null").select(*_key(docs), "text")
-    sets = keep(spark, first_of_each_set(line_sets(texts, *rarity_levels(docs))))
+    sets = keep(spark, first_of_each_set(line_sets(texts, *rarity_levels(docs))).withColumn("id", F.monotonically_increasing_id()))
     settled = keep(spark, verified(keep(spark, likely_pairs(sets)), texts))
-    open_ = keep(spark, sets.join(settled.withColumn("settled", F.lit(True)), ID, "left"))
-    similar = keep(spark, verified(keep(spark, all_pairs(open_)), texts))
-    left = open_.where("settled is null").select(*ID).join(similar, ID, "left_anti")
+    marked = sets.join(settled.withColumn("settled", F.lit(True)), ID, "left")
+    similar = keep(spark, verified(keep(spark, all_pairs(marked)), texts))
+    left = sets.select(*ID).join(settled.unionByName(similar), ID, "left_anti")
     number = F.col("m").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
     return left.groupBy("k", F.col("m").bitwiseAND(F.lit(-(1 << 32))).alias("r")).agg(F.collect_list(number).alias("stays"))
 
