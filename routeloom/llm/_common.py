@@ -51,6 +51,15 @@ def keep(spark: SparkSession, df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A table of at most so many short rows may go whole to every task.
+SMALL_ROWS = 1_000_000
+
+
+def small_side(df: DataFrame) -> DataFrame:
+    """A written table of short rows for a join: sent to all tasks if it has few rows (so that nothing large need be shuffled), else as it is."""
+    return F.broadcast(df) if df.count() <= SMALL_ROWS else df
+
+
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from routeloom.llm._common import keep, table
+from routeloom.llm._common import keep, small_side, table
 
 #: White space in a line besides the blank, which blanks replace before words are cut.
 SPACES = "\t\x0b\x0c\r"
@@ -74,19 +74,19 @@ def rarity_levels(docs: DataFrame) -> tuple[Column, int]:
 def line_sets(texts: DataFrame, levels: Column, slots: int) -> DataFrame:
     """(k, m, size, one, two, p, q, prefix) of each line with words: its set's size, hashes, parities and rarest words in order.
 
-    A word is its level of rarity above 56 bits of its hash.
+    A word is its level of rarity above 56 bits of its hash; in the prefix 31 bits, as two words that share these only make more pairs to verify.
     """
     lines = texts.select("k", "r", F.posexplode(_lines(F.col("text"))).alias("n", "line")).where(F.trim("line") != "")
     lines = lines.select("k", F.col("r").bitwiseOR(F.col("n").cast("long")).alias("m"), F.split("line", " ").alias("words"), levels.alias("levels"))
     lines = lines.select(*ID, "levels", F.array_remove(F.array_distinct(F.expr("transform(words, w -> xxhash64(w))")), F.xxhash64(F.lit(""))).alias("hashes"))
-    code = f"transform(array(levels), t -> transform(hashes, h -> shiftleft(cast(t[cast(h & {slots - 1}L as int)] as bigint), 56) | (h & {HASH}L)))[0]"
-    lines = lines.select(*ID, F.sort_array(F.transform(F.expr(code), lambda x: F.coalesce(x, F.lit(0).cast("long")))).alias("set"))
+    code = f"transform(array(levels), t -> transform(hashes, h -> shiftleft(cast(coalesce(t[cast(h & {slots - 1}L as int)], 0Y) as bigint), 56) | (h & {HASH}L)))[0]"
+    lines = lines.select(*ID, F.sort_array(F.expr(code)).alias("set"))
     lines = lines.select(*ID, "set", F.size("set").alias("size"))
     # Words go to one of 64 buckets by their last bits; of long lines, whose 64 are all noise, a further bit makes it 128.
     parity = "aggregate(set, 0L, (a, x) -> a ^ shiftleft({}, cast({} & 63L as int)))"
     more = f"if(size > {LONG}, {parity.format('((x >> 6) & 1L)', 'x')}, 0L)"
     rare = F.slice("set", F.lit(1), F.col("size") - F.expr("(4 * size + 4) div 5").cast("int") + 1)
-    return lines.select(*ID, "size", F.xxhash64("set").alias("one"), F.xxhash64(F.lit(1), "set").alias("two"), F.expr(parity.format("1L", "x")).alias("p"), F.expr(more).alias("q"), rare.alias("prefix"))
+    return lines.select(*ID, "size", F.xxhash64("set").alias("one"), F.xxhash64(F.lit(1), "set").alias("two"), F.expr(parity.format("1L", "x")).alias("p"), F.expr(more).alias("q"), F.transform(rare, lambda x: x.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")).alias("prefix"))
 
 
 def first_of_each_set(lines: DataFrame) -> DataFrame:
@@ -107,7 +107,7 @@ def likely_pairs(sets: DataFrame) -> DataFrame:
     """(k, m, ek, em): of each line the likeliest of the first and the last earlier line under a few of its words, if any may be similar."""
     from pyspark.sql import Window
 
-    few = F.slice(F.sort_array(F.expr(f"transform(prefix, x -> x & {HASH}L)")), 1, FEW_WORDS)
+    few = F.slice(F.sort_array("prefix"), 1, FEW_WORDS)
     posts = sets.select(*ID, "size", "p", "q", F.explode(few).alias("w"))
     before = Window.partitionBy("w").orderBy(*ID)
     line = F.struct(F.col("k").alias("ek"), F.col("m").alias("em"), F.col("size").alias("esize"), F.col("p").alias("ep"), F.col("q").alias("eq"))
@@ -149,8 +149,8 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The later ids (k, m) of the pairs (k, m, ek, em) that are similar: 9 * overlap >= 4 * (size + size) is a likeness of 4/5."""
     ids = pairs.select(*ID).unionByName(pairs.select(F.col("ek").alias("k"), F.col("em").alias("m")))
     number = F.col("m").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
-    asked = ids.groupBy("k", F.col("m").bitwiseAND(F.lit(-(1 << 32))).alias("r")).agg(F.collect_set(number).alias("asked"))
-    found = texts.join(asked, ["k", "r"]).select("k", "r", "asked", _lines(F.col("text")).alias("lines"))
+    asked = keep(texts.sparkSession, ids.groupBy("k", F.col("m").bitwiseAND(F.lit(-(1 << 32))).alias("r")).agg(F.collect_set(number).alias("asked")))
+    found = texts.join(small_side(asked), ["k", "r"]).select("k", "r", "asked", _lines(F.col("text")).alias("lines"))
     found = found.select("k", "r", F.explode(F.expr("transform(asked, i -> struct(i, lines[i] as line))")).alias("x"))
     lines = keep(texts.sparkSession, found.select("k", F.col("r").bitwiseOR(F.col("x.i").cast("long")).alias("m"), F.col("x.line").alias("line")).distinct())
     both = pairs.join(lines.withColumnRenamed("line", "x"), ID).join(lines.select(F.col("k").alias("ek"), F.col("m").alias("em"), F.col("line").alias("y")), ["ek", "em"])
@@ -164,7 +164,7 @@ def lines_to_keep(docs: DataFrame) -> DataFrame:
     texts = docs.where("text is not null").select(*_key(docs), "text")
     sets = keep(spark, first_of_each_set(line_sets(texts, *rarity_levels(docs))).withColumn("id", F.monotonically_increasing_id()))
     settled = keep(spark, verified(keep(spark, likely_pairs(sets)), texts))
-    marked = sets.join(settled.withColumn("settled", F.lit(True)), ID, "left")
+    marked = keep(spark, sets.join(small_side(settled).withColumn("settled", F.lit(True)), ID, "left"))
     similar = keep(spark, verified(keep(spark, all_pairs(marked)), texts))
     left = sets.select(*ID).join(settled.unionByName(similar), ID, "left_anti")
     number = F.col("m").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
