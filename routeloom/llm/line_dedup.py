@@ -7,8 +7,8 @@ pass are verified on the words of the texts.  A line goes if an earlier line, in
 one that is similar.
 
 Lines with equal sets are settled first, by a window that is cut before the shuffle, so only one line of each set goes on.
-Groups of very many similar lines are settled without all their pairs: each line is verified against the likeliest of the first
-and the last line before it under a few of its words.  Lines that this did not settle are compared with all others, in one
+Groups of very many similar lines are settled without all their pairs: each line is verified against the first
+and the last lines before it under a few of its words.  Lines that this did not settle are compared with all others, in one
 join of the postings (one row for each prefix word of each line), in which the smaller set of a pair has the shorter prefix.
 
 Rarity comes from counts of all words of all documents, hashed into a table whose size grows with the corpus up to MOST_SLOTS;
@@ -29,11 +29,12 @@ from routeloom.llm._common import keep, small_side, table
 
 #: White space in a line besides the blank, which blanks replace before words are cut.
 SPACES = "\t\x0b\x0c\r"
-WORD = r"[^\x20\x09-\x0D]"
 #: Slots of the table of word counts: one for each BYTES_A_SLOT bytes of text, in these bounds (a byte each for the tasks).
 BYTES_A_SLOT, LEAST_SLOTS, MOST_SLOTS = 2048, 1 << 14, 1 << 22
 #: Words of a line's prefix under which it looks for a likely partner: those with the smallest hashes, so that similar lines agree in them.
-FEW_WORDS = 2
+FEW_WORDS = 3
+#: Under each it looks at the first line and at so many of the last before it.
+LAST_LINES = 1
 LAST = (1 << 63) - 1
 HASH = (1 << 56) - 1
 #: Lines of more words have parities of 128 buckets of hashes, others of 64.
@@ -104,16 +105,18 @@ FITS = f"4 * greatest(size, esize) <= 5 * least(size, esize) and {DIFFER} <= siz
 
 
 def likely_pairs(sets: DataFrame) -> DataFrame:
-    """(k, m, ek, em): of each line the likeliest of the first and the last earlier line under a few of its words, if any may be similar."""
+    """(k, m, ek, em): pairs of a line with the first one, and the last ones before it, under a few of its words, that may be similar."""
     from pyspark.sql import Window
 
     few = F.slice(F.sort_array("prefix"), 1, FEW_WORDS)
     posts = sets.select(*ID, "size", "p", "q", F.explode(few).alias("w"))
     before = Window.partitionBy("w").orderBy(*ID)
     line = F.struct(F.col("k").alias("ek"), F.col("m").alias("em"), F.col("size").alias("esize"), F.col("p").alias("ep"), F.col("q").alias("eq"))
-    posts = posts.select(*ID, "size", "p", "q", F.first(line).over(before.rowsBetween(Window.unboundedPreceding, 0)).alias("first"), F.lag(line).over(before).alias("last"))
-    posts = posts.where("last is not null").select(*ID, "size", "p", "q", F.explode(F.array("first", "last")).alias("e")).select(*ID, "size", "p", "q", "e.*")
-    return posts.where(FITS).groupBy(*ID).agg(F.min(F.struct(F.expr(DIFFER).alias("differ"), "ek", "em")).alias("e")).select(*ID, "e.ek", "e.em")
+    last = [F.lag(line, i).over(before).alias(f"last{i}") for i in range(1, LAST_LINES + 1)]
+    posts = posts.select(*ID, "size", "p", "q", F.first(line).over(before.rowsBetween(Window.unboundedPreceding, 0)).alias("first"), *last)
+    # A word's first line looks for nothing; the last of the lines before may be the first one once more.
+    posts = posts.where("last1 is not null").select(*ID, "size", "p", "q", F.explode(F.array("first", *[f"last{i}" for i in range(1, LAST_LINES + 1)])).alias("e")).select(*ID, "size", "p", "q", "e.*")
+    return posts.where(f"ek is not null and {FITS}").select(*ID, "ek", "em").distinct()
 
 
 def all_pairs(sets: DataFrame) -> DataFrame:
@@ -176,8 +179,9 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     docs = docs.drop("n_lines", "n_removed")  # columns of these names are replaced
     stays = keep(docs.sparkSession, lines_to_keep(docs)).select(F.col("k").alias("__k_"), F.col("r").alias("__r_"), F.col("stays").alias("__stays_"))
     keyed = docs.select("*", _key(docs)[0].alias("__k_"), _key(docs)[1].alias("__r_"))
-    out = keyed.join(stays, ["__k_", "__r_"], "left").withColumn("__parts_", F.split("text", "\n"))
-    blank = F.expr(f"filter(sequence(0, size(__parts_) - 1), i -> not (__parts_[i] rlike '{WORD}'))".replace("\\", "\\\\"))
+    # Line numbers are short beside the texts, which a join by hash needn't sort.
+    out = keyed.join(stays.hint("shuffle_hash"), ["__k_", "__r_"], "left").withColumn("__parts_", F.split("text", "\n"))
+    blank = F.filter(F.expr("sequence(0, size(__parts_) - 1)"), lambda i: F.btrim(F.get("__parts_", i), F.lit(" " + SPACES)) == "")
     numbers = F.sort_array(F.array_union(F.coalesce("__stays_", F.array().cast("array<int>")), blank))
     out = out.withColumn("__stays_", numbers)
     kept = F.array_join(F.expr("transform(__stays_, i -> __parts_[i])"), "\n")
