@@ -82,21 +82,29 @@ def hash_thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:
     return state.select("source", F.col("low").alias("threshold"))
 
 
-def mix(docs: DataFrame, size: Column, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, cap: float = 2.0, key: str = "doc_id") -> DataFrame:
-    """One row per row of ``docs``: key, source, size, h, source_size, target, copies (how often the mix takes it)."""
-    spark = docs.sparkSession
-    rows = keep(spark, docs.select(key, "source", size.alias("size"), row_hash(F.col(key)).alias("h")))
+def source_goals(rows: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, cap: float = 2.0) -> DataFrame:
+    """One row per source of rows (source, size, h): source_size, target, and the whole times and the threshold by which rows are taken."""
+    spark = rows.sparkSession
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     goals = keep(spark, source_targets(sources, weights, share, cap))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     whole = F.least(whole, F.lit(int(cap)))
     goals = goals.withColumn("whole", whole).withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size"))
     limits = hash_thresholds(rows, goals.where(F.col("whole") < int(cap)).select("source", "budget"))
-    goals = keep(spark, goals.join(limits, goals["source"].eqNullSafe(limits["source"]), "left").drop(limits["source"]))
+    return keep(spark, goals.join(limits, goals["source"].eqNullSafe(limits["source"]), "left").drop(limits["source"]))
+
+
+def copies(h: Column, whole: Column, threshold: Column) -> Column:
+    return (whole + F.when(h < threshold, 1).otherwise(0)).cast("long")
+
+
+def mix(docs: DataFrame, size: Column, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, cap: float = 2.0, key: str = "doc_id") -> DataFrame:
+    """One row per row of ``docs``: key, source, size, h, source_size, target, copies (how often the mix takes it)."""
+    rows = keep(docs.sparkSession, docs.select(key, "source", size.alias("size"), row_hash(F.col(key)).alias("h")))
+    goals = source_goals(rows, weights, share, cap)
     # One row per source: Spark broadcasts it only where its measured size is below the session's threshold.
     out = rows.join(goals, rows["source"].eqNullSafe(goals["source"])).drop(goals["source"])
-    more = F.when(F.col("h") < F.col("threshold"), 1).otherwise(0)
-    return out.select(key, "source", "size", "h", "source_size", "target", (F.col("whole") + more).cast("long").alias("copies"))
+    return out.select(key, "source", "size", "h", "source_size", "target", copies(F.col("h"), F.col("whole"), F.col("threshold")).alias("copies"))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
