@@ -78,8 +78,8 @@ STATIC_EXTENSIONS = (
     ".woff", ".woff2", ".ttf", ".eot",
 )
 
-#: Headers that shape routes.
-ROUTING_HEADERS = ("Accept", "Authorization", "X-Api-Version", "Accept-Language", "X-Requested-With")
+#: Headers that shape routes, and the columns that hold them.
+ROUTING_HEADERS = {"Accept": "accept", "Authorization": "authorization", "X-Api-Version": "x_api_version", "Accept-Language": "accept_language", "X-Requested-With": "x_requested_with"}
 
 BODY_METHODS = ("POST", "PUT", "PATCH")
 MAX_PARAMS = 1000

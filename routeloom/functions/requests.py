@@ -146,4 +146,36 @@ def variable_matches(segment: Column, pattern: Column) -> Column:
 
 
 def query_has(query: Column, name: Column) -> Column:
-    return F.exists(F.split(F.lower(query), "&"), lambda p: F.startswith(p, F.concat(F.lower(name), F.lit("="))))
+    """Whether a query string is a parameter's name, or has it with a value; any case, so ``page_size`` isn't ``page``."""
+    wanted = F.lower(name)
+    return (F.lower(query) == wanted) | F.exists(F.split(F.lower(query), "&"), lambda p: F.startswith(p, F.concat(wanted, F.lit("="))))
+
+
+def values_of(query: Column, name: Column) -> Column:
+    """All values of one parameter as they stand in a query string, an empty one where there is no sign."""
+    mine = F.filter(F.split(F.coalesce(query, F.lit("")), "&"), lambda p: F.lower(F.substring_index(p, "=", 1)) == F.lower(name))
+    return F.transform(mine, lambda p: F.when(F.instr(p, "=") > 0, F.substring(p, F.instr(p, "=") + 1, F.length(p))).otherwise(""))
+
+
+def extract_param(query: Column, name: Column, default: Column, required: Column) -> Column:
+    """Struct found, value, multi: the values joined by commas, else the default; not found only if it is required and there is neither."""
+    own = values_of(query, name)
+    values = F.when((F.size(own) == 0) & (F.coalesce(default, F.lit("")) != ""), F.array(default)).otherwise(own)
+    found = ~(F.coalesce(required, F.lit(False)) & (F.size(values) == 0))
+    return F.struct(found.alias("found"), F.when(found, F.array_join(values, ",")).alias("value"), (found & (F.size(values) > 1)).alias("multi"))
+
+
+def extract_variable(segment: Column, pattern: Column) -> Column:
+    """The segment where a path variable takes it, else null."""
+    return F.when(variable_matches(segment, pattern), segment)
+
+
+def variable_display(name: Column, pattern: Column, physical: Column) -> Column:
+    """How a variable is shown: its name with its pattern, else with its type."""
+    return F.concat(F.lit("{"), name, F.lit(":"), F.when(F.coalesce(pattern, F.lit("")) != "", pattern).otherwise(F.coalesce(physical, F.lit("string"))), F.lit("}"))
+
+
+def header(headers: Column, name: str) -> Column:
+    """A header's value in a map by a name in any case; of several that of the last."""
+    found = F.filter(F.map_entries(headers), lambda e: F.lower(e["key"]) == name.lower())
+    return F.when(F.size(found) > 0, F.element_at(found, -1)["value"])

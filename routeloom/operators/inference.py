@@ -14,30 +14,36 @@ from pyspark.sql import functions as F
 from routeloom.functions import types as T
 from routeloom.functions.patterns import LOGICAL_PATTERNS, PHYSICAL_TYPES
 
+#: (histogram, keys) to (keys, physical_type, logical_type): what gives nodes their types.
+Infer = Callable[[DataFrame, Sequence[str]], DataFrame]
+
 ENUM_SHARE, PATTERN_SHARE = 0.3, 0.6
 
 
 def histogram(rows: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
-    """(keys, value, cnt, first_seq)."""
+    """(keys, value, cnt, first_seq); rows with n count so many times."""
+    cnt = F.sum("n") if "n" in rows.columns else F.count("*")
     first = F.min("seq").alias("first_seq") if "seq" in rows.columns else F.lit(None).cast("long").alias("first_seq")
-    return rows.groupBy(*keys, F.col(value).alias("value")).agg(F.count("*").alias("cnt"), first)
+    return rows.groupBy(*keys, F.col(value).alias("value")).agg(cnt.alias("cnt"), first)
 
 
 def votes(hist: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(keys, n_values, total, physical_type, logical_type)."""
+    """(keys, n_values, total, physical_type, logical_type); null values are left out."""
     v, cnt = F.col("value"), F.col("cnt")
-    marked = hist.select(
-        *keys, "cnt", T.physical(v).alias("p"), T.pattern_type(v).alias("l"), T.number_format(v).alias("f"), F.octet_length(v).alias("bytes"),
-        *[T.matches(name, v).cast("int").alias(f"is_{name}") for name in LOGICAL_PATTERNS],
-    )
+    # Each pattern is tried once for a value: a bit of the mask, of which the lowest is the first type that fits.
+    bit = {name: 1 << i for i, name in enumerate(LOGICAL_PATTERNS)}
+    mask = sum((F.when(T.matches(name, v), b).otherwise(0) for name, b in bit.items()), F.lit(0))
+    marked = hist.where(v.isNotNull()).select(*keys, "cnt", T.physical(v).alias("p"), mask.alias("mask"), T.number_format(v).alias("f"), F.octet_length(v).alias("bytes"))
+    has = lambda name: F.col("mask").bitwiseAND(F.lit(bit[name])) != 0
+    lowest = F.col("mask").bitwiseAND(-F.col("mask"))
     total = lambda cond: F.sum(F.when(cond, cnt).otherwise(0))
     sums = marked.groupBy(*keys).agg(
         F.count("*").alias("n_values"),
         F.sum("cnt").alias("total"),
         F.max("bytes").alias("longest"),
-        F.greatest(*[F.sum(f"is_{n}") for n in LOGICAL_PATTERNS]).alias("most_in_pattern"),
+        F.greatest(*[F.count_if(has(n)) for n in LOGICAL_PATTERNS]).alias("most_in_pattern"),
         *[total(F.col("p") == n).alias(f"p_{n}") for n in PHYSICAL_TYPES],
-        *[total(F.col("l") == n).alias(f"l_{n}") for n in LOGICAL_PATTERNS],
+        *[total(lowest == bit[n]).alias(f"l_{n}") for n in LOGICAL_PATTERNS],
         *[total(F.col("f") == n).alias(f"f_{n}") for n in ("percentage", "currency", "decimal")],
     )
     best = F.greatest(*[F.col(f"p_{n}") for n in PHYSICAL_TYPES])
@@ -80,6 +86,28 @@ class RuleChain:
         strong = [F.when(F.col(f"t{i}") != "string", F.col(f"t{i}")) for i in reversed(range(len(self.rules)))]
         return out.select(*keys, F.coalesce(*strong, F.lit("string")).alias("type"))
 
+    def __call__(self, hist: DataFrame, keys: Sequence[str]) -> DataFrame:
+        """Types for a tree (an Infer): the first rule's is the physical one, the chain's the logical one, string where both are the same."""
+        both = self.infer(hist, keys).join(self.rules[0](hist, keys).select(*keys, F.col("type").alias("physical_type")), list(keys))
+        same = F.col("type") == F.col("physical_type")
+        return both.select(*keys, F.coalesce("physical_type", F.lit("string")).alias("physical_type"), F.when(same, "string").otherwise(F.col("type")).alias("logical_type"))
+
+
+def refresh(types: DataFrame, old: DataFrame, hist: DataFrame, keys: Sequence[str], infer: Infer = votes) -> DataFrame:
+    """Types after a histogram grew from ``old`` to ``hist``: inferred anew only for keys whose number of different values has changed."""
+    count = lambda df, name: df.groupBy(*keys).agg(F.count_distinct("value").alias(name))
+    changed = count(hist, "now_").join(count(old, "before_"), list(keys), "left").where("before_ is null or now_ <> before_").select(*keys)
+    fresh = infer(hist.join(changed, list(keys), "left_semi"), keys)
+    return types.join(changed, list(keys), "left_anti").select(*fresh.columns).unionByName(fresh)
+
+
+def resolve_histogram(*sources: DataFrame | None) -> DataFrame:
+    """The first histogram that there is, of a variable, of a parameter, or one that the caller carries along."""
+    found = [x for x in sources if x is not None]
+    if not found:
+        raise ValueError("no histogram")
+    return found[0]
+
 
 def physical_rule(hist: DataFrame, keys: Sequence[str]) -> DataFrame:
     return votes(hist, keys).select(*keys, F.col("physical_type").alias("type"))

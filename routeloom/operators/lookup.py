@@ -14,10 +14,11 @@ from routeloom.sources.store import materialize
 CUT = 16
 
 
-def probe(requests: DataFrame, tree: RouteTree) -> DataFrame:
+def probe(requests: DataFrame, tree: RouteTree, cut: int | None = CUT) -> DataFrame:
     """The requests with hit: the route of their path, null where a segment is unknown.
 
-    A segment is looked up by its exact name first; else the parent's first variable takes it, whatever its pattern.
+    A segment is looked up by its exact name first; else the parent's first variable takes it, whatever its pattern.  cut: after so many
+    levels the rows are written; None for streams, which can't be.
     """
     known = tree.paths.select("parent", "key", "route", "node_type", "first_seq")
     exact = known.where("node_type = 'request_path'").select(F.col("parent").alias("p_"), F.col("key").alias("k_"), F.col("route").alias("exact_"))
@@ -29,7 +30,7 @@ def probe(requests: DataFrame, tree: RouteTree) -> DataFrame:
         now = now.withColumn("s_", F.when(there, F.try_element_at("segments", F.lit(d + 1))))
         now = now.join(exact, (F.col("hit") == F.col("p_")) & (F.col("s_") == F.col("k_")), "left").join(first, F.col("hit") == F.col("q_"), "left")
         now = now.withColumn("hit", F.when(there, F.coalesce("exact_", "var_")).otherwise(F.col("hit"))).drop("s_", "p_", "k_", "exact_", "q_", "var_")
-        if d % CUT == CUT - 1:
+        if cut and d % cut == cut - 1:
             now = materialize(now)
     return now
 
@@ -43,9 +44,12 @@ def find_routes(requests: DataFrame, tree: RouteTree) -> DataFrame:
 
 
 def needed(requests: DataFrame, tree: RouteTree) -> DataFrame:
-    """(seq, need): true unless path, method, parameter names, content type, headers and cookies are all known."""
+    """(seq, need): true unless path, method, parameter names, content type, headers and cookies are all known.
+
+    A row with an error, or a null URL, is needed; an empty tree needs all; rows that share a seq share the answer.
+    """
     base = tree.requests
-    hit = probe(requests, tree).withColumn("route", F.col("hit"))
+    hit = probe(requests, tree).withColumns({"route": F.col("hit"), "n": F.lit(1), "last_seq": F.col("seq")})
     methods = rt.methods(base).select("route", "method")
     placed = hit.where("error is null and route is not null")
     unknown = hit.join(methods, ["route", "method"], "left_anti").select("seq")

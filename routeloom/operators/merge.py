@@ -41,11 +41,16 @@ class MergeConfig:
         put("required_param_threshold", self.required_param_threshold if self.required_param_threshold > 0 else 0.9)
 
 
+#: (parent's name, segments in order, pattern, share, config) to (MERGE, SKIP or DEFAULT, segments to merge).
+Rule = Callable[[str, list[str], str, float, MergeConfig], tuple[str, list[str]]]
+
+
 def common_prefix(a: Column, b: Column) -> Column:
     """The longest common prefix of two strings; of a set it is that of its smallest and largest."""
-    most = F.least(F.length(a), F.length(b))
-    same = F.filter(F.sequence(F.lit(1), F.greatest(most, F.lit(1))), lambda i: (i <= most) & (F.substring(a, F.lit(1), i) == F.substring(b, F.lit(1), i)))
-    return F.substring(a, F.lit(1), F.size(same))
+    # The place of the first pair of characters that differ.
+    pairs = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: F.coalesce(x == y, F.lit(False)))
+    first = F.array_position(pairs, False)
+    return F.when(a == b, a).otherwise(F.substring(a, F.lit(1), F.greatest(first - 1, F.lit(0)).cast("int")))
 
 
 def _number_or_code(v: Column) -> Column:
@@ -56,12 +61,23 @@ def quote(text: Column) -> Column:
     return F.regexp_replace(text, r"([\\.+*?()|\[\]{}^$])", r"\\$1")
 
 
+_BIT = {k: 1 << i for i, k in enumerate(SIBLING_PATTERNS)}
+
+
+def with_patterns(siblings: DataFrame) -> DataFrame:
+    """Siblings with mask: a bit for each pattern that the segment fits, so that each is tried once."""
+    if "mask" in siblings.columns:
+        return siblings
+    return siblings.withColumn("mask", sum((F.when(F.col("segment").rlike(p), _BIT[k]).otherwise(0) for k, p in SIBLING_PATTERNS.items()), F.lit(0)))
+
+
 def detect(siblings: DataFrame) -> DataFrame:
     """(parent, n, pattern, hits, prefix, suffix) from distinct (parent, segment)."""
     s = F.col("segment")
+    siblings = with_patterns(siblings)
     sums = siblings.groupBy("parent").agg(
         F.count("*").alias("n"), F.min("segment").alias("lo"), F.max("segment").alias("hi"), F.min(F.reverse(s)).alias("rlo"), F.max(F.reverse(s)).alias("rhi"),
-        F.floor(F.avg(F.octet_length("segment"))).alias("mean_bytes"), *[F.count_if(s.rlike(p)).alias(f"m_{k}") for k, p in SIBLING_PATTERNS.items()],
+        F.floor(F.avg(F.octet_length("segment"))).alias("mean_bytes"), *[F.count_if(F.col("mask").bitwiseAND(F.lit(b)) != 0).alias(f"m_{k}") for k, b in _BIT.items()],
     )
     sums = sums.withColumn("prefix", F.regexp_replace(common_prefix(F.col("lo"), F.col("hi")), r"[0-9]+\z", ""))
     sums = sums.withColumn("suffix", F.regexp_replace(F.reverse(common_prefix(F.col("rlo"), F.col("rhi"))), r"^[0-9]+", ""))
@@ -90,30 +106,29 @@ def parent_name(parent: Column) -> Column:
     return F.when(last == "", "root").otherwise(last)
 
 
+def _literal_map(pairs: dict[str, str]) -> Column:
+    return F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
+
+
 def variable_name(pattern: Column, name: Column, prefix: Column, suffix: Column) -> Column:
-    out = F.concat(F.lit("var_"), name)
-    for k, v in VARIABLE_SUFFIX.items():
-        out = F.when(pattern == k, F.concat(name, F.lit(f"_{v}"))).otherwise(out)
+    out = F.coalesce(F.concat(name, F.lit("_"), F.try_element_at(_literal_map(VARIABLE_SUFFIX), pattern)), F.concat(F.lit("var_"), name))
     base = lambda x, trim: F.when(F.regexp_replace(x, trim, "") == "", name).otherwise(F.regexp_replace(x, trim, ""))
     return F.when(pattern == "prefix", F.concat(base(prefix, r"[_.-]+\z"), F.lit("_id"))).when(pattern == "suffix", F.concat(base(suffix, r"^[_.-]+"), F.lit("_id"))).otherwise(out)
 
 
 def variable_regex(pattern: Column, prefix: Column, suffix: Column) -> Column:
-    out = F.lit("")
-    for k, v in VARIABLE_REGEX.items():
-        out = F.when(pattern == k, v).otherwise(out)
+    out = F.coalesce(F.try_element_at(_literal_map(VARIABLE_REGEX), pattern), F.lit(""))
     return F.when(pattern == "prefix", F.concat(quote(prefix), F.lit("[0-9]+"))).when(pattern == "suffix", F.concat(F.lit("[0-9]+"), quote(suffix))).otherwise(out)
 
 
-def fits(pattern: Column, segment: Column) -> Column:
-    out = F.lit(False)
-    for k, v in SIBLING_PATTERNS.items():
-        out = F.when(pattern == k, segment.rlike(v)).otherwise(out)
-    return out
+def fits(pattern: Column, mask: Column) -> Column:
+    """Whether a segment, by its mask, fits the pattern of its siblings."""
+    bits = F.create_map(*[F.lit(x) for kv in _BIT.items() for x in kv])
+    return F.coalesce(F.try_element_at(bits, pattern), F.lit(0)).bitwiseAND(mask) != 0
 
 
-def decide(siblings: DataFrame, config: MergeConfig = MergeConfig()) -> DataFrame:
-    """(parent, n, pattern, hits, action, variable, regex): action is all, some or none."""
+def decide(siblings: DataFrame, config: MergeConfig = MergeConfig(), whatever: bool = False) -> DataFrame:
+    """(parent, n, pattern, hits, action, variable, regex): action is all, some or none, which has no variable unless ``whatever``."""
     p, n = F.col("pattern"), F.col("n")
     strong = F.col("hits") * 10 >= n * 8
     some = F.when(F.col("hits") >= 3, "some").otherwise("none")
@@ -126,26 +141,48 @@ def decide(siblings: DataFrame, config: MergeConfig = MergeConfig()) -> DataFram
         .when(strong, F.when(n >= 3, whole).otherwise("none"))
         .otherwise(some)
     )
-    found = detect(siblings)
-    name = parent_name(F.col("parent"))
+    # A parent's name is read by several expressions, and so computed before them.
+    found = detect(siblings).withColumn("name", parent_name(F.col("parent")))
     merged = action != "none"
-    return found.select(
-        "parent", "n", "pattern", "hits", action.alias("action"),
-        F.when(merged, variable_name(p, name, F.col("prefix"), F.col("suffix"))).alias("variable"), F.when(merged, variable_regex(p, F.col("prefix"), F.col("suffix"))).alias("regex"),
-    )
+    variable, regex = variable_name(p, F.col("name"), F.col("prefix"), F.col("suffix")), variable_regex(p, F.col("prefix"), F.col("suffix"))
+    if whatever:
+        return found.select("parent", "n", "pattern", "hits", action.alias("action"), variable.alias("variable"), regex.alias("regex"))
+    return found.select("parent", "n", "pattern", "hits", action.alias("action"), F.when(merged, variable).alias("variable"), F.when(merged, regex).alias("regex"))
+
+
+def evaluate(siblings: DataFrame, config: MergeConfig = MergeConfig(), rule: Rule | None = None) -> DataFrame:
+    """(parent, segment, variable, regex): variable is null for segments that stay fixed.
 
+    A rule sees all segments of a parent at once, so with one they meet in one task; without, all is aggregates.
+    """
+    siblings = with_patterns(siblings)
+    choice = decide(siblings, config, whatever=rule is not None)
+    both = siblings.join(choice.withColumnRenamed("n", "n_").select("parent", "pattern", "action", "variable", "regex", "hits", "n_"), "parent")
+    merged = (F.col("action") == "all") | ((F.col("action") == "some") & fits(F.col("pattern"), F.col("mask")))
+    if rule is None:
+        return both.select("parent", "segment", F.when(merged, F.col("variable")).alias("variable"), F.when(merged, F.col("regex")).alias("regex"))
 
-def evaluate(siblings: DataFrame, config: MergeConfig = MergeConfig()) -> DataFrame:
-    """(parent, segment, variable, regex): variable is null for segments that stay fixed."""
-    choice = decide(siblings, config)
-    both = siblings.join(choice.select("parent", "pattern", "action", "variable", "regex"), "parent")
-    merged = (F.col("action") == "all") | ((F.col("action") == "some") & fits(F.col("pattern"), F.col("segment")))
-    return both.select("parent", "segment", F.when(merged, F.col("variable")).alias("variable"), F.when(merged, F.col("regex")).alias("regex"))
+    def ask(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["first_seq", "segment"])
+        top = rows.iloc[0]
+        out = rows["merged"].to_numpy()
+        if len(rows) >= config.sibling_merge_threshold:
+            action, chosen = rule(_name(top["parent"]), list(rows["segment"]), top["pattern"], top["hits"] / top["n_"], config)
+            if action == SKIP:
+                out = out & False
+            elif action == MERGE:
+                out = rows["segment"].isin(set(chosen)).to_numpy()
+            if out.sum() < 3:
+                out = out & False
+        return pd.DataFrame({"parent": rows["parent"], "segment": rows["segment"], "variable": rows["variable"].where(out), "regex": rows["regex"].where(out)})
+
+    order = F.col("first_seq") if "first_seq" in siblings.columns else F.lit(0).cast("long")
+    rows = both.select("parent", "segment", "pattern", "hits", "n_", "variable", "regex", merged.alias("merged"), order.alias("first_seq"))
+    return rows.groupBy("parent").applyInPandas(ask, "parent string, segment string, variable string, regex string")
 
 
 # --- replay in order of arrival -----------------------------------------------------------------------------------------------
 
-Rule = Callable[[str, list[str], str, float, MergeConfig], tuple[str, list[str]]]
 _PY = {k: re.compile(v.replace(r"\z", r"\Z").replace(r"\p{IsHan}", "[⺀-⿟々〇〡-〩〸-〻㐀-䶿一-鿿豈-﫿]"), re.ASCII) for k, v in SIBLING_PATTERNS.items()}
 
 

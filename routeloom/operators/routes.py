@@ -12,30 +12,60 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from routeloom.functions import requests as R
-from routeloom.operators.inference import histogram, votes
-from routeloom.operators.merge import MergeConfig, Rule, evaluate, replay
+from routeloom.functions.patterns import ROUTING_HEADERS
+from routeloom.operators.inference import Infer, histogram, votes
+from routeloom.operators.merge import MergeConfig, Rule, evaluate, replay, with_patterns
 from routeloom.sources.store import materialize
 
 
 @dataclass
 class RouteTree:
-    """requests: parsed rows with route.  paths: one row for each path node (route, parent, depth, node_type, key, regex, requests,
-    first_seq).  variable_values: (route, value, cnt)."""
+    """requests: parsed rows with route and n (requests that are alike).  paths: one row for each path node (route, parent, depth,
+    node_type, key, regex, requests, first_seq).  variable_values: (route, value, cnt)."""
 
     requests: DataFrame
     paths: DataFrame
     variable_values: DataFrame
     config: MergeConfig
+    infer: Infer = votes
 
 
-def path_keys(parsed: DataFrame) -> DataFrame:
-    """Distinct paths (keys, n, first_seq) of the rows that parse."""
-    return parsed.where("error is null").groupBy("keys").agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"))
+#: What requests may differ in besides their place in the order.
+ALIKE = ["method", "keys", "params", "content_type", "media_type", *ROUTING_HEADERS.values(), "cookie"]
+
+
+def weighted(parsed: DataFrame) -> DataFrame:
+    """The rows that parse, with n (1 where missing) and last_seq, as all below takes them."""
+    good = parsed.where("error is null") if "error" in parsed.columns else parsed
+    more = {"n": F.lit(1).cast("long"), "last_seq": F.col("seq")}
+    return good.withColumns({k: v for k, v in more.items() if k not in parsed.columns})
 
 
-def build(parsed: DataFrame, config: MergeConfig = MergeConfig(), evaluator: str = "replay", rule: Rule | None = None) -> RouteTree:
-    """Routes of parsed requests.  evaluator: replay (in order of seq) or set (whole sibling sets at once)."""
-    distinct = materialize(path_keys(parsed))
+def compact(parsed: DataFrame) -> DataFrame:
+    """Requests that are alike in all but their place as one row: seq is the first one's, last_seq the last one's, n their number."""
+    return weighted(parsed).groupBy(*ALIKE).agg(F.sum("n").alias("n"), F.min("seq").alias("seq"), F.max("last_seq").alias("last_seq"))
+
+
+def path_keys(parsed: DataFrame) -> DataFrame:
+    """Distinct paths (keys, n, first_seq) of the rows that parse."""
+    return weighted(parsed).groupBy("keys").agg(F.sum("n").alias("n"), F.min("seq").alias("first_seq"))
+
+
+def build(
+    parsed: DataFrame, config: MergeConfig = MergeConfig(), evaluator: str = "replay", rule: Rule | None = None, infer: Infer = votes, tree: RouteTree | None = None,
+) -> RouteTree:
+    """Routes of parsed requests.
+
+    evaluator: replay (in order of seq) or set (whole sibling sets at once).  rule: a custom merge rule.  infer: gives the types of
+    histograms.  tree: an earlier tree to go on from, as if its requests had come together with the new ones (whose seq should be larger).
+    Rows with an error are left out; no rows at all give a tree with a root only.
+    """
+    if evaluator not in ("replay", "set"):
+        raise ValueError(f"no evaluator {evaluator!r}")
+    rows = weighted(parsed).select("seq", "last_seq", "n", *ALIKE)
+    if tree is not None:
+        rows = rows.unionByName(tree.requests.select("seq", "last_seq", "n", *ALIKE))
+    distinct = materialize(path_keys(rows))
     depth = distinct.agg(F.max(F.size("keys"))).first()[0] or 0
     now = distinct.withColumn("route", F.lit(""))
     nodes, values = [], []
@@ -43,15 +73,15 @@ def build(parsed: DataFrame, config: MergeConfig = MergeConfig(), evaluator: str
         here = F.try_element_at("keys", F.lit(d + 1))
         level = now.where(F.size("keys") > d)
         siblings = level.groupBy(F.col("route").alias("parent"), here.alias("segment")).agg(F.min("first_seq").alias("first_seq"), F.sum("n").alias("n"))
-        choice = replay(siblings, config, rule) if evaluator == "replay" else evaluate(siblings, config)
-        found = materialize(siblings.join(choice, ["parent", "segment"]))
-        step = found.select(F.col("parent").alias("p_"), F.col("segment").alias("s_"), F.coalesce(F.concat(F.lit("{"), "variable", F.lit("}")), "segment").alias("step_"))
+        siblings = materialize(with_patterns(siblings))
+        choice = replay(siblings, config, rule) if evaluator == "replay" else evaluate(siblings, config, rule)
+        found = materialize(siblings.drop("mask").join(choice, ["parent", "segment"]))
+        shown = F.coalesce(F.concat(F.lit("{"), "variable", F.lit("}")), "segment")
+        step = found.select(F.col("parent").alias("p_"), F.col("segment").alias("s_"), shown.alias("step_"))
         joined = now.withColumn("here_", F.when(F.size("keys") > d, here)).join(step, (F.col("route") == F.col("p_")) & (F.col("here_") == F.col("s_")), "left")
         now = materialize(joined.select("keys", "n", "first_seq", F.when(F.col("step_").isNull(), F.col("route")).otherwise(F.concat("route", F.lit("/"), "step_")).alias("route")))
-        key = F.coalesce("variable", "segment")
-        shown = F.coalesce(F.concat(F.lit("{"), "variable", F.lit("}")), "segment")
         named = found.select(
-            F.concat("parent", F.lit("/"), shown).alias("route"), "parent", key.alias("key"), "regex", "segment", "n", "first_seq", F.col("variable").isNotNull().alias("is_variable"),
+            F.concat("parent", F.lit("/"), shown).alias("route"), "parent", F.coalesce("variable", "segment").alias("key"), "regex", "segment", "n", "first_seq", F.col("variable").isNotNull().alias("is_variable"),
         )
         nodes.append(
             named.groupBy("route", "parent", "key", "is_variable").agg(F.max("regex").alias("regex"), F.min("first_seq").alias("first_seq")).withColumn("depth", F.lit(d + 1))
@@ -59,37 +89,37 @@ def build(parsed: DataFrame, config: MergeConfig = MergeConfig(), evaluator: str
         values.append(named.where("is_variable").select("route", F.col("segment").alias("value"), F.col("n").alias("cnt")))
     spark = parsed.sparkSession
     ends = now.groupBy("route").agg(F.sum("n").alias("requests"))
-    tree = spark.createDataFrame([], "route string, parent string, key string, is_variable boolean, regex string, first_seq long, depth int")
+    paths = spark.createDataFrame([], "route string, parent string, key string, is_variable boolean, regex string, first_seq long, depth int")
     hist = spark.createDataFrame([], "route string, value string, cnt long")
     for a, b in zip(nodes, values, strict=True):
-        tree, hist = tree.unionByName(a), hist.unionByName(b)
+        paths, hist = paths.unionByName(a), hist.unionByName(b)
     kind = F.when(F.col("is_variable"), "request_path_variable").otherwise("request_path")
-    paths = tree.join(ends, "route", "left").select("route", "parent", "depth", kind.alias("node_type"), "key", "regex", F.coalesce("requests", F.lit(0)).cast("long").alias("requests"), "first_seq")
-    placed = parsed.where("error is null").join(now.select(F.col("keys").alias("k_"), "route"), F.col("keys") == F.col("k_")).drop("k_")
-    return RouteTree(materialize(placed), materialize(paths), hist, config)
+    paths = paths.join(ends, "route", "left").select("route", "parent", "depth", kind.alias("node_type"), "key", "regex", F.coalesce("requests", F.lit(0)).cast("long").alias("requests"), "first_seq")
+    placed = rows.join(now.select(F.col("keys").alias("k_"), "route"), F.col("keys") == F.col("k_")).drop("k_")
+    return RouteTree(materialize(placed), materialize(paths), hist, config, infer)
 
 
 METHOD = ["route", "method"]
 
 
 def methods(requests: DataFrame) -> DataFrame:
-    return requests.groupBy(*METHOD).agg(F.count("*").alias("requests"), F.min("seq").alias("first_seq"))
+    return requests.groupBy(*METHOD).agg(F.sum("n").alias("requests"), F.min("seq").alias("first_seq"))
 
 
 def param_rows(requests: DataFrame) -> DataFrame:
-    return requests.select(*METHOD, "seq", F.posexplode("params").alias("pos", "p")).select(*METHOD, "seq", "pos", "p.*")
+    return requests.select(*METHOD, "seq", "last_seq", "n", F.posexplode("params").alias("pos", "p")).select(*METHOD, "seq", "last_seq", "n", "pos", "p.*")
 
 
-def params(requests: DataFrame, config: MergeConfig = MergeConfig()) -> DataFrame:
+def params(requests: DataFrame, config: MergeConfig = MergeConfig(), infer: Infer = votes) -> DataFrame:
     """One row for each parameter of a method: presence, whether it is required, types, first and last value."""
     rows = param_rows(requests)
     keys = [*METHOD, "name"]
     seen = rows.groupBy(*keys).agg(
-        F.count("*").alias("presence"), F.min("seq").alias("first_seq"), F.min_by("value", F.struct("seq", "pos")).alias("value"),
-        F.max_by(F.when(F.col("value") != "", F.col("value")), F.when(F.col("value") != "", F.struct("seq", "pos"))).alias("last_value"),
+        F.sum("n").alias("presence"), F.min("seq").alias("first_seq"), F.min_by("value", F.struct("seq", "pos")).alias("value"),
+        F.max_by(F.when(F.col("value") != "", F.col("value")), F.when(F.col("value") != "", F.struct("last_seq", "pos"))).alias("last_value"),
         F.max((F.col("source") == "body").cast("int")).cast("boolean").alias("in_body"),
     )
-    types = votes(histogram(rows.where("value <> ''"), keys), keys).select(*keys, "physical_type", "logical_type")
+    types = infer(histogram(rows.where("value <> ''"), keys), keys).select(*keys, "physical_type", "logical_type")
     total = methods(requests).select(*METHOD, "requests")
     out = seen.join(total, METHOD).join(types, keys, "left")
     needed = (F.col("requests") > 1) & (F.col("presence") / F.col("requests") >= config.required_param_threshold)
@@ -101,28 +131,26 @@ def params(requests: DataFrame, config: MergeConfig = MergeConfig()) -> DataFram
 
 def content_types(requests: DataFrame) -> DataFrame:
     rows = requests.where(R.takes_body(F.col("method")) & (F.coalesce("content_type", F.lit("")) != ""))
-    return rows.groupBy(*METHOD, "content_type").agg(F.count("*").alias("cnt"), F.max("media_type").alias("media_type"), F.min("seq").alias("first_seq"))
+    return rows.groupBy(*METHOD, "content_type").agg(F.sum("n").alias("cnt"), F.max("media_type").alias("media_type"), F.min("seq").alias("first_seq"))
 
 
 def header_rows(requests: DataFrame) -> DataFrame:
-    pairs = F.array(F.struct(F.lit("Accept").alias("name"), R.accept_value(F.col("accept")).alias("value")), F.struct(F.lit("Authorization").alias("name"), R.auth_scheme(F.col("authorization")).alias("value")))
-    if "headers" in requests.columns:  # further routing headers, as (canonical name, raw value)
-        pairs = F.concat(pairs, F.transform(F.map_entries("headers"), lambda e: F.struct(e["key"].alias("name"), R.header_value(e["key"], e["value"]).alias("value"))))
-    return requests.select(*METHOD, "seq", F.explode(pairs).alias("h")).select(*METHOD, "seq", "h.*").where("value <> ''")
+    pairs = F.array(*[F.struct(F.lit(name).alias("name"), R.header_value(F.lit(name), F.col(column)).alias("value")) for name, column in ROUTING_HEADERS.items()])
+    return requests.select(*METHOD, "seq", "n", F.explode(pairs).alias("h")).select(*METHOD, "seq", "n", "h.*").where("value <> ''")
 
 
 def cookie_rows(requests: DataFrame) -> DataFrame:
-    return requests.select(*METHOD, "seq", F.explode(R.cookies(F.col("cookie"))).alias("c")).select(*METHOD, "seq", "c.*").where("value <> ''")
+    return requests.select(*METHOD, "seq", "n", F.explode(R.cookies(F.col("cookie"))).alias("c")).select(*METHOD, "seq", "n", "c.*").where("value <> ''")
 
 
 def value_nodes(rows: DataFrame) -> DataFrame:
     """(route, method, name, value, hits, seen_again): a first sighting makes the node, later ones are observed."""
-    return rows.groupBy(*METHOD, "name", "value").agg(F.count("*").alias("hits"), (F.count("*") - 1).alias("seen_again"), F.min("seq").alias("first_seq"))
+    return rows.groupBy(*METHOD, "name", "value").agg(F.sum("n").alias("hits"), (F.sum("n") - 1).alias("seen_again"), F.min("seq").alias("first_seq"))
 
 
 def variable_types(tree: RouteTree) -> DataFrame:
     hist = tree.variable_values.groupBy("route", "value").agg(F.sum("cnt").alias("cnt"))
-    return votes(hist, ["route"])
+    return tree.infer(hist, ["route"])
 
 
 NODE = ["node_id", "parent_id", "depth", "node_type", "key", "value", "requests", "presence", "required", "physical_type", "logical_type", "pattern", "default_value", "first_seq"]
@@ -133,7 +161,7 @@ def nodes(tree: RouteTree) -> DataFrame:
     req = tree.requests
     sep = "\u0001"
     null = lambda kind: F.lit(None).cast(kind)
-    root_end = req.where("route = ''").agg(F.count("*").alias("requests"), F.min("seq").alias("first_seq"))
+    root_end = req.where("route = ''").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("requests"), F.min("seq").alias("first_seq"))
 
     def shaped(df: DataFrame, **cols) -> DataFrame:
         kinds = {"depth": "int", "requests": "long", "presence": "long", "required": "boolean", "first_seq": "long"}
@@ -148,7 +176,7 @@ def nodes(tree: RouteTree) -> DataFrame:
         shaped(tree.paths.join(types, "route", "left"), node_id=route_id, parent_id=c("parent"), depth=c("depth"), node_type=c("node_type"), key=c("key"), value=F.lit(""), requests=c("requests"),
                physical_type=c("physical_type"), logical_type=c("logical_type"), pattern=c("regex"), first_seq=c("first_seq")),
         shaped(methods(req), node_id=method_id, parent_id=route_id, depth=depth, node_type=F.lit("request_method"), key=c("method"), value=F.lit(""), requests=c("requests"), first_seq=c("first_seq")),
-        shaped(params(req, tree.config), node_id=F.concat(method_id, F.lit(f"{sep}?"), "name"), parent_id=method_id, depth=depth + 1, node_type=F.lit("request_param"), key=c("name"), value=c("value"),
+        shaped(params(req, tree.config, tree.infer), node_id=F.concat(method_id, F.lit(f"{sep}?"), "name"), parent_id=method_id, depth=depth + 1, node_type=F.lit("request_param"), key=c("name"), value=c("value"),
                presence=c("presence"), required=c("required"), physical_type=c("physical_type"), logical_type=c("logical_type"), default_value=c("last_value"), first_seq=c("first_seq")),
         shaped(content_types(req), node_id=F.concat(method_id, F.lit(f"{sep}#"), "content_type"), parent_id=method_id, depth=depth + 1, node_type=F.lit("request_content_type"), key=c("content_type"), value=F.lit(""),
                first_seq=c("first_seq")),
@@ -172,3 +200,30 @@ def stats(node_table: DataFrame) -> DataFrame:
     names = ("root", "request_path", "request_path_variable", "request_method", "request_param", "request_content_type", "request_header", "request_header_value", "request_cookie", "request_cookie_value")
     sums = node_table.agg(F.count("*").alias("nodes"), *[kind(k).alias(k) for k in names[1:]], F.max("depth").cast("long").alias("max_depth"), F.coalesce(F.sum("requests"), F.lit(0)).alias("requests"))
     return sums.join(leaves.withColumn("one", F.lit(1)), F.lit(1) == F.col("one")).drop("one")
+
+
+SNAPSHOT = ("requests_processed", "path_variables_identified", "pattern_detections", "params_created", "type_inferences", "body_params_parsed", "required_params_inferred", "merge_attempts", "merge_skipped", "warnings", "errors")
+
+
+def snapshot(parsed: DataFrame, tree: RouteTree) -> DataFrame:
+    """Eleven counters of a run in one row.
+
+    A merge is attempted, and a pattern looked for, once for each set of siblings of at least the threshold; it is skipped where the set has
+    no variable in the end.  Warnings are rows with a bad query or body, errors all other bad rows.
+    """
+    lenient = F.col("error").isin("bad query", "bad body")
+    of_body = F.when(F.col("error").isNull(), F.size(F.filter("params", lambda p: p["source"] == "body"))).otherwise(0)
+    rows = parsed.agg(
+        F.count_if(F.col("error").isNull()).alias("requests_processed"), F.coalesce(F.sum(of_body), F.lit(0)).cast("long").alias("body_params_parsed"), F.count_if(lenient).alias("warnings"),
+        F.count_if(F.col("error").isNotNull() & ~lenient).alias("errors"),
+    )
+    kinds = tree.paths.withColumn("variable_", F.col("node_type") == "request_path_variable")
+    merged = tree.variable_values.select("route", "value").distinct().groupBy("route").agg(F.count("*").alias("values_"))
+    sets = kinds.join(merged, "route", "left").groupBy("parent").agg(F.sum(F.when(F.col("variable_"), F.coalesce("values_", F.lit(0))).otherwise(1)).alias("size_"), F.count_if("variable_").alias("made_"))
+    tried = F.col("size_") >= tree.config.sibling_merge_threshold
+    merges = sets.agg(F.count_if(tried).alias("merge_attempts"), F.count_if(tried & (F.col("made_") == 0)).alias("merge_skipped"), F.coalesce(F.sum("made_"), F.lit(0)).alias("path_variables_identified"))
+    made = params(tree.requests, tree.config, tree.infer).agg(F.count("*").alias("params_created"), F.count_if("required").alias("required_params_inferred"))
+    one = lambda df, key: df.withColumn(key, F.lit(1))
+    both = one(rows, "i_").join(one(merges, "j_"), F.col("i_") == F.col("j_")).join(one(made, "l_"), F.col("i_") == F.col("l_"))
+    counts = both.withColumn("pattern_detections", F.col("merge_attempts")).withColumn("type_inferences", F.col("params_created") + F.col("path_variables_identified"))
+    return counts.select(*[F.col(c).cast("long").alias(c) for c in SNAPSHOT])

@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 from routeloom.functions import requests as R
 from routeloom.functions import types as T
-from routeloom.operators import documents, inference, lookup, merge, routes
+from routeloom.operators import documents, inference, lookup, merge, routes, tree
 from routeloom.plans import oracle
+from routeloom.sources import log, synthetic
 from routeloom.sources import requests as src
 from routeloom.sources.curl import from_curls
+from routeloom.sources.store import new_folder
+from routeloom.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,8 +31,7 @@ def _parsed(spark: SparkSession, sf: str, *names: str) -> DataFrame:
 
 def entry(spark: SparkSession, sf: str) -> DataFrame:
     """Route inventory of the captured pages: route, method, requests."""
-    tree = routes.build(_parsed(spark, sf, "req_pages"))
-    return routes.methods(tree.requests).select("route", "method", "requests")
+    return routes.methods(routes.build(_parsed(spark, sf, "req_pages")).requests).select("route", "method", "requests")
 
 
 # --- parsing ------------------------------------------------------------------------------------------------------------------
@@ -201,20 +203,19 @@ def cookie_values(spark: SparkSession, sf: str) -> DataFrame:
     return routes.value_nodes(routes.cookie_rows(_tree(spark, sf, "req_orders").requests)).select("route", "method", "name", "value", "hits", "seen_again")
 
 
-def _split(spark: SparkSession, sf: str) -> tuple[DataFrame, routes.RouteTree]:
-    """A tree of two thirds of the orders' requests, and the other third with some changes as questions."""
-    parsed = _parsed(spark, sf, "req_orders")
-    asked = src.request_table(spark, sf, "req_orders").where("seq % 3 = 2")
-    asked = asked.withColumn("url", F.when(F.col("seq") % 5 == 0, F.concat("url", F.lit("&extra=1"))).when(F.col("seq") % 7 == 0, F.concat(F.lit("/v2"), F.col("url"))).otherwise(F.col("url")))
-    return src.parse(asked), routes.build(parsed.where("seq % 3 < 2"), evaluator="set")
+def _asked(spark: SparkSession, sf: str) -> tuple[DataFrame, routes.RouteTree]:
+    """A tree of the orders' requests; the same requests, some of them changed, as questions."""
+    asked = src.request_table(spark, sf, "req_orders")
+    changed = F.when(F.col("seq") % 5 == 0, F.concat("url", F.lit("&extra=1"))).when(F.col("seq") % 7 == 0, F.concat(F.lit("/v2"), "url")).otherwise(F.col("url"))
+    return src.parse(asked.withColumn("url", changed)), _tree(spark, sf, "req_orders")
 
 
 def find_route(spark: SparkSession, sf: str) -> DataFrame:
-    return lookup.find_routes(*_split(spark, sf)).select("seq", "route", "method")
+    return lookup.find_routes(*_asked(spark, sf)).select("seq", "route", "method")
 
 
 def is_need_request(spark: SparkSession, sf: str) -> DataFrame:
-    return lookup.needed(*_split(spark, sf))
+    return lookup.needed(*_asked(spark, sf))
 
 
 # --- documents ------------------------------------------------------------------------------------------------------------------
@@ -277,11 +278,170 @@ def curl_parse(spark: SparkSession, sf: str) -> DataFrame:
     return from_curls(rows.select("seq", line.alias("line"))).select("seq", "method", "url", "content_type", "body", "accept")
 
 
+# --- headers, extraction, classes -----------------------------------------------------------------------------------------------
+
+
+def routing_headers(spark: SparkSession, sf: str) -> DataFrame:
+    """The five routing headers, three of them from a map whose names are in any case."""
+    rows = src.request_table(spark, sf, "req_orders")
+    given = F.create_map(
+        F.lit("x-api-version"), F.concat(F.lit("v"), (F.col("seq") % 3).cast("string")), F.lit("ACCEPT-LANGUAGE"), F.when(F.col("seq") % 2 == 0, " en-US;q=0.8,zh").otherwise("zh-CN"),
+        F.lit("X-Requested-With"), F.when(F.col("seq") % 4 == 0, "XMLHttpRequest").otherwise(""), F.lit("X-Other"), F.lit("none"),
+    )
+    parsed = src.parse(rows.withColumn("headers", given)).withColumn("route", F.lit(""))
+    return routes.header_rows(routes.weighted(parsed)).select("seq", "name", "value")
+
+
+def ajax_requests(spark: SparkSession, sf: str) -> DataFrame:
+    rows = src.request_table(spark, sf, "req_orders").withColumn("x_requested_with", F.when(F.col("seq") % 4 == 0, "XMLHttpRequest").when(F.col("seq") % 4 == 1, "fetch"))
+    return rows.groupBy(R.is_ajax(F.col("x_requested_with")).alias("ajax")).agg(F.count("*").alias("n"))
+
+
+def param_extract(spark: SparkSession, sf: str) -> DataFrame:
+    """Values of two parameters in each query string: one that may repeat and is required, one with a default."""
+    rows = src.request_table(spark, sf, "req_orders")
+    q = R.url_query(F.when(F.col("seq") % 4 == 0, F.concat("url", F.lit("&PAGE=9"))).otherwise(F.col("url")))
+    page, prio = R.extract_param(q, F.lit("page"), F.lit(""), F.lit(True)), R.extract_param(q, F.lit("prio"), F.lit("0"), F.lit(False))
+    must = R.extract_param(q, F.lit("prio"), F.lit(None).cast("string"), F.lit(True))
+    return rows.select("seq", page["value"].alias("page"), page["multi"].alias("multi"), prio["value"].alias("prio"), must["found"].alias("has_prio"))
+
+
+def param_values(spark: SparkSession, sf: str) -> DataFrame:
+    rows = src.request_table(spark, sf, "req_parts")
+    return rows.select("seq", F.explode(R.values_of(F.concat("body", F.lit("&size=s&Size=t&size")), F.lit("SIZE"))).alias("value"))
+
+
+def param_match(spark: SparkSession, sf: str) -> DataFrame:
+    rows = src.request_table(spark, sf, "req_orders").select(R.url_query(F.col("url")).alias("q"))
+    has = lambda name: R.query_has(F.col("q"), F.lit(name))
+    return rows.groupBy(has("Prio").alias("prio"), has("pri").alias("pri"), has("PAGE").alias("page"), has("ag").alias("ag")).agg(F.count("*").alias("n"))
+
+
+def variable_extract(spark: SparkSession, sf: str) -> DataFrame:
+    """What three variables take of the last segments: one with a pattern, one without, which takes no static files, and one of words."""
+    rows = src.request_table(spark, sf, "req_suppliers").unionByName(src.request_table(spark, sf, "req_parts").withColumn("seq", F.col("seq") + 10**9))
+    last = F.element_at(R.path_segments(F.col("url")), -1)
+    last = F.when(F.col("seq") % 6 == 0, F.concat(last, F.lit(".HTML"))).otherwise(last)
+    return rows.select("seq", R.extract_variable(last, F.lit("[0-9]+_user")).alias("numbered"), R.extract_variable(last, F.lit("")).alias("other"), R.extract_variable(last, F.lit("^[a-z]+$")).alias("word"))
+
+
+#: A text of each class by number, in SQL that Spark and DuckDB share; x is a whole number.
+CLASS_TEXTS = (
+    "'null'", "'TRUE'", "concat('-', CAST(x AS STRING))", "concat('0x', CAST(x AS STRING), 'fA')", "concat(CAST(x AS STRING), '.5e-3')", "concat('[', CAST(x AS STRING), ']')", "concat('{\"a\":', CAST(x AS STRING), '}')", "concat('word ', CAST(x AS STRING))",
+    "concat('10.0.', CAST(x % 256 AS STRING), '.7')", "'2001:db8::1'", "concat('0755-', lpad(CAST(23000000 + x AS STRING), 8, '0'))", "concat('京A', lpad(CAST(x AS STRING), 5, '0'))", "concat('user', CAST(x AS STRING), '@example.org')",
+    "concat('2024-01-02T03:04:', lpad(CAST(x % 60 AS STRING), 2, '0'))", "'2024-02-30'", "concat('23:59:', lpad(CAST(x % 60 AS STRING), 2, '0'))", "concat('https://h.example/', CAST(x AS STRING))", "concat('<a>', CAST(x AS STRING), '</a>')",
+    "concat(CAST(x AS STRING), '%')", "concat('￥', CAST(x AS STRING))", "concat(CAST(x AS STRING), '.25')", "concat('13812345678', '')", "concat(lpad(CAST(x AS STRING), 16, '4'))", "'True'", "'1.2.3'", "'.'",
+)
+
+
+def type_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """Physical type, pattern type and number format of values of all classes."""
+    spark_sql = " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(CLASS_TEXTS))
+    rows = src.request_table(spark, sf, "req_formats").selectExpr("seq AS x").selectExpr("x", f"CASE CAST(x % {len(CLASS_TEXTS)} AS INT) {spark_sql} END AS value")
+    v = F.col("value")
+    return rows.select("x", "value", T.physical(v).alias("physical"), T.pattern_type(v).alias("logical"), T.number_format(v).alias("format"))
+
+
+def json_nested_flatten(spark: SparkSession, sf: str) -> DataFrame:
+    """Leaves of bodies with objects, arrays, numbers of all kinds, nulls and empty parts."""
+    rows = src.request_table(spark, sf, "req_parts")
+    body = F.format_string('{"User":{"id":%d,"tags":["a",{"b":%d.50}],"none":null},"f":[1e3,0.25,true,[]],"e":{},"big":12345678901}', F.col("seq"), F.col("seq"))
+    return rows.select("seq", F.explode(src.body_params(F.lit("application/json"), body)).alias("p")).select("seq", "p.*")
+
+
+def request_log(spark: SparkSession, sf: str) -> DataFrame:
+    return log.diagnostics(_with_errors(spark, sf), "info").groupBy("level", "message").agg(F.count("*").alias("n"))
+
+
+# --- trees from trees -----------------------------------------------------------------------------------------------------------
+
+
+def order_tree_stats(spark: SparkSession, sf: str) -> DataFrame:
+    """Counts of a tree that is built in order of arrival."""
+    return routes.stats(routes.nodes(_tree(spark, sf, "req_orders", evaluator="replay")))
+
+
+def order_snapshot(spark: SparkSession, sf: str) -> DataFrame:
+    parsed = _parsed(spark, sf, "req_orders")
+    return routes.snapshot(parsed, routes.build(parsed, evaluator="set"))
+
+
+def resumed_routes(spark: SparkSession, sf: str) -> DataFrame:
+    """The tree of the pages, gone on from with the orders."""
+    earlier = _tree(spark, sf, "req_pages")
+    orders = src.request_table(spark, sf, "req_orders").withColumn("seq", F.col("seq") + 10**9)
+    return routes.methods(routes.build(src.parse(orders), evaluator="set", tree=earlier).requests).select("route", "method", "requests")
+
+
+def merged_trees(spark: SparkSession, sf: str) -> DataFrame:
+    """Requests by method node of the union of two trees that were built apart."""
+    both = tree.merge(routes.nodes(_tree(spark, sf, "req_orders", "req_pages")), routes.nodes(_tree(spark, sf, "req_orders", "req_events")))
+    return tree.methods(both).select(F.substring_index("node_id", "\u0001", 1).alias("route"), F.col("key").alias("method"), "requests")
+
+
+def _order_paths(spark: SparkSession, sf: str) -> DataFrame:
+    return routes.nodes(_tree(spark, sf, "req_orders", "req_events")).where("node_type in ('root', 'request_path', 'request_path_variable')")
+
+
+def tree_ancestors(spark: SparkSession, sf: str) -> DataFrame:
+    return tree.ancestors(_order_paths(spark, sf)).select("node_id", "ancestor_id", "distance")
+
+
+def tree_siblings(spark: SparkSession, sf: str) -> DataFrame:
+    return tree.sibling_counts(_order_paths(spark, sf))
+
+
+def tree_paths(spark: SparkSession, sf: str) -> DataFrame:
+    return tree.paths(_order_paths(spark, sf))
+
+
+def tree_children(spark: SparkSession, sf: str) -> DataFrame:
+    return tree.children(_order_paths(spark, sf), "/track", node_type="request_path").select("node_id", "key")
+
+
+def tree_removed(spark: SparkSession, sf: str) -> DataFrame:
+    nodes = _order_paths(spark, sf)
+    return tree.remove(nodes, nodes.where("key = 'customers'")).select("node_id", "key")
+
+
+def node_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Nodes as texts, and what comes back from them."""
+    rows = _order_paths(spark, sf).select("node_id", tree.serialize().alias("text"))
+    back = rows.withColumn("x", tree.deserialize(F.col("text")))
+    return back.select("node_id", "text", "x.node_type", "x.key")
+
+
+def variable_displays(spark: SparkSession, sf: str) -> DataFrame:
+    nodes = _order_paths(spark, sf).where("node_type = 'request_path_variable'")
+    return nodes.select("node_id", R.variable_display(F.col("key"), F.col("pattern"), F.col("physical_type")).alias("shown"))
+
+
+GENERATED = synthetic.random_spec(11)
+
+
+def generated_routes(spark: SparkSession, sf: str) -> DataFrame:
+    """Routes and methods of generated requests; what they have to be is known from the specification."""
+    built = routes.build(src.parse(synthetic.requests(spark, GENERATED, 20_000, ids=500)), evaluator="set")
+    return routes.methods(built.requests).select("route", "method")
+
+
+def streamed_routes(spark: SparkSession, sf: str) -> DataFrame:
+    """The orders as a stream: facts by batch, and a tree of all batches."""
+    folder = new_folder(spark)
+    orders = spark.read.parquet(f"{sf}/orders.parquet")
+    orders.repartition(4).write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(orders.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
+    ingest.ingest(src.request_rows(spark, stream, "req_orders"), f"{folder}/facts", f"{folder}/state").awaitTermination()
+    return routes.methods(ingest.tree(spark, f"{folder}/facts", evaluator="set").requests).select("route", "method", "requests")
+
+
 QUERIES: tuple[Query, ...] = (
     url_path_segments, url_query_params, url_path_params, method_normalize, content_type_normalize, percent_decode, form_body_params, json_body_flatten, multipart_fields, cookie_parse,
     header_values_normalized, static_ext_filter, param_source_union, value_histogram, unique_values, type_votes, value_types, pattern_detect, merge_decision, merge_members, fixed_kept,
     route_counts, merge_fold_routes, route_tree_nodes, tree_stats, required_params, content_type_nodes, header_values, cookie_values, find_route, is_need_request, endpoints_sorted,
     openapi_schema_map, security_schemes, openapi_json, ascii_tree, json_round_trip, batch_errors, router_stats, curl_parse,
+    routing_headers, ajax_requests, param_extract, param_values, param_match, variable_extract, type_classes, json_nested_flatten, request_log, order_tree_stats, order_snapshot, resumed_routes,
+    merged_trees, tree_ancestors, tree_siblings, tree_paths, tree_children, tree_removed, node_documents, variable_displays, generated_routes, streamed_routes,
 )
 
 
@@ -290,4 +450,6 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(oracle.SQL)
+    known = synthetic.expected(GENERATED)
+    rows = " UNION ".join(f"SELECT '{x['route']}' AS route, '{x['method']}' AS method" for x in known)
+    return oracle.SQL | {"type_classes": oracle.type_classes(CLASS_TEXTS), "generated_routes": rows}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from routeloom.functions import types as T
 from routeloom.functions.patterns import LOGICAL_PATTERNS, PHYSICAL_TYPES, SIBLING_PATTERNS, STATIC_PATTERN, VARIABLE_REGEX, VARIABLE_SUFFIX, re2
 from routeloom.functions.requests import URL_PARTS
@@ -112,7 +114,7 @@ def tree_ctes(*names: str, depth: int = 4) -> str:
     for d in range(depth):
         part = detect_ctes(f"sib{d}")
         for name in ("s1", "s2", "s3", "s4", "s5", "detected", "d2", "decided"):
-            part = __import__("re").sub(rf"\b{name}\b", f"{name}_{d}", part)
+            part = re.sub(rf"\b{name}\b", f"{name}_{d}", part)
         out += [
             f"sib{d} AS (SELECT DISTINCT route AS parent, keys[{d + 1}] AS segment FROM l{d} WHERE len(keys) > {d})",
             part,
@@ -127,10 +129,8 @@ THREE = tree_ctes("req_pages", "req_orders", "req_formats")
 ACCEPT, SCHEME = "trim(split_part(trim(split_part(accept, ',', 1)), ';', 1))", "split_part(\"authorization\", ' ', 1)"
 COOKIES = "[{'name': trim(split_part(trim(c), '=', 1)), 'value': trim(substr(trim(c), strpos(trim(c), '=') + 1))} for c in string_split(cookie, ';')]"
 NAMED_VALUES = "count(*) AS hits, count(*) - 1 AS seen_again"
-ASKED = "/v2"
-KNOWN = tree_ctes("req_orders").replace("reqs AS (SELECT seq + 0 * 1000000000 AS seq, method, url, content_type, body, accept, \"authorization\", cookie FROM req_orders)", "reqs AS (SELECT * FROM req_orders WHERE seq % 3 < 2)")
-QUESTIONS = f"""{KNOWN},
-asked AS (SELECT * REPLACE (CASE WHEN seq % 5 = 0 THEN url || '&extra=1' WHEN seq % 7 = 0 THEN '/v2' || url ELSE url END AS url) FROM req_orders WHERE seq % 3 = 2),
+QUESTIONS = f"""{ORDERS},
+asked AS (SELECT * REPLACE (CASE WHEN seq % 5 = 0 THEN url || '&extra=1' WHEN seq % 7 = 0 THEN '/v2' || url ELSE url END AS url) FROM req_orders),
 nodes AS (SELECT DISTINCT route FROM placed),
 hit AS (SELECT asked.*, CASE WHEN seq % 5 <> 0 AND seq % 7 = 0 THEN NULL ELSE (SELECT route FROM nodes WHERE route = '/api/customers/{{customers_id}}/orders') END AS route FROM asked),
 m AS (SELECT DISTINCT route, method FROM placed),
@@ -146,7 +146,68 @@ FORM = "CASE logical_type " + " ".join(f"WHEN '{k}' THEN '{f}'" for k, (_, f) in
 BAD_URL = "CASE WHEN seq % 10 = 3 THEN CASE WHEN contains(url, '?') THEN 'bad query' ELSE 'bad escape in path' END WHEN seq % 10 = 7 THEN 'missing protocol scheme' END"
 OPERATION = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(route, '[{}]', '', 'g'), '[^A-Za-z0-9_]', '_', 'g'), '^_+|_+$', '', 'g'), '_+', '_', 'g')"
 
+#: Path nodes (node, parts) of the routes in placed, the root's empty one included.
+PRE = "pre AS (SELECT DISTINCT array_to_string(parts[1:i], '/') AS node, parts[1:i] AS parts FROM (SELECT parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT DISTINCT string_split(route, '/') AS parts FROM placed)))"
+TWO = tree_ctes("req_orders", "req_events") + ",\n" + PRE
+BARE = "replace(replace({0}, '{{', ''), '}}', '')"
+KEY = "CASE WHEN node = '' THEN 'root' ELSE " + BARE.format("parts[-1]") + " END"
+TYPE = "CASE WHEN node = '' THEN 'root' WHEN parts[-1] LIKE '{%' THEN 'request_path_variable' ELSE 'request_path' END"
+BELOW = f"""m AS (SELECT route, method, count(*) AS requests FROM placed GROUP BY ALL),
+pn AS (SELECT route, method, p.name AS name, count(*) AS presence FROM (SELECT route, method, unnest({pairs(query('url'))}) AS p FROM placed) GROUP BY ALL),
+hv AS (SELECT DISTINCT route, method, 'Accept' AS name, {ACCEPT} AS v FROM placed UNION SELECT DISTINCT route, method, 'Authorization', {SCHEME} FROM placed),
+cv AS (SELECT DISTINCT route, method, c.name AS name, c.value AS v FROM (SELECT route, method, unnest({COOKIES}) AS c FROM placed))"""
+COUNT = "(SELECT count(*) FROM {0})"
+SETS = " UNION ALL ".join(f"SELECT parent, n, action FROM decided_{d}" for d in range(4))
+#: Physical type, pattern type and number format of each text of the catalog's list, in its order.
+CLASSES = (
+    ("null",), ("boolean",), ("integer",), ("integer",), ("float",), ("array", "json"), ("object", "json"), ("string",), ("string", "ipaddress"), ("string", "ipaddress"), ("string", "phone"), ("string", "plate"), ("string", "email"),
+    ("string", "datetime"), ("string", "date"), ("string", "time"), ("string", "url"), ("string", "xml"), ("string", None, "percentage"), ("string", None, "currency"), ("float", None, "decimal"), ("integer", "phone"),
+    ("string", "bankcard"), ("string",), ("string",), ("float",),
+)
+
+
+def type_classes(texts: tuple[str, ...]) -> str:
+    of = lambda k: " ".join(f"WHEN {i} THEN '{c[k]}'" for i, c in enumerate(CLASSES) if len(c) > k and c[k])
+    i = f"CAST(x % {len(texts)} AS INT)"
+    values = " ".join(f"WHEN {n} THEN {t}" for n, t in enumerate(texts))
+    return f"WITH {ctes('req_formats')} SELECT x, CASE {i} {values} END AS value, CASE {i} {of(0)} END AS physical, CASE {i} {of(1)} END AS logical, CASE {i} {of(2)} END AS format FROM (SELECT seq AS x FROM req_formats)"
+
+
+def counts(source: str) -> str:
+    return f"SELECT route, method, count(*) AS requests FROM (WITH {source} SELECT route, method FROM placed) GROUP BY ALL"
+
+
 SQL = {
+    "routing_headers": f"""WITH {ctes('req_orders')} SELECT seq, 'Accept' AS name, {ACCEPT} AS value FROM req_orders UNION ALL SELECT seq, 'Authorization', {SCHEME} FROM req_orders UNION ALL SELECT seq, 'X-Api-Version', 'v' || (seq % 3) FROM req_orders
+ UNION ALL SELECT seq, 'Accept-Language', CASE WHEN seq % 2 = 0 THEN 'en-US' ELSE 'zh-CN' END FROM req_orders UNION ALL SELECT seq, 'X-Requested-With', 'XMLHttpRequest' FROM req_orders WHERE seq % 4 = 0""",
+    "ajax_requests": "SELECT o_orderkey % 4 = 0 AS ajax, count(*) AS n FROM orders GROUP BY ALL",
+    "param_extract": "SELECT CAST(o_orderkey AS BIGINT) AS seq, (o_orderkey % 7) || CASE WHEN o_orderkey % 4 = 0 THEN ',9' ELSE '' END AS page, o_orderkey % 4 = 0 AS multi, CASE WHEN o_orderkey % 3 = 0 THEN substr(o_orderpriority, 1, 1) ELSE '0' END AS prio, o_orderkey % 3 = 0 AS has_prio FROM orders",
+    "param_values": "SELECT CAST(p_partkey AS BIGINT) AS seq, unnest([CAST(p_size AS VARCHAR), 's', 't', '']) AS value FROM part",
+    "param_match": "SELECT o_orderkey % 3 = 0 AS prio, false AS pri, true AS page, false AS ag, count(*) AS n FROM orders GROUP BY ALL",
+    "variable_extract": """WITH s AS (SELECT CAST(s_suppkey AS BIGINT) AS seq, CASE s_suppkey % 2 WHEN 0 THEN 'user_' || lpad(CAST(s_suppkey AS VARCHAR), 5, '0') ELSE lpad(CAST(s_suppkey AS VARCHAR), 5, '0') || '_user' END AS x FROM supplier
+ UNION ALL SELECT p_partkey + 1000000000, CASE p_partkey % 10 WHEN 0 THEN 'list' WHEN 1 THEN 'create' ELSE CAST(p_partkey AS VARCHAR) END FROM part), t AS (SELECT seq, CASE WHEN seq % 6 = 0 THEN x || '.HTML' ELSE x END AS x FROM s)
+ SELECT seq, CASE WHEN contains(x, '_user') THEN x END AS numbered, CASE WHEN seq % 6 <> 0 THEN x END AS other, CASE WHEN x IN ('list', 'create') THEN x END AS word FROM t""",
+    "json_nested_flatten": """SELECT CAST(p_partkey AS BIGINT) AS seq, p.name AS name, p.value AS value FROM (SELECT p_partkey, unnest([{'name': 'user.id', 'value': CAST(p_partkey AS VARCHAR)}, {'name': 'user.tags.0', 'value': 'a'}, {'name': 'user.tags.1.b', 'value': p_partkey || '.5'},
+ {'name': 'user.none', 'value': ''}, {'name': 'f.0', 'value': '1000'}, {'name': 'f.1', 'value': '0.25'}, {'name': 'f.2', 'value': 'true'}, {'name': 'big', 'value': '12345678901'}]) AS p FROM part)""",
+    "request_log": f"WITH {ctes('req_pages')}, e AS (SELECT {BAD_URL} AS e FROM req_pages) SELECT CASE WHEN e IS NULL THEN 'info' WHEN e = 'bad query' THEN 'warn' ELSE 'error' END AS level, coalesce(e, 'request GET') AS message, count(*) AS n FROM e GROUP BY ALL",
+    "order_tree_stats": f"""WITH {ORDERS}, {PRE}, {BELOW}, c AS (SELECT {COUNT.format("pre WHERE parts[-1] LIKE '{%'")} AS request_path_variable, {COUNT.format("pre WHERE node <> '' AND parts[-1] NOT LIKE '{%'")} AS request_path, {COUNT.format('m')} AS request_method, {COUNT.format('pn')} AS request_param,
+ 0 AS request_content_type, {COUNT.format('(SELECT DISTINCT route, method, name FROM hv)')} AS request_header, {COUNT.format('hv')} AS request_header_value, {COUNT.format('(SELECT DISTINCT route, method, name FROM cv)')} AS request_cookie, {COUNT.format('cv')} AS request_cookie_value)
+ SELECT 1 + request_path + request_path_variable + request_method + request_param + request_header + request_header_value + request_cookie + request_cookie_value AS nodes, *, (SELECT max(len(parts)) + 2 FROM pre) AS max_depth, (SELECT CAST(2 * sum(requests) AS BIGINT) FROM m) AS requests,
+ request_param + request_header_value + request_cookie_value AS leaves FROM c""",
+    "order_snapshot": f"""WITH {ORDERS}, {PRE}, {BELOW}, sets AS ({SETS}), t AS (SELECT count(*) FILTER (WHERE n >= 3) AS tried, count(*) FILTER (WHERE n >= 3 AND action = 'none') AS skipped FROM sets),
+ k AS (SELECT {COUNT.format("pre WHERE parts[-1] LIKE '{%'")} AS vars, {COUNT.format('pn')} AS params, (SELECT count(*) FROM pn JOIN m USING (route, method) WHERE requests > 1 AND presence >= 0.9 * requests) AS required)
+ SELECT {COUNT.format('placed')} AS requests_processed, vars AS path_variables_identified, tried AS pattern_detections, params AS params_created, params + vars AS type_inferences, 0 AS body_params_parsed, required AS required_params_inferred, tried AS merge_attempts,
+ skipped AS merge_skipped, 0 AS warnings, 0 AS errors FROM t, k""",
+    "resumed_routes": counts(tree_ctes("req_pages", "req_orders")),
+    "streamed_routes": counts(ORDERS),
+    "merged_trees": f"SELECT route, method, CAST(sum(requests) AS BIGINT) AS requests FROM (({counts(tree_ctes('req_orders', 'req_pages'))}) UNION ALL ({counts(tree_ctes('req_orders', 'req_events'))})) GROUP BY ALL",
+    "tree_ancestors": f"WITH {TWO} SELECT node AS node_id, array_to_string(parts[1:j], '/') AS ancestor_id, len(parts) - j AS distance FROM (SELECT node, parts, unnest(range(1, len(parts))) AS j FROM pre)",
+    "tree_siblings": f"WITH {TWO} SELECT node AS node_id, CASE WHEN node = '' THEN 0 ELSE count(*) OVER (PARTITION BY parts[:-2], node = '') - 1 END AS siblings FROM pre",
+    "tree_paths": f"WITH {TWO} SELECT node AS node_id, CASE WHEN node = '' THEN '/' ELSE {BARE.format('node')} END AS path FROM pre",
+    "tree_children": f"WITH {TWO} SELECT node AS node_id, parts[-1] AS key FROM pre WHERE len(parts) = 3 AND parts[2] = 'track' AND parts[-1] NOT LIKE '{{%'",
+    "tree_removed": f"WITH {TWO} SELECT node AS node_id, {KEY} AS key FROM pre WHERE NOT list_contains(parts, 'customers')",
+    "node_documents": f"""WITH {TWO} SELECT node AS node_id, '{{"node_type":"' || {TYPE} || '","key":"' || {KEY} || '","value":""}}' AS text, {TYPE} AS node_type, {KEY} AS key FROM pre""",
+    "variable_displays": f"WITH {TWO} SELECT parent || '/{{' || variable || '}}' AS node_id, '{{' || variable || ':' || regex || '}}' AS shown FROM ({' UNION ALL '.join(f'SELECT parent, variable, regex FROM decided_{d}' for d in range(4))}) WHERE variable IS NOT NULL",
     "url_path_segments": f"WITH {ctes('req_pages', 'req_orders')}, u AS (SELECT seq, {segments('url')} AS s FROM (SELECT seq, url FROM req_pages UNION ALL SELECT seq + 1000000000, url FROM req_orders)) SELECT seq, pos - 1 AS pos, s[pos] AS segment FROM (SELECT seq, s, unnest(range(1, len(s) + 1)) AS pos FROM u)",
     "url_query_params": f"WITH {ctes('req_orders')} SELECT seq, p.name AS name, p.value AS value FROM (SELECT seq, unnest({pairs(query('url'))}) AS p FROM req_orders)",
     "url_path_params": f"WITH {ctes('req_parts')} SELECT seq, lower(split_part(x, '=', 1)) AS name, substr(x, strpos(x, '=') + 1) AS value FROM (SELECT seq, unnest({segments("'/a/' || replace(body, '&', '/')")}) AS x FROM req_parts) WHERE {like('x', '^[A-Za-z_][A-Za-z0-9_]*=')}",
@@ -166,7 +227,7 @@ SQL = {
     "type_votes": f"WITH {VOTES} SELECT * FROM votes",
     "openapi_schema_map": f"WITH {VOTES} SELECT owner, {KIND} AS type, {FORM} AS format FROM votes",
     "pattern_detect": f"WITH {SIBLINGS} SELECT * FROM detected",
-    "merge_decision": f"WITH {SIBLINGS} SELECT parent, n, pattern, hits, action, variable, replace(regex, 'Han', 'IsHan') AS regex FROM decided".replace("replace(regex, 'Han', 'IsHan') AS regex", "regex"),
+    "merge_decision": f"WITH {SIBLINGS} SELECT parent, n, pattern, hits, action, variable, regex FROM decided",
     "merge_members": f"WITH {SIBLINGS} SELECT * FROM members",
     "fixed_kept": f"WITH {SIBLINGS} SELECT parent, segment FROM members WHERE variable IS NULL",
     "route_counts": f"WITH {THREE} SELECT route, method, count(*) AS requests FROM placed GROUP BY ALL",

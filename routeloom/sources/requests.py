@@ -2,65 +2,17 @@
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from routeloom.functions import requests as R
+from routeloom.functions.json import json_params
+from routeloom.functions.patterns import ROUTING_HEADERS
 
-COLUMNS = ("seq", "method", "url", "content_type", "body", "accept", "authorization", "cookie")
+COLUMNS = ("seq", "method", "url", "content_type", "body", *ROUTING_HEADERS.values(), "cookie")
 MAX_ERRORS, MAX_RAW = 100, 128
 
 
-def go_number(x: float) -> str:
-    """Whole numbers without a point, others in their shortest form."""
-    if x == int(x) and abs(x) < 1e21:
-        return str(int(x))
-    text = f"{x:.17g}"
-    for digits in range(1, 18):
-        if float(short := f"{x:.{digits}g}") == x:
-            text = short
-            break
-    return text
-
-
-def flatten_json(text: str) -> list[tuple[str, str]]:
-    """Leaves as (dotted name, text); a top-level array's names begin with a point, a top-level scalar has none."""
-    out: list[tuple[str, str]] = []
-
-    def walk(name: str, v) -> None:
-        if isinstance(v, dict):
-            for k, x in v.items():
-                walk(f"{name}.{k}" if name else k, x)
-        elif isinstance(v, list):
-            for i, x in enumerate(v):
-                walk(f"{name}.{i}", x)
-        elif name:
-            out.append((name.lower(), "" if v is None else ("true" if v else "false") if isinstance(v, bool) else v if isinstance(v, str) else go_number(v)))
-
-    walk("", json.loads(text, parse_int=float))
-    return out
-
-
-PARAM_TYPE = ArrayType(StructType([StructField("name", StringType()), StructField("value", StringType())]))
-
-
-@F.pandas_udf(PARAM_TYPE)
-def json_params(bodies: pd.Series) -> pd.Series:
-    """Null where the body isn't JSON."""
-
-    def one(x):
-        try:
-            return None if x is None else [{"name": n, "value": v} for n, v in flatten_json(x)]
-        except (ValueError, OverflowError, RecursionError):
-            return None
-
-    return bodies.map(one)
-
-
 def body_params(content_type: Column, body: Column) -> Column:
     """Parameters of a body by its media type; null if it is malformed."""
     media, none = R.media_type(content_type), F.array().cast(R.PARAM)
@@ -68,17 +20,29 @@ def body_params(content_type: Column, body: Column) -> Column:
     return (
         F.when(F.coalesce(body, F.lit("")) == "", none)
         .when(media == "application/x-www-form-urlencoded", F.when(~R.bad_params(form), form))
-        .when(media == "application/json", json_params(body))
+        .when(media == "application/json", json_params(F.when(media == "application/json", body)))
         .when(media == "multipart/form-data", R.multipart_params(content_type, body))
         .otherwise(none)
     )
 
 
-def parse(requests: DataFrame, has_json: bool = True) -> DataFrame:
+def with_headers(requests: DataFrame) -> DataFrame:
+    """A column for each routing header: that of the requests, else from their map ``headers`` by a name in any case, else null."""
+    null = F.lit(None).cast("string")
+    of = lambda name: R.header(F.col("headers"), name) if "headers" in requests.columns else null
+    return requests.withColumns({column: of(name) for name, column in {**ROUTING_HEADERS, "Cookie": "cookie", "Content-Type": "content_type"}.items() if column not in requests.columns})
+
+
+def parse(requests: DataFrame) -> DataFrame:
     """Requests with method, keys (path segments as the tree names them), segments, params (name, value, source), media_type and error.
 
-    error is null for rows that parse; a bad row never stops the others.
+    error is null for rows that parse; a bad row never stops the others.  Of COLUMNS just seq, method, url and body need be there; others
+    are null, or taken from a map ``headers``.  A null method is GET, a null URL an error, a null body none; rows that repeat are requests
+    of their own; other columns are dropped, whatever their names; an empty table stays empty.
     """
+    requests = with_headers(requests)
+    # Of equal names in an object the last counts; Spark's parser would else take such a body for a bad one.
+    requests.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     query = R.query_params(R.url_query(F.col("url")))
     one = requests.withColumn("method", R.method(F.col("method"))).withColumn("segments", R.path_segments(F.col("url"))).withColumn("query_params", query)
     body = body_params(F.col("content_type"), F.col("body"))
@@ -97,7 +61,7 @@ def parse(requests: DataFrame, has_json: bool = True) -> DataFrame:
     three = two.withColumn("error", error)
     return three.select(
         "seq", "method", "url", "segments", F.transform("segments", R.segment_key).alias("keys"), params.alias("params"), "content_type",
-        R.media_type(F.col("content_type")).alias("media_type"), "accept", "authorization", "cookie", "error",
+        R.media_type(F.col("content_type")).alias("media_type"), *ROUTING_HEADERS.values(), "cookie", "error",
     )
 
 
@@ -131,5 +95,9 @@ TABLE_OF = {"req_pages": "pages", "req_orders": "orders", "req_events": "events"
 
 
 def request_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    source = spark.read.parquet(f"{sf_dir}/{TABLE_OF[name]}.parquet")
+    return request_rows(spark, spark.read.parquet(f"{sf_dir}/{TABLE_OF[name]}.parquet"), name)
+
+
+def request_rows(spark: SparkSession, source: DataFrame, name: str) -> DataFrame:
+    """The requests of a source table, or of a stream of its rows."""
     return spark.sql(REQUEST_SQL[name].replace(f"FROM {TABLE_OF[name]}", "FROM {source}"), source=source)

@@ -1,7 +1,8 @@
-"""Route facts from streams of requests.
+"""Route trees from streams of requests.
 
-Parsing has no state and runs as it is on a stream.  Each micro-batch is reduced to counts and appended to a table under its batch id,
-so a batch that runs again replaces what it wrote.  Parameters, values, headers and cookies are not kept, so no tree is built from them.
+Parsing has no state and runs as it is on a stream.  Each micro-batch is reduced to its different requests, with counts and places in
+the order, and written under its batch id, so a batch that runs again replaces what it wrote.  These facts hold all that a tree is built from, so
+a tree of all batches is that of one batch with the same rows.
 """
 
 from __future__ import annotations
@@ -10,28 +11,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from routeloom.operators.routes import METHOD
+from routeloom.operators import lookup, routes
+from routeloom.operators.routes import ALIKE, RouteTree, compact
 from routeloom.sources.requests import parse
 
 
-def path_facts(parsed: DataFrame) -> DataFrame:
-    return parsed.where("error is null").groupBy("keys", "method").agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"))
-
-
-def ingest(requests: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
-    """Start the query that keeps ``folder`` (facts by batch) up to date; ``requests`` is a streaming DataFrame."""
+def ingest(requests: DataFrame, folder: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Start the query that keeps ``folder`` (facts by batch) up to date; ``requests`` is a streaming DataFrame.  Bad rows are left out."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        path_facts(parse(batch)).write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
+        compact(parse(batch)).write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
 
-    return requests.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return requests.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
 def facts(spark: SparkSession, folder: str) -> DataFrame:
-    """Counts of all batches so far: keys, method, n, first_seq."""
-    return spark.read.parquet(folder).groupBy("keys", "method").agg(F.sum("n").alias("n"), F.min("first_seq").alias("first_seq"))
+    """The different requests of all batches so far: seq, last_seq, n and what they differ in."""
+    rows = spark.read.parquet(folder)
+    return rows.groupBy(*ALIKE).agg(F.sum("n").alias("n"), F.min("seq").alias("seq"), F.max("last_seq").alias("last_seq"))
+
+
+def tree(spark: SparkSession, folder: str, **options) -> RouteTree:
+    """The tree of all batches so far; options as those of routes.build."""
+    return routes.build(facts(spark, folder), **options)
 
 
-def unseen(requests: DataFrame, known: DataFrame) -> DataFrame:
-    """Rows of a stream whose keys and method the table of facts doesn't hold: a stream-static anti join."""
-    return parse(requests).join(known.select("keys", METHOD[1]).distinct(), ["keys", METHOD[1]], "left_anti")
+def unseen(requests: DataFrame, known: RouteTree) -> DataFrame:
+    """Rows of a stream that hit no route and method of a tree: stream-static joins, so a new value of a path variable is nothing new."""
+    methods = routes.methods(known.requests).select(F.col("route").alias("hit"), "method")
+    return lookup.probe(parse(requests), known, cut=None).join(methods, ["hit", "method"], "left_anti")
