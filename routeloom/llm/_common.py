@@ -48,7 +48,16 @@ def keep(spark: SparkSession, df: DataFrame) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._kept_in = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``keep`` wrote, once what was made from them is written itself."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._kept_in)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 #: A table of at most so many short rows may go whole to every task.

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from routeloom.llm._common import keep, small_side, table
+from routeloom.llm._common import discard, keep, small_side, table
 
 #: White space in a line besides the blank, which blanks replace before words are cut.
 SPACES = "\t\x0b\x0c\r"
@@ -166,18 +166,22 @@ def lines_to_keep(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     texts = docs.where("text is not null").select(*_key(docs), "text")
     sets = keep(spark, first_of_each_set(line_sets(texts, *rarity_levels(docs))).withColumn("id", F.monotonically_increasing_id()))
-    settled = keep(spark, verified(keep(spark, likely_pairs(sets)), texts))
+    likely = keep(spark, likely_pairs(sets))
+    settled = keep(spark, verified(likely, texts))
     marked = keep(spark, sets.join(small_side(settled).withColumn("settled", F.lit(True)), ID, "left"))
-    similar = keep(spark, verified(keep(spark, all_pairs(marked)), texts))
+    pairs = keep(spark, all_pairs(marked))
+    similar = keep(spark, verified(pairs, texts))
     left = sets.select(*ID).join(settled.unionByName(similar), ID, "left_anti")
     number = F.col("m").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
-    return left.groupBy("k", F.col("m").bitwiseAND(F.lit(-(1 << 32))).alias("r")).agg(F.collect_list(number).alias("stays"))
+    stays = keep(spark, left.groupBy("k", F.col("m").bitwiseAND(F.lit(-(1 << 32))).alias("r")).agg(F.collect_list(number).alias("stays")))
+    discard(sets, likely, settled, marked, pairs, similar)
+    return stays
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with text less its repeated and similar later lines, and n_lines, n_removed."""
     docs = docs.drop("n_lines", "n_removed")  # columns of these names are replaced
-    stays = keep(docs.sparkSession, lines_to_keep(docs)).select(F.col("k").alias("__k_"), F.col("r").alias("__r_"), F.col("stays").alias("__stays_"))
+    stays = lines_to_keep(docs).select(F.col("k").alias("__k_"), F.col("r").alias("__r_"), F.col("stays").alias("__stays_"))
     keyed = docs.select("*", _key(docs)[0].alias("__k_"), _key(docs)[1].alias("__r_"))
     # Line numbers are short beside the texts, which a join by hash needn't sort.
     out = keyed.join(stays.hint("shuffle_hash"), ["__k_", "__r_"], "left").withColumn("__parts_", F.split("text", "\n"))
