@@ -10,7 +10,7 @@ NAME_VALUE = "struct<name:string,value:variant>"
 
 
 def number_text(d: Column) -> Column:
-    """A number that isn't whole, or too large for 64 bits: shortest digits, with an exponent below 1e-4 and from 1e6 on."""
+    """A number that isn't whole, or too large for 64 bits: the digits of Java's Double.toString, with an exponent below 1e-4 and from 1e6 on."""
     s = F.abs(d).cast("string")
     mantissa, shift = F.substring_index(s, "E", 1), F.when(F.contains(s, F.lit("E")), F.substring_index(s, "E", -1).cast("int")).otherwise(0)
     whole = F.substring_index(mantissa, ".", 1)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from routeloom.functions import requests as R
@@ -51,6 +51,14 @@ def path_keys(parsed: DataFrame) -> DataFrame:
     return weighted(parsed).groupBy("keys").agg(F.sum("n").alias("n"), F.min("seq").alias("first_seq"))
 
 
+#: So many siblings at least become a variable, whatever the configuration.
+LEAST_MERGED = 3
+
+
+def _shown() -> Column:
+    return F.coalesce(F.concat(F.lit("{"), "variable", F.lit("}")), "segment")
+
+
 def build(
     parsed: DataFrame, config: MergeConfig = MergeConfig(), evaluator: str = "replay", rule: Rule | None = None, infer: Infer = votes, tree: RouteTree | None = None,
 ) -> RouteTree:
@@ -65,6 +73,8 @@ def build(
     rows = weighted(parsed).select("seq", "last_seq", "n", *ALIKE)
     if tree is not None:
         rows = rows.unionByName(tree.requests.select("seq", "last_seq", "n", *ALIKE))
+    # Parsing costs more than writing, so it is done once.
+    rows = materialize(rows)
     distinct = materialize(path_keys(rows))
     depth = distinct.agg(F.max(F.size("keys"))).first()[0] or 0
     now = distinct.withColumn("route", F.lit(""))
@@ -74,14 +84,19 @@ def build(
         level = now.where(F.size("keys") > d)
         siblings = level.groupBy(F.col("route").alias("parent"), here.alias("segment")).agg(F.min("first_seq").alias("first_seq"), F.sum("n").alias("n"))
         siblings = materialize(with_patterns(siblings))
-        choice = replay(siblings, config, rule) if evaluator == "replay" else evaluate(siblings, config, rule)
-        found = materialize(siblings.drop("mask").join(choice, ["parent", "segment"]))
-        shown = F.coalesce(F.concat(F.lit("{"), "variable", F.lit("}")), "segment")
-        step = found.select(F.col("parent").alias("p_"), F.col("segment").alias("s_"), shown.alias("step_"))
-        joined = now.withColumn("here_", F.when(F.size("keys") > d, here)).join(step, (F.col("route") == F.col("p_")) & (F.col("here_") == F.col("s_")), "left")
-        now = materialize(joined.select("keys", "n", "first_seq", F.when(F.col("step_").isNull(), F.col("route")).otherwise(F.concat("route", F.lit("/"), "step_")).alias("route")))
+        most = siblings.groupBy("parent").count().agg(F.max("count")).first()[0] or 0
+        if most < max(config.sibling_merge_threshold, LEAST_MERGED):
+            # No parent has enough children for a variable, so all segments stay.
+            found = siblings.drop("mask").withColumns({"variable": F.lit(None).cast("string"), "regex": F.lit(None).cast("string")})
+            now = now.withColumn("route", F.when(F.size("keys") > d, F.concat("route", F.lit("/"), here)).otherwise(F.col("route")))
+        else:
+            choice = replay(siblings, config, rule) if evaluator == "replay" else evaluate(siblings, config, rule)
+            found = materialize(siblings.drop("mask").join(choice, ["parent", "segment"]))
+            step = found.select(F.col("parent").alias("p_"), F.col("segment").alias("s_"), _shown().alias("step_"))
+            joined = now.withColumn("here_", F.when(F.size("keys") > d, here)).join(step, (F.col("route") == F.col("p_")) & (F.col("here_") == F.col("s_")), "left")
+            now = materialize(joined.select("keys", "n", "first_seq", F.when(F.col("step_").isNull(), F.col("route")).otherwise(F.concat("route", F.lit("/"), "step_")).alias("route")))
         named = found.select(
-            F.concat("parent", F.lit("/"), shown).alias("route"), "parent", F.coalesce("variable", "segment").alias("key"), "regex", "segment", "n", "first_seq", F.col("variable").isNotNull().alias("is_variable"),
+            F.concat("parent", F.lit("/"), _shown()).alias("route"), "parent", F.coalesce("variable", "segment").alias("key"), "regex", "segment", "n", "first_seq", F.col("variable").isNotNull().alias("is_variable"),
         )
         nodes.append(
             named.groupBy("route", "parent", "key", "is_variable").agg(F.max("regex").alias("regex"), F.min("first_seq").alias("first_seq")).withColumn("depth", F.lit(d + 1))
@@ -189,7 +204,7 @@ def nodes(tree: RouteTree) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    return materialize(out)  # few rows beside the requests, and read again and again
 
 
 def stats(node_table: DataFrame) -> DataFrame:

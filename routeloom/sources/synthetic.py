@@ -8,18 +8,19 @@ enough of them has to hold.
 from __future__ import annotations
 
 import random
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: SQL for a path variable's value from a whole number x, and what it is called after its parent.
-ID_KINDS = {
-    "integer": ("cast(100000 + x as string)", "id"),
-    "uuid": ("lower(concat(substr(md5(cast(x as string)), 1, 8), '-', substr(md5(cast(x as string)), 9, 4), '-', substr(md5(cast(x as string)), 13, 4), '-', substr(md5(cast(x as string)), 17, 4), '-', substr(md5(cast(x as string)), 21, 12)))", "uuid"),
-    "phone": ("concat('138', lpad(cast(x as string), 8, '0'))", "phone"),
-    "version": ("concat('v', cast(1 + x % 9 as string))", "version"),
-    "code": ("concat('item', cast(100 + x as string))", "code"),
+#: A path variable's value from a whole number, and what the variable is called after its parent.
+ID_KINDS: dict[str, tuple[Callable[[Column], Column], str]] = {
+    "integer": (lambda x: (x + 100_000).cast("string"), "id"),
+    "uuid": (lambda x: F.regexp_replace(F.md5(x.cast("string")), "^(.{8})(.{4})(.{4})(.{4})", "$1-$2-$3-$4-"), "uuid"),
+    "phone": (lambda x: F.concat(F.lit("138"), F.lpad(x.cast("string"), 8, "0")), "phone"),
+    "version": (lambda x: F.concat(F.lit("v"), (x % 9 + 1).cast("string")), "version"),
+    "code": (lambda x: F.concat(F.lit("item"), (x + 100).cast("string")), "code"),
 }
 OPERATIONS = {"list": ("GET", False), "get": ("GET", True), "create": ("POST", False), "update": ("PUT", True), "delete": ("DELETE", True)}
 
@@ -94,9 +95,8 @@ def requests(spark: SparkSession, spec: Spec, n: int, ids: int = 100_000) -> Dat
         op = _drawn(spec, i, "op") % len(r.operations)
         is_ = lambda name, r=r, op=op: (op == r.operations.index(name)) if name in r.operations else F.lit(False)
         methods.append(F.coalesce(*[F.when(is_(o), OPERATIONS[o][0]) for o in r.operations]))
-        x = f"({spec.seed} + cast(abs(xxhash64({spec.seed}, {i}, 'id', seq)) % {ids} as bigint))"
         base = "/" + "/".join([*r.prefix, r.name])
-        single = F.concat(F.lit(f"{base}/"), F.expr(ID_KINDS[r.id_kind][0].replace("x as", f"{x} as").replace("+ x", f"+ {x}").replace("(x", f"({x}")))
+        single = F.concat(F.lit(f"{base}/"), ID_KINDS[r.id_kind][0](_drawn(spec, i, "id") % ids))
         pairs = F.array_compact(F.array(*[F.concat(F.lit(f"{p.name}="), _value(spec, p, i)) for p in r.query])) if r.query else F.array().cast("array<string>")
         urls.append(F.when(is_("list"), F.concat(F.lit(base), F.when(F.size(pairs) > 0, F.concat(F.lit("?"), F.array_join(pairs, "&"))).otherwise(""))).when(is_("create"), F.lit(base)).otherwise(single))
         has_body = is_("create") | is_("update")
