@@ -235,7 +235,7 @@ def test_unusual_requests(spark):
         assert rows(routes.nodes(none), "node_type") == [("root",)] and lookup.needed(parsed, none).where("not need").count() == 0
         assert routes.snapshot(parsed.where("false"), none).first()["requests_processed"] == 0
     assert lookup.find_routes(parsed.where("false"), built).count() == 0
-    assert ROUTING_HEADERS.values() <= set(parsed.columns)
+    assert set(ROUTING_HEADERS.values()) <= set(parsed.columns)
 
 
 #: Queries that build trees take long; of these a few stand for all here.
