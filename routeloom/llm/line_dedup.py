@@ -179,12 +179,15 @@ def lines_to_keep(docs: DataFrame) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with text less its repeated and similar later lines, and n_lines, n_removed."""
-    docs = docs.drop("n_lines", "n_removed")  # columns of these names are replaced
+    """The rows of ``docs`` with text less its repeated and similar later lines, and n_lines, n_removed, emptied (it had words and has none left)."""
+    docs = docs.drop("n_lines", "n_removed", "emptied")  # columns of these names are replaced
     stays = lines_to_keep(docs).select(F.col("k").alias("__k_"), F.col("r").alias("__r_"), F.col("stays").alias("__stays_"))
     keyed = docs.select("*", _key(docs)[0].alias("__k_"), _key(docs)[1].alias("__r_"))
     # Line numbers are short beside the texts, which a join by hash needn't sort.
-    out = keyed.join(stays.hint("shuffle_hash"), ["__k_", "__r_"], "left").withColumn("__parts_", F.split("text", "\n"))
+    out = keyed.join(stays.hint("shuffle_hash"), ["__k_", "__r_"], "left")
+    # From the join alone, so that a filter on it, which Spark moves below the rest, does not cut texts into lines once more.
+    emptied = F.col("__stays_").isNull() & F.coalesce(F.col("text").rlike(rf"[^ \n{SPACES}]"), F.lit(False))
+    out = out.withColumn("__emptied_", emptied).withColumn("__parts_", F.split("text", "\n"))
     blank = F.filter(F.expr("sequence(0, size(__parts_) - 1)"), lambda i: F.btrim(F.get("__parts_", i), F.lit(" " + SPACES)) == "")
     numbers = F.sort_array(F.array_union(F.coalesce("__stays_", F.array().cast("array<int>")), blank))
     out = out.withColumn("__stays_", numbers)
@@ -193,6 +196,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
         *[kept.alias("text") if c == "text" else F.col(c) for c in docs.columns],
         F.when(F.col("text").isNull(), 0).otherwise(F.size("__parts_")).cast("long").alias("n_lines"),
         F.when(F.col("text").isNotNull(), F.size("__parts_") - F.size("__stays_")).cast("long").alias("n_removed"),
+        F.col("__emptied_").alias("emptied"),
     )
 
 
