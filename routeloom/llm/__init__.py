@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from routeloom.llm import additive_ann, line_dedup, lz_fingerprint, mixing, packing, quality, simhash, substring, toxicity, warc_zip
+from routeloom.llm import additive_ann, line_dedup, lz_fingerprint, mixing, packing, quality, simhash, substring, toxicity, vector_codes, warc_zip
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_quality": quality.op8_quality,
         "op9_simhash": simhash.op9_simhash,
         "op10_ann": additive_ann.op10_ann,
+        "op11_vector_codes": vector_codes.op11_vector_codes,
     }
 
 
