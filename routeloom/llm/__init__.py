@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from routeloom.llm import additive_ann, line_dedup, lz_fingerprint, mixing, packing, quality, simhash, substring, toxicity, vector_codes, warc_zip
+from routeloom.llm import additive_ann, divergence, line_dedup, lz_fingerprint, mixing, packing, quality, simhash, substring, toxicity, vector_codes, warc_zip
 
 
 def queries() -> dict:
@@ -18,10 +18,12 @@ def queries() -> dict:
         "op9_simhash": simhash.op9_simhash,
         "op10_ann": additive_ann.op10_ann,
         "op11_vector_codes": vector_codes.op11_vector_codes,
+        "op13_divergence": divergence.op13_divergence,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op5_mixing": mixing.OP5_SQL,
+        "op13_divergence": divergence.OP13_SQL,
     }
