@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from routeloom.llm import additive_ann, divergence, line_dedup, lz_fingerprint, mixing, packing, quality, simhash, substring, toxicity, vector_codes, warc_zip
+from routeloom.llm import additive_ann, divergence, line_dedup, lz_fingerprint, maxent_lm, mixing, packing, quality, simhash, substring, toxicity, vector_codes, warc_zip
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_simhash": simhash.op9_simhash,
         "op10_ann": additive_ann.op10_ann,
         "op11_vector_codes": vector_codes.op11_vector_codes,
+        "op12_maxent_lm": maxent_lm.op12_maxent_lm,
         "op13_divergence": divergence.op13_divergence,
     }
 
@@ -25,5 +26,6 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op5_mixing": mixing.OP5_SQL,
+        "op12_maxent_lm": maxent_lm.op12_maxent_lm,
         "op13_divergence": divergence.OP13_SQL,
     }
