@@ -8,7 +8,10 @@ absorb, reach the pass.
 
 from __future__ import annotations
 
+import heapq
+import os.path
 import re
+from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -186,28 +189,75 @@ def evaluate(siblings: DataFrame, config: MergeConfig = MergeConfig(), rule: Rul
 _PY = {k: re.compile(v.replace(r"\z", r"\Z").replace(r"\p{IsHan}", "[⺀-⿟々〇〡-〩〸-〻㐀-䶿一-鿿豈-﫿]"), re.ASCII) for k, v in SIBLING_PATTERNS.items()}
 
 
-def _affix_share(values: list[str], affix: str, tail: bool) -> float:
-    if len(values) < 3 or not affix:
-        return 0.0
-    parts = [v[: len(v) - len(affix)] if tail else v[len(affix) :] for v in values if len(v) > len(affix)]
-    good = [p for p in parts if re.fullmatch(r"[+-]?[0-9]*", p) or re.fullmatch(r"[A-Za-z0-9]+", p) and re.search("[A-Za-z]", p) and re.search("[0-9]", p)]
-    return len(good) / len(values)
+def _affixes(values: list[str]) -> tuple[str, str]:
+    """The common prefix and suffix of values, without the digits at their inner ends."""
+    return re.sub(r"[0-9]+\Z", "", os.path.commonprefix(values)), re.sub(r"\A[0-9]+", "", os.path.commonprefix([v[::-1] for v in values])[::-1])
 
 
-def _affixes(values: list[str]) -> tuple[str, str]:
-    import os.path
+class _Last(str):
+    """A string whose order is turned round, for a heap with the largest one on top."""
 
-    return re.sub(r"[0-9]+\Z", "", os.path.commonprefix(values)), re.sub(r"\A[0-9]+", "", os.path.commonprefix([v[::-1] for v in values])[::-1])
+    __slots__ = ()
+
+    def __lt__(self, other: str) -> bool:
+        return str.__gt__(self, other)
+
+
+class _Affix:
+    """The common prefix (or suffix) of a set that grows and shrinks, and how many of its members go on from it with a number or a code.
+
+    The common prefix of a set is that of its least and its largest member, which heaps have on top once members that are gone
+    are popped.  The members are counted anew only when the affix changes; while the set grows, it only gets shorter.
+    """
+
+    def __init__(self, members: dict[str, None], tail: bool):
+        self.members, self.tail = members, tail
+        self.least: list[str] = []
+        self.most: list[_Last] = []
+        self.affix, self.good = "", 0
+
+    def fits(self, v: str) -> bool:
+        rest = v[: len(v) - len(self.affix)] if self.tail else v[len(self.affix) :]
+        return len(v) > len(self.affix) and (re.fullmatch(r"[+-]?[0-9]*", rest) is not None or re.fullmatch(r"[A-Za-z0-9]+", rest) is not None and re.search("[A-Za-z]", rest) is not None and re.search("[0-9]", rest) is not None)
+
+    def add(self, v: str) -> None:
+        key = v[::-1] if self.tail else v
+        heapq.heappush(self.least, key)
+        heapq.heappush(self.most, _Last(key))
+        self.good += bool(self.affix) and self.fits(v)
+
+    def remove(self, v: str) -> None:
+        self.good -= bool(self.affix) and self.fits(v)
+
+    def share(self) -> float:
+        for heap in (self.least, self.most):
+            while heap and str(heap[0][::-1] if self.tail else heap[0]) not in self.members:
+                heapq.heappop(heap)
+        if len(self.members) < 3:
+            return 0.0
+        ends = [str(self.least[0]), str(self.most[0])]
+        affix = _affixes([x[::-1] for x in ends])[1] if self.tail else _affixes(ends)[0]
+        if affix != self.affix:
+            self.affix = affix
+            self.good = sum(map(self.fits, self.members)) if affix else 0
+        return self.good / len(self.members)
 
 
 class Siblings:
-    """The fixed children and variables of one parent, fed one new segment at a time."""
+    """The fixed children and variables of one parent, fed one new segment at a time.
+
+    Each segment costs a few steps, whatever the number of siblings: what decides on a merge is kept up to date as segments come and go.  Only a
+    user's rule is given all fixed siblings each time.
+    """
 
     def __init__(self, name: str, config: MergeConfig, rule: Rule | None = None):
         self.name, self.config, self.rule = name, config, rule
-        self.fixed: list[str] = []
-        self.hits = dict.fromkeys(SIBLING_PATTERNS, 0)
-        self.matched: dict[str, frozenset[str]] = {}
+        self.fixed: dict[str, None] = {}  # in order of arrival
+        self.matched: dict[str, list[str]] = {}
+        self.members: dict[str, dict[str, None]] = {k: {} for k in SIBLING_PATTERNS}
+        self.ends = {"prefix": _Affix(self.fixed, False), "suffix": _Affix(self.fixed, True)}
+        self.sizes: Counter[int] = Counter()
+        self.bytes = 0
         self.variables: list[tuple[str, str]] = []
         self.role: dict[str, tuple[str, str] | None] = {}
 
@@ -221,16 +271,15 @@ class Siblings:
 
     def detect(self) -> tuple[str, float]:
         n = len(self.fixed)
-        best = max(self.hits.values())
-        name = next(k for k, v in self.hits.items() if v == best) if best else ""
+        best = max(map(len, self.members.values()))
+        name = next(k for k, v in self.members.items() if len(v) == best) if best else ""
         if best * 2 < n:
-            head, tail = _affixes(self.fixed)
-            for kind, share in (("prefix", _affix_share(self.fixed, head, False)), ("suffix", _affix_share(self.fixed, tail, True))):
+            for kind, ends in self.ends.items():
+                share = ends.share()
                 if share >= 0.6:
                     return kind, share
-            sizes = [len(v.encode()) for v in self.fixed]
-            mean = int(sum(sizes) / n)
-            share = sum(abs(x - mean) <= 2 for x in sizes) / n
+            mean = self.bytes // n
+            share = sum(self.sizes[mean + d] for d in range(-2, 3)) / n
             if share >= 0.8:
                 return "similar_length_strings", share
         return name, best / n
@@ -242,13 +291,15 @@ class Siblings:
             if action == SKIP:
                 return [], pattern
             if action == MERGE:
-                return [v for v in self.fixed if v in set(chosen)], pattern
+                wanted = set(chosen)
+                return [v for v in self.fixed if v in wanted], pattern
         if pattern == "similar_length_strings":
             least = self.config.similar_length_break_threshold
             return (list(self.fixed) if 0 < least <= len(self.fixed) else []), pattern
         if pattern in ("prefix", "suffix") or share >= 0.8 and not self.config.selective_only:
             return list(self.fixed), pattern
-        return [v for v in self.fixed if pattern in self.matched[v]], pattern
+        # Members of a pattern are in order of arrival as well.
+        return list(self.members.get(pattern, {})), pattern
 
     def variable(self, pattern: str, values: list[str]) -> tuple[str, str]:
         if pattern in ("prefix", "suffix"):
@@ -260,6 +311,27 @@ class Siblings:
         kind = VARIABLE_SUFFIX.get(pattern)
         return (f"{self.name}_{kind}" if kind else f"var_{self.name}"), VARIABLE_REGEX.get(pattern, "")
 
+    def _add(self, segment: str) -> None:
+        self.fixed[segment] = None
+        self.matched[segment] = [k for k, p in _PY.items() if p.search(segment)]
+        for k in self.matched[segment]:
+            self.members[k][segment] = None
+        for ends in self.ends.values():
+            ends.add(segment)
+        size = len(segment.encode())
+        self.sizes[size] += 1
+        self.bytes += size
+
+    def _remove(self, segment: str) -> None:
+        del self.fixed[segment]
+        for k in self.matched.pop(segment):
+            del self.members[k][segment]
+        for ends in self.ends.values():
+            ends.remove(segment)
+        size = len(segment.encode())
+        self.sizes[size] -= 1
+        self.bytes -= size
+
     def feed(self, segment: str) -> None:
         if segment in self.role:
             return
@@ -267,10 +339,7 @@ class Siblings:
             self.role[segment] = self.variables[0]
             return
         self.role[segment] = None
-        self.fixed.append(segment)
-        self.matched[segment] = frozenset(k for k, p in _PY.items() if p.search(segment))
-        for k in self.matched[segment]:
-            self.hits[k] += 1
+        self._add(segment)
         if len(self.fixed) < self.config.sibling_merge_threshold:
             return
         chosen, pattern = self.choose()
@@ -278,12 +347,9 @@ class Siblings:
             return
         made = self.variable(pattern, chosen)
         self.variables.append(made)
-        gone = set(chosen)
-        self.fixed = [v for v in self.fixed if v not in gone]
         for v in chosen:
             self.role[v] = made
-            for k in self.matched.pop(v):
-                self.hits[k] -= 1
+            self._remove(v)
 
 
 def _name(parent: str) -> str:
@@ -302,7 +368,8 @@ def replay(siblings: DataFrame, config: MergeConfig = MergeConfig(), rule: Rule
         state = Siblings(_name(parent), config, rule)
         for s in rows["segment"]:
             state.feed(s)
-        out = [(parent, s, *(v or (None, None)), state.variables.index(v) if v else None) for s, v in state.role.items()]
+        made = {v: i for i, v in reversed(list(enumerate(state.variables)))}
+        out = [(parent, s, *(v or (None, None)), made.get(v)) for s, v in state.role.items()]
         return pd.DataFrame(out, columns=["parent", "segment", "variable", "regex", "made"])
 
     order = Window.partitionBy("parent").orderBy("first_seq", "segment")

@@ -1,7 +1,8 @@
 """The route tree as tables: canonical routes, and what was observed under each.
 
-Paths are pre-aggregated to distinct ones, so the level-by-level merge works on few rows; every level is one aggregation by
-parent and one join.  What hangs below a route are plain aggregates of exploded requests.
+Paths are pre-aggregated to distinct ones.  One aggregation finds the children of all prefixes at once, down to the first level where a parent has enough
+children for a variable; there segments are merged, which takes one join, and what is below goes on from the merged prefixes.  So the steps follow the
+levels with variables, not the depth.  What hangs below a route are plain aggregates of exploded requests.
 """
 
 from __future__ import annotations
@@ -21,7 +22,10 @@ from routeloom.sources.store import materialize
 @dataclass
 class RouteTree:
     """requests: parsed rows with route and n (requests that are alike).  paths: one row for each path node (route, parent, depth,
-    node_type, key, regex, requests, first_seq).  variable_values: (route, value, cnt)."""
+    node_type, key, regex, requests, first_seq, steps, shape).  variable_values: (route, value, cnt).
+
+    steps are the names on the way from the root, with variables in braces; shape has a 1 for each variable among them and a 0 for each other step.
+    """
 
     requests: DataFrame
     paths: DataFrame
@@ -55,8 +59,35 @@ def path_keys(parsed: DataFrame) -> DataFrame:
 LEAST_MERGED = 3
 
 
-def _shown() -> Column:
-    return F.coalesce(F.concat(F.lit("{"), "variable", F.lit("}")), "segment")
+def route_of(steps: Column) -> Column:
+    return F.when(F.size(steps) == 0, "").otherwise(F.concat(F.lit("/"), F.array_join(steps, "/")))
+
+
+def _went(base: int, to: Column) -> dict[str, Column]:
+    """steps and shape of paths at depth ``to``, where those at depth ``base`` are known and no variable is between."""
+    more = F.slice("keys", F.lit(base + 1), F.greatest(to - base, F.lit(0)))
+    return {"steps": F.concat("steps", more), "shape": F.concat("shape", F.repeat(F.lit("0"), F.size(more)))}
+
+
+def _children(now: DataFrame, base: int) -> DataFrame:
+    """(steps, shape, parent, segment, depth, first_seq, n): the children of all prefixes below ``base``, as if none became a variable."""
+    keys = F.slice("keys", F.lit(base + 1), F.size("keys") - base)
+    rest = now.where(F.size("keys") > base).groupBy("steps", "shape", keys.alias("rest")).agg(F.sum("n").alias("n"), F.min("first_seq").alias("first_seq"))
+    each = rest.select("*", F.posexplode("rest").alias("at", "segment"))
+    before = F.slice("rest", F.lit(1), F.col("at"))
+    each = each.select(F.concat("steps", before).alias("steps"), F.concat("shape", F.repeat(F.lit("0"), F.col("at"))).alias("shape"), "segment", (F.col("at") + base + 1).alias("depth"), "first_seq", "n")
+    found = each.groupBy("steps", "segment", "depth").agg(F.min("shape").alias("shape"), F.min("first_seq").alias("first_seq"), F.sum("n").alias("n"))
+    return found.withColumn("parent", route_of(F.col("steps")))
+
+
+def _path_nodes(found: DataFrame) -> DataFrame:
+    """Nodes of segments that have been merged: (route, parent, key, is_variable, regex, first_seq, depth, steps, shape, segment, n)."""
+    shown = F.coalesce(F.concat(F.lit("{"), "variable", F.lit("}")), "segment")
+    is_variable = F.col("variable").isNotNull()
+    return found.select(
+        F.concat("parent", F.lit("/"), shown).alias("route"), "parent", F.coalesce("variable", "segment").alias("key"), is_variable.alias("is_variable"), "regex", "first_seq", "depth",
+        F.concat("steps", F.array(shown)).alias("steps"), F.concat("shape", F.when(is_variable, "1").otherwise("0")).alias("shape"), "segment", "n",
+    )
 
 
 def build(
@@ -75,41 +106,41 @@ def build(
         rows = rows.unionByName(tree.requests.select("seq", "last_seq", "n", *ALIKE))
     # Parsing costs more than writing, so it is done once.
     rows = materialize(rows)
-    distinct = materialize(path_keys(rows))
-    depth = distinct.agg(F.max(F.size("keys"))).first()[0] or 0
-    now = distinct.withColumn("route", F.lit(""))
-    nodes, values = [], []
-    for d in range(depth):
-        here = F.try_element_at("keys", F.lit(d + 1))
-        level = now.where(F.size("keys") > d)
-        siblings = level.groupBy(F.col("route").alias("parent"), here.alias("segment")).agg(F.min("first_seq").alias("first_seq"), F.sum("n").alias("n"))
-        siblings = materialize(with_patterns(siblings))
-        most = siblings.groupBy("parent").count().agg(F.max("count")).first()[0] or 0
-        if most < max(config.sibling_merge_threshold, LEAST_MERGED):
-            # No parent has enough children for a variable, so all segments stay.
-            found = siblings.drop("mask").withColumns({"variable": F.lit(None).cast("string"), "regex": F.lit(None).cast("string")})
-            now = now.withColumn("route", F.when(F.size("keys") > d, F.concat("route", F.lit("/"), here)).otherwise(F.col("route")))
-        else:
-            choice = replay(siblings, config, rule) if evaluator == "replay" else evaluate(siblings, config, rule)
-            found = materialize(siblings.drop("mask").join(choice, ["parent", "segment"]))
-            step = found.select(F.col("parent").alias("p_"), F.col("segment").alias("s_"), _shown().alias("step_"))
-            joined = now.withColumn("here_", F.when(F.size("keys") > d, here)).join(step, (F.col("route") == F.col("p_")) & (F.col("here_") == F.col("s_")), "left")
-            now = materialize(joined.select("keys", "n", "first_seq", F.when(F.col("step_").isNull(), F.col("route")).otherwise(F.concat("route", F.lit("/"), "step_")).alias("route")))
-        named = found.select(
-            F.concat("parent", F.lit("/"), _shown()).alias("route"), "parent", F.coalesce("variable", "segment").alias("key"), "regex", "segment", "n", "first_seq", F.col("variable").isNotNull().alias("is_variable"),
-        )
-        nodes.append(
-            named.groupBy("route", "parent", "key", "is_variable").agg(F.max("regex").alias("regex"), F.min("first_seq").alias("first_seq")).withColumn("depth", F.lit(d + 1))
-        )
-        values.append(named.where("is_variable").select("route", F.col("segment").alias("value"), F.col("n").alias("cnt")))
-    spark = parsed.sparkSession
+    now = materialize(path_keys(rows)).withColumns({"steps": F.array().cast("array<string>"), "shape": F.lit("")})
+    nodes, base = [], 0
+    none = F.lit(None).cast("string")
+    while True:
+        below = materialize(_children(now, base))
+        crowded = below.groupBy("parent", "depth").count().where(F.col("count") >= max(config.sibling_merge_threshold, LEAST_MERGED))
+        to = crowded.agg(F.min("depth")).first()[0]
+        # Down to there no parent has enough children for a variable, so all segments stay.
+        fixed = below if to is None else below.where(F.col("depth") < to)
+        nodes.append(_path_nodes(fixed.withColumns({"variable": none, "regex": none})))
+        if to is None:
+            now = now.withColumns(_went(base, F.size("keys")))
+            break
+        siblings = with_patterns(below.where(F.col("depth") == to))
+        choice = replay(siblings, config, rule) if evaluator == "replay" else evaluate(siblings, config, rule)
+        found = materialize(_path_nodes(siblings.drop("mask").join(choice, ["parent", "segment"])))
+        nodes.append(found)
+        step = found.select(F.col("parent").alias("p_"), F.col("segment").alias("s_"), F.element_at("steps", -1).alias("step_"), F.right("shape", F.lit(1)).alias("mark_"))
+        there = now.withColumns(_went(base, F.lit(to - 1))).withColumns({"at_": route_of(F.col("steps")), "here_": F.try_element_at("keys", F.lit(to))})
+        joined = there.join(step, (F.col("at_") == F.col("p_")) & (F.col("here_") == F.col("s_")), "left")
+        known = F.col("step_").isNotNull()
+        now = materialize(joined.select(
+            "keys", "n", "first_seq", F.when(known, F.concat("steps", F.array("step_"))).otherwise(F.col("steps")).alias("steps"), F.when(known, F.concat("shape", "mark_")).otherwise(F.col("shape")).alias("shape"),
+        ))
+        base = to
+    now = now.withColumn("route", route_of(F.col("steps")))
+    named = nodes[0]
+    for more in nodes[1:]:
+        named = named.unionByName(more)
+    same = ["route", "parent", "key", "is_variable", "depth"]
+    paths = named.groupBy(*same).agg(F.max("regex").alias("regex"), F.min("first_seq").alias("first_seq"), F.min("steps").alias("steps"), F.min("shape").alias("shape"))
+    hist = named.where("is_variable").select("route", F.col("segment").alias("value"), F.col("n").alias("cnt"))
     ends = now.groupBy("route").agg(F.sum("n").alias("requests"))
-    paths = spark.createDataFrame([], "route string, parent string, key string, is_variable boolean, regex string, first_seq long, depth int")
-    hist = spark.createDataFrame([], "route string, value string, cnt long")
-    for a, b in zip(nodes, values, strict=True):
-        paths, hist = paths.unionByName(a), hist.unionByName(b)
     kind = F.when(F.col("is_variable"), "request_path_variable").otherwise("request_path")
-    paths = paths.join(ends, "route", "left").select("route", "parent", "depth", kind.alias("node_type"), "key", "regex", F.coalesce("requests", F.lit(0)).cast("long").alias("requests"), "first_seq")
+    paths = paths.join(ends, "route", "left").select("route", "parent", "depth", kind.alias("node_type"), "key", "regex", F.coalesce("requests", F.lit(0)).cast("long").alias("requests"), "first_seq", "steps", "shape")
     placed = rows.join(now.select(F.col("keys").alias("k_"), "route"), F.col("keys") == F.col("k_")).drop("k_")
     return RouteTree(materialize(placed), materialize(paths), hist, config, infer)
 

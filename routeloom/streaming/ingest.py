@@ -39,4 +39,4 @@ def tree(spark: SparkSession, folder: str, **options) -> RouteTree:
 def unseen(requests: DataFrame, known: RouteTree) -> DataFrame:
     """Rows of a stream that hit no route and method of a tree: stream-static joins, so a new value of a path variable is nothing new."""
     methods = routes.methods(known.requests).select(F.col("route").alias("hit"), "method")
-    return lookup.probe(parse(requests), known, cut=None).join(methods, ["hit", "method"], "left_anti")
+    return lookup.probe(parse(requests), known).join(methods, ["hit", "method"], "left_anti")

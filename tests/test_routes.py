@@ -1,5 +1,9 @@
 """Parsing, inference, merging, lookups, documents and streams of the route tree."""
 
+import random
+import re
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -198,9 +202,89 @@ def _state(parent, values):
 
 
 def test_deep_paths_stay_whole(spark):
-    deep = "/d" * 17
+    deep = "/d" * 40
     tree = routes.build(src.parse(reqs(spark, ("GET", deep + "/left?a=1"), ("GET", deep + "/right"), ("GET", "/d"))), evaluator="set")
     assert {r["route"] for r in routes.methods(tree.requests).collect()} == {deep + "/left", deep + "/right", "/d"}
-    assert routes.stats(routes.nodes(tree)).first()["request_path"] == 19
-    asked = src.parse(reqs(spark, ("GET", deep + "/right"), ("GET", deep + "/none")))
-    assert [r["need"] for r in lookup.needed(asked, tree).orderBy("seq").collect()] == [False, True]
+    assert routes.stats(routes.nodes(tree)).first()["request_path"] == 42
+    asked = src.parse(reqs(spark, ("GET", deep + "/right"), ("GET", deep + "/none"), ("GET", deep + "/right/more"), ("GET", "/d"), ("GET", "/e")))
+    began = time.perf_counter()
+    assert [r["need"] for r in lookup.needed(asked, tree).orderBy("seq").collect()] == [False, True, True, False, True]
+    assert time.perf_counter() - began < 20
+
+
+def test_prefix_index_walks_like_joins(spark):
+    """Random trees with variables, names beside them and dead ends: both ways to ask find the same routes."""
+    rng = random.Random(9)
+    word = lambda: rng.choice(["a", "b", "list", "x.json", str(rng.randint(1, 60)), f"u{rng.randint(1, 30)}", "{a_id}"])
+    asked = [("GET", "/" + "/".join(word() for _ in range(rng.randint(0, 5)))) for _ in range(400)]
+    parsed = src.parse(reqs(spark, *asked, ("GET", "://bad"), ("GET", None)))
+    tree = routes.build(parsed.where("seq < 250"))
+    assert tree.paths.where("node_type = 'request_path_variable'").count() > 3
+    depth = tree.paths.agg(F.max("depth")).first()[0]
+    one = {r["seq"]: r["hit"] for r in lookup.walk(parsed, tree, depth).select("seq", "hit").collect()}
+    two = {r["seq"]: r["hit"] for r in lookup.by_prefixes(parsed, tree, depth).select("seq", "hit").collect()}
+    assert one == two and len(one) == 402 and None in one.values() and "" in one.values()
+    none = routes.build(parsed.where("false"))
+    assert lookup.by_prefixes(parsed, none, 0).where("hit is not null and hit <> ''").count() == 0
+
+
+class Plain(Siblings):
+    """Decisions from all fixed siblings anew, each time."""
+
+    def detect(self):
+        import os.path
+
+        values, patterns = list(self.fixed), merge._PY
+        n = len(values)
+        hits = {k: sum(p.search(v) is not None for v in values) for k, p in patterns.items()}
+        best = max(hits.values())
+        if best * 2 < n:
+            head = re.sub(r"[0-9]+\Z", "", os.path.commonprefix(values))
+            tail = re.sub(r"\A[0-9]+", "", os.path.commonprefix([v[::-1] for v in values])[::-1])
+            good = lambda x: x == "" or x.lstrip("+-").isdigit() and x.isascii() and not re.match("[+-]{2}", x) or x in ("+", "-") or re.fullmatch("[A-Za-z0-9]+", x) and re.search("[A-Za-z]", x) and re.search("[0-9]", x)
+            for kind, affix, rests in (("prefix", head, [v[len(head):] for v in values if len(v) > len(head)]), ("suffix", tail, [v[:len(v) - len(tail)] for v in values if len(v) > len(tail)])):
+                share = sum(1 for x in rests if good(x)) / n if affix and n >= 3 else 0
+                if share >= 0.6:
+                    return kind, share
+            sizes = [len(v.encode()) for v in values]
+            share = sum(abs(x - int(sum(sizes) / n)) <= 2 for x in sizes) / n
+            if share >= 0.8:
+                return "similar_length_strings", share
+        return (next(k for k, v in hits.items() if v == best) if best else ""), best / n
+
+    def choose(self):
+        self.members = {k: {v: None for v in self.fixed if p.search(v)} for k, p in merge._PY.items()}
+        return super().choose()
+
+
+def test_replay_keeps_what_a_new_look_finds():
+    rng = random.Random(21)
+    kinds = [
+        lambda: str(rng.randint(0, 10**6)), lambda: f"user_{rng.randint(0, 999)}", lambda: f"{rng.randint(0, 999)}-item", lambda: rng.choice(["list", "new", "edit"]) + rng.choice(["", ".json", "-all"]), lambda: f"u{rng.randint(0, 99)}@b.co",
+        lambda: "".join(rng.choice("abcdef-") for _ in range(rng.randint(1, 30))), lambda: rng.choice("北上广深") * rng.randint(1, 4), lambda: f"pre-{rng.choice(['x', 'y', 'long-word'])}-{rng.randint(0, 50)}", lambda: f"v{rng.randint(0, 20)}", lambda: "",
+    ]
+    for _ in range(150):
+        some = rng.sample(kinds, rng.randint(1, 5))
+        values = [rng.choice(some)() for _ in range(rng.randint(3, 80))]
+        config = MergeConfig(sibling_merge_threshold=rng.choice([3, 3, 5]), similar_length_break_threshold=rng.choice([0, 6, 30]), selective_only=rng.random() < 0.3)
+        one, two = Siblings("p", config), Plain("p", config)
+        for v in values:
+            one.feed(v)
+            two.feed(v)
+        assert one.role == two.role and one.variables == two.variables, values
+
+
+def test_replay_of_many_slugs(spark):
+    """Words of many lengths that never merge, and three of another pattern at a time: time grows with the number of segments."""
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.choice([3, 9, 15, 21, 27])))
+    slugs = [f"{word()}-{word()}" for _ in range(100_000)]
+    for i in range(0, len(slugs), 10):
+        slugs[i] = f"{word()}@example.org"
+    slugs[:3] = ["101", "102", "103"]
+    began = time.process_time()
+    state = Siblings("blog", MergeConfig(similar_length_break_threshold=0))
+    for v in slugs:
+        state.feed(v)
+    assert time.process_time() - began < 60
+    assert len(state.role) == len(set(slugs)) and sum(r is None for r in state.role.values()) > 85_000 and len(state.variables) > 3_000
