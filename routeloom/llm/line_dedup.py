@@ -39,12 +39,13 @@ LAST = (1 << 63) - 1
 HASH = (1 << 56) - 1
 #: Lines of more words have parities of 128 buckets of hashes, others of 64.
 LONG = 64
-ID = ["k", "m"]
+#: A line: its document's place in the order, its text's hash, and its number.
+ID, OTHER = ["k", "t", "n"], ["ek", "et", "en"]
 
 
 def _key(docs: DataFrame) -> list[Column]:
-    """Place of a document in the order, and 31 bits of its text's hash, above 32 bits for the line number."""
-    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("k"), F.shiftleft(F.xxhash64("text").bitwiseAND(F.lit((1 << 31) - 1).cast("long")), 32).alias("r")]
+    """Place of a document in the order, and 64 bits of its text's hash: rows of one doc_id (null ids are one) are told apart by these."""
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("k"), F.xxhash64("text").alias("t")]
 
 
 def _blanks(text: Column) -> Column:
@@ -73,12 +74,12 @@ def rarity_levels(docs: DataFrame) -> tuple[Column, int]:
 
 
 def line_sets(texts: DataFrame, levels: Column, slots: int) -> DataFrame:
-    """(k, m, size, one, two, p, q, prefix) of each line with words: its set's size, hashes, parities and rarest words in order.
+    """(k, t, n, size, one, two, p, q, prefix) of each line with words: its set's size, hashes, parities and rarest words in order.
 
     A word is its level of rarity above 56 bits of its hash; in the prefix 31 bits, as two words that share these only make more pairs to verify.
     """
-    lines = texts.select("k", "r", F.posexplode(_lines(F.col("text"))).alias("n", "line")).where(F.trim("line") != "")
-    lines = lines.select("k", F.col("r").bitwiseOR(F.col("n").cast("long")).alias("m"), F.split("line", " ").alias("words"), levels.alias("levels"))
+    lines = texts.select("k", "t", F.posexplode(_lines(F.col("text"))).alias("n", "line")).where(F.trim("line") != "")
+    lines = lines.select(*ID, F.split("line", " ").alias("words"), levels.alias("levels"))
     lines = lines.select(*ID, "levels", F.array_remove(F.array_distinct(F.expr("transform(words, w -> xxhash64(w))")), F.xxhash64(F.lit(""))).alias("hashes"))
     code = f"transform(array(levels), t -> transform(hashes, h -> shiftleft(cast(coalesce(t[cast(h & {slots - 1}L as int)], 0Y) as bigint), 56) | (h & {HASH}L)))[0]"
     lines = lines.select(*ID, F.sort_array(F.expr(code)).alias("set"))
@@ -105,22 +106,22 @@ FITS = f"4 * greatest(size, esize) <= 5 * least(size, esize) and {DIFFER} <= siz
 
 
 def likely_pairs(sets: DataFrame) -> DataFrame:
-    """(k, m, ek, em): pairs of a line with the first one, and the last ones before it, under a few of its words, that may be similar."""
+    """(k, t, n, ek, et, en): pairs of a line with the first one, and the last ones before it, under a few of its words, that may be similar."""
     from pyspark.sql import Window
 
     few = F.slice(F.sort_array("prefix"), 1, FEW_WORDS)
     posts = sets.select(*ID, "size", "p", "q", F.explode(few).alias("w"))
     before = Window.partitionBy("w").orderBy(*ID)
-    line = F.struct(F.col("k").alias("ek"), F.col("m").alias("em"), F.col("size").alias("esize"), F.col("p").alias("ep"), F.col("q").alias("eq"))
+    line = F.struct(*[F.col(c).alias(e) for c, e in zip(ID, OTHER, strict=True)], F.col("size").alias("esize"), F.col("p").alias("ep"), F.col("q").alias("eq"))
     last = [F.lag(line, i).over(before).alias(f"last{i}") for i in range(1, LAST_LINES + 1)]
     posts = posts.select(*ID, "size", "p", "q", F.first(line).over(before.rowsBetween(Window.unboundedPreceding, 0)).alias("first"), *last)
     # A word's first line looks for nothing; the last of the lines before may be the first one once more.
     posts = posts.where("last1 is not null").select(*ID, "size", "p", "q", F.explode(F.array("first", *[f"last{i}" for i in range(1, LAST_LINES + 1)])).alias("e")).select(*ID, "size", "p", "q", "e.*")
-    return posts.where(f"ek is not null and {FITS}").select(*ID, "ek", "em").distinct()
+    return posts.where(f"ek is not null and {FITS}").select(*ID, *OTHER).distinct()
 
 
 def all_pairs(sets: DataFrame) -> DataFrame:
-    """(k, m, ek, em): all pairs of lines that may be similar, whose later one has no ``settled``.
+    """(k, t, n, ek, et, en): all pairs of lines that may be similar, whose later one has no ``settled``.
 
     The larger set of a pair has a shared word among its first ``n - ceil(0.8 n) + 1``, the smaller one among ``n - ceil(8 n / 9) + 1``.
     """
@@ -138,8 +139,9 @@ def all_pairs(sets: DataFrame) -> DataFrame:
     a = sets.select("id", *ID, "settled")
     b = a.select(*[F.col(c).alias(f"e{c}") for c in a.columns])
     both = pairs.join(a, "id").join(b, "eid")
-    swap = "(ek > k or (ek = k and em > m))"
-    turned = both.select(*[F.expr(f"if({swap}, {x}, {y})").alias(c) for c, x, y in (("k", "ek", "k"), ("m", "em", "m"), ("ek", "k", "ek"), ("em", "m", "em"), ("settled", "esettled", "settled"))])
+    swap = "(struct(ek, et, en) > struct(k, t, n))"
+    turns = [(a, b, a) for a, b in (*zip(ID, OTHER, strict=True), ("settled", "esettled"))] + [(a, b, b) for a, b in zip(ID, OTHER, strict=True)]
+    turned = both.select(*[F.expr(f"if({swap}, {b}, {a})" if to == a else f"if({swap}, {a}, {b})").alias(to) for a, b, to in turns])
     return turned.where("settled is null").drop("settled")
 
 
@@ -149,20 +151,22 @@ def words(line: Column) -> Column:
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The later ids (k, m) of the pairs (k, m, ek, em) that are similar: 9 * overlap >= 4 * (size + size) is a likeness of 4/5."""
-    ids = pairs.select(*ID).unionByName(pairs.select(F.col("ek").alias("k"), F.col("em").alias("m")))
-    number = F.col("m").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
-    asked = keep(texts.sparkSession, ids.groupBy("k", F.col("m").bitwiseAND(F.lit(-(1 << 32))).alias("r")).agg(F.collect_set(number).alias("asked")))
-    found = texts.join(small_side(asked), ["k", "r"]).select("k", "r", "asked", _lines(F.col("text")).alias("lines"))
-    found = found.select("k", "r", F.explode(F.expr("transform(asked, i -> struct(i, lines[i] as line))")).alias("x"))
-    lines = keep(texts.sparkSession, found.select("k", F.col("r").bitwiseOR(F.col("x.i").cast("long")).alias("m"), F.col("x.line").alias("line")).distinct())
-    both = pairs.join(lines.withColumnRenamed("line", "x"), ID).join(lines.select(F.col("k").alias("ek"), F.col("m").alias("em"), F.col("line").alias("y")), ["ek", "em"])
+    """The later lines (k, t, n) of the pairs (k, t, n, ek, et, en) that are similar: 9 * overlap >= 4 * (size + size) is a likeness of 4/5."""
+    other = [F.col(e).alias(c) for c, e in zip(ID, OTHER, strict=True)]
+    ids = pairs.select(*ID).unionByName(pairs.select(*other))
+    asked = keep(texts.sparkSession, ids.groupBy("k", "t").agg(F.collect_set("n").alias("asked")))
+    found = texts.join(small_side(asked), ["k", "t"]).select("k", "t", "asked", _lines(F.col("text")).alias("lines"))
+    found = found.select("k", "t", F.explode(F.expr("transform(asked, i -> struct(i as n, lines[i] as line))")).alias("x"))
+    # Rows that repeat give their lines once more.
+    lines = keep(texts.sparkSession, found.select("k", "t", "x.n", "x.line").distinct())
+    mine = [F.col(c).alias(e) for c, e in zip(ID, OTHER, strict=True)]
+    both = pairs.join(lines.withColumnRenamed("line", "x"), ID).join(lines.select(*mine, F.col("line").alias("y")), OTHER)
     both = both.select(*ID, words(F.col("x")).alias("x"), words(F.col("y")).alias("y"))
     return both.where(F.size(F.array_intersect("x", "y")) * 9 >= (F.size("x") + F.size("y")) * 4).select(*ID).distinct()
 
 
 def lines_to_keep(docs: DataFrame) -> DataFrame:
-    """(k, r, stays): numbers of the lines of a document that no earlier line equals or is similar to; lines without words are left out."""
+    """(k, t, stays): numbers of the lines of a document that no earlier line equals or is similar to; lines without words are left out."""
     spark = docs.sparkSession
     texts = docs.where("text is not null").select(*_key(docs), "text")
     sets = keep(spark, first_of_each_set(line_sets(texts, *rarity_levels(docs))).withColumn("id", F.monotonically_increasing_id()))
@@ -172,8 +176,7 @@ def lines_to_keep(docs: DataFrame) -> DataFrame:
     pairs = keep(spark, all_pairs(marked))
     similar = keep(spark, verified(pairs, texts))
     left = sets.select(*ID).join(settled.unionByName(similar), ID, "left_anti")
-    number = F.col("m").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
-    stays = keep(spark, left.groupBy("k", F.col("m").bitwiseAND(F.lit(-(1 << 32))).alias("r")).agg(F.collect_list(number).alias("stays")))
+    stays = keep(spark, left.groupBy("k", "t").agg(F.collect_list("n").alias("stays")))
     discard(sets, likely, settled, marked, pairs, similar)
     return stays
 
@@ -181,10 +184,10 @@ def lines_to_keep(docs: DataFrame) -> DataFrame:
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with text less its repeated and similar later lines, and n_lines, n_removed, emptied (it had words and has none left)."""
     docs = docs.drop("n_lines", "n_removed", "emptied")  # columns of these names are replaced
-    stays = lines_to_keep(docs).select(F.col("k").alias("__k_"), F.col("r").alias("__r_"), F.col("stays").alias("__stays_"))
-    keyed = docs.select("*", _key(docs)[0].alias("__k_"), _key(docs)[1].alias("__r_"))
+    stays = lines_to_keep(docs).select(F.col("k").alias("__k_"), F.col("t").alias("__t_"), F.col("stays").alias("__stays_"))
+    keyed = docs.select("*", _key(docs)[0].alias("__k_"), _key(docs)[1].alias("__t_"))
     # Line numbers are short beside the texts, which a join by hash needn't sort.
-    out = keyed.join(stays.hint("shuffle_hash"), ["__k_", "__r_"], "left")
+    out = keyed.join(stays.hint("shuffle_hash"), ["__k_", "__t_"], "left")
     # From the join alone, so that a filter on it, which Spark moves below the rest, does not cut texts into lines once more.
     emptied = F.col("__stays_").isNull() & F.coalesce(F.col("text").rlike(rf"[^ \n{SPACES}]"), F.lit(False))
     out = out.withColumn("__emptied_", emptied).withColumn("__parts_", F.split("text", "\n"))

@@ -249,6 +249,26 @@ def test_op6_against_brute_force(odd_docs, empty_docs):
     assert line_dedup.dedup_lines(empty_docs).count() == 0
 
 
+def test_op6_texts_that_share_half_a_hash(spark):
+    """Documents without ids whose texts agree in 31 bits of their hash are told apart."""
+    import xxhash
+
+    found, at = {}, 0
+    while True:
+        text = f"one line of words number{at} here"
+        low = xxhash.xxh64_intdigest(text, seed=42) & ((1 << 31) - 1)
+        if low in found:
+            break
+        found[low] = text
+        at += 1
+    a, b = found[low], text
+    docs = spark.createDataFrame([(1, a, 0), (None, a, 1), (None, b + "\nnothing like it", 2), (None, b, 3)] + [(None, f"alone {i} {i + 1} {i * 7}\n{i}", 4 + i) for i in range(300)], "doc_id long, text string, no long")
+    got = {r["no"]: (r["text"], r["n_removed"]) for r in line_dedup.dedup_lines(docs).collect()}
+    assert got[0] == (a, 0) and got[1] == ("", 1)
+    assert sorted([got[2], got[3]]) in ([("", 1), (b + "\nnothing like it", 0)], [("nothing like it", 1), (b, 0)])
+    assert all(got[4 + i] == (f"alone {i} {i + 1} {i * 7}\n{i}", 0) for i in range(300))
+
+
 def labelled(spark, odd_docs):
     rows = [(i, ("you scum idiot %d" if i % 3 == 0 else "a calm day in town %d") % i + " word" * (i % 7), int(i % 3 == 0), int(i % 4 != 0)) for i in range(400)]
     rows = [(i, x if q else "### $$$ %%% &&&\n" + x.upper() + " !!!\n| | |", t, q) for i, x, t, q in rows]
