@@ -6,6 +6,8 @@ import os
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,16 +40,22 @@ def shared_dir(spark: SparkSession) -> str:
     return os.path.join(base, f"routeloom-{uuid.uuid4().hex}")
 
 
-def keep(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: a cut of the lineage that survives lost executors."""
-    path = shared_dir(spark)
-    # The shuffle files of this step are of no use once it is written; a long chain of steps would else hold those of all.
+@contextmanager
+def cleaned(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of queries inside are dropped when these end, as they are of no use then; a long chain of steps would else hold those of all."""
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        yield
     finally:
         spark.conf.set(CLEANUP, before)
+
+
+def keep(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: a cut of the lineage that survives lost executors."""
+    path = shared_dir(spark)
+    with cleaned(spark):
+        df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._kept_in = path
     return out

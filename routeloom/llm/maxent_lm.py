@@ -2,8 +2,7 @@
 
 The most frequent training words, the end of a document and one token for all rarer words are the model's units.  A softmax at the root decides between
 classes of words, the end and the rare token, one in each class between subclasses, and one in each subclass between words.  Classes come from the company that units keep (counts of the most frequent words shortly before them), halved again and again along the
-direction in which they differ most.  The features of a softmax are n-grams and skips (the word before, the two words before, the words two and three
-places before), hashed together with the node into tables of rows of ``WIDTH`` weights; the distribution that they change is that of the units'
+direction in which they differ most.  The features of a softmax are n-grams and skips (the word before, the two words before, the word two places before), hashed together with the node into tables of rows of ``WIDTH`` weights; the distribution that they change is that of the units'
 counts.  A rare word's probability is that of the rare token times its add-one share among rare words.
 
 Training is distributed: in each of ``ROUNDS`` rounds every task runs AdaGrad steps over its share of the training documents from the common weights, and the tasks'
@@ -30,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from routeloom.llm._common import discard, keep, partitions, table
+from routeloom.llm._common import cleaned, discard, keep, partitions, table
 
 #: Words whose counts all tasks know, and the longest of them in bytes.
 FREQUENT, LONGEST = 1 << 16, 64
@@ -42,12 +41,12 @@ END, RARE = WORDS, WORDS + 1
 #: First nodes of the levels: the root, the classes, the subclasses.
 LEVEL = (0, 1, 1 + CLASSES, 1 + CLASSES + CLASSES * WIDTH)
 #: Tables of weights (level, places before the word that are hashed together, rows): at most 2 ** 16 rows.
-TABLES = ((0, (1,), 1 << 14), (0, (2,), 1 << 14), (0, (3,), 1 << 14), (1, (1,), 1 << 15), (1, (2,), 1 << 15), (2, (1,), 1 << 16), (2, (1, 2), 1 << 16))
+TABLES = ((0, (1,), 1 << 14), (0, (2,), 1 << 14), (1, (1,), 1 << 15), (2, (1,), 1 << 16), (2, (1, 2), 1 << 16))
 FIRST_ROW = tuple(sum(t[2] for t in TABLES[:i]) for i in range(len(TABLES) + 1))
-REACH = 3
+REACH = 2
 #: Rows in a block of the shuffle.
 BLOCK = 1 << 13
-ROUNDS, STEP_TOKENS, RATE = 2, 16384, 0.2
+ROUNDS, STEP_TOKENS, RATE = 2, 32768, 0.4
 #: Most frequent words whose company decides on classes.
 ANCHORS = 256
 #: Different words that a task holds before it gives them out.
@@ -268,14 +267,21 @@ class Learner:
                 order = np.argsort(r, kind="stable")  # 16 bits: by counting
                 r = r.take(order)
                 first = np.flatnonzero(np.append(True, r[1:] != r[:-1]))
-                yield FIRST_ROW[t] + r.take(first).astype(np.int64), np.add.reduceat(wrong.take(order, axis=0), first, axis=0), np.diff(np.append(first, len(r)))
+                n = np.diff(np.append(first, len(r)))
+                g = wrong.take(order.take(first), axis=0)
+                more = np.flatnonzero(n > 1)
+                if len(more):  # most rows are used once in a step, and need no sum
+                    many = n.take(more)
+                    g[more] = np.add.reduceat(wrong.take(order[np.repeat(n > 1, n)], axis=0), np.append(0, np.cumsum(many)[:-1]), axis=0)
+                yield FIRST_ROW[t] + r.take(first).astype(np.int64), g, n
 
     def step(self, units: np.ndarray, before: np.ndarray) -> None:
         for r, g, n in self.gradient(units, before):
-            squares = self.squares.take(r) + (g * g) @ np.full(WIDTH, 1 / WIDTH, np.float32)
+            squares = self.squares.take(r) + np.einsum("ij,ij->i", g, g) / WIDTH
             self.squares[r] = squares
             self.used[r] += n
-            self.model.weights[r] -= (self.rate / np.sqrt(squares))[:, None] * g
+            g *= (self.rate / np.sqrt(squares))[:, None]
+            self.model.weights[r] -= g
 
     def changes(self) -> np.ndarray:
         """All rows: their change, times how often they were used, and that number."""
@@ -286,38 +292,58 @@ class Learner:
 # --- sums of arrays over all tasks --------------------------------------------------------------------------------------------
 
 PACKED = "block int, part int, data binary"
+#: Tasks whose arrays are summed before those of all.
+TOGETHER = 32
 
 
-def packed(x: np.ndarray, part: int) -> Iterator[pa.RecordBatch]:
-    """The rows of an array in blocks; those of zeros only are left out."""
+def _pack(sums: np.ndarray, weighted: bool) -> bytes:
+    """Sums as bytes; weighted ones, whose last column is the weight, as means of 16 bits and weights."""
+    if weighted:
+        weight = sums[:, -1:]
+        data = (sums[:, :-1] / np.maximum(weight, 1)).astype("<f2").tobytes() + weight.astype("<f4").tobytes()
+    else:
+        data = sums.astype("<f4").tobytes()
+    return pa.compress(data, codec="zstd", asbytes=True)
+
+
+def _unpack(data: bytes, rows: int, columns: int, weighted: bool) -> np.ndarray:
+    if not weighted:
+        return np.frombuffer(pa.decompress(data, 4 * rows * columns, codec="zstd", asbytes=True), "<f4").reshape(rows, columns)
+    cut = 2 * rows * (columns - 1)
+    raw = pa.decompress(data, cut + 4 * rows, codec="zstd", asbytes=True)
+    weight = np.frombuffer(raw[cut:], "<f4")[:, None]
+    return np.concatenate([np.frombuffer(raw[:cut], "<f2").reshape(rows, -1).astype(np.float32) * weight, weight], axis=1)
+
+
+def packed(x: np.ndarray, weighted: bool = False) -> Iterator[pa.RecordBatch]:
+    """A task's array in blocks of rows; those of zeros only are left out."""
+    part = TaskContext.get().partitionId() // TOGETHER
     for b, at in enumerate(range(0, len(x), BLOCK)):
         piece = x[at : at + BLOCK]
         if piece.any():
-            data = pa.compress(piece.astype("<f4").tobytes(), codec="zstd", asbytes=True)
-            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([part], pa.int32()), pa.array([data], pa.binary())], names=["block", "part", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([part], pa.int32()), pa.array([_pack(piece, weighted)], pa.binary())], names=["block", "part", "data"])
 
 
-def summed(blocks: DataFrame, rows: int, columns: int, parts: int = 16) -> np.ndarray:
-    """The sum of all tasks' arrays (rows x columns): first in ``parts`` groups of tasks, then of these."""
+def summed(blocks: DataFrame, rows: int, columns: int, weighted: bool = False) -> np.ndarray:
+    """The sum of all tasks' arrays (rows x columns): first in groups of TOGETHER tasks, then of these."""
+    spark = blocks.sparkSession
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
             for b, part, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                n = 4 * columns * min(BLOCK, rows - b * BLOCK)
-                piece = np.frombuffer(pa.decompress(data, n, codec="zstd", asbytes=True), "<f4").reshape(-1, columns)
-                sums[b, part] = sums.get((b, part), 0.0) + piece.astype(np.float64)
+                sums[b, part] = sums.get((b, part), 0.0) + _unpack(data, min(BLOCK, rows - b * BLOCK), columns, weighted).astype(np.float64)
         for (b, part), x in sums.items():
-            for _batch in packed(x, part):
-                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), *_batch.columns[1:]], names=["block", "part", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([part], pa.int32()), pa.array([_pack(x, weighted)], pa.binary())], names=["block", "part", "data"])
 
-    n = partitions(blocks.sparkSession)
-    some = blocks.withColumn("part", F.pmod("part", F.lit(parts))).repartition(n, "block", "part").mapInArrow(run, PACKED)
+    n = partitions(spark)
+    some = blocks.repartition(n, "block", "part").mapInArrow(run, PACKED).withColumn("part", F.lit(0))
     out = np.zeros((rows, columns), np.float32)
-    for r in some.withColumn("part", F.lit(0)).repartition(n, "block").mapInArrow(run, PACKED).collect():  # rows x columns
+    with cleaned(spark):
+        found = some.repartition(n, "block").mapInArrow(run, PACKED).collect()  # rows x columns
+    for r in found:
         at = r["block"] * BLOCK
-        data = pa.decompress(r["data"], 4 * columns * min(BLOCK, rows - at), codec="zstd", asbytes=True)
-        out[at : at + BLOCK] = np.frombuffer(data, "<f4").reshape(-1, columns)
+        out[at : at + BLOCK] = _unpack(r["data"], min(BLOCK, rows - at), columns, weighted)
     return out
 
 
@@ -345,10 +371,10 @@ def company(train: DataFrame, lex: Lexicon) -> np.ndarray:
         total = np.zeros(WORDS * ANCHORS)
         for texts in _batches_of_ids(sent.value, batches, 1 << 17):
             _, units, before = events(sent.value, texts)
-            for x in before:
+            for x in before[:2]:
                 near = (x < min(ANCHORS, sent.value.far)) & (units < WORDS)
                 total += np.bincount(units[near] * ANCHORS + x[near], minlength=len(total))
-        yield from packed(total.reshape(WORDS, ANCHORS), TaskContext.get().partitionId())
+        yield from packed(total.reshape(WORDS, ANCHORS))
 
     return summed(train.mapInArrow(run, PACKED), WORDS, ANCHORS)
 
@@ -361,9 +387,9 @@ def train_round(train: DataFrame, lex: Lexicon, model: Model) -> Model:
         learner = Learner(model)
         for texts in _batches_of_ids(lex, batches, STEP_TOKENS):
             learner.step(*events(lex, texts)[1:])
-        yield from packed(learner.changes(), TaskContext.get().partitionId())
+        yield from packed(learner.changes(), weighted=True)
 
-    change = summed(train.mapInArrow(run, PACKED), FIRST_ROW[-1], WIDTH + 1)
+    change = summed(train.mapInArrow(run, PACKED), FIRST_ROW[-1], WIDTH + 1, weighted=True)
     return Model(model.place, model.bias, model.weights + change[:, :-1] / np.maximum(change[:, -1:], 1))
 
 
