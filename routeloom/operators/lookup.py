@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from routeloom.functions import requests as R
+from routeloom.operators import pattern_join
 from routeloom.operators import routes as rt
 from routeloom.operators.routes import RouteTree
 from routeloom.sources.store import materialize
@@ -14,13 +15,15 @@ from routeloom.sources.store import materialize
 LEVELS = 6
 
 
-def probe(requests: DataFrame, tree: RouteTree, levels: int = LEVELS) -> DataFrame:
+def probe(requests: DataFrame, tree: RouteTree, levels: int = LEVELS, patterns: bool = False) -> DataFrame:
     """The requests with hit: the route of their path, null where a segment is unknown.
 
-    A segment is looked up by its exact name first; else the parent's first variable takes it, whatever its pattern.  Deeper trees than
-    ``levels`` are asked through an index of prefixes, whose number of joins is the same at any depth.
+    A segment is looked up by its exact name first; else the parent's first variable takes it, whatever its pattern.  With ``patterns`` it is the first variable
+    whose pattern fits, if any.  Deeper trees than ``levels`` are asked through an index of prefixes, whose number of joins is the same at any depth.
     """
     depth = tree.paths.agg(F.max("depth")).first()[0] or 0
+    if patterns:
+        return walk_by_patterns(requests, tree, depth)
     return walk(requests, tree, depth) if depth <= levels else by_prefixes(requests, tree, depth)
 
 
@@ -38,6 +41,21 @@ def walk(requests: DataFrame, tree: RouteTree, depth: int) -> DataFrame:
     return now
 
 
+def walk_by_patterns(requests: DataFrame, tree: RouteTree, depth: int) -> DataFrame:
+    """From the root down, where each of a parent's variables takes the segments that its pattern fits."""
+    known = tree.paths.select("parent", "key", "route", "node_type", "regex", "first_seq")
+    exact = known.where("node_type = 'request_path'").select(F.col("parent").alias("hit"), F.col("key").alias("s_"), F.col("route").alias("exact_"))
+    variables = known.where("node_type = 'request_path_variable'").select("parent", F.col("route").alias("variable"), F.col("regex").alias("pattern"), "first_seq")
+    now = requests.withColumn("hit", F.when((F.size("segments") <= depth) & F.col("error").isNull(), ""))
+    for d in range(depth):
+        there = F.size("segments") > d
+        now = materialize(now.withColumn("s_", F.when(there, F.try_element_at("segments", F.lit(d + 1)))).join(exact, ["hit", "s_"], "left"))
+        open_ = now.where("exact_ is null and s_ is not null").select(F.col("hit").alias("parent"), F.col("s_").alias("segment"))
+        taken = pattern_join.match(open_, variables).select(F.col("parent").alias("hit"), F.col("segment").alias("s_"), F.col("variable").alias("var_"))
+        now = now.join(taken, ["hit", "s_"], "left").withColumn("hit", F.when(there, F.coalesce("exact_", "var_")).otherwise(F.col("hit"))).drop("s_", "exact_", "var_")
+    return now
+
+
 def _masked(steps: Column, shape: Column) -> Column:
     """The first steps, as many as the shape has marks, with empty ones (no segment is empty) at the variables' places."""
     return F.transform(F.slice(steps, F.lit(1), F.length(shape)), lambda x, i: F.when(F.substring(shape, i + 1, F.lit(1)) == "1", "").otherwise(x))
@@ -75,11 +93,14 @@ def by_prefixes(requests: DataFrame, tree: RouteTree, depth: int) -> DataFrame:
     return requests.join(found, F.col("segments") == F.col("asked_"), "left").withColumn("hit", hit).drop("asked_", "end_")
 
 
-def find_routes(requests: DataFrame, tree: RouteTree) -> DataFrame:
-    """(seq, route, method, content_type): route is null if the path or its method is unknown, content_type where that is unknown."""
+def find_routes(requests: DataFrame, tree: RouteTree, patterns: bool = False) -> DataFrame:
+    """(seq, route, method, content_type): route is null if the path or its method is unknown, content_type where that is unknown.
+
+    patterns: as in ``probe``.
+    """
     known = rt.methods(tree.requests).select(F.col("route").alias("hit"), "method", F.lit(True).alias("has_"))
     types = rt.content_types(tree.requests).select(F.col("route").alias("hit"), "method", "content_type", F.lit(True).alias("typed_"))
-    out = probe(requests, tree).join(known, ["hit", "method"], "left").join(types, ["hit", "method", "content_type"], "left")
+    out = probe(requests, tree, patterns=patterns).join(known, ["hit", "method"], "left").join(types, ["hit", "method", "content_type"], "left")
     return out.select("seq", F.when(F.col("has_"), F.col("hit")).alias("route"), "method", F.when(F.col("typed_"), F.col("content_type")).alias("content_type"))
 
 

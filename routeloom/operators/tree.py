@@ -2,7 +2,7 @@
 
 A node table has the columns NODE of :mod:`routeloom.operators.routes`.  Ids are unique, and a node's id begins with its parent's.
 A null id or parent matches nothing but the root's; an empty table gives empty results; further columns are dropped where rows are made.
-Walks up or down the tree take one join for each level, so they follow the depth of the tree, not its size.
+Walks down the tree take one join for each level, those up are one recursive query.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from routeloom.operators.routes import NODE
 from routeloom.sources.store import materialize
 
+ROW_LIMIT = "spark.sql.cteRecursionRowLimit"
+
 # --- order of visits ----------------------------------------------------------------------------------------------------------
 
 
@@ -83,21 +85,29 @@ def sibling_counts(nodes: DataFrame) -> DataFrame:
 
 
 def ancestors(nodes: DataFrame) -> DataFrame:
-    """(node_id, ancestor_id, ancestor_type, distance) for all nodes, from the parent (distance 1) to the root."""
-    above = nodes.select(F.col("node_id").alias("id_"), F.col("parent_id").alias("next_"), F.col("node_type").alias("type_"))
-    now = nodes.where("parent_id is not null").select("node_id", F.col("parent_id").alias("ancestor_id"))
-    found, distance = [], 0
-    while True:
-        distance += 1
-        level = materialize(now.join(above, F.col("ancestor_id") == F.col("id_")).select("node_id", "ancestor_id", F.col("type_").alias("ancestor_type"), F.lit(distance).alias("distance"), "next_"))
-        if level.isEmpty() and found:
-            break
-        found.append(level.drop("next_"))
-        now = level.where("next_ is not null").select("node_id", F.col("next_").alias("ancestor_id"))
-    out = found[0]
-    for x in found[1:]:
-        out = out.unionByName(x)
-    return out
+    """(node_id, ancestor_id, ancestor_type, distance) for all nodes, from the parent (distance 1) to the root: one recursive query.
+
+    A parent that isn't in the table is no ancestor, and ends the walk.
+    """
+    spark = nodes.sparkSession
+    walk = spark.sql(
+        """
+        WITH RECURSIVE edges AS (SELECT node_id, parent_id, node_type FROM {nodes}),
+        up (node_id, ancestor_id, next_id, ancestor_type, distance) MAX RECURSION LEVEL 10000 AS (
+          SELECT a.node_id, b.node_id, b.parent_id, b.node_type, 1 FROM edges AS a JOIN edges AS b ON a.parent_id = b.node_id
+          UNION ALL
+          SELECT up.node_id, b.node_id, b.parent_id, b.node_type, up.distance + 1 FROM up JOIN edges AS b ON up.next_id = b.node_id)
+        SELECT node_id, ancestor_id, ancestor_type, distance FROM up
+        """,
+        nodes=nodes,
+    )
+    # Spark stops a recursion at a million rows unless told otherwise; a tree has as many as its nodes times their depth.
+    before = spark.conf.get(ROW_LIMIT, None)
+    spark.conf.set(ROW_LIMIT, "-1")
+    try:
+        return materialize(walk)
+    finally:
+        spark.conf.unset(ROW_LIMIT) if before is None else spark.conf.set(ROW_LIMIT, before)
 
 
 def nearest_ancestor(nodes: DataFrame, node_type: str) -> DataFrame:
