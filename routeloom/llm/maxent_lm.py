@@ -129,9 +129,34 @@ class Lexicon:
         return float(self.unit_counts()[RARE] + (self.types - (self.end_count > 0) - n) + 1)
 
 
+def least_total(counts: DataFrame, most: int) -> int:
+    """The least total for which no more than ``most`` words (word, total) have as many or more."""
+    band = F.floor(F.log2("total") * 4)
+    sizes = sorted(counts.groupBy(band.alias("band")).count().collect(), reverse=True)  # four rows to each doubling
+    taken = 0
+    for r in sizes:
+        if taken + r["count"] > most:
+            break
+        taken += r["count"]
+    else:
+        return 1
+    # Within the band that is cut, its largest totals.
+    totals = counts.where(band == r["band"]).groupBy("total").count().orderBy(F.desc("total")).limit(1024)
+    least = math.ceil(2 ** ((r["band"] + 1) / 4) - 1e-6)
+    for r in totals.collect():
+        taken += r["count"]
+        if taken > most:
+            break
+        least = r["total"]
+    return least
+
+
 def lexicon(counts: DataFrame, train_docs: int, frequent: int = FREQUENT) -> Lexicon:
+    """The words with the largest counts, ``frequent`` at most; where a count's words can't all be taken, none of them is."""
     sums = counts.agg(F.sum("learned").alias("n"), F.count_if(F.col("learned") > 0).alias("v")).first()
-    top = counts.where(F.octet_length("word") <= LONGEST).orderBy(F.desc(F.col("learned") + F.col("held")), "word").limit(frequent).collect()  # ``frequent`` short words
+    short = counts.where(F.octet_length("word") <= LONGEST).withColumn("total", F.col("learned") + F.col("held"))
+    top = short.where(F.col("total") >= least_total(short, frequent)).collect()  # ``frequent`` short words
+    top.sort(key=lambda r: (-r["total"], r["word"]))
     learned = np.array([r["learned"] for r in top], np.int64)
     unit = np.full(len(top) + 1, RARE, np.int64)
     best = np.argsort(-learned, kind="stable")[:WORDS]

@@ -149,3 +149,14 @@ def test_packed_sums():
     x[:, :-1] *= x[:, -1:]
     back = lm._unpack(lm._pack(x, True), 30, 5, True)
     assert (back[:, -1] == x[:, -1]).all() and np.allclose(back, x, rtol=1e-3, atol=1e-3 * x[:, -1].max())
+
+
+def test_least_total(spark):
+    rng = random.Random(6)
+    for n in (0, 5, 300):
+        totals = sorted((int(rng.paretovariate(0.4)) for _ in range(n)), reverse=True)
+        df = spark.createDataFrame([(str(i), t) for i, t in enumerate(totals)], "word string, total long")
+        for most in (1, 4, 17, 120, 299, 300):
+            least = lm.least_total(df, most)
+            assert sum(t >= least for t in totals) <= most
+            assert least == 1 or sum(t >= least - 1 for t in totals) > most or not any(t == least - 1 for t in totals)
