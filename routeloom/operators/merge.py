@@ -170,7 +170,7 @@ def evaluate(siblings: DataFrame, config: MergeConfig = MergeConfig(), rule: Rul
         top = rows.iloc[0]
         out = rows["merged"].to_numpy()
         if len(rows) >= config.sibling_merge_threshold:
-            action, chosen = rule(_name(top["parent"]), list(rows["segment"]), top["pattern"], top["hits"] / top["n_"], config)
+            action, chosen = rule(name_of(top["parent"]), list(rows["segment"]), top["pattern"], top["hits"] / top["n_"], config)
             if action == SKIP:
                 out = out & False
             elif action == MERGE:
@@ -260,6 +260,11 @@ class Siblings:
         self.bytes = 0
         self.variables: list[tuple[str, str]] = []
         self.role: dict[str, tuple[str, str] | None] = {}
+        self.merged: set[str] = set()
+
+    def forget_absorbed(self) -> None:
+        """Drop the roles of segments that a variable has absorbed: it would do so again."""
+        self.role = {s: v for s, v in self.role.items() if v is None or s in self.merged}
 
     def absorbs(self, segment: str) -> bool:
         if not self.variables or segment in ("", "/"):
@@ -347,12 +352,13 @@ class Siblings:
             return
         made = self.variable(pattern, chosen)
         self.variables.append(made)
+        self.merged.update(chosen)
         for v in chosen:
             self.role[v] = made
             self._remove(v)
 
 
-def _name(parent: str) -> str:
+def name_of(parent: str) -> str:
     last = parent.rsplit("/", 1)[-1]
     last = last[1:-1] if last.startswith("{") and last.endswith("}") else last
     return last or "root"
@@ -365,7 +371,7 @@ def replay(siblings: DataFrame, config: MergeConfig = MergeConfig(), rule: Rule
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["first_seq", "segment"])
         parent = rows["parent"].iloc[0]
-        state = Siblings(_name(parent), config, rule)
+        state = Siblings(name_of(parent), config, rule)
         for s in rows["segment"]:
             state.feed(s)
         made = {v: i for i, v in reversed(list(enumerate(state.variables)))}

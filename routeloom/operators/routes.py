@@ -248,6 +248,16 @@ def stats(node_table: DataFrame) -> DataFrame:
     return sums.join(leaves.withColumn("one", F.lit(1)), F.lit(1) == F.col("one")).drop("one")
 
 
+def request_counts() -> list[Column]:
+    """Counts over parsed rows, as aggregates: good ones, parameters of bodies, warnings (a bad query or body) and errors."""
+    lenient = F.col("error").isin("bad query", "bad body")
+    of_body = F.when(F.col("error").isNull(), F.size(F.filter("params", lambda p: p["source"] == "body"))).otherwise(0)
+    return [
+        F.count_if(F.col("error").isNull()).alias("requests_processed"), F.coalesce(F.sum(of_body), F.lit(0)).cast("long").alias("body_params_parsed"), F.count_if(lenient).alias("warnings"),
+        F.count_if(F.col("error").isNotNull() & ~lenient).alias("errors"),
+    ]
+
+
 SNAPSHOT = ("requests_processed", "path_variables_identified", "pattern_detections", "params_created", "type_inferences", "body_params_parsed", "required_params_inferred", "merge_attempts", "merge_skipped", "warnings", "errors")
 
 
@@ -257,12 +267,7 @@ def snapshot(parsed: DataFrame, tree: RouteTree) -> DataFrame:
     A merge is attempted, and a pattern looked for, once for each set of siblings of at least the threshold; it is skipped where the set has
     no variable in the end.  Warnings are rows with a bad query or body, errors all other bad rows.
     """
-    lenient = F.col("error").isin("bad query", "bad body")
-    of_body = F.when(F.col("error").isNull(), F.size(F.filter("params", lambda p: p["source"] == "body"))).otherwise(0)
-    rows = parsed.agg(
-        F.count_if(F.col("error").isNull()).alias("requests_processed"), F.coalesce(F.sum(of_body), F.lit(0)).cast("long").alias("body_params_parsed"), F.count_if(lenient).alias("warnings"),
-        F.count_if(F.col("error").isNotNull() & ~lenient).alias("errors"),
-    )
+    rows = parsed.agg(*request_counts())
     kinds = tree.paths.withColumn("variable_", F.col("node_type") == "request_path_variable")
     merged = tree.variable_values.select("route", "value").distinct().groupBy("route").agg(F.count("*").alias("values_"))
     sets = kinds.join(merged, "route", "left").groupBy("parent").agg(F.sum(F.when(F.col("variable_"), F.coalesce("values_", F.lit(0))).otherwise(1)).alias("size_"), F.count_if("variable_").alias("made_"))

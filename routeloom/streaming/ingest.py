@@ -12,21 +12,30 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from routeloom.operators import lookup, routes
-from routeloom.operators.routes import ALIKE, RouteTree, compact
+from routeloom.operators.routes import ALIKE, RouteTree, compact, request_counts
 from routeloom.sources.requests import parse
+from routeloom.sources.store import materialize
+
+
+def counted(parsed: DataFrame) -> DataFrame:
+    """The rows, counted by Spark as they pass, in a stream too: the metric ``requests`` of each batch has what was processed and what was wrong."""
+    return parsed.observe("requests", *request_counts())
 
 
 def ingest(requests: DataFrame, folder: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Start the query that keeps ``folder`` (facts by batch) up to date; ``requests`` is a streaming DataFrame.  Bad rows are left out."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        compact(parse(batch)).write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
+        compact(batch).write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
 
-    return requests.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+    return counted(parse(requests)).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
 def facts(spark: SparkSession, folder: str) -> DataFrame:
-    """The different requests of all batches so far: seq, last_seq, n and what they differ in."""
+    """The different requests of all batches so far: seq, last_seq, n and what they differ in; no rows before the first batch."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return compact(parse(spark.createDataFrame([], "seq long, method string, url string, body string")))
     rows = spark.read.parquet(folder)
     return rows.groupBy(*ALIKE).agg(F.sum("n").alias("n"), F.min("seq").alias("seq"), F.max("last_seq").alias("last_seq"))
 
@@ -36,7 +45,15 @@ def tree(spark: SparkSession, folder: str, **options) -> RouteTree:
     return routes.build(facts(spark, folder), **options)
 
 
-def unseen(requests: DataFrame, known: RouteTree) -> DataFrame:
-    """Rows of a stream that hit no route and method of a tree: stream-static joins, so a new value of a path variable is nothing new."""
-    methods = routes.methods(known.requests).select(F.col("route").alias("hit"), "method")
-    return lookup.probe(parse(requests), known).join(methods, ["hit", "method"], "left_anti")
+def unseen(requests: DataFrame, known: RouteTree, folder: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Start the query that writes to ``folder`` (by batch) the rows of a stream that a tree needs: with a new route, method, parameter, content type, header or cookie.
+
+    A new value of a path variable or a parameter is nothing new; rows that can't be parsed are needed.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        rows = materialize(batch)
+        found = lookup.needed(rows, known).where("need").select("seq").distinct()
+        rows.join(found, "seq", "left_semi").write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
+
+    return parse(requests).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
