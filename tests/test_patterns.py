@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_routes import reqs
 
-from routeloom.operators import lookup, pattern_join, routes, tree
+from routeloom.operators import inference, lookup, pattern_join, routes, tree
 from routeloom.operators.routes import NODE
 from routeloom.sources import requests as src
 
@@ -59,3 +59,39 @@ def test_ancestors_of_deep_and_broken_trees(spark):
     found = tree.ancestors(spark.createDataFrame(chain, schema))
     assert found.count() == 120 * 121 // 2 and found.agg(F.max("distance")).first()[0] == 120
     assert spark.conf.get(tree.ROW_LIMIT) == "1000000"
+
+
+def test_sketches_of_many_values(spark):
+    """Votes are exact and different values near enough, in rows whose size doesn't grow; parts make the whole."""
+    big = spark.range(200_000).select(F.lit("id").alias("o"), F.col("id").cast("string").alias("value"), F.lit(1).cast("long").alias("cnt"))
+    rows = [("enum", v, n) for v, n in (("red", 40), ("blue", 30), ("green", 30))] + [("mail", f"u{i}@b.co", 2) for i in range(50)] + [("money", f"{i}.25", 1) for i in range(60)] + [("none", None, 4), (None, "x", 3)]
+    hist = big.unionByName(spark.createDataFrame(rows, "o string, value string, cnt long"))
+    want = {r["o"]: r for r in inference.votes(hist, ["o"]).collect()}
+    parts = [inference.sketch(hist.where(F.pmod(F.xxhash64("value"), F.lit(3)) == i).withColumnRenamed("cnt", "n"), ["o"]) for i in range(3)]
+    whole = inference.merge_sketches(parts[0].unionByName(parts[1]).unionByName(parts[2]), ["o"])
+    for found in (inference.votes_of_sketches(whole, ["o"]), inference.votes_in_bounds(hist, ["o"])):
+        got = {r["o"]: r for r in found.collect()}
+        assert got.keys() == want.keys() and want["id"]["n_values"] == 200_000
+        for k, r in want.items():
+            assert (got[k]["physical_type"], got[k]["logical_type"], got[k]["total"]) == (r["physical_type"], r["logical_type"], r["total"]), k
+            assert abs(got[k]["n_values"] - r["n_values"]) <= 0.05 * r["n_values"]
+    size = {r["o"]: r["s"] for r in whole.select("o", (F.length("values") + F.length("v_uuid")).alias("s")).collect()}
+    assert size["id"] < 10_000
+
+
+def test_a_users_rule_as_an_aggregate(spark):
+    """A rule of one's own decides on parameters and variables: here the share of even numbers."""
+
+    def add(state, values, counts):
+        even, total = state or (0, 0)
+        number = values.str.isdigit() & values.str[-1:].isin(list("02468"))
+        return even + int(counts[number].sum()), total + int(counts.sum())
+
+    even = inference.aggregate_rule(add, lambda a, b: (a[0] + b[0], a[1] + b[1]), lambda s: "even" if s[0] == s[1] else None)
+    chain = inference.RuleChain(inference.physical_rule, even)
+    built = routes.build(src.parse(reqs(spark, *[("GET", f"/u/{2 * i}?n={i}&m=4") for i in range(6)])), infer=chain)
+    typed = {r["key"]: (r["physical_type"], r["logical_type"]) for r in routes.nodes(built).where("node_type in ('request_param', 'request_path_variable')").collect()}
+    assert typed == {"u_id": ("integer", "even"), "n": ("integer", "string"), "m": ("integer", "even")}
+    hist = spark.createDataFrame([("a", "2", 1), (None, "4", 2), ("b", None, 1)], "o string, value string, cnt long")
+    assert {r["o"]: r["type"] for r in inference.RuleChain(even).infer(hist, ["o"]).collect()}["a"] == "even"
+    assert even(hist.where("false"), ["o"]).count() == 0 and inference.RuleChain().infer(hist, ["o"]).count() == 3
