@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from routeloom.functions.requests import variable_matches
+from routeloom.sources.store import materialize
 
 #: A parent with so many variables at most tries them all.
 FEW = 4
@@ -44,8 +45,9 @@ def match(segments: DataFrame, variables: DataFrame, few: int = FEW) -> DataFram
     segments: (parent, segment).  variables: (parent, variable, pattern, first_seq); a null pattern is none, equal first_seq go by name and pattern.  Nulls
     in parent or segment match nothing; rows that repeat count once; further columns are ignored.
     """
-    asked = segments.select("parent", "segment").distinct()
-    known = variables.select("parent", "variable", F.coalesce("pattern", F.lit("")).alias("pattern"), "first_seq")
+    # Both are read several times below, and may be dear to make.
+    asked = materialize(segments.select("parent", "segment").distinct())
+    known = materialize(variables.select("parent", "variable", F.coalesce("pattern", F.lit("")).alias("pattern"), "first_seq"))
     order = F.struct((F.col("pattern") == "").alias("open"), "first_seq", "variable", "pattern")
     filed = known.withColumns({"literal": literal(F.col("pattern")), "order": order})
     crowded = known.groupBy("parent").count().where(F.col("count") > few).select(F.col("parent").alias("of_"))

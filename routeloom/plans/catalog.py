@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 
 from routeloom.functions import requests as R
 from routeloom.functions import types as T
-from routeloom.operators import documents, inference, lookup, merge, routes, tree
+from routeloom.operators import documents, inference, lookup, merge, pattern_join, routes, tree
 from routeloom.plans import oracle
 from routeloom.sources import log, synthetic
 from routeloom.sources import requests as src
 from routeloom.sources.curl import from_curls
 from routeloom.sources.store import new_folder
-from routeloom.streaming import ingest
+from routeloom.streaming import fold, ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -435,6 +435,51 @@ def streamed_routes(spark: SparkSession, sf: str) -> DataFrame:
     return routes.methods(ingest.tree(spark, f"{folder}/facts", evaluator="set").requests).select("route", "method", "requests")
 
 
+def folded_routes(spark: SparkSession, sf: str) -> DataFrame:
+    """The orders in three batches, each fed to the state that the ones before have left."""
+    parsed = _parsed(spark, sf, "req_orders")
+    state = fold.Fold(spark, new_folder(spark))
+    low, high = parsed.agg(F.min("seq"), F.max("seq")).first()
+    third = (high - low) // 3 + 1
+    for i in range(3):
+        state.update(parsed.where(F.floor((F.col("seq") - low) / third) == i), i)
+    return routes.methods(state.tree().requests).select("route", "method", "requests")
+
+
+def pattern_variables(spark: SparkSession, sf: str) -> DataFrame:
+    """Three variables under one parent, learned from three sets of siblings; each takes the segments that its pattern fits."""
+    parts = [("req_suppliers", "pre"), ("req_suppliers", "suf"), ("req_parts", "parts")]
+    segments, variables = None, None
+    for i, (name, first) in enumerate(parts):
+        path = src.request_table(spark, sf, name).select(R.path_segments(F.col("url")).alias("s")).where(F.col("s")[0] == first)
+        own = path.select(F.lit(f"/{first}").alias("parent"), F.col("s")[1].alias("segment")).distinct()
+        made = merge.decide(own).where("action <> 'none'").select(F.lit("/x").alias("parent"), "variable", F.col("regex").alias("pattern"), F.lit(i).cast("long").alias("first_seq"))
+        own = own.withColumn("parent", F.lit("/x"))
+        segments, variables = (own, made) if i == 0 else (segments.unionByName(own), variables.unionByName(made))
+    return pattern_join.match(segments, variables, few=2)
+
+
+def find_route_types(spark: SparkSession, sf: str) -> DataFrame:
+    """Routes of the events' requests, a third of them with a content type that the tree doesn't know."""
+    asked = src.request_table(spark, sf, "req_events")
+    asked = asked.withColumn("content_type", F.when(F.col("seq") % 3 == 0, "text/plain").otherwise(F.col("content_type"))).withColumn("body", F.when(F.col("seq") % 3 != 0, F.col("body")))
+    return lookup.find_routes(src.parse(asked), _tree(spark, sf, "req_events"))
+
+
+def sketched_types(spark: SparkSession, sf: str) -> DataFrame:
+    """Types from rows of constant size, made of two parts of the values."""
+    rows = _observed(spark, sf)
+    parts = [inference.sketch(rows.where(F.pmod(F.col("seq"), F.lit(2)) == i), ["owner"]) for i in (0, 1)]
+    merged = inference.merge_sketches(parts[0].unionByName(parts[1]), ["owner"])
+    return inference.votes_of_sketches(merged, ["owner"]).select("owner", "total", "physical_type", "logical_type")
+
+
+def ruled_types(spark: SparkSession, sf: str) -> DataFrame:
+    """A user's rule as an aggregate: whether an owner's values are wide."""
+    rule = inference.aggregate_rule(lambda state, values, counts: max(state or 0, int(values.str.len().max())), max, lambda n: "wide" if n > 8 else "narrow")
+    return rule(inference.histogram(_observed(spark, sf), ["owner"]), ["owner"])
+
+
 QUERIES: tuple[Query, ...] = (
     url_path_segments, url_query_params, url_path_params, method_normalize, content_type_normalize, percent_decode, form_body_params, json_body_flatten, multipart_fields, cookie_parse,
     header_values_normalized, static_ext_filter, param_source_union, value_histogram, unique_values, type_votes, value_types, pattern_detect, merge_decision, merge_members, fixed_kept,
@@ -442,6 +487,7 @@ QUERIES: tuple[Query, ...] = (
     openapi_schema_map, security_schemes, openapi_json, ascii_tree, json_round_trip, batch_errors, router_stats, curl_parse,
     routing_headers, ajax_requests, param_extract, param_values, param_match, variable_extract, type_classes, json_nested_flatten, request_log, order_tree_stats, order_snapshot, resumed_routes,
     merged_trees, tree_ancestors, tree_siblings, tree_paths, tree_children, tree_removed, node_documents, variable_displays, generated_routes, streamed_routes,
+    folded_routes, pattern_variables, find_route_types, sketched_types, ruled_types,
 )
 
 

@@ -200,6 +200,14 @@ SQL = {
  skipped AS merge_skipped, 0 AS warnings, 0 AS errors FROM t, k""",
     "resumed_routes": counts(tree_ctes("req_pages", "req_orders")),
     "streamed_routes": counts(ORDERS),
+    "folded_routes": counts(ORDERS),
+    "pattern_variables": """WITH s AS (SELECT CASE s_suppkey % 2 WHEN 0 THEN 'user_' || lpad(CAST(s_suppkey AS VARCHAR), 5, '0') ELSE lpad(CAST(s_suppkey AS VARCHAR), 5, '0') || '_user' END AS segment FROM supplier
+ UNION SELECT CASE p_partkey % 10 WHEN 0 THEN 'list' WHEN 1 THEN 'create' ELSE CAST(p_partkey AS VARCHAR) END FROM part),
+ m AS (SELECT segment, CASE WHEN regexp_matches(segment, 'user_[0-9]') THEN 'user_[0-9]+' WHEN regexp_matches(segment, '[0-9]_user') THEN '[0-9]+_user' WHEN regexp_matches(segment, '[0-9]') THEN '[0-9]+' END AS pattern FROM s)
+ SELECT '/x' AS parent, segment, CASE WHEN contains(pattern, 'user') THEN 'user_id' ELSE 'parts_id' END AS variable, pattern FROM m WHERE pattern IS NOT NULL""",
+    "find_route_types": f"WITH {tree_ctes('req_events')} SELECT seq, route, method, CASE WHEN seq % 3 <> 0 THEN content_type END AS content_type FROM placed",
+    "sketched_types": f"WITH {VOTES} SELECT owner, total, physical_type, logical_type FROM votes",
+    "ruled_types": f"WITH {OBSERVED} SELECT owner, CASE WHEN max(length(v)) > 8 THEN 'wide' ELSE 'narrow' END AS type FROM hist GROUP BY owner",
     "merged_trees": f"SELECT route, method, CAST(sum(requests) AS BIGINT) AS requests FROM (({counts(tree_ctes('req_orders', 'req_pages'))}) UNION ALL ({counts(tree_ctes('req_orders', 'req_events'))})) GROUP BY ALL",
     "tree_ancestors": f"WITH {TWO} SELECT node AS node_id, array_to_string(parts[1:j], '/') AS ancestor_id, len(parts) - j AS distance FROM (SELECT node, parts, unnest(range(1, len(parts))) AS j FROM pre)",
     "tree_siblings": f"WITH {TWO} SELECT node AS node_id, CASE WHEN node = '' THEN 0 ELSE count(*) OVER (PARTITION BY parts[:-2], node = '') - 1 END AS siblings FROM pre",
@@ -233,8 +241,8 @@ SQL = {
     "route_counts": f"WITH {THREE} SELECT route, method, count(*) AS requests FROM placed GROUP BY ALL",
     "endpoints_sorted": f"WITH {THREE} SELECT DISTINCT route, method, substr(lower(method) || '_' || CASE WHEN {OPERATION} = '' THEN 'root' ELSE {OPERATION} END, 1, 100) AS operation_id FROM placed",
     "required_params": f"""WITH {ORDERS}, t AS (SELECT route, method, count(*) AS requests FROM placed GROUP BY ALL), p AS (SELECT route, method, p.name AS name, p.value AS v FROM (SELECT route, method, unnest({pairs(query('url'))}) AS p FROM placed)),
-hist AS (SELECT route, method, name, v, count(*) AS cnt FROM p GROUP BY ALL), k AS (SELECT route, method, name, count(*) AS n_values, sum(cnt) AS total FROM hist GROUP BY ALL)
-SELECT route, method, name, CAST(total AS BIGINT) AS presence, requests, requests > 1 AND total >= 0.9 * requests AS required, CASE name WHEN 'page' THEN 'integer' ELSE 'integer' END AS physical_type, CASE WHEN n_values >= 2 AND total >= 3 AND n_values <= 0.3 * total THEN 'enum' ELSE 'string' END AS logical_type FROM k JOIN t USING (route, method)""",
+hist AS (SELECT route, method, name, v, count(*) AS cnt FROM p GROUP BY ALL), k AS (SELECT route, method, name, count(*) AS n_values, sum(cnt) AS total, sum(CASE WHEN regexp_full_match(v, '[0-9]+') THEN cnt ELSE 0 END) AS whole FROM hist GROUP BY ALL)
+SELECT route, method, name, CAST(total AS BIGINT) AS presence, requests, requests > 1 AND total >= 0.9 * requests AS required, CASE WHEN 2 * whole > total THEN 'integer' ELSE 'string' END AS physical_type, CASE WHEN n_values >= 2 AND total >= 3 AND n_values <= 0.3 * total THEN 'enum' ELSE 'string' END AS logical_type FROM k JOIN t USING (route, method)""",
     "content_type_nodes": f"WITH {tree_ctes('req_events')} SELECT route, method, content_type, lower(trim(split_part(content_type, ';', 1))) AS media_type, count(*) AS cnt FROM placed GROUP BY ALL",
     "header_values": f"WITH {ORDERS} SELECT route, method, 'Accept' AS name, {ACCEPT} AS value, {NAMED_VALUES} FROM placed GROUP BY ALL UNION ALL SELECT route, method, 'Authorization', {SCHEME}, {NAMED_VALUES} FROM placed GROUP BY ALL",
     "cookie_values": f"WITH {ORDERS} SELECT route, method, c.name AS name, c.value AS value, {NAMED_VALUES} FROM (SELECT route, method, unnest({COOKIES}) AS c FROM placed) GROUP BY ALL",

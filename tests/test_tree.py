@@ -237,14 +237,49 @@ def test_unusual_requests(spark):
     assert set(ROUTING_HEADERS.values()) <= set(parsed.columns)
 
 
-#: Queries that build trees take long; of these a few stand for all here.
-TREES = {"route_counts", "merge_fold_routes", "route_tree_nodes", "tree_stats", "required_params", "content_type_nodes", "header_values", "cookie_values", "find_route", "endpoints_sorted", "openapi_json", "ascii_tree", "json_round_trip",
-         "merged_trees", "tree_ancestors", "tree_siblings", "tree_paths", "tree_children", "tree_removed", "node_documents", "variable_displays", "order_tree_stats", "order_snapshot", "resumed_routes", "is_need_request"}
-CORE = [q for q in catalog.queries() if q not in TREES]
-
-
-@pytest.mark.parametrize("name", CORE)
-def test_registered_queries_match_their_sql(spark, name):
+@pytest.fixture(scope="module")
+def built_once(spark):
+    """Queries that ask the same tree share it here."""
+    plain, made = catalog._tree, {}
+
+    def tree_of(spark, sf, *names, evaluator="set"):
+        if (sf, names, evaluator) not in made:
+            made[sf, names, evaluator] = plain(spark, sf, *names, evaluator=evaluator)
+        return made[sf, names, evaluator]
+
+    catalog._tree = tree_of
+    yield
+    catalog._tree = plain
+
+
+def test_replay_of_all_requests_by_hand(spark, built_once):
+    """The routes of a replay, from plain Python that looks at all siblings anew for each segment."""
+    from test_routes import Plain
+
+    rows = [(r["seq"], r["method"], r["keys"]) for r in catalog._parsed(spark, SF, *catalog.ALL).where("error is null").select("seq", "method", "keys").collect()]
+    place = {tuple(k): "" for _, _, k in rows}
+    first = {k: min(s for s, _, x in rows if tuple(x) == k) for k in place}
+    for d in range(max(map(len, place))):
+        kids: dict = {}
+        for k in sorted(place, key=lambda k: (first[k], k)):
+            if len(k) > d:
+                at = kids.setdefault(place[k], {})
+                at[k[d]] = min(at.get(k[d], first[k]), first[k])
+        role = {}
+        for parent, segments in kids.items():
+            state = Plain(merge.name_of(parent), MergeConfig())
+            for s in sorted(segments, key=lambda s: (segments[s], s)):
+                state.feed(s)
+            role |= {(parent, s): "{" + v[0] + "}" if v else s for s, v in state.role.items()}
+        place = {k: p + "/" + role[p, k[d]] if len(k) > d else p for k, p in place.items()}
+    want: dict = {}
+    for _, m, k in rows:
+        want[place[tuple(k)], m] = want.get((place[tuple(k)], m), 0) + 1
+    assert {(r["route"], r["method"]): r["requests"] for r in catalog.merge_fold_routes(spark, SF).collect()} == want
+
+
+@pytest.mark.parametrize("name", list(catalog.queries()))
+def test_registered_queries_match_their_sql(spark, built_once, name):
     import duckdb
 
     got = __spark_entry__.queries()[name](spark, SF)
