@@ -68,13 +68,27 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
-#: A table of at most so many short rows may go whole to every task.
-SMALL_ROWS = 1_000_000
+#: A written table of at most so many rows, and so many bytes of (compressed) files, may go whole to every task.
+SMALL_ROWS, SMALL_BYTES = 1_000_000, 16 << 20
+
+
+def written_bytes(df: DataFrame) -> int:
+    """Bytes of the files that ``keep`` wrote."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._kept_in)
+    return path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
 
 
 def small_side(df: DataFrame) -> DataFrame:
-    """A written table of short rows for a join: sent to all tasks if it has few rows (so that nothing large need be shuffled), else as it is."""
-    return F.broadcast(df) if df.count() <= SMALL_ROWS else df
+    """A table that ``keep`` wrote, for a join: sent to all tasks if its rows and bytes are few (so that nothing large need be shuffled), else as it is."""
+    return F.broadcast(df) if written_bytes(df) <= SMALL_BYTES and df.count() <= SMALL_ROWS else df
+
+
+def unused(docs: DataFrame, name: str) -> str:
+    """A column name that a table hasn't got, in any case."""
+    known = {c.lower() for c in docs.columns}
+    while name.lower() in known:
+        name = f"_{name}"
+    return name
 
 
 def word_count(text: Column) -> Column:

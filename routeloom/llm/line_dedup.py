@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from routeloom.llm._common import discard, keep, small_side, table
+from routeloom.llm._common import discard, keep, small_side, table, unused
 
 #: White space in a line besides the blank, which blanks replace before words are cut.
 SPACES = "\t\x0b\x0c\r"
@@ -184,22 +184,23 @@ def lines_to_keep(docs: DataFrame) -> DataFrame:
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with text less its repeated and similar later lines, and n_lines, n_removed, emptied (it had words and has none left)."""
     docs = docs.drop("n_lines", "n_removed", "emptied")  # columns of these names are replaced
-    stays = lines_to_keep(docs).select(F.col("k").alias("__k_"), F.col("t").alias("__t_"), F.col("stays").alias("__stays_"))
-    keyed = docs.select("*", _key(docs)[0].alias("__k_"), _key(docs)[1].alias("__t_"))
+    k, t, stays, parts, gone = (unused(docs, x) for x in ("k", "t", "stays", "parts", "gone"))
+    left = lines_to_keep(docs).select(F.col("k").alias(k), F.col("t").alias(t), F.col("stays").alias(stays))
+    keyed = docs.select("*", _key(docs)[0].alias(k), _key(docs)[1].alias(t))
     # Line numbers are short beside the texts, which a join by hash needn't sort.
-    out = keyed.join(stays.hint("shuffle_hash"), ["__k_", "__t_"], "left")
+    out = keyed.join(left.hint("shuffle_hash"), [k, t], "left")
     # From the join alone, so that a filter on it, which Spark moves below the rest, does not cut texts into lines once more.
-    emptied = F.col("__stays_").isNull() & F.coalesce(F.col("text").rlike(rf"[^ \n{SPACES}]"), F.lit(False))
-    out = out.withColumn("__emptied_", emptied).withColumn("__parts_", F.split("text", "\n"))
-    blank = F.filter(F.expr("sequence(0, size(__parts_) - 1)"), lambda i: F.btrim(F.get("__parts_", i), F.lit(" " + SPACES)) == "")
-    numbers = F.sort_array(F.array_union(F.coalesce("__stays_", F.array().cast("array<int>")), blank))
-    out = out.withColumn("__stays_", numbers)
-    kept = F.array_join(F.expr("transform(__stays_, i -> __parts_[i])"), "\n")
+    emptied = F.col(stays).isNull() & F.coalesce(F.col("text").rlike(rf"[^ \n{SPACES}]"), F.lit(False))
+    out = out.withColumn(gone, emptied).withColumn(parts, F.split("text", "\n"))
+    blank = F.filter(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.btrim(F.get(parts, i), F.lit(" " + SPACES)) == "")
+    numbers = F.sort_array(F.array_union(F.coalesce(stays, F.array().cast("array<int>")), blank))
+    out = out.withColumn(stays, numbers)
+    kept = F.array_join(F.transform(stays, lambda i: F.get(parts, i)), "\n")
     return out.select(
         *[kept.alias("text") if c == "text" else F.col(c) for c in docs.columns],
-        F.when(F.col("text").isNull(), 0).otherwise(F.size("__parts_")).cast("long").alias("n_lines"),
-        F.when(F.col("text").isNotNull(), F.size("__parts_") - F.size("__stays_")).cast("long").alias("n_removed"),
-        F.col("__emptied_").alias("emptied"),
+        F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)).cast("long").alias("n_lines"),
+        F.when(F.col("text").isNotNull(), F.size(parts) - F.size(stays)).cast("long").alias("n_removed"),
+        F.col(gone).alias("emptied"),
     )
 
 

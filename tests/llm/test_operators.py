@@ -359,6 +359,45 @@ def test_op9_index_and_hot_groups(spark):
         assert (got == want).all()
 
 
+def test_op10_recall_at_many_dimensions(spark):
+    """Vectors without any structure, whose codes tell least: the sample asks for a longer shortlist."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(6000, 128))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, v array<double>").repartition(4)
+    found: dict = {}
+    for r in additive_ann.search(df, df.where("vec_id % 100 = 0")).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    recall = []
+    for q, got in found.items():
+        scores = x @ x[q]
+        scores[q] = -9
+        recall.append(len(got & set(np.argsort(-scores)[:20].tolist())) / 20)
+    assert len(recall) == 60 and np.mean(recall) >= 0.95
+
+
+def test_op7_scores_by_hand(spark, odd_docs):
+    """Each different n-gram of a text counts once, with its weight; whole texts, in any case."""
+    rng = np.random.default_rng(2)
+    weights = rng.normal(size=1 << toxicity.SLOT_BITS).astype(np.float32) / 50
+
+    def slots(text):
+        data, found = b" " + text.encode().lower() + b" ", set()
+        for i, n in enumerate(toxicity.ORDERS if text else ()):
+            for at in range(len(data) - n + 1):
+                code = int.from_bytes(data[at : at + n], "little") * toxicity._MULT[i] + i
+                found.add((code & ((1 << 64) - 1)) >> (64 - toxicity.SLOT_BITS))
+        return found
+
+    def chance(text):
+        z = -0.25 + sum(float(weights[s]) for s in slots(text or ""))
+        return 1 / (1 + np.exp(-z))
+
+    texts = dict(odd_docs.where("doc_id < 330").select("doc_id", "text").collect())
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(odd_docs, weights, -0.25).collect() if r["doc_id"] is not None and r["doc_id"] < 330}
+    assert got.keys() == texts.keys() and all(abs(got[i] - chance(t)) < 1e-5 for i, t in texts.items())
+
+
 def test_op10_recall_and_oddities(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(600, 16)).astype(np.float32)
