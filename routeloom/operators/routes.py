@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from routeloom.functions import requests as R
@@ -91,14 +91,17 @@ def _path_nodes(found: DataFrame) -> DataFrame:
 
 
 def build(
-    parsed: DataFrame, config: MergeConfig = MergeConfig(), evaluator: str = "replay", rule: Rule | None = None, infer: Infer = votes, tree: RouteTree | None = None,
+    parsed: DataFrame, config: MergeConfig = MergeConfig(), evaluator: str = "replay", rule: Rule | None = None, infer: Infer = votes, tree: RouteTree | None = None, observation: Observation | None = None,
 ) -> RouteTree:
     """Routes of parsed requests.
 
     evaluator: replay (in order of seq) or set (whole sibling sets at once).  rule: a custom merge rule.  infer: gives the types of
     histograms.  tree: an earlier tree to go on from, as if its requests had come together with the new ones (whose seq should be larger).
+    observation: gets the counts of requests while the rows are written, for ``snapshot``.
     Rows with an error are left out; no rows at all give a tree with a root only.
     """
+    if observation is not None:
+        parsed = parsed.observe(observation, *request_counts())
     if evaluator not in ("replay", "set"):
         raise ValueError(f"no evaluator {evaluator!r}")
     rows = weighted(parsed).select("seq", "last_seq", "n", *ALIKE)
@@ -261,13 +264,13 @@ def request_counts() -> list[Column]:
 SNAPSHOT = ("requests_processed", "path_variables_identified", "pattern_detections", "params_created", "type_inferences", "body_params_parsed", "required_params_inferred", "merge_attempts", "merge_skipped", "warnings", "errors")
 
 
-def snapshot(parsed: DataFrame, tree: RouteTree) -> DataFrame:
-    """Eleven counters of a run in one row.
+def snapshot(parsed: DataFrame | Observation, tree: RouteTree) -> DataFrame:
+    """Eleven counters of a run in one row.  With the observation of a build, the requests aren't gone through again.
 
     A merge is attempted, and a pattern looked for, once for each set of siblings of at least the threshold; it is skipped where the set has
     no variable in the end.  Warnings are rows with a bad query or body, errors all other bad rows.
     """
-    rows = parsed.agg(*request_counts())
+    rows = tree.paths.sparkSession.createDataFrame([parsed.get]) if isinstance(parsed, Observation) else parsed.agg(*request_counts())
     kinds = tree.paths.withColumn("variable_", F.col("node_type") == "request_path_variable")
     merged = tree.variable_values.select("route", "value").distinct().groupBy("route").agg(F.count("*").alias("values_"))
     sets = kinds.join(merged, "route", "left").groupBy("parent").agg(F.sum(F.when(F.col("variable_"), F.coalesce("values_", F.lit(0))).otherwise(1)).alias("size_"), F.count_if("variable_").alias("made_"))

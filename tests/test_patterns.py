@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 from test_routes import reqs
 
@@ -95,3 +96,12 @@ def test_a_users_rule_as_an_aggregate(spark):
     hist = spark.createDataFrame([("a", "2", 1), (None, "4", 2), ("b", None, 1)], "o string, value string, cnt long")
     assert {r["o"]: r["type"] for r in inference.RuleChain(even).infer(hist, ["o"]).collect()}["a"] == "even"
     assert even(hist.where("false"), ["o"]).count() == 0 and inference.RuleChain().infer(hist, ["o"]).count() == 3
+
+
+def test_counters_of_one_pass(spark):
+    asked = [("GET", f"/n/{i}?a={i}") for i in range(5)] + [("POST", "/b", "application/json", '{"x":1,"y":2}'), ("GET", "://x"), ("GET", "/a?x=%zz"), ("POST", "/b", "application/json", "{"), ("GET", None)]
+    parsed = src.parse(reqs(spark, *asked))
+    seen = Observation("run")
+    built = routes.build(parsed, observation=seen)
+    assert seen.get == {"requests_processed": 6, "body_params_parsed": 2, "warnings": 2, "errors": 2}
+    assert routes.snapshot(seen, built).collect() == routes.snapshot(parsed, built).collect()
