@@ -5,11 +5,23 @@ from __future__ import annotations
 import re
 
 from routeloom.functions import types as T
-from routeloom.functions.patterns import LOGICAL_PATTERNS, PHYSICAL_TYPES, SIBLING_PATTERNS, STATIC_PATTERN, VARIABLE_REGEX, VARIABLE_SUFFIX, re2
+from routeloom.functions.patterns import PHYSICAL_TYPES, STATIC_PATTERN, VARIABLE_REGEX, VARIABLE_SUFFIX, re2
 from routeloom.functions.requests import URL_PARTS
 from routeloom.operators.documents import LOGICAL_SCHEMA, PHYSICAL_SCHEMA
 from routeloom.sources.requests import REQUEST_SQL
 
+_DAY = r"(0[1-9]|1[0-2])(0[1-9]|[12]\d|3[01])\d{3}"
+_IDENTITY = rf"^[1-9]\d{{5}}((19|20)\d{{2}}{_DAY}[\dXx]|\d{{2}}{_DAY})$"
+#: The patterns again, written for DuckDB's expressions, so that the queries are held against something that isn't theirs.
+SIBLING_PATTERNS = {
+    "uuid": r"^[[:xdigit:]]{8}(-[[:xdigit:]]{4}){3}-[[:xdigit:]]{12}$", "email": r"^[\w.%+-]+@[[:alnum:].-]+\.[[:alpha:]]{2,}$", "ip": r"^\d{1,3}(\.\d{1,3}){3}$", "date": r"^\d{4}(-\d{2}){2}", "phone": r"^((\+86|86)?1[3-9]\d{9})$",
+    "idcard": _IDENTITY, "bankcard": r"^[3456]\d{15}\d{0,3}$", "plate": r"^\p{Han}[A-Z][A-Z\d]{5}[A-Z\d]?$", "version": r"^v\d+$", "alphanumeric": r"^[[:alpha:]]+\d+$", "float": r"^\d+\.\d+$", "integer": r"^\d+$",
+}
+LOGICAL_PATTERNS = {
+    "uuid": SIBLING_PATTERNS["uuid"], "ipaddress": SIBLING_PATTERNS["ip"], "phone": r"^(\+86|86|0086)?1[3-9]\d{9}$|^0\d{2,3}[1-9]\d{6}\d?$", "idcard": _IDENTITY, "bankcard": SIBLING_PATTERNS["bankcard"], "plate": SIBLING_PATTERNS["plate"],
+    "email": SIBLING_PATTERNS["email"], "datetime": r"^\d{4}(-\d{2}){2}[T ]\d{2}(:\d{2}){2}", "date": r"^\d{4}(-\d{2}){2}$", "time": r"^\d{2}(:\d{2}){2}", "url": r"^https?://", "json": r"^\s*(\{.*\}|\[.*\])\s*$", "xml": r"^\s*<",
+}
+
 q = lambda s: "'" + re2(s).replace("'", "''") + "'"
 
 
