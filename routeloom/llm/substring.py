@@ -26,7 +26,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from routeloom.llm._common import keep, partitions, table
+from routeloom.llm._common import cleaned, discard, keep, partitions, shared_dir, table
 
 WINDOW = 13
 #: Bytes of the tag, up to 8: a parameter of the index, one byte of shuffle for each window.
@@ -402,7 +402,8 @@ class FingerprintIndex:
         import time
 
         level = f"level-{time.time_ns():020d}"
-        rows.write.parquet(f"{self.folder}/{level}")
+        with cleaned(self.spark):
+            rows.write.option("compression", "zstd").parquet(f"{self.folder}/{level}")
         self.spark.createDataFrame([(level, replaces)], "level string, replaces array<string>").write.mode("append").parquet(f"{self.folder}/log")
 
     def history(self) -> DataFrame:
@@ -411,20 +412,56 @@ class FingerprintIndex:
             return self.spark.createDataFrame([], ROWS)
         return self.spark.read.schema(ROWS).parquet(*[f"{self.folder}/{x}" for x in levels])
 
-    def add(self, docs: DataFrame) -> DataFrame:
-        """The batch without repeated windows (KEPT).  The result is written before the index grows."""
-        runs = keep(self.spark, build_runs(docs, self.parts, self.window, self.tag_bytes))
-        marks = merge_runs(self.history().unionByName(runs), self.parts, tag_bytes=self.tag_bytes)
-        out = keep(self.spark, remove_marked(docs, marks, self.parts, self.window, tag_bytes=self.tag_bytes))
-        self._append(merge_runs(runs, self.parts, index=True, tag_bytes=self.tag_bytes), [])
-        if len(self._generations()) > self.levels:
-            self.compact()
+    def add(self, docs: DataFrame, digest: bool = False, last: bool = False) -> DataFrame:
+        """The batch without repeated windows (KEPT, or KEPT_DIGEST).  The result is written before the index grows; after the ``last`` batch it doesn't."""
+        runs = build_runs(docs, self.parts, self.window, self.tag_bytes)
+        runs = runs if last else keep(self.spark, runs)
+        # The marks are written, so that the runs' shuffle files are gone before the texts are dealt.
+        marks = keep(self.spark, merge_runs(self.history().unionByName(runs), self.parts, tag_bytes=self.tag_bytes))
+        out = keep(self.spark, remove_marked(docs, marks, self.parts, self.window, digest, self.tag_bytes))
+        discard(marks)
+        if not last:
+            self._append(merge_runs(runs, self.parts, index=True, tag_bytes=self.tag_bytes), [])
+            discard(runs)
+            if len(self._generations()) > self.levels:
+                self.compact()
         return out
 
     def compact(self) -> None:
+        """All levels as one; those that it replaces are deleted."""
         levels = self._generations()
         self._append(merge_runs(self.history(), self.parts, index=True, tag_bytes=self.tag_bytes), levels)
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        for x in levels:
+            files.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{x}"), True)
+
+    def delete(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Batches of the registered query.
+BATCHES = 3
+
+
+def dedup_in_batches(docs: DataFrame, batches: int = BATCHES, window: int = WINDOW, digest: bool = False, tag_bytes: int = TAG_BYTES) -> DataFrame:
+    """``dedup`` through the index: documents come in batches by doc_id, null ids in the last one, and levels are compacted on the way.
+
+    A window in the history stands in a batch before, so in a document with a smaller doc_id.  Rows of one doc_id are in one batch; where doc_ids repeat a lot batches may be empty.
+    """
+    spark = docs.sparkSession
+    cuts = sorted({int(x) for x in docs.select(F.col("doc_id").cast("long").alias("doc_id")).approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01)})
+    batch = sum((F.when(F.col("doc_id").cast("long") > c, 1).otherwise(0) for c in cuts), F.lit(0))
+    batch = F.when(F.col("doc_id").isNull(), len(cuts)).otherwise(batch)
+    index = FingerprintIndex(spark, shared_dir(spark), ranges_for(docs), window, levels=1, tag_bytes=tag_bytes)
+    out = None
+    for i in range(len(cuts) + 1):
+        part = index.add(docs.where(batch == i), digest, last=i == len(cuts))
+        out = part if out is None else out.unionByName(part)
+    index.delete()
+    return out
 
 
 def op1_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup(table(spark, sf_dir, "documents"), digest=True)
+    return dedup_in_batches(table(spark, sf_dir, "documents"), digest=True)

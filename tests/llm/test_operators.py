@@ -82,6 +82,20 @@ def test_op1_index_over_batches(spark, odd_docs, tmp_path):
     assert len(index._generations()) <= 2
 
 
+def test_op1_in_batches(spark, odd_docs, empty_docs, monkeypatch):
+    """The registered query's way: batches by doc_id, with a history and a compaction, give what one batch does."""
+    compacted = []
+    compact = substring.FingerprintIndex.compact
+    monkeypatch.setattr(substring.FingerprintIndex, "compact", lambda self: compacted.append(len(self._generations())) or compact(self))
+    got = as_rows(substring.dedup_in_batches(odd_docs), "doc_id", "n_words", "n_removed", "kept_text")
+    assert got == Counter(without_windows(pairs_of(odd_docs))) and compacted == [2]
+    digests = as_rows(substring.dedup_in_batches(odd_docs, batches=2, digest=True), "doc_id", "n_words", "n_removed", "kept_sha256")
+    assert digests == Counter((d, n, gone, hashlib.sha256(x.encode()).hexdigest()) for d, n, gone, x in got.elements())
+    assert substring.dedup_in_batches(empty_docs).count() == 0
+    one = spark.createDataFrame([(7, "a b c d e f g h i j k l m n"), (7, "a b c d e f g h i j k l m n"), (None, "x a b c d e f g h i j k l m")], "doc_id long, text string")
+    assert as_rows(substring.dedup_in_batches(one), "doc_id", "n_removed") == Counter({(7, 0): 2, (None, 13): 1})
+
+
 def test_op2_against_the_tokenizer(odd_docs, empty_docs):
     import public_tokenizers
     from tokenizers import Tokenizer
