@@ -26,6 +26,5 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op5_mixing": mixing.OP5_SQL,
-        "op12_maxent_lm": maxent_lm.op12_maxent_lm,
         "op13_divergence": divergence.OP13_SQL,
     }

@@ -19,6 +19,9 @@ PROMISED = {
     "op8_quality": {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"},
     "op9_simhash": {"doc_id": "bigint", "fingerprint": "string", "component_id": "bigint"},
     "op10_ann": {"query_id": "bigint", "rank": "int", "vec_id": "bigint", "score": "double"},
+    "op11_vector_codes": {"vec_id": "bigint", "code": "string", "error": "bigint", "label_error": "bigint", "codebooks_sha256": "string"},
+    "op12_maxent_lm": {"doc_id": "bigint", "held_out": "boolean", "n_tokens": "bigint", "n_known": "bigint", "train_tokens": "bigint", "base_score": "double", "score": "double"},
+    "op13_divergence": {"lang": "string", "source": "string", "part": "string", "item": "string", "value": "bigint", "rank": "int"},
 }
 
 
@@ -34,7 +37,14 @@ def test_registered(spark, name):
         assert all(r["kept_sha256"] == hashlib.sha256(b" ".join(texts[r["doc_id"]])).hexdigest() for r in rows if not r["n_removed"])
     elif name == "op10_ann":
         assert all(r["query_id"] % 20 == 0 and r["query_id"] != r["vec_id"] and 1 <= r["rank"] <= 20 for r in rows)
-    elif name != "op2_packing":
-        source = "pages" if name == "op3_warc" else "documents"
+    elif name not in ("op2_packing", "op13_divergence"):
+        source = {"op3_warc": "pages", "op11_vector_codes": "embeddings"}.get(name, "documents")
         assert len(rows) == spark.read.parquet(f"{SF}/{source}.parquet").count()
     assert rows
+
+
+def test_entries():
+    """Every query is callable, every oracle is SQL for one of them."""
+    queries, oracles = __spark_entry__.queries(), __spark_entry__.oracle_sql()
+    assert all(map(callable, queries.values())) and all(isinstance(x, str) for x in oracles.values()) and oracles.keys() <= queries.keys()
+    assert {f"op{i}" for i in range(1, 14)} == {k.split("_")[0] for k in queries if k.startswith("op") and k[2].isdigit()}
