@@ -16,6 +16,7 @@ import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,10 @@ TASK_ITEMS = 200_000
 FAN_IN = 8
 
 
+#: Different chunks of text whose ids a Python worker remembers.
+MOST_CHUNKS = 1_200_000
+
+
 class ChunkEncoder:
     """Token ids of texts as little-endian unsigned 32-bit bytes, with a bounded memory of chunks already encoded.
 
@@ -41,7 +46,7 @@ class ChunkEncoder:
     _TWO = re.compile(r"\s\s")
     _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 
-    def __init__(self, tokenizer_path: str, most_chunks: int = 1_200_000):
+    def __init__(self, tokenizer_path: str, most_chunks: int = MOST_CHUNKS):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
@@ -63,8 +68,8 @@ class ChunkEncoder:
                 heads.append([first])
                 rests.append(rest)
         if len(self.known) + len(self.inner) > self.most_chunks:
-            self.known.clear()
-            self.inner.clear()
+            # What was learned first is mostly what is frequent.
+            self.known, self.inner = (dict(islice(x.items(), self.most_chunks // 4)) for x in (self.known, self.inner))
         new = list(set().union(*heads).difference(self.known))
         self.known.update(zip(new, self._learn(new), strict=True))
         new = list(set().union(*rests).difference(self.inner))
@@ -74,9 +79,9 @@ class ChunkEncoder:
 
 
 @lru_cache(maxsize=2)
-def encoder_for(tokenizer_path: str) -> ChunkEncoder:
+def encoder_for(tokenizer_path: str, most_chunks: int = MOST_CHUNKS) -> ChunkEncoder:
     """One for each Python worker, so that what a task has learned serves the next one."""
-    return ChunkEncoder(tokenizer_path)
+    return ChunkEncoder(tokenizer_path, most_chunks)
 
 
 def _default_tokenizer() -> str:
@@ -85,15 +90,15 @@ def _default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def token_pieces(docs: DataFrame, tokenizer_path: str | None = None, seq_len: int = 1024, end_id: int = 2) -> DataFrame:
-    """The pieces of each document (doc_id, text): doc_id, piece, start, length, ids_crc32."""
+def token_pieces(docs: DataFrame, tokenizer_path: str | None = None, seq_len: int = 1024, end_id: int = 2, most_chunks: int = MOST_CHUNKS) -> DataFrame:
+    """The pieces of each document (doc_id, text): doc_id, piece, start, length, ids_crc32.  most_chunks: that a worker remembers, some 200 bytes each."""
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = encoder_for(tokenizer_path or _default_tokenizer())
+        encoder = encoder_for(tokenizer_path or _default_tokenizer(), most_chunks)
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
