@@ -110,6 +110,22 @@ def test_extraction(spark):
     assert has("a=1&Page=2", "page") and has("PAGE", "page") and not has("page_size=1", "page") and not has("xpage=1", "page")
 
 
+def test_leaves_of_large_keys(spark, tmp_path):
+    """Half a key is written out from a million on, as the SQL does; the default has exponents there."""
+    duckdb = pytest.importorskip("duckdb")
+    part = spark.read.parquet(f"{SF}/part.parquet").limit(1)
+    keys = [999_999, 1_000_000, 1_200_007, 123_456_789]
+    part.withColumn("p_partkey", F.explode(F.array(*map(F.lit, keys)).cast("array<long>"))).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    want = duckdb.sql(__spark_entry__.oracle_sql()["json_nested_flatten"].replace("FROM part)", f"FROM '{tmp_path}/part.parquet/*.parquet')")).fetchall()
+    assert rows(catalog.json_nested_flatten(spark, str(tmp_path)), "seq", "name", "value") == sorted(want) and len(want) == 8 * len(keys)
+
+
+def test_plain_numbers(spark):
+    numbers = [(1234567.5, "1234567.5"), (-1e20, "-100000000000000000000"), (1.5e21, "1500000000000000000000"), (0.00001234, "0.00001234"), (0.25, "0.25"), (-2.5, "-2.5")]
+    got = spark.createDataFrame(numbers, "d double, text string").select("text", number_text(F.col("d"), plain=True).alias("x")).collect()
+    assert [r["x"] for r in got] == [r["text"] for r in got]
+
+
 @pytest.mark.parametrize(("number", "text"), [(1234567.5, "1.2345675e+06"), (0.00001234, "1.234e-05"), (0.000123, "0.000123"), (-2.5, "-2.5"), (123456.75, "123456.75"), (1e20, "1e+20"), (1e-100, "1e-100"), (0.1, "0.1")])
 def test_numbers(spark, number, text):
     assert spark.createDataFrame([(number,)], "d double").select(number_text(F.col("d")).alias("x")).first()["x"] == text
