@@ -188,8 +188,8 @@ class Fold:
         marked = work.join(here, same, "left").withColumn("again", F.col("again") | F.col("p_").isNotNull()).select(*work.columns)
         return marked.unionByName(taken)
 
-    def tree(self) -> RouteTree:
-        """The tree of all batches: that of one replay of all requests."""
+    def tree(self, alike: list[str] = ALIKE) -> RouteTree:
+        """The tree of all batches: that of one replay of all requests; ``alike`` as in ``compact``."""
         placed, state = materialize(self.paths.read()), self.state.read()
         step = lambda i: F.element_at("steps", i)
         each = placed.select("*", F.explode(F.when(F.size("steps") > 0, F.sequence(F.lit(1), F.size("steps"))).otherwise(F.array().cast("array<int>"))).alias("depth"))
@@ -208,7 +208,8 @@ class Fold:
         paths = paths.join(regex, ["parent", "key", "is_variable"], "left").join(requests, "route", "left")
         paths = paths.select("route", "parent", "depth", kind.alias("node_type"), "key", "regex", F.coalesce("requests", F.lit(0)).cast("long").alias("requests"), "first_seq", "steps", "shape")
         values = each.where("is_variable").groupBy("route", F.element_at("keys", F.col("depth")).alias("value")).agg(F.sum("n").alias("cnt"))
-        rows = self.facts.read().join(placed.select(F.col("keys").alias("k_"), route_of(F.col("steps")).alias("route")), F.col("keys") == F.col("k_")).drop("k_")
+        rows = compact(self.facts.rows(), alike)
+        rows = rows.join(placed.select(F.col("keys").alias("k_"), route_of(F.col("steps")).alias("route")), F.col("keys") == F.col("k_")).drop("k_")
         return RouteTree(materialize(rows), materialize(paths), materialize(values), self.config, self.infer)
 
 

@@ -50,6 +50,10 @@ class Runs:
     def read(self, before: int | None = None) -> DataFrame:
         return self.merged(self._read(self.runs(before)))
 
+    def rows(self) -> DataFrame:
+        """All runs, not merged."""
+        return self._read(self.runs())
+
     def append(self, rows: DataFrame, batch: int) -> None:
         self.compact(batch)
         self._write(rows, (batch, batch))

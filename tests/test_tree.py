@@ -50,6 +50,22 @@ def test_search_and_relatives(nodes):
     assert tree.find_first(nodes, F.lit(False)).count() == 0
 
 
+def test_outline(spark, monkeypatch):
+    """Trees of alike requests that are counted while parsed, bad rows left out, have the same paths and methods; so have those whose paths are all frequent, or none is."""
+    asked = [("GET", f"/api/users/{i}?page={i}") for i in range(11, 31)] + [("POST", "/api/users", "application/json", '{"name":"a"}')] * 9 + [("POST", "/api/users", "application/json", "{"), ("GET", "/a/%zz"), ("GET", "/")]
+    parsed = src.parse(reqs(spark, *asked))
+    assert {(r["method"], "/".join(r["keys"]), r["n"]) for r in routes.compact(parsed, routes.OUTLINE).where("method = 'POST' or size(keys) = 0").collect()} == {("POST", "api/users", 9), ("GET", "", 1)}
+    columns = ("node_id", "parent_id", "node_type", "key", "requests", "pattern", "physical_type", "first_seq")
+    shown = lambda tree, kinds: sorted(map(str, rows(routes.nodes(tree).where(F.col("node_type").isin(*kinds)).fillna(""), *columns)))
+    kinds = ("root", "request_path", "request_path_variable", "request_method")
+    want = shown(routes.build(parsed), kinds)
+    assert len(want) == 7
+    for parts, evaluator in ((0, "replay"), (4, "set")):
+        monkeypatch.setattr(routes, "FREQUENT", parts)
+        outline = routes.nodes(routes.build(routes.compact(parsed, routes.OUTLINE), evaluator=evaluator))
+        assert sorted(map(str, rows(outline.fillna(""), *columns))) == want and outline.where(~F.col("node_type").isin(*kinds)).count() == 0
+
+
 def test_orders_of_visits(nodes):
     deep = [r["node_id"] for r in tree.depth_first(nodes).collect()]
     assert deep[0] == "" and deep.index("/api/users") < deep.index("/api/users/{users_id}") < deep.index("/api/health") and len(deep) == nodes.count()
