@@ -32,7 +32,11 @@ WINDOW = 13
 #: Bytes of the tag, up to 8: a parameter of the index, one byte of shuffle for each window.
 TAG_BYTES = 2
 #: Windows in a run; and in a range of hashes, at most about so many.
-RUN_WINDOWS, RANGE_WINDOWS = 2_000_000, 3_000_000
+RUN_WINDOWS, RANGE_WINDOWS = 1_000_000, 3_000_000
+#: A range is merged in pieces of about so many windows, and its marks are passed on when there are so many: what a task holds besides the decoded runs.
+PIECE_WINDOWS = 400_000
+#: Bytes of text that are hashed at once (or one text).
+HASH_BYTES = 1 << 19
 NULL_ID = (1 << 63) - 1
 ROWS = "part int, kind int, doc_id long, data binary"
 RUN, SPANS, INDEX = 0, 1, 2
@@ -114,17 +118,25 @@ def _from_low(data: bytes, count: int, n: int, at: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def _tag_type(n: int) -> np.dtype:
+    """The smallest type that holds tags of so many bytes, as tasks hold one for each window."""
+    return np.dtype(f"<u{1 << (n - 1).bit_length()}")
+
+
 def encode_run(h: np.ndarray, tag: np.ndarray, owner: np.ndarray | None, ids: np.ndarray | None, tag_bytes: int = TAG_BYTES) -> bytes:
-    """A run in hash order: its steps between upper 24 bits (compressed), lower 40 bits, tags, owners (positions in ids)."""
+    """A run in hash order: its steps between upper 24 bits (compressed), lower 40 bits, tags, owners (positions in ids; the ids' steps are compressed too)."""
     upper = (h >> _U(40)).astype(np.int64)
     steps = np.diff(upper, prepend=0).astype("<u4")
     packed = pa.compress(steps.view(np.uint8).reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True)
     low = _low_bytes(h, 5)
     tail = b""
     if owner is not None:
-        used, own = np.unique(owner, return_inverse=True)
-        kind = "<u2" if len(used) <= 1 << 16 else "<u4"
-        tail = np.array([len(used)], "<u8").tobytes() + ids[used].astype("<i8").tobytes() + own.astype(kind).tobytes()
+        names, own = np.unique(ids[owner], return_inverse=True)
+        kind = "<u2" if len(names) <= 1 << 16 else "<u4"
+        # Steps from name to name, their bytes by place: most are zero.
+        gaps = np.diff(names.astype("<i8"), prepend=np.int64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+        gaps = pa.compress(gaps, codec="zstd", asbytes=True)
+        tail = np.array([len(names), len(gaps)], "<u8").tobytes() + gaps + own.astype(kind).tobytes()
     return np.array([len(h), len(packed), tag_bytes], "<u8").tobytes() + packed + low + _low_bytes(tag, tag_bytes) + tail
 
 
@@ -140,25 +152,35 @@ def decode_run(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
     at += tag_bytes * n
     if at == len(data):
         return h, tag, None
-    m = int(np.frombuffer(data, "<u8", 1, at)[0])
-    ids = np.frombuffer(data, "<i8", m, at + 8)
-    own = np.frombuffer(data, "<u2" if m <= 1 << 16 else "<u4", n, at + 8 + 8 * m)
-    return h, tag, ids[own]
+    m, k = (int(x) for x in np.frombuffer(data, "<u8", 2, at))
+    at += 16
+    gaps = np.frombuffer(pa.decompress(data[at : at + k], 8 * m, codec="zstd", asbytes=True), np.uint8).reshape(8, m).T.copy().view("<i8").ravel()
+    own = np.frombuffer(data, "<u2" if m <= 1 << 16 else "<u4", n, at + k)
+    return h, tag, np.cumsum(gaps)[own]
+
 
+def _order(h: np.ndarray, tag: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order by hash (stable: it merges sorted runs), where a new (hash, tag) begins, and the rows whose (hash, tag) a smaller doc has too.
 
-def _order(h: np.ndarray, tag: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order by hash (stable: it merges sorted runs), and where a new (hash, tag) begins; ties of a hash are put in order too."""
+    Ties of a hash are put in order too."""
     order = np.argsort(h, kind="stable")
     hs = h[order]
-    same = np.flatnonzero(hs[1:] == hs[:-1])
-    if len(same):  # only rows of repeated hashes are ordered further
-        rows = np.unique(np.concatenate([same, same + 1]))
-        sub = order[rows]
-        order[rows] = sub[np.lexsort((doc[sub], tag[sub], h[sub]))]
-    ts = tag[order]
     new = np.ones(len(h), bool)
-    new[1:] = (hs[1:] != hs[:-1]) | (ts[1:] != ts[:-1])
-    return order, new
+    new[1:] = hs[1:] != hs[:-1]
+    del hs
+    same = np.flatnonzero(~new)
+    if not len(same):
+        return order, new, same
+    rows = np.unique(np.concatenate([same - 1, same]))  # only rows of repeated hashes are ordered further
+    sub = order[rows]
+    sub = sub[np.lexsort((doc[sub], tag[sub], h[sub]))]
+    order[rows] = sub
+    starts = np.ones(len(sub), bool)
+    starts[1:] = (h[sub[1:]] != h[sub[:-1]]) | (tag[sub[1:]] != tag[sub[:-1]])
+    new[rows] = starts
+    docs = doc[sub]
+    lowest = docs[np.maximum.accumulate(np.where(starts, np.arange(len(starts)), 0))]
+    return order, new, sub[docs > lowest]
 
 
 def _ranges(values: np.ndarray) -> np.ndarray:
@@ -195,29 +217,33 @@ def build_runs(docs: DataFrame, parts: int, window: int = WINDOW, tag_bytes: int
         total = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            h, tag, row, word = (np.concatenate(x) for x in zip(*held, strict=True))
+            columns = [list(x) for x in zip(*held, strict=True)]
+            held.clear()
+            h, tag, row, word = (np.concatenate(columns.pop(0)) for _ in range(4))
             names = np.array(ids, np.int64)
-            doc = names[row]
-            order, new = _order(h, tag, doc)
-            lowest = doc[order][np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]
-            again = np.sort(order[doc[order] > lowest])
+            order, new, again = _order(h, tag, names[row])
+            again = np.sort(again)
             first = order[new]
-            hs = h[first]
-            bounds = np.searchsorted(hs, np.array([-(-(i << 64) // parts) for i in range(1, parts)], np.uint64))
-            out = []
-            for p, (a, b) in enumerate(zip([0, *bounds], [*bounds, len(hs)], strict=True)):
+            del order, new
+            bounds = np.searchsorted(h[first], np.array([-(-(i << 64) // parts) for i in range(1, parts)], np.uint64))
+            out, size = [], 0
+            for p, (a, b) in enumerate(zip([0, *bounds], [*bounds, len(first)], strict=True)):
                 if b > a:
                     some = first[a:b]
                     out.append((p, RUN, None, encode_run(h[some], tag[some], row[some], names, tag_bytes)))
+                    size += len(out[-1][3])
+                    if len(out) == 1000 or size > 1 << 22:
+                        yield _batch(out)
+                        out, size = [], 0
+            del h, tag, first
             if len(again):
                 r, w = row[again], word[again]
                 cuts = [0, *(np.flatnonzero(r[1:] != r[:-1]) + 1).tolist(), len(r)]
                 for a, b in zip(cuts, cuts[1:], strict=False):
                     i = int(r[a])
-                    out.append((int(place_of(names[i : i + 1], parts)[0]), SPANS, ids[i], keys[i] + _ranges(w[a:b]).astype("<u4").tobytes()))
+                    out.append((int(place_of(names[i : i + 1], parts)[0]), SPANS, ids[i], keys[i] + _ranges(w[a:b].astype(np.int64)).astype("<u4").tobytes()))
             for at in range(0, len(out), 1000):
                 yield _batch(out[at : at + 1000])
-            held.clear()
             ids.clear()
             keys.clear()
 
@@ -227,11 +253,11 @@ def build_runs(docs: DataFrame, parts: int, window: int = WINDOW, tag_bytes: int
             at = 0
             while at < len(texts):
                 end, size = at, 0
-                while end < len(texts) and (end == at or size + len(texts[end]) <= 1 << 21):
+                while end < len(texts) and (end == at or size + len(texts[end]) <= HASH_BYTES):
                     size += len(texts[end])
                     end += 1
                 h, tag, row, word = hasher(texts[at:end])
-                held.append((h, tag, row + len(ids), word))
+                held.append((h, tag.astype(_tag_type(tag_bytes)), (row + len(ids)).astype(np.int32), word.astype(np.int32)))
                 ids += names[at:end]
                 keys += [_text_key(t) for t in texts[at:end]]
                 total += len(h)
@@ -245,11 +271,42 @@ def build_runs(docs: DataFrame, parts: int, window: int = WINDOW, tag_bytes: int
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ROWS)
 
 
+def _pieces(runs: list[bytes], tag_bytes: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """hash, tag, doc_id (the least number, for historical runs) of some runs, a stretch of hashes after the other; equal hashes are in one."""
+    decoded = []
+    while runs:
+        h, tag, doc = decode_run(runs.pop())
+        decoded.append((h, tag.astype(_tag_type(tag_bytes)), doc))
+    pieces = -(-sum(len(x[0]) for x in decoded) // PIECE_WINDOWS)
+    low, high = min(int(x[0][0]) for x in decoded), max(int(x[0][-1]) for x in decoded)
+    bounds = np.array([low + (high - low) * i // pieces for i in range(1, pieces)], np.uint64)  # hashes are even
+    cuts = [[0, *np.searchsorted(x[0], bounds).tolist(), len(x[0])] for x in decoded]
+    for i in range(len(bounds) + 1):
+        some = [(h[c[i] : c[i + 1]], tag[c[i] : c[i + 1]], None if doc is None else doc[c[i] : c[i + 1]]) for (h, tag, doc), c in zip(decoded, cuts, strict=True)]
+        yield tuple(np.concatenate(x) for x in zip(*((h, tag, np.full(len(h), -NULL_ID - 1, np.int64) if doc is None else doc) for h, tag, doc in some), strict=True))
+
+
+def _marks(held: list[tuple], parts: int, tag_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Rows of marks (hash, tag, doc_id), one for all documents of a place."""
+    hs, tags, d = (np.concatenate(x) for x in zip(*held, strict=True))
+    place = place_of(d, parts)
+    order = np.lexsort((d, place))
+    hs, tags, d, place = hs[order], tags[order], d[order], place[order]
+    out = []
+    cuts = [0, *(np.flatnonzero(place[1:] != place[:-1]) + 1).tolist(), len(d)] if len(d) else [0]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        names, counts = np.unique(d[a:b], return_counts=True)
+        out.append((int(place[a]), RUN, None, np.array([len(names)], "<u8").tobytes() + names.astype("<i8").tobytes() + counts.astype("<u4").tobytes() + hs[a:b].astype("<u8").tobytes() + _low_bytes(tags[a:b], tag_bytes)))
+    for at in range(0, len(out), 1000):
+        yield _batch(out[at : at + 1000])
+
+
 def merge_runs(rows: DataFrame, parts: int, index: bool = False, tag_bytes: int = TAG_BYTES) -> DataFrame:
     """Merge the runs of each range of hashes.
 
     Gives, for the documents of runs with ids, the hashes that a smaller doc_id or a historical run has too, with their tags
-    (kind RUN, one row for all documents of a place) and passes spans on; or, with ``index``, the compacted run of each range (kind INDEX).
+    (kind RUN, a row for all documents of a place, further ones where there are more than PIECE_WINDOWS) and passes spans on; or, with ``index``,
+    the compacted runs of each range (kind INDEX), one for each piece of it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,30 +319,22 @@ def merge_runs(rows: DataFrame, parts: int, index: bool = False, tag_bytes: int
             for part, kind, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 if kind != SPANS:
                     by_part.setdefault(part, []).append(data)
+        batch = spans = data = None  # the last ones would stay
         for part in sorted(by_part):
-            decoded = [decode_run(x) for x in by_part.pop(part)]
-            h, tag = (np.concatenate([x[i] for x in decoded]) for i in (0, 1))
-            doc = np.concatenate([np.full(len(x[0]), -NULL_ID - 1, np.int64) if x[2] is None else x[2] for x in decoded])
-            del decoded
-            order, new = _order(h, tag, doc)
-            if index:
-                first = order[new]
-                yield _batch([(part, INDEX, None, encode_run(h[first], tag[first], None, None, tag_bytes))])
-                continue
-            sorted_doc = doc[order]
-            lowest = sorted_doc[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]
-            later = order[sorted_doc > lowest]
-            place = place_of(doc[later], parts)
-            later = later[np.lexsort((doc[later], place))]
-            out = []
-            place, d = place_of(doc[later], parts), doc[later]
-            hs, tags = h[later], tag[later]
-            cuts = [0, *(np.flatnonzero(place[1:] != place[:-1]) + 1).tolist(), len(d)] if len(d) else [0]
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                names, counts = np.unique(d[a:b], return_counts=True)
-                out.append((int(place[a]), RUN, None, np.array([len(names)], "<u8").tobytes() + names.astype("<i8").tobytes() + counts.astype("<u4").tobytes() + hs[a:b].astype("<u8").tobytes() + _low_bytes(tags[a:b], tag_bytes)))
-            for at in range(0, len(out), 1000):
-                yield _batch(out[at : at + 1000])
+            held: list[tuple] = []
+            for h, tag, doc in _pieces(by_part.pop(part), tag_bytes):
+                order, new, later = _order(h, tag, doc)
+                if index:
+                    first = order[new]
+                    yield _batch([(part, INDEX, None, encode_run(h[first], tag[first], None, None, tag_bytes))])
+                    continue
+                held.append((h[later], tag[later], doc[later]))
+                del h, tag, doc, order, new, later
+                if sum(len(x[0]) for x in held) >= PIECE_WINDOWS:
+                    yield from _marks(held, parts, tag_bytes)
+                    held = []
+            if held:
+                yield from _marks(held, parts, tag_bytes)
 
     import pyarrow.compute  # noqa: F401  the workers use pa.compute
 
@@ -304,6 +353,17 @@ def _in_both(h: np.ndarray, tag: np.ndarray, marked: np.ndarray, tags: np.ndarra
     return found
 
 
+def _by_doc(held: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All marks (doc_id, hash, tag) in order of doc_id; empties the list."""
+    if not held:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    columns = [list(x) for x in zip(*held, strict=True)]
+    held.clear()
+    doc, h, tag = (np.concatenate(columns.pop(0)) for _ in range(3))
+    order = np.argsort(doc, kind="stable")
+    return doc[order], h[order], tag[order]
+
+
 KEPT = "doc_id long, n_words long, n_removed long, kept_text string"
 KEPT_DIGEST = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
@@ -318,26 +378,26 @@ def remove_marked(docs: DataFrame, marks: DataFrame, parts: int, window: int = W
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WindowHasher(window, tag_bytes)
-        flags: dict[int, list[tuple]] = {}  # of a document: hashes and tags
+        held: list[tuple] = []  # doc_ids, hashes and tags of marks
+        flags: tuple | None = None  # all of them by doc_id; marks come before texts
         spans: dict[tuple[int, bytes], list[bytes]] = {}
         for batch in batches:
             out: list[tuple] = []
             for doc_id, kind, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if kind == RUN:
                     n = int(np.frombuffer(data, "<u8", 1)[0])
-                    names = np.frombuffer(data, "<i8", n, 8).tolist()
+                    names = np.frombuffer(data, "<i8", n, 8)
                     counts = np.frombuffer(data, "<u4", n, 8 + 8 * n)
                     total = int(counts.sum())
                     hashes = np.frombuffer(data, "<u8", total, 8 + 12 * n)
                     tags = _from_low(data, total, tag_bytes, 8 + 12 * n + 8 * total)
-                    at = 0
-                    for name_, count in zip(names, counts.tolist(), strict=True):
-                        flags.setdefault(name_, []).append((hashes[at : at + count], tags[at : at + count]))
-                        at += count
+                    held.append((np.repeat(names, counts), hashes, tags.astype(_tag_type(tag_bytes))))
                     continue
                 if kind == SPANS:
                     spans.setdefault((doc_id, data[:8]), []).append(data[8:])
                     continue
+                if flags is None:
+                    flags = _by_doc(held)
                 words = data.split()
                 n = len(words)
                 mask = np.zeros(n + 1, np.int64)
@@ -345,9 +405,10 @@ def remove_marked(docs: DataFrame, marks: DataFrame, parts: int, window: int = W
                     for first, length in np.frombuffer(x, "<u4").reshape(-1, 2).astype(np.int64).tolist():
                         mask[first] += 1
                         mask[first + length - 1 + window] -= 1
-                if doc_id in flags and n >= window:
+                a, b = np.searchsorted(flags[0], [doc_id, doc_id + 1]).tolist() if doc_id < NULL_ID else (int(np.searchsorted(flags[0], doc_id)), len(flags[0]))
+                if b > a and n >= window:
                     h, tag, _, word = hasher([data])
-                    hit = word[_in_both(h, tag, *(np.concatenate(x) for x in zip(*flags[doc_id], strict=True)))]
+                    hit = word[_in_both(h, tag, flags[1][a:b], flags[2][a:b])]
                     mask[hit] += 1
                     mask[hit + window] -= 1
                 gone = np.cumsum(mask[:-1]) > 0

@@ -96,6 +96,49 @@ def test_op1_in_batches(spark, odd_docs, empty_docs, monkeypatch):
     assert as_rows(substring.dedup_in_batches(one), "doc_id", "n_removed") == Counter({(7, 0): 2, (None, 13): 1})
 
 
+class _Task:
+    """Stands for a DataFrame: mapInArrow gives what runs in a task."""
+
+    def __getattr__(self, name):
+        return lambda *a, **b: self
+
+    def mapInArrow(self, run, schema):  # noqa: N802
+        return run
+
+
+def test_op1_memory_of_a_task(spark):
+    """Two workers have to fit beside an executor's heap: runs and merges hold far less than all arrays of a range at once."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng, schema = np.random.default_rng(3), pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
+    documents = lambda first: (pa.RecordBatch.from_arrays([pa.array(range(i, i + 50)), pa.array([" ".join(map(str, rng.integers(0, 10**5, 1000).tolist())) for _ in range(50)])], schema=schema) for i in range(first, first + 2000, 50))
+
+    def peak(run, batches):
+        tracemalloc.start()
+        try:
+            out = [x for b in run(batches) for x in b.to_pylist()]
+            return out, tracemalloc.get_traced_memory()[1] - sum(len(x["data"]) for x in out)
+        finally:
+            tracemalloc.stop()
+
+    build, merge, index = substring.build_runs(_Task(), 1), substring.merge_runs(_Task(), 1), substring.merge_runs(_Task(), 1, index=True)
+    runs, most = peak(build, documents(0))
+    assert most < 130e6
+    more, _ = peak(build, documents(2000))
+    h, tag, _ = substring.decode_run(runs[0]["data"])
+    more.append(runs[0] | {"data": substring.encode_run(h, tag, np.zeros(len(h), np.int64), np.array([9999]))})  # windows that a smaller doc_id has
+    rows = lambda r: iter([pa.RecordBatch.from_pylist([x], schema=pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("doc_id", pa.int64()), ("data", pa.binary())])) for x in r])
+    marks, most = peak(merge, rows(runs + more))
+    assert most < 170e6 and {x["kind"] for x in marks} == {substring.RUN}
+    levels, most = peak(index, rows(runs + more))
+    assert most < 170e6
+    h = np.concatenate([substring.decode_run(x["data"])[0] for x in levels])
+    every = np.unique(np.concatenate([substring.decode_run(x["data"])[0] for x in runs + more]))
+    assert (h == every).all()  # in order, each once
+
+
 def test_op2_against_the_tokenizer(odd_docs, empty_docs):
     import public_tokenizers
     from tokenizers import Tokenizer
