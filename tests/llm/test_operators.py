@@ -334,6 +334,14 @@ def labelled(spark, odd_docs):
     return docs, labels
 
 
+def test_op6_white_space_without_patterns(spark):
+    """All white space of a line is blanks, and whole texts aren't run through a regular expression to find out."""
+    rows = [f"a{c}b" for c in line_dedup.SPACES] + ["a b", "a\nb", "", None]
+    out = spark.createDataFrame([(x,) for x in rows], "x string").select("x", line_dedup._blanks(F.col("x")).alias("y"))
+    assert {r["x"]: r["y"] for r in out.collect()} == dict.fromkeys(rows[:5], "a b") | {"a\nb": "a\nb", "": "", None: None}
+    assert "rlike" not in out._jdf.queryExecution().executedPlan().toString().lower()
+
+
 @pytest.mark.parametrize(("module", "label", "limit"), [(toxicity, "toxic", 0.5), (quality, "quality", 0.3)])
 def test_op7_op8_held_out(spark, odd_docs, empty_docs, module, label, limit, tmp_path):
     from routeloom.llm.labelled import held_out, training_texts
