@@ -11,10 +11,10 @@ Groups of very many similar lines are settled without all their pairs: each line
 and the last lines before it under a few of its words.  Lines that this did not settle are compared with all others, in one
 join of the postings (one row for each prefix word of each line), in which the smaller set of a pair has the shorter prefix.
 
-Rarity comes from counts of all words of all documents, hashed into a table whose size grows with the corpus up to MOST_SLOTS;
+Rarity comes from counts of the words of all different lines, hashed into a table whose size grows with the corpus up to MOST_SLOTS;
 words in one slot count together, which changes the order but nothing else: any one order for all lines gives exact results.
-Inside the join a word is 56 bits of its hash, and equal sets are those with equal 128-bit hashes of these; pairs of similar
-lines are held against each other word by word.
+Texts are cut into words once for this; of a set's first line 31 bits of each word's hash go on, from which words are counted and ordered.
+Equal sets are those with equal 128-bit hashes of their words' 64-bit hashes; pairs of similar lines are held against each other word by word.
 
 Behaviour on unusual input: lines without words stay; a null text stays null; a null doc_id comes after all others; rows
 that repeat doc_id and text are one document and keep the same lines; further columns are kept; an empty table stays empty.
@@ -31,14 +31,15 @@ from routeloom.llm._common import discard, keep, small_side, table, unused
 
 #: White space in a line besides the blank, which blanks replace before words are cut.
 SPACES = "\t\x0b\x0c\r"
-#: Slots of the table of word counts: one for each BYTES_A_SLOT bytes of text, in these bounds (a byte each for the tasks).
-BYTES_A_SLOT, LEAST_SLOTS, MOST_SLOTS = 2048, 1 << 14, 1 << 22
+#: Slots of the table of word counts: one for each WORDS_A_SLOT words of different lines, in these bounds (eight bytes each for the tasks).
+WORDS_A_SLOT, LEAST_SLOTS, MOST_SLOTS = 192, 1 << 14, 1 << 22
 #: Words of a line's prefix under which it looks for a likely partner: those with the smallest hashes, so that similar lines agree in them.
 FEW_WORDS = 3
 #: Under each it looks at the first line and at so many of the last before it.
 LAST_LINES = 1
 LAST = (1 << 63) - 1
-HASH = (1 << 56) - 1
+#: Bits of a word's hash inside the join.
+KEY = (1 << 31) - 1
 #: Lines of more words have parities of 128 buckets of hashes, others of 64.
 LONG = 64
 #: A line: its document's place in the order, its text's hash, and its number.
@@ -61,38 +62,21 @@ def _lines(text: Column) -> Column:
     return F.split(_blanks(text), "\n")
 
 
-def rarity_levels(docs: DataFrame) -> tuple[Column, int]:
-    """The levels of all slots (array of bytes, four levels to each doubling of the count) as a scalar column, and the number of slots."""
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    slots = min(max(1 << (size // BYTES_A_SLOT).bit_length(), LEAST_SLOTS), MOST_SLOTS)
-    flat = F.replace(_blanks(F.col("text")), F.lit("\n"), F.lit(" "))
-    words = docs.select(F.explode(F.split(flat, " ")).alias("w")).where("w <> ''")
-    counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(slots - 1).cast("long")).cast("int").alias("slot")).count()
-    level = F.least(F.floor(F.log2("count") * 4) + 1, F.lit(127)).cast("byte")
-    counts = keep(docs.sparkSession, counts.select("slot", level.alias("level")))
-    # At most MOST_SLOTS bytes; a slot without words is level 0.
-    every = docs.sparkSession.range(slots).select(F.col("id").cast("int").alias("slot")).join(counts, "slot", "left")
-    table_ = every.groupBy().agg(F.sort_array(F.collect_list(F.struct("slot", F.coalesce("level", F.lit(0).cast("byte")).alias("level")))).alias("s"))
-    levels = keep(docs.sparkSession, table_.select(F.col("s.level").alias("levels")))
-    return levels.scalar(), slots
+def slots_for(firsts: DataFrame) -> int:
+    """Slots of the table of word counts, by the words of all different lines."""
+    size = firsts.agg(F.sum("size")).first()[0] or 0
+    return min(max(1 << (size // WORDS_A_SLOT).bit_length(), LEAST_SLOTS), MOST_SLOTS)
 
 
-def line_sets(texts: DataFrame, levels: Column, slots: int) -> DataFrame:
-    """(k, t, n, size, one, two, p, q, prefix) of each line with words: its set's size, hashes, parities and rarest words in order.
+def line_sets(texts: DataFrame) -> DataFrame:
+    """(k, t, n, size, one, two, keys) of each line with words: its set's size, hashes, and 31 bits of each of its words' hashes.
 
-    A word is its level of rarity above 56 bits of its hash; in the prefix 31 bits, as two words that share these only make more pairs to verify.
+    Two words of one key stand there as two: these only make more pairs to verify.
     """
     lines = texts.select("k", "t", F.posexplode(_lines(F.col("text"))).alias("n", "line")).where(F.trim("line") != "")
-    lines = lines.select(*ID, F.split("line", " ").alias("words"), levels.alias("levels"))
-    lines = lines.select(*ID, "levels", F.array_remove(F.array_distinct(F.expr("transform(words, w -> xxhash64(w))")), F.xxhash64(F.lit(""))).alias("hashes"))
-    code = f"transform(array(levels), t -> transform(hashes, h -> shiftleft(cast(coalesce(t[cast(h & {slots - 1}L as int)], 0Y) as bigint), 56) | (h & {HASH}L)))[0]"
-    lines = lines.select(*ID, F.sort_array(F.expr(code)).alias("set"))
-    lines = lines.select(*ID, "set", F.size("set").alias("size"))
-    # Words go to one of 64 buckets by their last bits; of long lines, whose 64 are all noise, a further bit makes it 128.
-    parity = "aggregate(set, 0L, (a, x) -> a ^ shiftleft({}, cast({} & 63L as int)))"
-    more = f"if(size > {LONG}, {parity.format('((x >> 6) & 1L)', 'x')}, 0L)"
-    rare = F.slice("set", F.lit(1), F.col("size") - F.expr("(4 * size + 4) div 5").cast("int") + 1)
-    return lines.select(*ID, "size", F.xxhash64("set").alias("one"), F.xxhash64(F.lit(1), "set").alias("two"), F.expr(parity.format("1L", "x")).alias("p"), F.expr(more).alias("q"), F.transform(rare, lambda x: x.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")).alias("prefix"))
+    lines = lines.select(*ID, F.array_remove(F.array_distinct(F.expr("transform(split(line, ' '), w -> xxhash64(w))")), F.xxhash64(F.lit(""))).alias("hashes"))
+    lines = lines.select(*ID, F.sort_array("hashes").alias("set"))
+    return lines.select(*ID, F.size("set").alias("size"), F.xxhash64("set").alias("one"), F.xxhash64(F.lit(1), "set").alias("two"), F.expr(f"transform(set, h -> cast(h & {KEY}L as int))").alias("keys"))
 
 
 def first_of_each_set(lines: DataFrame) -> DataFrame:
@@ -103,6 +87,30 @@ def first_of_each_set(lines: DataFrame) -> DataFrame:
     return lines.withColumn("place", place).where("place = 1").drop("place", "one", "two")
 
 
+def rarity_levels(firsts: DataFrame, slots: int) -> Column:
+    """The levels of all slots (four to each doubling of the number of different lines, above 32 bits) as a scalar column, an array of longs."""
+    counts = firsts.select(F.explode("keys").alias("w")).groupBy(F.expr(f"w & {slots - 1}").alias("slot")).count()
+    level = F.least(F.floor(F.log2("count") * 4) + 1, F.lit(127)).cast("long")
+    counts = keep(firsts.sparkSession, counts.select("slot", F.shiftleft(level, 32).alias("level")))
+    # At most MOST_SLOTS longs; a slot without words is level 0.
+    every = firsts.sparkSession.range(slots).select(F.col("id").cast("int").alias("slot")).join(counts, "slot", "left")
+    table_ = every.groupBy().agg(F.sort_array(F.collect_list(F.struct("slot", F.coalesce("level", F.lit(0).cast("long")).alias("level")))).alias("s"))
+    # What was read back might hold nulls, and Spark sorts longs that may be null as objects; this says once that there are none.
+    return keep(firsts.sparkSession, table_.select(F.col("s.level").alias("levels"))).select(F.array_compact("levels")).scalar()
+
+
+def with_prefixes(firsts: DataFrame, levels: Column, slots: int) -> DataFrame:
+    """(k, t, n, size, p, q, prefix) of lines (k, t, n, size, keys): parities, and the keys of the rarest words in order of their level, then key."""
+    # Spark interprets this for each word, so it has as few steps as can be.
+    code = f"transform(array(coalesce(levels, cast(array() as array<bigint>))), t -> transform(cast(keys as array<bigint>), h -> t[cast(h & {slots - 1}L as int)] | h))[0]"
+    lines = firsts.select(*ID, "size", "keys", levels.alias("levels")).select(*ID, "size", "keys", F.sort_array(F.expr(code)).alias("rare"))
+    # Words go to one of 64 buckets by their last six bits (a shift looks at no others); of long lines, whose 64 are all noise, a further bit makes it 128.
+    parity = "aggregate(keys, 0L, (a, x) -> a ^ shiftleft({}, x))"
+    more = f"if(size > {LONG}, {parity.format('cast((x >> 6) & 1 as bigint)')}, 0L)"
+    rare = F.slice("rare", F.lit(1), F.col("size") - F.expr("(4 * size + 4) div 5").cast("int") + 1)
+    return lines.select(*ID, "size", F.expr(parity.format("1L")).alias("p"), F.expr(more).alias("q"), F.transform(rare, lambda x: x.bitwiseAND(F.lit(KEY)).cast("int")).alias("prefix"))
+
+
 #: Conditions for two lines (size, p, q, and those with e): enough shared words are possible.
 NEED = "((4 * (size + esize) + 8) div 9)"
 DIFFER = f"if(size > {LONG} and esize > {LONG}, bit_count(q ^ eq) + bit_count((p ^ q) ^ (ep ^ eq)), bit_count(p ^ ep))"
@@ -173,7 +181,10 @@ def lines_to_keep(docs: DataFrame) -> DataFrame:
     """(k, t, stays): numbers of the lines of a document that no earlier line equals or is similar to; lines without words are left out."""
     spark = docs.sparkSession
     texts = docs.where("text is not null").select(*_key(docs), "text")
-    sets = keep(spark, first_of_each_set(line_sets(texts, *rarity_levels(docs))).withColumn("id", F.monotonically_increasing_id()))
+    firsts = keep(spark, first_of_each_set(line_sets(texts)))
+    slots = slots_for(firsts)
+    sets = keep(spark, with_prefixes(firsts, rarity_levels(firsts, slots), slots).withColumn("id", F.monotonically_increasing_id()))
+    discard(firsts)
     likely = keep(spark, likely_pairs(sets))
     settled = keep(spark, verified(likely, texts))
     marked = keep(spark, sets.join(small_side(settled).withColumn("settled", F.lit(True)), ID, "left"))
