@@ -11,10 +11,11 @@ Groups of very many similar lines are settled without all their pairs: each line
 and the last lines before it under a few of its words.  Lines that this did not settle are compared with all others, in one
 join of the postings (one row for each prefix word of each line), in which the smaller set of a pair has the shorter prefix.
 
-Rarity comes from counts of all words of all documents, hashed into a table whose size grows with the corpus up to MOST_SLOTS;
+Texts are cut into words once; of each line 31 bits of each word's hash are held on the executors' disks until its rarest words are known.
+Rarity comes from counts of the words of all lines, hashed into a table whose size grows with the corpus up to MOST_SLOTS;
 words in one slot count together, which changes the order but nothing else: any one order for all lines gives exact results.
-Inside the join a word is 56 bits of its hash, and equal sets are those with equal 128-bit hashes of these; pairs of similar
-lines are held against each other word by word.
+Inside the join a word is these 31 bits.  Equal sets are those with equal 128-bit hashes of their words' 64-bit hashes; pairs of
+similar lines are held against each other word by word.
 
 Behaviour on unusual input: lines without words stay; a null text stays null; a null doc_id comes after all others; rows
 that repeat doc_id and text are one document and keep the same lines; further columns are kept; an empty table stays empty.
@@ -24,23 +25,25 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from routeloom.llm._common import discard, keep, small_side, table, unused
+from routeloom.llm._common import discard, is_small, keep, small_side, table, unused
 
 #: White space in a line besides the blank, which blanks replace before words are cut.
 SPACES = "\t\x0b\x0c\r"
-#: Slots of the table of word counts: one for each BYTES_A_SLOT bytes of text, in these bounds (a byte each for the tasks).
-BYTES_A_SLOT, LEAST_SLOTS, MOST_SLOTS = 2048, 1 << 14, 1 << 22
+#: Slots of the table of word counts: one for each WORDS_A_SLOT words of lines, in these bounds (eight bytes each for the tasks).
+WORDS_A_SLOT, LEAST_SLOTS, MOST_SLOTS = 256, 1 << 14, 1 << 22
 #: Words of a line's prefix under which it looks for a likely partner: those with the smallest hashes, so that similar lines agree in them.
 FEW_WORDS = 3
 #: Under each it looks at the first line and at so many of the last before it.
 LAST_LINES = 1
 LAST = (1 << 63) - 1
-HASH = (1 << 56) - 1
+#: Bits of a word's hash inside the join.
+KEY = (1 << 31) - 1
 #: Lines of more words have parities of 128 buckets of hashes, others of 64.
-LONG = 64
+LONG = 96
 #: A line: its document's place in the order, its text's hash, and its number.
 ID, OTHER = ["k", "t", "n"], ["ek", "et", "en"]
 
@@ -61,38 +64,41 @@ def _lines(text: Column) -> Column:
     return F.split(_blanks(text), "\n")
 
 
-def rarity_levels(docs: DataFrame) -> tuple[Column, int]:
-    """The levels of all slots (array of bytes, four levels to each doubling of the count) as a scalar column, and the number of slots."""
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    slots = min(max(1 << (size // BYTES_A_SLOT).bit_length(), LEAST_SLOTS), MOST_SLOTS)
-    flat = F.replace(_blanks(F.col("text")), F.lit("\n"), F.lit(" "))
-    words = docs.select(F.explode(F.split(flat, " ")).alias("w")).where("w <> ''")
-    counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(slots - 1).cast("long")).cast("int").alias("slot")).count()
-    level = F.least(F.floor(F.log2("count") * 4) + 1, F.lit(127)).cast("byte")
-    counts = keep(docs.sparkSession, counts.select("slot", level.alias("level")))
-    # At most MOST_SLOTS bytes; a slot without words is level 0.
-    every = docs.sparkSession.range(slots).select(F.col("id").cast("int").alias("slot")).join(counts, "slot", "left")
-    table_ = every.groupBy().agg(F.sort_array(F.collect_list(F.struct("slot", F.coalesce("level", F.lit(0).cast("byte")).alias("level")))).alias("s"))
-    levels = keep(docs.sparkSession, table_.select(F.col("s.level").alias("levels")))
-    return levels.scalar(), slots
+def line_words(texts: DataFrame) -> DataFrame:
+    """(k, t, n, size, one, two, keys) of each line with words: its set's size and hashes, and 31 bits of each of its words' hashes.
 
-
-def line_sets(texts: DataFrame, levels: Column, slots: int) -> DataFrame:
-    """(k, t, n, size, one, two, p, q, prefix) of each line with words: its set's size, hashes, parities and rarest words in order.
-
-    A word is its level of rarity above 56 bits of its hash; in the prefix 31 bits, as two words that share these only make more pairs to verify.
+    Two words that share these bits stand there as two, which only makes more pairs to verify.
     """
     lines = texts.select("k", "t", F.posexplode(_lines(F.col("text"))).alias("n", "line")).where(F.trim("line") != "")
-    lines = lines.select(*ID, F.split("line", " ").alias("words"), levels.alias("levels"))
-    lines = lines.select(*ID, "levels", F.array_remove(F.array_distinct(F.expr("transform(words, w -> xxhash64(w))")), F.xxhash64(F.lit(""))).alias("hashes"))
-    code = f"transform(array(levels), t -> transform(hashes, h -> shiftleft(cast(coalesce(t[cast(h & {slots - 1}L as int)], 0Y) as bigint), 56) | (h & {HASH}L)))[0]"
-    lines = lines.select(*ID, F.sort_array(F.expr(code)).alias("set"))
-    lines = lines.select(*ID, "set", F.size("set").alias("size"))
-    # Words go to one of 64 buckets by their last bits; of long lines, whose 64 are all noise, a further bit makes it 128.
-    parity = "aggregate(set, 0L, (a, x) -> a ^ shiftleft({}, cast({} & 63L as int)))"
-    more = f"if(size > {LONG}, {parity.format('((x >> 6) & 1L)', 'x')}, 0L)"
-    rare = F.slice("set", F.lit(1), F.col("size") - F.expr("(4 * size + 4) div 5").cast("int") + 1)
-    return lines.select(*ID, "size", F.xxhash64("set").alias("one"), F.xxhash64(F.lit(1), "set").alias("two"), F.expr(parity.format("1L", "x")).alias("p"), F.expr(more).alias("q"), F.transform(rare, lambda x: x.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")).alias("prefix"))
+    hashes = F.array_distinct(F.expr("transform(split(line, ' '), w -> xxhash64(w))"))
+    lines = lines.select(*ID, F.sort_array(F.array_remove(hashes, F.xxhash64(F.lit("")))).alias("set"))
+    return lines.select(*ID, F.size("set").alias("size"), F.xxhash64("set").alias("one"), F.xxhash64(F.lit(1), "set").alias("two"), F.expr(f"transform(set, h -> cast(h & {KEY}L as int))").alias("keys"))
+
+
+def rarity_levels(lines: DataFrame) -> tuple[Column, int]:
+    """The levels of all slots (four to each doubling of the count, above 32 bits) as a scalar column, an array of longs, and the number of slots."""
+    size = lines.agg(F.sum("size")).first()[0] or 0
+    slots = min(max(1 << (size // WORDS_A_SLOT).bit_length(), LEAST_SLOTS), MOST_SLOTS)
+    counts = lines.select(F.explode("keys").alias("w")).groupBy(F.expr(f"w & {slots - 1}").alias("slot")).count()
+    level = F.least(F.floor(F.log2("count") * 4) + 1, F.lit(127)).cast("long")
+    counts = keep(lines.sparkSession, counts.select("slot", F.shiftleft(level, 32).alias("level")))
+    # At most MOST_SLOTS longs; a slot without words is level 0.
+    every = lines.sparkSession.range(slots).select(F.col("id").cast("int").alias("slot")).join(counts, "slot", "left")
+    table_ = every.groupBy().agg(F.sort_array(F.collect_list(F.struct("slot", F.coalesce("level", F.lit(0).cast("long")).alias("level")))).alias("s"))
+    # What was read back might hold nulls, and Spark sorts longs that may be null as objects; this says once that there are none.
+    return keep(lines.sparkSession, table_.select(F.col("s.level").alias("levels"))).select(F.array_compact("levels")).scalar(), slots
+
+
+def line_sets(lines: DataFrame, levels: Column, slots: int) -> DataFrame:
+    """(k, t, n, size, one, two, p, q, prefix) of lines (k, t, n, size, one, two, keys): parities, and the keys of the rarest words in order of level, then key."""
+    # Spark interprets what is done for each word, so it has few steps.
+    code = f"transform(array(coalesce(levels, cast(array() as array<bigint>))), t -> transform(keys, h -> t[h & {slots - 1}] | h))[0]"
+    lines = lines.select(*ID, "size", "one", "two", "keys", levels.alias("levels")).select(*ID, "size", "one", "two", "keys", F.sort_array(F.expr(code)).alias("rare"))
+    # Words go to one of 64 buckets by their last six bits (a shift looks at no others); of long lines, whose 64 are mostly noise, a further bit makes it 128.
+    parity = "aggregate(keys, 0L, (a, x) -> a ^ shiftleft({}, x))"
+    more = f"if(size > {LONG}, {parity.format('cast((x >> 6) & 1 as bigint)')}, 0L)"
+    rare = F.slice("rare", F.lit(1), F.col("size") - F.expr("(4 * size + 4) div 5").cast("int") + 1)
+    return lines.select(*ID, "size", "one", "two", F.expr(parity.format("1L")).alias("p"), F.expr(more).alias("q"), F.transform(rare, lambda x: x.bitwiseAND(F.lit(KEY)).cast("int")).alias("prefix"))
 
 
 def first_of_each_set(lines: DataFrame) -> DataFrame:
@@ -139,8 +145,11 @@ def all_pairs(sets: DataFrame) -> DataFrame:
     order = f"({esize} < {size} or ({esize} = {size} and eid < id)) and (sat & esat & 1L) = 0"
     fits = FITS.replace("esize", "SMALL").replace("size", size).replace("SMALL", esize)
     places = f"least({size} - {place('sat')}, {esize} - {place('esat')}) >= " + NEED.replace("esize", "SMALL").replace("size", size).replace("SMALL", esize)
-    pairs = posts("prefix").join(small, F.expr(f"w = ew and {order} and {fits} and {places}")).select("id", "eid").distinct()
-    a = sets.select("id", *ID, "settled")
+    spark = sets.sparkSession
+    pairs = keep(spark, posts("prefix").join(small, F.expr(f"w = ew and {order} and {fits} and {places}")).select("id", "eid").distinct())
+    # Few lines are in pairs, so their places are looked up once for both sides.
+    ids = keep(spark, pairs.select("id").union(pairs.select("eid")).distinct())
+    a = keep(spark, sets.select("id", *ID, "settled").join(small_side(ids), "id"))
     b = a.select(*[F.col(c).alias(f"e{c}") for c in a.columns])
     both = pairs.join(a, "id").join(b, "eid")
     swap = "(struct(ek, et, en) > struct(k, t, n))"
@@ -162,26 +171,33 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     found = texts.join(small_side(asked), ["k", "t"]).select("k", "t", "asked", _lines(F.col("text")).alias("lines"))
     found = found.select("k", "t", F.explode(F.expr("transform(asked, i -> struct(i as n, lines[i] as line))")).alias("x"))
     # Rows that repeat give their lines once more.
-    lines = keep(texts.sparkSession, found.select("k", "t", "x.n", "x.line").distinct())
+    lines = keep(texts.sparkSession, found.select("k", "t", "x.n", "x.line").distinct().withColumn("size", F.size(words(F.col("line")))))
     mine = [F.col(c).alias(e) for c, e in zip(ID, OTHER, strict=True)]
-    both = pairs.join(lines.withColumnRenamed("line", "x"), ID).join(lines.select(*mine, F.col("line").alias("y")), OTHER)
-    both = both.select(*ID, words(F.col("x")).alias("x"), words(F.col("y")).alias("y"))
-    return both.where(F.size(F.array_intersect("x", "y")) * 9 >= (F.size("x") + F.size("y")) * 4).select(*ID).distinct()
+    both = pairs.select(*ID, *OTHER).join(lines, ID).join(lines.select(*mine, F.col("line").alias("other"), F.col("size").alias("esize")), OTHER)
+    # Each line is cut once for a pair, as the words that both have are a set already.
+    shared = F.size(F.array_remove(F.array_intersect(F.split("line", " "), F.split("other", " ")), ""))
+    return both.where(shared * 9 >= (F.col("size") + F.col("esize")) * 4).select(*ID).distinct()
 
 
 def lines_to_keep(docs: DataFrame) -> DataFrame:
     """(k, t, stays): numbers of the lines of a document that no earlier line equals or is similar to; lines without words are left out."""
     spark = docs.sparkSession
     texts = docs.where("text is not null").select(*_key(docs), "text")
-    sets = keep(spark, first_of_each_set(line_sets(texts, *rarity_levels(docs))).withColumn("id", F.monotonically_increasing_id()))
+    # Read twice; what an executor holds of it on its disk is made anew if it is lost.
+    lines = line_words(texts).persist(StorageLevel.DISK_ONLY)
+    sets = keep(spark, first_of_each_set(line_sets(lines, *rarity_levels(lines))).withColumn("id", F.monotonically_increasing_id()))
+    lines.unpersist(blocking=True)
     likely = keep(spark, likely_pairs(sets))
     settled = keep(spark, verified(likely, texts))
-    marked = keep(spark, sets.join(small_side(settled).withColumn("settled", F.lit(True)), ID, "left"))
+    marked = sets.join(small_side(settled).withColumn("settled", F.lit(True)), ID, "left")
+    # A join that shuffles all sets is made once.
+    shuffled = [] if is_small(settled) else [keep(spark, marked)]
+    marked = shuffled[0] if shuffled else marked
     pairs = keep(spark, all_pairs(marked))
     similar = keep(spark, verified(pairs, texts))
-    left = sets.select(*ID).join(settled.unionByName(similar), ID, "left_anti")
+    left = sets.select(*ID).join(small_side(settled), ID, "left_anti").join(small_side(similar), ID, "left_anti")
     stays = keep(spark, left.groupBy("k", "t").agg(F.collect_list("n").alias("stays")))
-    discard(sets, likely, settled, marked, pairs, similar)
+    discard(sets, likely, settled, *shuffled, pairs, similar)
     return stays
 
 
@@ -199,7 +215,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     blank = F.filter(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.btrim(F.get(parts, i), F.lit(" " + SPACES)) == "")
     numbers = F.sort_array(F.array_union(F.coalesce(stays, F.array().cast("array<int>")), blank))
     out = out.withColumn(stays, numbers)
-    kept = F.array_join(F.transform(stays, lambda i: F.get(parts, i)), "\n")
+    kept = F.when(F.size(stays) >= F.size(parts), F.col("text")).otherwise(F.array_join(F.transform(stays, lambda i: F.get(parts, i)), "\n"))
     return out.select(
         *[kept.alias("text") if c == "text" else F.col(c) for c in docs.columns],
         F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)).cast("long").alias("n_lines"),

@@ -326,6 +326,33 @@ def test_op6_texts_that_share_half_a_hash(spark):
     assert all(got[4 + i] == (f"alone {i} {i + 1} {i * 7}\n{i}", 0) for i in range(300))
 
 
+def test_op6_texts_are_cut_into_words_once(spark):
+    """Counts and sets come from the words of lines, not from the texts again; repeated words and blanks count once."""
+    texts = spark.createDataFrame([(1, "a b c d e\nrare a b\n\n  "), (2, "a  a\tb c d e f\nx"), (3, "a b " * 70 + " ".join(f"w{i}" for i in range(200)))], "k long, text string").withColumn("t", F.xxhash64("text"))
+    lines = line_dedup.line_words(texts).persist()
+    levels, slots = line_dedup.rarity_levels(lines)
+    sets = line_dedup.line_sets(lines, levels, slots)
+    plan = sets._jdf.queryExecution().executedPlan().toString().lower()
+    assert "inmemorytablescan" in plan and slots == line_dedup.LEAST_SLOTS
+    keys = {(r["k"], r["n"]): r["keys"] for r in lines.collect()}
+    rows = {(r["k"], r["n"]): r for r in sets.collect()}
+    assert {i: r["size"] for i, r in rows.items()} == {(1, 0): 5, (1, 1): 3, (2, 0): 6, (2, 1): 1, (3, 0): 202} and rows.keys() == keys.keys()
+    for i, r in rows.items():
+        p = q = 0
+        for x in keys[i]:
+            p, q = p ^ 1 << (x & 63), q ^ (x >> 6 & 1) << (x & 63)
+        signed = lambda v: v - (1 << 64) if v >> 63 else v
+        assert (r["p"], r["q"]) == (signed(p), signed(q) if r["size"] > line_dedup.LONG else 0)
+        assert len(r["prefix"]) == r["size"] - -(-4 * r["size"] // 5) + 1 and set(r["prefix"]) <= set(keys[i])
+    # "rare" stands once, so it comes before "a" and "b".
+    assert rows[1, 1]["prefix"][0] not in keys[1, 0]
+    pairs = spark.createDataFrame([(2, 0, 1, 0), (1, 1, 1, 0)], "k long, n int, ek long, en int")
+    of = texts.select("k", "t")
+    pairs = pairs.join(of, "k").join(of.select(F.col("k").alias("ek"), F.col("t").alias("et")), "ek")
+    assert [(r["k"], r["n"]) for r in line_dedup.verified(pairs, texts).collect()] == [(2, 0)]
+    lines.unpersist()
+
+
 def labelled(spark, odd_docs):
     rows = [(i, ("you scum idiot %d" if i % 3 == 0 else "a calm day in town %d") % i + " word" * (i % 7), int(i % 3 == 0), int(i % 4 != 0)) for i in range(400)]
     rows = [(i, x if q else "### $$$ %%% &&&\n" + x.upper() + " !!!\n| | |", t, q) for i, x, t, q in rows]
